@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from . import decontam, packing
+from . import brown, decontam, packing, pii, quality
 from .common import table
 
 
+def op1_brown_scores(spark, sf_dir):
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op2_spaced_seed_decontamination(spark, sf_dir):
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_mcd_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_deobfuscated_pii(spark, sf_dir):
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op6_bin_completion_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
