@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, decontam, packing, pii, quality
+from . import brown, decontam, langid, packing, pii, quality
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op6_bin_completion_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_crf_language(spark, sf_dir):
+    out = langid.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "n_words", "second", "n_switches")
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("op") and callable(f)}
 
 #: Equal results in SQL, where it can say them.
