@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, decontam, langid, neardup, packing, pii, quality
+from . import brown, decontam, langid, linededup, neardup, packing, pii, quality
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op6_bin_completion_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_prefix_filter_line_dedup(spark, sf_dir):
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_probminhash_classes(spark, sf_dir):
     return neardup.classes(table(spark, sf_dir, "documents"))
 
