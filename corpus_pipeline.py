@@ -1,10 +1,35 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, packing."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, packing.
+
+Every stage but the last returns the columns of documents: rows go, or lines in them.
+"""
 
 from __future__ import annotations
 
-from lexigauge.llm import decontam, packing
+from pyspark.sql import functions as F
+
+from lexigauge.llm import decontam, langid, linededup, neardup, packing
 from lexigauge.llm.common import keep, table
 
+#: A text whose language is less probable than this over its words is rejected, as is one without a letter.
+LEAST_SCORE = 0.3
+
+
+def identify(spark, docs, sf_dir):
+    """Keeps what has a language. Learns from the labelled rows of its own input, by the folds of the operator."""
+    own = docs.columns
+    held = {c: f"_{c}" for c in own if c not in ("doc_id", "text", "lang")}
+    out = langid.predict(docs.withColumnsRenamed(held))
+    out = out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return out.select(*[F.col(held.get(c, c)).alias(c) for c in own])
+
+
+def dedup_lines(spark, docs, sf_dir):
+    return linededup.dedup(docs)
+
+
+def dedup_near(spark, docs, sf_dir):
+    return neardup.dedup(docs)
+
 
 def decontaminate(spark, docs, sf_dir):
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -14,7 +39,7 @@ def pack(spark, docs, sf_dir):
     return packing.pack(docs)
 
 
-STAGES = [("benchmark_decontamination", decontaminate), ("best_fit_packing", pack)]
+STAGES = [("language_id", identify), ("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("decontamination", decontaminate), ("packing", pack)]
 
 #: Language ID, seeds and tokenizers are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None

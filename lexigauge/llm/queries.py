@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, decontam, langid, linededup, neardup, packing, pii, quality
+from . import brown, decontam, langid, licenses, linededup, neardup, packing, pii, quality, urls
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_deobfuscated_pii(spark, sf_dir):
     return pii.spans(table(spark, sf_dir, "documents"))
 
 
+def op5_redirect_url_filter(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_bin_completion_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op8_probminhash_classes(spark, sf_dir):
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_license_classifier(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_crf_language(spark, sf_dir):
     out = langid.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "held_out", "lang_pred", "score", "n_words", "second", "n_switches")
@@ -42,4 +50,4 @@ def op10_crf_language(spark, sf_dir):
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("op") and callable(f)}
 
 #: Equal results in SQL, where it can say them.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_redirect_url_filter": urls.SQL}
