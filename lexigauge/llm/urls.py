@@ -111,8 +111,8 @@ fit AS (
   WHERE n.kind = 0 GROUP BY ALL),
 edges AS (
   SELECT DISTINCT a.node AS a, b.node AS b FROM nodes a JOIN nodes b USING (row) WHERE a.kind = 0 AND b.kind = 1 AND a.node IS NOT NULL AND b.node IS NOT NULL),
-both AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-reach(a, b) AS (SELECT a, a FROM both UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a),
+ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(a, b) AS (SELECT a, a FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
 roots AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a),
 fate AS (
   SELECT coalesce(root, f.node) AS root, bool_or(action = 'block') AND NOT coalesce(bool_or(action = 'allow'), false) AS blocked
