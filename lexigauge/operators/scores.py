@@ -19,8 +19,8 @@ def live(df: DataFrame) -> DataFrame:
 
 
 def normalised(value: Column, lo: Column, hi: Column) -> Column:
-    """Min-max position; 0 on an empty scale."""
-    return F.when(hi > lo, (value - lo) / (hi - lo)).otherwise(F.lit(0.0))
+    """Min-max position; 0 on an empty scale. Decimal, so that sums don't depend on their order."""
+    return F.when(hi > lo, (value - lo) / (hi - lo)).otherwise(F.lit(0.0)).cast("decimal(18,10)")
 
 
 def weighted(latest: DataFrame, criteria: DataFrame, keys: list[str], scale: float = 10.0) -> DataFrame:
@@ -29,7 +29,7 @@ def weighted(latest: DataFrame, criteria: DataFrame, keys: list[str], scale: flo
     key = on.agg(F.concat_ws("+", F.sort_array(F.collect_list("crit"))).alias("criteria_key"))
     v = latest.join(F.broadcast(on), "crit")  # criteria are a fixed handful
     agg = v.groupBy(*keys).agg(F.sum(normalised(F.col("value"), F.col("lo"), F.col("hi")) * F.col("weight")).alias("s"), F.sum("weight").alias("w"))
-    return agg.join(F.broadcast(key)).select(*keys, F.round(F.col("s") / F.col("w") * scale, 2).alias("aggregate"), "criteria_key")
+    return agg.join(F.broadcast(key)).select(*keys, F.round(F.col("s").cast("double") / F.col("w") * scale, 2).alias("aggregate"), "criteria_key")
 
 
 def consensus(latest: DataFrame, criteria: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,7 +38,7 @@ def consensus(latest: DataFrame, criteria: DataFrame, keys: list[str]) -> DataFr
     return v.groupBy(*keys).agg(F.coalesce(F.sum(F.col("value") * F.col("weight")) / F.sum("weight"), F.lit(0.0)).alias("consensus"))
 
 
-def carry_forward(df: DataFrame, criteria: DataFrame) -> DataFrame:
+def carry_forward(df: DataFrame, criteria: DataFrame, places: int = 2) -> DataFrame:
     """Per paragraph and pass (a ts), the aggregate of every enabled criterion's newest value up to then."""
     on = criteria.where("enabled").select("crit", "lo", "hi", "weight")
     rows = df.join(F.broadcast(on.select("crit")), "crit", "left_semi")
@@ -47,7 +47,7 @@ def carry_forward(df: DataFrame, criteria: DataFrame) -> DataFrame:
     last = rows.groupBy("para", "ts", "crit").agg(F.max_by("value", "id").alias("value"))
     w = Window.partitionBy("para", "crit").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     held = grid.join(last, ["para", "ts", "crit"], "left").withColumn("value", F.last("value", ignorenulls=True).over(w)).where("value is not null")
-    return held.groupBy("para", "ts").agg(F.round(F.sum(normalised(F.col("value"), F.col("lo"), F.col("hi")) * F.col("weight")) / F.sum("weight") * 10, 2).alias("aggregate"), F.count("*").alias("n_crit"))
+    return held.groupBy("para", "ts").agg(F.round(F.sum(normalised(F.col("value"), F.col("lo"), F.col("hi")) * F.col("weight")).cast("double") / F.sum("weight") * 10, places).alias("aggregate"), F.count("*").alias("n_crit"))
 
 
 def best_revision(revisions: DataFrame) -> DataFrame:

@@ -2,5 +2,462 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lexigauge.functions import text as T
+from lexigauge.operators import matching, scores, shaping, stats
+from lexigauge.sources import tables
+from lexigauge.sources.tables import CRITERIA, table
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+CRIT = "crit(crit, lo, hi, weight, enabled) AS (VALUES " + ", ".join(f"('{c}', {lo}::DOUBLE, {hi}::DOUBLE, {w}, {on})" for c, lo, hi, w, on in CRITERIA) + ")"
+SCORE = """e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+score AS (SELECT user_id AS para, event_type AS crit, value, ts, event_id AS id, k, CASE WHEN k % 10 < 2 THEN 'seed' WHEN k % 10 = 2 THEN 'cache' WHEN k % 10 = 3 THEN 'archived' ELSE 'live' END AS kind FROM e)"""
+RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY para, crit ORDER BY ts DESC, id DESC) AS r FROM score WHERE kind IN ('seed', 'live'))"
+LINES = "lines AS (SELECT doc_id, u.i - 1 AS idx, u.line FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i) u WHERE trim(u.line) <> '')"
+WORDS = """w AS (SELECT doc_id AS title, i - 1 AS idx, surface, lower(regexp_replace(surface, '[^A-Za-z]', '', 'g')) AS qid FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS surface, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)),
+gold AS (SELECT *, 1 + idx % 2 AS span FROM w WHERE length(qid) > 5 AND regexp_matches(surface, '^[A-Z]')),
+pred AS (SELECT title, idx - CASE WHEN length(qid) % 5 = 0 THEN 1 ELSE 0 END AS idx, surface, qid, 1 + length(qid) % 3 AS span, idx AS id, [CASE WHEN length(qid) % 7 <> 0 THEN qid ELSE 'none' END, substr(qid, 1, 4)] AS cands FROM w WHERE length(qid) > 5 AND (length(qid) % 2 = 1 OR length(qid) > 9))"""
+LAST = "last AS (SELECT title, idx, span, arg_max(qid, id) AS qid, arg_max(cands, id) AS cands FROM pred GROUP BY ALL)"
+ISSUES = "iss AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'accepted' WHEN k % 7 = 1 THEN 'dismissed' WHEN k % 7 = 2 THEN 'outdated' ELSE 'open' END AS status FROM score WHERE k % 3 = 0)"
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _latest(s, d):
+    return scores.newest(scores.live(tables.scores(s, d)), ["para", "crit"])
+
+
+@query(f"WITH {SCORE}, {RANKED} SELECT para, crit, value, id, kind FROM ranked WHERE r = 1")
+def latest_score(s, d):
+    return _latest(s, d).select("para", "crit", "value", "id", "kind")
+
+
+@query(f"WITH {SCORE}, {RANKED} SELECT para, crit, value, id, kind FROM ranked WHERE r = 2")
+def prev_score(s, d):
+    return scores.newest(scores.live(tables.scores(s, d)), ["para", "crit"], 2).select("para", "crit", "value", "id", "kind")
+
+
+@query(f"WITH {SCORE}, b AS (SELECT *, row_number() OVER (PARTITION BY para, crit ORDER BY ts DESC, id DESC) AS r FROM score WHERE kind = 'seed') SELECT para, crit, value FROM b WHERE r = 1")
+def baseline_score(s, d):
+    return scores.newest(tables.scores(s, d).where("kind = 'seed'"), ["para", "crit"]).select("para", "crit", "value")
+
+
+AGG = f"{CRIT}, {SCORE}, {RANKED}, agg AS (SELECT para, round(CAST(sum(CAST((value - lo) / (hi - lo) AS DECIMAL(18, 10)) * weight) AS DOUBLE) / sum(weight) * 10, 2) AS aggregate FROM ranked JOIN crit USING (crit) WHERE r = 1 AND enabled GROUP BY para)"
+
+
+@query(f"WITH {AGG} SELECT para, aggregate, (SELECT string_agg(crit, '+' ORDER BY crit) FROM crit WHERE enabled) AS criteria_key FROM agg")
+def paragraph_aggregate(s, d):
+    return scores.weighted(_latest(s, d), tables.criteria(s), ["para"])
+
+
+@query(f"WITH {AGG} SELECT para % 20 AS doc, round(CAST(sum(CAST(aggregate AS DECIMAL(18, 2))) AS DOUBLE) / count(*), 2) AS mean_aggregate, count(*) AS n FROM agg GROUP BY 1")
+def doc_mean_aggregate(s, d):
+    a = scores.weighted(_latest(s, d), tables.criteria(s), ["para"])
+    exact = F.sum(F.col("aggregate").cast("decimal(18,2)")).cast("double") / F.count("*")
+    return a.groupBy((F.col("para") % 20).alias("doc")).agg(F.round(exact, 2).alias("mean_aggregate"), F.count("*").alias("n"))
+
+
+@query(f"WITH {CRIT}, {SCORE}, {RANKED} SELECT para, round(coalesce(CAST(sum(CAST(value AS DECIMAL(18, 2)) * weight) AS DOUBLE) / sum(weight), 0), 6) AS consensus FROM ranked JOIN crit USING (crit) WHERE r = 1 GROUP BY para")
+def consensus(s, d):
+    v = _latest(s, d).withColumn("value", F.col("value").cast("decimal(18,2)"))
+    c = tables.criteria(s).withColumn("weight", F.col("weight").cast("decimal(4,0)"))
+    return scores.consensus(v, c, ["para"]).select("para", F.round(F.col("consensus").cast("double"), 6).alias("consensus"))
+
+
+@query(f"""WITH {CRIT}, {SCORE}, on_ AS (SELECT * FROM crit WHERE enabled), rows_ AS (SELECT * FROM score WHERE crit IN (SELECT crit FROM on_)),
+v AS (SELECT para, ts, crit, arg_max(value, id) AS value FROM rows_ GROUP BY ALL),
+g AS (SELECT p.para, p.ts, o.crit, lo, hi, weight, value FROM (SELECT DISTINCT para, ts FROM rows_) p CROSS JOIN on_ o LEFT JOIN v ON v.para = p.para AND v.ts = p.ts AND v.crit = o.crit),
+h AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY para, crit ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM g)
+SELECT para, ts, round(CAST(sum(CAST((held - lo) / (hi - lo) AS DECIMAL(18, 10)) * weight) AS DOUBLE) / sum(weight) * 10, 6) AS aggregate, count(*) AS n_crit FROM h WHERE held IS NOT NULL GROUP BY para, ts""")
+def carry_forward_aggregate(s, d):
+    return scores.carry_forward(tables.scores(s, d), tables.criteria(s), 6)
+
+
+REV = "rev AS (SELECT para, CASE WHEN k % 11 <> 0 THEN k % 9 END AS revision, round(value / 50, 2) AS aggregate, kind, ts, id FROM score)"
+
+
+def _revisions(s, d):
+    return tables.scores(s, d).select("para", F.when(F.col("k") % 11 != 0, F.col("k") % 9).alias("revision"), F.round(F.col("value") / 50, 2).alias("aggregate"), "kind", "ts", "id")
+
+
+@query(f"WITH {SCORE}, {REV}, b AS (SELECT *, row_number() OVER (PARTITION BY para ORDER BY aggregate DESC, ts DESC, id DESC) AS r FROM rev WHERE revision IS NOT NULL AND kind <> 'cache') SELECT b.para, b.revision, b.aggregate, b.revision = c.cur AS is_current FROM b JOIN (SELECT para, max(revision) AS cur FROM rev GROUP BY para) c USING (para) WHERE r = 1")
+def best_revision(s, d):
+    return scores.best_revision(_revisions(s, d))
+
+
+@query(f"WITH {SCORE}, {REV} SELECT para, max(revision) AS revision FROM rev GROUP BY para")
+def latest_revision(s, d):
+    return _revisions(s, d).groupBy("para").agg(F.max("revision").alias("revision"))
+
+
+def _issues(s, d):
+    k = F.col("k") % 7
+    return tables.scores(s, d).where("k % 3 = 0").withColumn("status", F.when(k == 0, "accepted").when(k == 1, "dismissed").when(k == 2, "outdated").otherwise("open"))
+
+
+@query(f"WITH {SCORE}, {ISSUES} SELECT id, para, crit, status FROM iss i WHERE status IN ('accepted', 'dismissed') OR status = 'open' AND (kind = 'live' OR kind = 'seed' AND NOT EXISTS (SELECT 1 FROM score s WHERE s.kind = 'live' AND s.para = i.para AND s.crit = i.crit))")
+def visible_issues(s, d):
+    return scores.visible(_issues(s, d), tables.scores(s, d)).select("id", "para", "crit", "status")
+
+
+@query(f"WITH {SCORE}, {ISSUES} SELECT id, para, crit FROM iss i WHERE status = 'open' AND NOT EXISTS (SELECT 1 FROM iss o WHERE o.status IN ('accepted', 'dismissed') AND o.para = i.para AND o.crit = i.crit AND o.k = i.k)")
+def issue_dedupe_antijoin(s, d):
+    i = _issues(s, d)
+    closed = i.where(F.col("status").isin("accepted", "dismissed")).select("para", "crit", "k").distinct()
+    return i.where("status = 'open'").join(closed, ["para", "crit", "k"], "left_anti").select("id", "para", "crit")
+
+
+@query(f"WITH {SCORE} SELECT id, para, value, kind, CASE WHEN kind = 'live' THEN 'archived' WHEN kind = 'seed' THEN 'open' ELSE kind END AS after_reset FROM score")
+def reset_document(s, d):
+    return tables.scores(s, d).select("id", "para", "value", "kind", F.when(F.col("kind") == "live", "archived").when(F.col("kind") == "seed", "open").otherwise(F.col("kind")).alias("after_reset"))
+
+
+@query(f"WITH {SCORE}, h AS (SELECT id, para, kind, lag(kind) OVER (PARTITION BY para ORDER BY id) AS b FROM score) SELECT id, para, kind FROM h WHERE b IS DISTINCT FROM kind")
+def revision_changes(s, d):
+    return scores.changed(tables.scores(s, d).select("id", "para", "kind"), "para", "id", "kind")
+
+
+@query(f"WITH {SCORE}, {RANKED}, p AS (SELECT para, crit, value FROM ranked WHERE r = 2), b AS (SELECT para, crit, arg_max(value, id) AS value FROM score WHERE kind = 'seed' GROUP BY ALL) SELECT l.para, l.crit, round(l.value - coalesce(p.value, b.value), 1) AS delta FROM ranked l LEFT JOIN p USING (para, crit) LEFT JOIN b USING (para, crit) WHERE l.r = 1")
+def chip_delta(s, d):
+    allv = tables.scores(s, d)
+    prev = scores.newest(scores.live(allv), ["para", "crit"], 2).select("para", "crit", F.col("value").alias("p"))
+    base = allv.where("kind = 'seed'").groupBy("para", "crit").agg(F.max_by("value", "id").alias("b"))
+    return _latest(s, d).join(prev, ["para", "crit"], "left").join(base, ["para", "crit"], "left").select("para", "crit", F.round(F.col("value") - F.coalesce("p", "b"), 1).alias("delta"))
+
+
+@query(f"WITH {SCORE}, n AS (SELECT id, para, kind FROM score WHERE k % 2 = 0), o AS (SELECT id, para, 'old' AS kind FROM score WHERE k % 3 = 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)")
+def upsert_scores(s, d):
+    v = tables.scores(s, d)
+    return scores.upsert(v.where("k % 3 = 0").select("id", "para", F.lit("old").alias("kind")), v.where("k % 2 = 0").select("id", "para", "kind"), ["id"])
+
+
+@query("SELECT c.c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) UNION ALL SELECT -s_suppkey - 1 FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)")
+def unreferenced_keys(s, d):
+    a = table(s, d, "customer").join(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    b = table(s, d, "supplier").join(table(s, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_anti")
+    return a.unionAll(b.select((-F.col("s_suppkey") - 1).alias("c_custkey")))
+
+
+def _mentions(s, d):
+    return tables.mentions(s, d, "gold"), tables.mentions(s, d, "pred")
+
+
+@query(f"WITH {WORDS} SELECT title, idx, surface, qid FROM gold g WHERE EXISTS (SELECT 1 FROM pred p WHERE p.title = g.title AND p.idx = g.idx AND p.qid = g.qid AND lower(trim(p.surface)) = lower(trim(g.surface)))")
+def match_strict(s, d):
+    return matching.strict(*_mentions(s, d)).select("title", "idx", "surface", "qid")
+
+
+@query(f"WITH {WORDS} SELECT g.title, g.idx AS gold_idx, p.idx AS pred_idx, g.qid FROM gold g JOIN pred p ON p.title = g.title AND p.qid = g.qid AND g.idx < p.idx + greatest(p.span, 1) AND p.idx < g.idx + greatest(g.span, 1)")
+def match_overlap(s, d):
+    return matching.overlapping(*_mentions(s, d)).select(F.col("g.title"), F.col("g.idx").alias("gold_idx"), F.col("p.idx").alias("pred_idx"), F.col("g.qid"))
+
+
+@query(f"WITH {WORDS} SELECT title, idx, qid FROM gold g WHERE EXISTS (SELECT 1 FROM pred p WHERE p.title = g.title AND p.qid = g.qid)")
+def match_document(s, d):
+    return matching.document(*_mentions(s, d)).select("title", "idx", "qid")
+
+
+@query(f"""WITH {WORDS}, gk AS (SELECT title, qid, bool_or(regexp_matches(surface, '^\\p{{Lu}}')) AS up, bool_and(regexp_matches(surface, '^\\p{{Lu}}')) AS al FROM gold WHERE surface <> '' GROUP BY ALL),
+pk AS (SELECT title, qid, bool_or(regexp_matches(surface, '^\\p{{Lu}}')) AS up, bool_and(regexp_matches(surface, '^\\p{{Lu}}')) AS al FROM pred WHERE surface <> '' GROUP BY ALL)
+SELECT CASE WHEN coalesce(g.al, p.al) THEN 'named' WHEN coalesce(g.up, p.up) THEN 'ambiguous' ELSE 'term' END AS class, count(*) FILTER (g.qid IS NOT NULL AND p.qid IS NOT NULL) AS tp, count(*) FILTER (p.qid IS NULL) AS fn, count(*) FILTER (g.qid IS NULL) AS fp
+FROM gk g FULL JOIN pk p ON g.title = p.title AND g.qid = p.qid GROUP BY 1""")
+def confusion_micro(s, d):
+    return matching.by_class(*_mentions(s, d))
+
+
+@query(f"""WITH {WORDS}, {LAST}, hit AS (SELECT g.title, g.qid, true AS rec, bool_or(list_contains(p.cands, g.qid)) AS found, bool_or(p.qid = g.qid AND list_contains(p.cands, g.qid)) AS ok
+FROM gold g JOIN last p ON p.title = g.title AND g.idx < p.idx + greatest(p.span, 0) AND p.idx < g.idx + greatest(g.span, 0) GROUP BY g.title, g.qid), dir AS (SELECT DISTINCT title, qid FROM last)
+SELECT count(*) AS n_gold, count(*) FILTER (h.rec) AS n_rec, count(*) FILTER (h.found) AS n_found, count(*) FILTER (h.ok) AS n_ok, count(*) FILTER (dir.qid IS NOT NULL) AS n_direct
+FROM (SELECT DISTINCT title, qid FROM gold) g LEFT JOIN hit h USING (title, qid) LEFT JOIN dir USING (title, qid)""")
+def survival_funnel(s, d):
+    return matching.survival(*_mentions(s, d))
+
+
+@query("""WITH c AS (SELECT source, count(*) FILTER (quality = 1) AS k, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source),
+w AS (SELECT source, k, n, k / n AS p, 3.8416 AS zz FROM c)
+SELECT source, k, n, round(greatest(0, (p + zz / (2 * n)) / (1 + zz / n) - 1.96 * sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)), 4) AS low, round(least(1, (p + zz / (2 * n)) / (1 + zz / n) + 1.96 * sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)), 4) AS high, n < 30 AS underpowered FROM w""")
+def wilson_cells(s, d):
+    c = table(s, d, "documents").select("doc_id", "source").join(table(s, d, "labels"), "doc_id").groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("k"), F.count("*").alias("n"))
+    low, high = stats.wilson(F.col("k"), F.col("n"))
+    return c.select("source", "k", "n", low.alias("low"), high.alias("high"), (F.col("n") < 30).alias("underpowered"))
+
+
+VERDICTS = "v AS (SELECT CASE WHEN k % 3 = 0 THEN 'green' WHEN k % 3 = 1 THEN 'yellow' ELSE 'red' END AS truth, CASE WHEN k % 5 < 2 THEN 'green' WHEN k % 5 = 2 THEN 'yellow' WHEN k % 5 = 3 THEN 'red' ELSE 'odd' END AS guess, crit FROM score)"
+LABELS = ["green", "yellow", "red"]
+
+
+def _verdicts(s, d):
+    k = F.col("k")
+    return tables.scores(s, d).select(F.when(k % 3 == 0, "green").when(k % 3 == 1, "yellow").otherwise("red").alias("truth"), F.when(k % 5 < 2, "green").when(k % 5 == 2, "yellow").when(k % 5 == 3, "red").otherwise("odd").alias("guess"), "crit")
+
+
+@query(f"WITH {SCORE}, {VERDICTS}, l AS (SELECT unnest(['green', 'yellow', 'red']) AS label), c AS (SELECT label, count(*) FILTER (truth = label AND guess = label) AS tp, count(*) FILTER (truth = label) AS t, count(*) FILTER (guess = label) AS p FROM v, l GROUP BY label) SELECT round(avg(2 * tp / (t + p)), 4) AS macro_f1, count(*) AS n_labels FROM c WHERE t > 0")
+def macro_f1(s, d):
+    return stats.macro_f1(_verdicts(s, d), "truth", "guess", LABELS)
+
+
+@query(f"WITH {SCORE}, {VERDICTS}, l AS (SELECT unnest(['green', 'yellow', 'red']) AS label) SELECT a.label AS truth, b.label AS guess, (SELECT count(*) FROM v WHERE v.truth = a.label AND v.guess = b.label) AS n FROM l a, l b")
+def confusion_dense(s, d):
+    return stats.confusion(_verdicts(s, d), "truth", "guess", LABELS)
+
+
+SHARES = {"p50": 0.5, "p95": 0.95}
+
+
+@query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (r = least(n, CAST(floor(0.5 * n) AS BIGINT) + 1)) AS p50, max(value) FILTER (r = least(n, CAST(floor(0.95 * n) AS BIGINT) + 1)) AS p95, max(n) AS n FROM r GROUP BY event_type")
+def latency_nearest_rank(s, d):
+    return stats.by_rank(table(s, d, "events"), "event_type", "value", SHARES, "floor")
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY event_type")
+def percentile_ceil(s, d):
+    return stats.by_rank(table(s, d, "events"), "event_type", "value", SHARES, "ceil")
+
+
+@query(f"WITH {SCORE}, {VERDICTS}, a AS (SELECT crit, round(avg(CASE WHEN truth = guess THEN 1.0 ELSE 0.0 END), 4) AS acc, count(*) AS n FROM v GROUP BY crit) SELECT crit, acc, n, row_number() OVER (ORDER BY acc DESC, n, crit) AS place FROM a")
+def select_winner(s, d):
+    from pyspark.sql import Window
+
+    a = _verdicts(s, d).groupBy("crit").agg(F.round(F.avg((F.col("truth") == F.col("guess")).cast("double")), 4).alias("acc"), F.count("*").alias("n"))
+    return a.withColumn("place", F.row_number().over(Window.orderBy(F.desc("acc"), "n", "crit")).cast("long"))
+
+
+@query(f"WITH {WORDS}, g AS (SELECT DISTINCT title, qid FROM gold), p AS (SELECT DISTINCT title, qid FROM pred) SELECT coalesce(g.title, p.title) AS title, count(*) FILTER (g.qid IS NOT NULL AND p.qid IS NOT NULL) AS n_both, count(*) FILTER (p.qid IS NULL) AS n_missed, count(*) FILTER (g.qid IS NULL) AS n_spurious FROM g FULL JOIN p ON g.title = p.title AND g.qid = p.qid GROUP BY 1")
+def extraction_prf(s, d):
+    g, p = (m.select("title", "qid").distinct().withColumn(c, F.lit(True)) for m, c in zip(_mentions(s, d), "gp"))
+    return g.join(p, ["title", "qid"], "full_outer").groupBy("title").agg(F.count_if(F.col("g") & F.col("p")).alias("n_both"), F.count_if(F.col("p").isNull()).alias("n_missed"), F.count_if(F.col("g").isNull()).alias("n_spurious"))
+
+
+@query("""WITH r AS (SELECT l_returnflag AS k, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_returnflag, l_discount) - 1) / 2 AS b FROM lineitem)
+SELECT k AS l_returnflag, count(*) AS n, round(corr(a, b), 4) AS rho FROM r GROUP BY k""")
+def spearman_avg_rank(s, d):
+    return stats.spearman(table(s, d, "lineitem"), "l_returnflag", "l_quantity", "l_discount")
+
+
+@query("""WITH p AS (SELECT a.l_orderkey AS k, sign(a.l_quantity - b.l_quantity) AS s, sign(a.l_tax - b.l_tax) AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber)
+SELECT k AS l_orderkey, CASE WHEN sum(abs(s)) > 0 AND sum(abs(t)) > 0 THEN round(sum(s * t) / sqrt(sum(abs(s)) * sum(abs(t))), 4) END AS tau FROM p GROUP BY k""")
+def kendall_tau_b(s, d):
+    return stats.kendall(table(s, d, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+
+
+@query("WITH n AS (SELECT l_returnflag, l_quantity AS v, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_returnflag, count(*) AS n_distinct, arg_max(v, (n, -v)) AS modal, round(max(n) / sum(n), 4) AS modal_share FROM n GROUP BY 1")
+def tie_stats(s, d):
+    return stats.ties(table(s, d, "lineitem"), "l_returnflag", "l_quantity")
+
+
+DELTA = "dl AS (SELECT a.l_orderkey, round(b.l_quantity - a.l_quantity, 2) AS dq, round(b.l_discount - a.l_discount, 2) AS dd FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2)"
+
+
+def _deltas(s, d):
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    a, b = li.where("l_linenumber = 1").alias("a"), li.where("l_linenumber = 2").alias("b")
+    return a.join(b, "l_orderkey").select("l_orderkey", F.round(F.col("b.l_quantity") - F.col("a.l_quantity"), 2).alias("dq"), F.round(F.col("b.l_discount") - F.col("a.l_discount"), 2).alias("dd"))
+
+
+@query(f"WITH {DELTA} SELECT round(avg(CASE WHEN sign(dq) = sign(dd) THEN 1.0 ELSE 0.0 END), 4) AS agreement, count(*) AS n FROM dl WHERE dq <> 0 AND dd <> 0")
+def sign_agreement(s, d):
+    x = _deltas(s, d).where("dq <> 0 and dd <> 0")
+    return x.agg(F.round(F.avg((F.signum("dq") == F.signum("dd")).cast("double")), 4).alias("agreement"), F.count("*").alias("n"))
+
+
+@query(f"WITH {DELTA}, u AS (SELECT 'quantity' AS metric, CAST(dq AS DECIMAL(18, 2)) AS v FROM dl UNION ALL SELECT 'discount', CAST(dd AS DECIMAL(18, 2)) FROM dl) SELECT metric, round(CAST(sum(v) AS DOUBLE) / count(*), 4) AS mean_delta, count(*) AS n FROM u GROUP BY metric")
+def paired_deltas(s, d):
+    u = _deltas(s, d).select(F.explode(F.array(F.struct(F.lit("quantity").alias("metric"), F.col("dq").alias("v")), F.struct(F.lit("discount").alias("metric"), F.col("dd").alias("v")))).alias("x")).select("x.metric", F.col("x.v").cast("decimal(18,2)").alias("v"))
+    return u.groupBy("metric").agg(F.round(F.sum("v").cast("double") / F.count("*"), 4).alias("mean_delta"), F.count("*").alias("n"))
+
+
+REDIRECTS = "red AS (SELECT p_partkey AS src, CASE WHEN p_partkey % 17 = 3 THEN p_partkey + 1 WHEN p_partkey % 17 = 4 THEN p_partkey - 1 ELSE p_partkey // 2 END AS dst FROM part WHERE p_partkey > 0)"
+
+
+@query(f"""WITH RECURSIVE {REDIRECTS}, walk AS (SELECT p_partkey AS title, p_partkey AS here, [p_partkey] AS seen FROM part
+UNION ALL SELECT title, dst, list_append(seen, dst) FROM walk JOIN red ON red.src = walk.here WHERE NOT list_contains(seen, dst) AND len(seen) <= 10)
+SELECT title, arg_max(here, len(seen)) AS target, max(len(seen)) - 1 AS n_hops FROM walk GROUP BY title""")
+def redirect_chain(s, d):
+    p = F.col("p_partkey")
+    part = table(s, d, "part").select("p_partkey")
+    red = part.where("p_partkey > 0").select(p.alias("src"), F.when(p % 17 == 3, p + 1).when(p % 17 == 4, p - 1).otherwise(F.floor(p / 2)).alias("dst"))
+    return shaping.redirect_chain(part.select(p.alias("title")), red)
+
+
+@query("""WITH s AS (SELECT p_brand AS key, 'a' AS source, 1 AS prio, CASE WHEN p_size % 2 = 0 THEN p_name END AS name, NULL AS kind FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_brand, 'b', 2, p_name, p_type FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_brand, 'c', 3, NULL, p_type FROM part WHERE p_partkey % 3 = 2)
+SELECT key, arg_min(name, (prio, name)) FILTER (name IS NOT NULL) AS name, arg_min(kind, (prio, kind)) FILTER (kind IS NOT NULL) AS kind, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM s GROUP BY key""")
+def golden_merge(s, d):
+    p, none = table(s, d, "part"), F.lit(None).cast("string")
+    row = lambda k, name, prio, n, t: p.where(f"p_partkey % 3 = {k}").select(F.col("p_brand").alias("key"), F.lit(name).alias("source"), F.lit(prio).alias("prio"), n.alias("name"), t.alias("kind"))
+    rows = row(0, "a", 1, F.when(F.col("p_size") % 2 == 0, F.col("p_name")), none).unionByName(row(1, "b", 2, F.col("p_name"), F.col("p_type"))).unionByName(row(2, "c", 3, none, F.col("p_type")))
+    return shaping.merge_by_priority(rows, "key", ["name", "kind"])
+
+
+@query("""WITH t AS (SELECT p_partkey AS pos, split_part(p_name, ' ', 2) || CAST(p_size % 9 AS VARCHAR) AS stem, CASE WHEN p_size % 4 > 0 THEN p_type END AS qid, CASE p_size % 3 WHEN 0 THEN 'green' WHEN 1 THEN 'yellow' ELSE 'red' END AS verdict, p_name AS translation FROM part WHERE p_size < 25),
+o AS (SELECT stem, min(qid) AS only_ FROM t GROUP BY stem HAVING count(DISTINCT qid) = 1), n AS (SELECT t.*, coalesce(qid, only_, 'ungrounded') AS entity FROM t LEFT JOIN o USING (stem))
+SELECT stem, entity, count(*) AS n, CASE WHEN bool_or(verdict = 'red') THEN 'red' WHEN bool_or(verdict = 'yellow') THEN 'yellow' ELSE 'green' END AS worst, arg_min(translation, pos) AS translation FROM n GROUP BY ALL""")
+def glossary_groups(s, d):
+    k = F.col("p_size") % 3
+    t = table(s, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("pos"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), (F.col("p_size") % 9).cast("string")).alias("stem"), F.when(F.col("p_size") % 4 > 0, F.col("p_type")).alias("qid"), F.when(k == 0, "green").when(k == 1, "yellow").otherwise("red").alias("verdict"), F.col("p_name").alias("translation"))
+    return shaping.glossary_groups(t)
+
+
+@query("WITH r AS (SELECT p_partkey, p_retailprice, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS r, count(*) OVER () // 10 AS step FROM part) SELECT r // step AS bin, p_partkey, p_retailprice FROM r WHERE r < step * 10 AND r % step = (step - 1) // 2")
+def decile_picks(s, d):
+    return shaping.decile_picks(table(s, d, "part").select("p_partkey", "p_retailprice"), "p_partkey", "p_retailprice")
+
+
+@query("""WITH sp AS (SELECT l_orderkey AS k, CAST(l_quantity AS BIGINT) AS s, CAST(l_quantity AS BIGINT) + l_linenumber + 2 AS e FROM lineitem), ends AS (SELECT DISTINCT k, unnest([s, e]) AS a FROM sp), parts AS (SELECT k, a, lead(a) OVER (PARTITION BY k ORDER BY a) AS b FROM ends)
+SELECT parts.k, a, b, count(*) AS n_cover FROM parts JOIN sp ON sp.k = parts.k AND s <= a AND b <= e GROUP BY ALL""")
+def span_segments(s, d):
+    q = F.col("l_quantity").cast("long")
+    return shaping.segments(table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), q.alias("s"), (q + F.col("l_linenumber") + 2).alias("e")), "k")
+
+
+@query("SELECT conv_id, turn, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM conversations")
+def running_offsets(s, d):
+    return shaping.offsets(table(s, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "start")
+
+
+@query("SELECT conv_id, turn, right(coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ''), 2000) AS context FROM conversations")
+def rolling_context(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, -1)
+    return table(s, d, "conversations").select("conv_id", "turn", F.right(F.concat_ws("\n", F.collect_list("text").over(w)), F.lit(2000)).alias("context"))
+
+
+@query("WITH c AS (SELECT o_orderkey, o_custkey, o_orderdate, CAST(round(o_totalprice) AS BIGINT) AS cost FROM orders), l AS (SELECT *, sum(cost) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS spent FROM c) SELECT o_orderkey, CAST(spent AS BIGINT) AS spent, spent <= 1000000 AS fits FROM l")
+def budget_ledger(s, d):
+    c = table(s, d, "orders").withColumn("cost", F.round("o_totalprice").cast("long"))
+    return shaping.ledger(c, "o_custkey", ["o_orderdate", "o_orderkey"], "cost", 1_000_000).select("o_orderkey", "spent", "fits")
+
+
+@query("WITH a AS (SELECT event_type AS route, count(*) AS n, count(*) FILTER (CAST(json_extract_string(props, '$.k') AS INT) % 10 <> 0) AS good, round(median(value), 4) AS med FROM events GROUP BY 1) SELECT route, round(good / n, 4) AS success, med, CASE WHEN good / n >= 0.95 THEN 'good' WHEN good / n >= 0.5 THEN 'shaky' ELSE 'dead' END AS verdict FROM a")
+def route_verdict(s, d):
+    a = tables.scores(s, d).groupBy(F.col("crit").alias("route")).agg(F.count("*").alias("n"), F.count_if(F.col("k") % 10 != 0).alias("good"), F.round(F.median("value"), 4).alias("med"))
+    share = F.col("good") / F.col("n")
+    return a.select("route", F.round(share, 4).alias("success"), "med", F.when(share >= 0.95, "good").when(share >= 0.5, "shaky").otherwise("dead").alias("verdict"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS para, line FROM lines")
+def paragraph_split(s, d):
+    from pyspark.sql import Window
+
+    return tables.lines(s, d).select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")) - 1).cast("long").alias("para"), "line")
+
+
+@query("SELECT doc_id, len([t FOR t IN regexp_split_to_array(text, '\\s+') IF t <> '']) AS n_tokens, len(regexp_extract_all(substr(text, 1, 100), '\\s+')) AS at_100 FROM documents")
+def token_index(s, d):
+    return table(s, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"), T.token_index(F.col("text"), F.lit(100)).cast("long").alias("at_100"))
+
+
+def _probe(s, d):
+    return table(s, d, "part").select("p_partkey", F.concat(F.when(F.col("p_size") % 5 == 0, "Consider ").when(F.col("p_size") % 5 == 1, " use the ").otherwise(""), F.col("p_name"), F.when(F.col("p_size") % 7 == 0, " if needed").otherwise("")).alias("s"))
+
+
+PROBE = "pr AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'Consider ' WHEN p_size % 5 = 1 THEN ' use the ' ELSE '' END || p_name || CASE WHEN p_size % 7 = 0 THEN ' if needed' ELSE '' END AS s FROM part)"
+
+
+@query(f"WITH {PROBE} SELECT p_partkey, regexp_matches(s, '{T.ADVICE}') AS advice FROM pr")
+def advice_flag(s, d):
+    return _probe(s, d).select("p_partkey", T.is_advice(F.col("s")).alias("advice"))
+
+
+@query(f"WITH {PROBE} SELECT p_partkey, CASE WHEN regexp_matches(s, '{T.ADVICE}') THEN '' ELSE s END AS suggestion, CASE WHEN regexp_matches(s, '{T.ADVICE}') THEN 'Advice: ' || trim(s) ELSE '' END AS explanation FROM pr")
+def sanitize_issue(s, d):
+    a = T.is_advice(F.col("s"))
+    return _probe(s, d).select("p_partkey", F.when(a, "").otherwise(F.col("s")).alias("suggestion"), F.when(a, F.concat(F.lit("Advice: "), F.trim("s"))).otherwise("").alias("explanation"))
+
+
+@query("""WITH h AS (SELECT page_id, regexp_extract(html, '<a href="([^"]*)"', 1) AS href FROM pages), b AS (SELECT page_id, href, regexp_replace(regexp_replace(href, '^(\\./|/wiki/|/)', ''), '#.*$', '') AS body FROM h)
+SELECT page_id, CASE WHEN NOT (regexp_matches(href, '^[a-z]+://|^//|^#') OR body = '' OR regexp_matches(body, '(?i)^(file|category|template|help|special|talk|user|portal|wikipedia):')) THEN translate(url_decode(body), '_', ' ') END AS title FROM b""")
+def href_title(s, d):
+    return table(s, d, "pages").select("page_id", T.link_title(F.regexp_extract("html", r'<a href="([^"]*)"', 1)).alias("title"))
+
+
+@query(f"WITH {SCORE} SELECT id, CASE WHEN value / 40 >= 8 THEN 'green' WHEN value / 40 >= 6 THEN 'yellow' ELSE 'red' END AS colour FROM score")
+def score_color(s, d):
+    return tables.scores(s, d).select("id", T.colour(F.col("value") / 40).alias("colour"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*) FILTER (NOT (upper(line) = line AND regexp_matches(line, '\\p{{L}}'))) AS n_body FROM lines GROUP BY doc_id")
+def body_lines(s, d):
+    return tables.lines(s, d).groupBy("doc_id").agg(F.count_if(T.is_body(F.col("line"))).alias("n_body"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug, sha256(p_name || '|' || p_type) AS key FROM part")
+def slug_and_key(s, d):
+    return table(s, d, "part").select("p_partkey", T.slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"), F.sha2(F.concat_ws("|", "p_name", "p_type"), 256).alias("key"))
+
+
+@query("SELECT p_partkey, CAST(regexp_extract(CASE WHEN p_size % 2 = 0 THEN '-' ELSE '+' END || CAST(p_size * 40 AS VARCHAR) || '-01-01T00:00:00Z', '^([+-]?\\d{1,6})-', 1) AS INT) AS year FROM part")
+def parse_year(s, d):
+    return table(s, d, "part").select("p_partkey", T.signed_year(F.concat(F.when(F.col("p_size") % 2 == 0, "-").otherwise("+"), (F.col("p_size") * 40).cast("string"), F.lit("-01-01T00:00:00Z"))).alias("year"))
+
+
+@query("SELECT conv_id, turn, len(list_intersect(a, b)) >= 0.6 * len(a) AS covered FROM (SELECT x.conv_id, x.turn, list_distinct([substr(t, 1, 4) FOR t IN regexp_split_to_array(lower(x.text), '\\s+') IF t <> '']) AS a, list_distinct([substr(t, 1, 4) FOR t IN regexp_split_to_array(lower(y.text), '\\s+') IF t <> '']) AS b FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1)")
+def stem_coverage(s, d):
+    c = table(s, d, "conversations")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", T.shares_stems(T.stems(F.col("text")), T.stems(F.col("other"))).alias("covered"))
+
+
+@query(f"WITH {LINES}, r AS (SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS r FROM lines) SELECT doc_id, idx FROM r WHERE r <= 12")
+def first_paragraphs(s, d):
+    from pyspark.sql import Window
+
+    return tables.lines(s, d).withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx"))).where("r <= 12").select("doc_id", F.col("idx").cast("long").alias("idx"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*) AS n, round(avg(length(line)), 4) AS mean_len, median(length(line)) AS median_len, max(length(line)) AS max_len FROM lines GROUP BY doc_id")
+def char_stats(s, d):
+    n = F.length("line")
+    return tables.lines(s, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg(n), 4).alias("mean_len"), F.median(n).alias("median_len"), F.max(n).cast("long").alias("max_len"))
+
+
+@query("WITH n AS (SELECT p_partkey AS id, lower(trim(p_name)) AS norm, 1 AS rank FROM part UNION ALL SELECT p_partkey, lower(p_brand || ' ' || p_name), 2 FROM part), q AS (SELECT DISTINCT lower(p_name) AS norm FROM part WHERE p_size < 10) SELECT q.norm, min(rank) AS rank, count(DISTINCT id) AS n_entities, min(id) AS first_id FROM q JOIN n USING (norm) GROUP BY q.norm")
+def exact_label_match(s, d):
+    p = table(s, d, "part")
+    names = p.select(F.col("p_partkey").alias("id"), F.explode(F.array(F.struct(F.lower(F.trim("p_name")).alias("norm"), F.lit(1).alias("rank")), F.struct(F.lower(F.concat_ws(" ", "p_brand", "p_name")).alias("norm"), F.lit(2).alias("rank")))).alias("x")).select("id", "x.*")
+    q = p.where("p_size < 10").select(F.lower("p_name").alias("norm")).distinct()
+    return q.join(names, "norm").groupBy("norm").agg(F.min("rank").alias("rank"), F.countDistinct("id").alias("n_entities"), F.min("id").alias("first_id"))
+
+
+@query("""WITH m AS (SELECT p_partkey AS m, p_name, p_type, p_size FROM part), c AS (SELECT m, 1 AS rung, p_partkey AS cand FROM m JOIN part USING (p_name, p_type, p_size) UNION ALL SELECT m, 2, p_partkey FROM m JOIN part USING (p_type, p_size) WHERE p_partkey % 5 = 0), b AS (SELECT *, min(rung) OVER (PARTITION BY m) AS best FROM c WHERE cand <> m),
+k AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY cand) AS r FROM b WHERE rung = best) SELECT m, rung, cand, r AS place FROM k WHERE r <= 5""")
+def candidate_ladder(s, d):
+    from pyspark.sql import Window
+
+    p = table(s, d, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    m = p.withColumnRenamed("p_partkey", "m")
+    one = m.join(p, ["p_name", "p_type", "p_size"]).select("m", F.lit(1).alias("rung"), F.col("p_partkey").alias("cand")).where("cand <> m")
+    # later rungs only for mentions that earlier ones left with nothing
+    left = m.join(one.select("m").distinct(), "m", "left_anti")
+    two = left.join(p.where("p_partkey % 5 = 0"), ["p_type", "p_size"]).where("p_partkey <> m").select("m", F.lit(2).alias("rung"), F.col("p_partkey").alias("cand"))
+    w = Window.partitionBy("m").orderBy("cand")
+    return one.unionAll(two).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5")
+
+
+@query("SELECT a || b || c AS config, count(*) AS n FROM (VALUES ('0'), ('1')) x(a), (VALUES ('0'), ('1')) y(b), (VALUES ('0'), ('1')) z(c), part p WHERE (a = '0' OR p_size % 2 = 0) AND (b = '0' OR p_size > 10) AND (c = '0' OR p_retailprice > 905) GROUP BY 1")
+def ablation_grid(s, d):
+    flags = s.sql("SELECT concat(a, b, c) AS config, a = '1' AS a, b = '1' AS b, c = '1' AS c FROM VALUES ('0'), ('1') x(a) CROSS JOIN VALUES ('0'), ('1') y(b) CROSS JOIN VALUES ('0'), ('1') z(c)")
+    p = table(s, d, "part")
+    keep = (~F.col("a") | (F.col("p_size") % 2 == 0)) & (~F.col("b") | (F.col("p_size") > 10)) & (~F.col("c") | (F.col("p_retailprice") > 905))
+    return p.join(F.broadcast(flags), keep).groupBy("config").agg(F.count("*").alias("n"))  # eight fixed rows
+
+
+@query(f"WITH {AGG}, i AS (SELECT para, count(*) AS issues FROM score WHERE k % 3 = 0 GROUP BY para) SELECT para, aggregate, coalesce(issues, 0) AS issues, row_number() OVER (ORDER BY coalesce(aggregate, 0) DESC, coalesce(issues, 0), para) AS place FROM agg LEFT JOIN i USING (para)")
+def ranking(s, d):
+    from pyspark.sql import Window
+
+    a = scores.weighted(_latest(s, d), tables.criteria(s), ["para"])
+    i = tables.scores(s, d).where("k % 3 = 0").groupBy("para").agg(F.count("*").alias("issues"))
+    j = a.join(i, "para", "left").select("para", "aggregate", F.coalesce("issues", F.lit(0)).alias("issues"))
+    return j.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.coalesce("aggregate", F.lit(0))), "issues", "para")).cast("long"))
