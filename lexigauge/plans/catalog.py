@@ -79,9 +79,9 @@ def consensus(s, d):
 v AS (SELECT para, ts, crit, arg_max(value, id) AS value FROM rows_ GROUP BY ALL),
 g AS (SELECT p.para, p.ts, o.crit, lo, hi, weight, value FROM (SELECT DISTINCT para, ts FROM rows_) p CROSS JOIN on_ o LEFT JOIN v ON v.para = p.para AND v.ts = p.ts AND v.crit = o.crit),
 h AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY para, crit ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM g)
-SELECT para, ts, round(CAST(sum(CAST((held - lo) / (hi - lo) AS DECIMAL(18, 10)) * weight) AS DOUBLE) / sum(weight) * 10, 6) AS aggregate, count(*) AS n_crit FROM h WHERE held IS NOT NULL GROUP BY para, ts""")
+SELECT para, ts, round(CAST(sum(CAST((held - lo) / (hi - lo) AS DECIMAL(18, 10)) * weight) AS DOUBLE) / sum(weight) * 10, 9) AS aggregate, count(*) AS n_crit FROM h WHERE held IS NOT NULL GROUP BY para, ts""")
 def carry_forward_aggregate(s, d):
-    return scores.carry_forward(tables.scores(s, d), tables.criteria(s), 6)
+    return scores.carry_forward(tables.scores(s, d), tables.criteria(s), 9)
 
 
 REV = "rev AS (SELECT para, CASE WHEN k % 11 <> 0 THEN k % 9 END AS revision, round(value / 50, 2) AS aggregate, kind, ts, id FROM score)"
@@ -128,12 +128,12 @@ def revision_changes(s, d):
     return scores.changed(tables.scores(s, d).select("id", "para", "kind"), "para", "id", "kind")
 
 
-@query(f"WITH {SCORE}, {RANKED}, p AS (SELECT para, crit, value FROM ranked WHERE r = 2), b AS (SELECT para, crit, arg_max(value, id) AS value FROM score WHERE kind = 'seed' GROUP BY ALL) SELECT l.para, l.crit, round(l.value - coalesce(p.value, b.value), 1) AS delta FROM ranked l LEFT JOIN p USING (para, crit) LEFT JOIN b USING (para, crit) WHERE l.r = 1")
+@query(f"WITH {SCORE}, {RANKED}, p AS (SELECT para, crit, value FROM ranked WHERE r = 2), b AS (SELECT para, crit, arg_max(value, id) AS value FROM score WHERE kind = 'seed' GROUP BY ALL) SELECT l.para, l.crit, round(l.value - coalesce(p.value, b.value), 2) AS delta FROM ranked l LEFT JOIN p USING (para, crit) LEFT JOIN b USING (para, crit) WHERE l.r = 1")
 def chip_delta(s, d):
     allv = tables.scores(s, d)
     prev = scores.newest(scores.live(allv), ["para", "crit"], 2).select("para", "crit", F.col("value").alias("p"))
     base = allv.where("kind = 'seed'").groupBy("para", "crit").agg(F.max_by("value", "id").alias("b"))
-    return _latest(s, d).join(prev, ["para", "crit"], "left").join(base, ["para", "crit"], "left").select("para", "crit", F.round(F.col("value") - F.coalesce("p", "b"), 1).alias("delta"))
+    return _latest(s, d).join(prev, ["para", "crit"], "left").join(base, ["para", "crit"], "left").select("para", "crit", F.round(F.col("value") - F.coalesce("p", "b"), 2).alias("delta"))
 
 
 @query(f"WITH {SCORE}, n AS (SELECT id, para, kind FROM score WHERE k % 2 = 0), o AS (SELECT id, para, 'old' AS kind FROM score WHERE k % 3 = 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)")
