@@ -49,7 +49,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     for r in REGION.finditer(text):
         s, e = r.span()
         for m in IP.finditer(text, s, e):
-            if all(int(p) <= 255 for p in m[0].split(".") if len(p) < 5) and all(len(p.lstrip("0")) <= 3 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                 out.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text, s, e):
             digits = m[0].replace(" ", "").replace("-", "")

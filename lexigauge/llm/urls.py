@@ -69,11 +69,18 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     p = pages.select(F.col("page_id"), F.col("url").cast("string"), F.col("html").cast("string"))
     tags = ((CANONICAL, HREF), (REFRESH, GOES_TO))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    seen = p.select("page_id", host(u).alias("host"), path(u).alias("path"), node(u).alias("node"), F.array_compact(F.array(*[node(_target(F.regexp_extract("html", tag, 0), pick, u)) for tag, pick in tags])).alias("to"))
+
+    def aim(tag):
+        """Where the page's first such tag goes, and what a rule says there."""
+        to = _target(F.regexp_extract("html", tag[0], 0), tag[1], u)
+        return F.struct(node(to).alias("node"), rule_of(host(to), path(to), rules)[1].alias("action"))
+
+    seen = p.select("page_id", host(u).alias("host"), path(u).alias("path"), node(u).alias("node"), F.filter(F.array(*map(aim, tags)), lambda x: x["node"].isNotNull()).alias("to"))
     seen = keep(seen.select("*", rule.alias("rule"), action.alias("action")))
-    edges = seen.where("node is not null and size(to) > 0").select(F.col("node").alias("a"), F.explode("to").alias("b")).where("a <> b")
+    edges = seen.where("node is not null and size(to) > 0").select(F.col("node").alias("a"), F.explode("to.node").alias("b")).where("a <> b")
     root = keep(components(edges))
-    of = seen.select("node", "action").where("node is not null")
+    # a rule on where a link goes counts, be that a row of pages or not
+    of = seen.select("node", "action").where("node is not null").union(seen.where("node is not null").select(F.explode("to").alias("x")).select("x.*"))
     fate = of.groupBy("node").agg(F.bool_or(F.col("action") == "block").alias("block"), F.bool_or(F.col("action") == "allow").alias("allow"))
     fate = fate.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "block", "allow")
     whole = fate.groupBy("root").agg(F.bool_or("block").alias("any_block"), F.bool_or("allow").alias("any_allow"))
@@ -106,9 +113,9 @@ nodes AS (
   SELECT row, kind, host, path, CASE WHEN regexp_replace(host, ':(?:80|443)$', '') <> '' THEN
     regexp_replace(host, ':(?:80|443)$', '') || regexp_replace(path, '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS node FROM parts),
 fit AS (
-  SELECT n.row, n.host, n.path, n.node, arg_max(r.rule, (length(r.rule), strpos(r.rule, '/'), r.rule)) AS rule, arg_max(r.action, (length(r.rule), strpos(r.rule, '/'), r.rule)) AS action
+  SELECT n.row, n.kind, n.host, n.path, n.node, arg_max(r.rule, (length(r.rule), strpos(r.rule, '/'), r.rule)) AS rule, arg_max(r.action, (length(r.rule), strpos(r.rule, '/'), r.rule)) AS action
   FROM nodes n LEFT JOIN rules r ON (n.host = split_part(r.rule, '/', 1) OR ends_with(n.host, '.' || split_part(r.rule, '/', 1))) AND starts_with(n.path, substr(r.rule, strpos(r.rule, '/')))
-  WHERE n.kind = 0 GROUP BY ALL),
+  GROUP BY ALL),
 edges AS (
   SELECT DISTINCT a.node AS a, b.node AS b FROM nodes a JOIN nodes b USING (row) WHERE a.kind = 0 AND b.kind = 1 AND a.node IS NOT NULL AND b.node IS NOT NULL),
 ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
@@ -119,5 +126,5 @@ fate AS (
   FROM fit f LEFT JOIN roots USING (node) WHERE f.node IS NOT NULL GROUP BY ALL)
 SELECT p.page_id, f.host, f.path, f.rule, coalesce(f.action, CASE WHEN fate.blocked THEN 'block' ELSE 'allow' END) AS verdict,
   CASE WHEN f.action IS NOT NULL THEN 'rule' WHEN fate.blocked THEN 'alias' ELSE 'default' END AS via
-FROM fit f JOIN p USING (row) LEFT JOIN roots USING (node) LEFT JOIN fate ON fate.root = coalesce(roots.root, f.node)
+FROM fit f JOIN p USING (row) LEFT JOIN roots USING (node) LEFT JOIN fate ON fate.root = coalesce(roots.root, f.node) WHERE f.kind = 0
 """
