@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,21 @@ def drop(*dfs: DataFrame) -> None:
             df._kept_at = None
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; its cleaner waits for a collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def spots(df: DataFrame, spot, bits: int) -> np.ndarray:
+    """A filter of that many bits with the bit of every value of spot (0 up to bits) set. Built in buckets of 32,768 bits."""
+    out = np.zeros(bits // 8, np.uint8)
+    x = df.select((spot + 1).alias("x"))  # bitmap buckets start at 1
+    for r in x.groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m")).toLocalIterator():
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return out
+
+
 def slices(texts: list[bytes], limit: int = SLICE_BYTES):
     """(first, past the last) of runs of texts that together have at most limit bytes."""
     a = size = 0

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, drop, keep, ship, slices
+from .common import column, drop, keep, ship, slices, spots, tidy
 
 SIMILARITY = 0.8
 #: Lines of fewer distinct words are too short to be copies of one another; they always stay.
@@ -44,35 +44,52 @@ def prefix_length(n, threshold: float):
 
 
 def _count(batches):
+    """Counts of words that are frequent within their batch: any word of a FREQUENT share of all is so in some batch."""
     import pyarrow as pa
 
     for batch in batches:
         seen: Counter = Counter()
         for t in column(batch, "text"):
             seen.update(t.lower().split())
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        total = sum(seen.values())
+        often = {w: n for w, n in seen.items() if n > 1 and n >= FREQUENT / 2 * total}
+        words = [None, *often]  # null carries the total
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([total, *often.values()], pa.int64())], ["word", "n"])
 
 
 class Sets:
-    """The word sets of many lines, side by side: owner, hash and order key of each word, sorted by line and rarity."""
+    """The word sets of many lines: of the kept ones the place, and hashes sorted by line, then from rare to frequent words.
 
-    def __init__(self, lines: list[bytes], rank: dict[bytes, int], least: int):
+    texts are split at \\n; the marks between texts and lines are bytes that UTF-8 never has.
+    """
+
+    def __init__(self, texts: list[bytes], rank: dict[bytes, int], least: int):
         import xxhash
 
-        sets = [set(x.lower().split()) for x in lines]
-        size = np.array([len(s) for s in sets], np.int64)
-        self.kept = np.flatnonzero(size >= least)
-        self.size = size[self.kept]
-        flat = [w for i in self.kept.tolist() for w in sets[i]]
+        flat = b" \xff ".join(texts).replace(b"\n", b" \xfe ").lower().split()
         kinds = list(dict.fromkeys(flat))
         number = dict(zip(kinds, range(len(kinds))))
         code = np.fromiter(map(xxhash.xxh64_intdigest, kinds), np.uint64, len(kinds))
         order = np.array([(1 << 63) + rank[w] if w in rank else 0 for w in kinds], np.uint64)
-        order = np.where(order > 0, order, code >> np.uint64(1))
+        order = np.lexsort((code, order))  # of kinds: rare ones by hash, then by rank
+        place = np.empty(len(kinds), np.int64)
+        place[order] = np.arange(len(kinds))
         at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        owner = np.repeat(np.arange(len(self.kept)), self.size)
-        o = np.lexsort((order[at], owner))
-        self.hash = code[at][o]
+        text, line = number.get(b"\xff", -1), number.get(b"\xfe", -1)
+        new_text, new_line = at == text, at == line
+        line_no = np.cumsum(new_text | new_line)
+        word = ~(new_text | new_line)
+        key = np.unique(line_no[word] * max(1, len(kinds)) + place[at[word]])
+        owner, h = key // max(1, len(kinds)), code[order[key % max(1, len(kinds))]] if len(key) else np.zeros(0, np.uint64)
+        lines = int(line_no[-1]) + 1 if len(line_no) else 1
+        size = np.bincount(owner, minlength=lines)
+        #: of every line its text and its place there
+        first = np.concatenate([[0], line_no[new_text]]) if len(texts) else np.zeros(0, np.int64)
+        self.text_of = np.searchsorted(first, np.arange(lines), "right") - 1
+        self.place = np.arange(lines) - first[self.text_of]
+        self.kept = np.flatnonzero(size >= least)
+        self.size = size[self.kept]
+        self.hash = h[(size >= least)[owner]] if len(key) else h
         self.start = np.cumsum(self.size) - self.size
 
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +115,8 @@ def _lines(rank, least, threshold):
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), column(batch, "text")
             for a, b in slices(texts):
-                split = [t.split(b"\n") for t in texts[a:b]]
-                s = Sets([x for lines in split for x in lines], rank.value, least)
-                n = np.array([len(x) for x in split])
-                doc = np.repeat(np.arange(a, b), n)[s.kept]
-                line = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))[s.kept]
+                s = Sets(texts[a:b], rank.value, least)
+                doc, line = s.text_of[s.kept] + a, s.place[s.kept]
                 p = prefix_length(s.size, threshold)
                 take = np.repeat(s.start, p) + np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array((s.hash[take] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
@@ -138,12 +152,6 @@ def _meet(threshold):
                 if ok.any():
                     yield np.full(int(ok.sum()), head[2][k]), rows[2][ok]
 
-        def small(rows):
-            n = len(rows[0])
-            i, j = np.triu_indices(n, 1)
-            ok = may_match(rows[3][i], rows[4][i], rows[5][i], rows[3][j], rows[4][j], rows[5][j], threshold)
-            return rows[2][i[ok]], rows[2][j[ok]]
-
         def rowset(out, opened):
             a = np.concatenate([*(x for x, _ in out), np.full(len(opened), -1)]).astype(np.int64)
             b = np.concatenate([*(y for _, y in out), np.full(len(opened), -1)]).astype(np.int64)
@@ -151,39 +159,48 @@ def _meet(threshold):
             k = np.unique(np.stack([t.astype(np.int64), a, b], 1), axis=0) if len(a) else np.zeros((0, 3), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(k[:, 0].astype(np.int32)), pa.array(k[:, 1]), pa.array(k[:, 2])], ["token", "a", "b"])
 
-        held = None  # rows of a group that may go on in the next batch, while it is small
+        def pairs(cols, starts, sizes):
+            """All pairs within many small groups, group sizes one after another."""
+            for n in np.unique(sizes[sizes > 1]).tolist():
+                at = starts[sizes == n]
+                i, j = np.triu_indices(n, 1)
+                for k in range(0, len(at), max(1, 200_000 // len(i))):
+                    part = at[k : k + max(1, 200_000 // len(i)), None]
+                    x, y = (part + i).ravel(), (part + j).ravel()
+                    ok = may_match(cols[3][x], cols[4][x], cols[5][x], cols[3][y], cols[4][y], cols[5][y], threshold)
+                    yield cols[2][x[ok]], cols[2][y[ok]]
+
+        held = None  # the last group of a batch may go on in the next: its rows, while it is small
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            cols = [c.astype(np.int64) for c in cols]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+            if not len(cols[0]):
+                continue
             out, opened = [], []
-            edges = np.flatnonzero(np.diff(cols[0])) + 1
-            bounds = np.concatenate([[0], edges, [len(cols[0])]])
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if s == e:
-                    continue
-                rows, token = [c[s:e] for c in cols], int(cols[0][s])
-                if token != current:
-                    if held is not None and len(held[0]) > 1:
-                        out.append(small(held))
-                    current, head, count, held = token, None, 0, None
-                if count <= SMALL:
-                    rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
-                    if len(rows[0]) <= SMALL:
-                        held, count = rows, len(rows[0])
-                        if e < len(cols[0]):
-                            if count > 1:
-                                out.append(small(held))
-                            current, held, count = None, None, 0
-                        continue
-                    opened.append(token)
-                    head, held, base = [c[:PIVOTS] for c in rows], None, 0
-                else:
-                    base = count
-                count = base + len(rows[0])
-                out += star(rows, base)
+            if count > SMALL and cols[0][0] == current:  # a large group goes on
+                n = int(np.searchsorted(cols[0] != current, True)) if cols[0][-1] != current else len(cols[0])
+                out += star([c[:n] for c in cols], count)
+                count += n
+                cols = [c[n:] for c in cols]
+            elif held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            if not len(cols[0]):
+                yield rowset(out, opened)
+                continue
+            held, count = None, 0
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(cols[0])) + 1])
+            sizes = np.diff(np.append(starts, len(cols[0])))
+            for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+                rows = [c[s : s + n] for c in cols]
+                current, head, count = int(rows[0][0]), [c[:PIVOTS] for c in rows], n
+                opened.append(current)
+                out += star(rows, 0)
+            if sizes[-1] <= SMALL:
+                held, count = [c[starts[-1] :] for c in cols], 0
+                starts, sizes = starts[:-1], sizes[:-1]
+            out += pairs(cols, starts[sizes <= SMALL], sizes[sizes <= SMALL])
             yield rowset(out, opened)
-        if held is not None and len(held[0]) > 1:
-            yield rowset([small(held)], [])
+        if held is not None:
+            yield rowset(list(pairs(held, np.array([0]), np.array([len(held[0])]))), [])
 
     return run
 
@@ -200,13 +217,14 @@ def _fetched(wanted, least):
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), column(batch, "text")
             for a, b in slices(texts):
-                split = [t.split(b"\n") for t in texts[a:b]]
-                n = np.array([len(x) for x in split])
-                doc = np.repeat(np.array([-1 if i is None else i for i in ids[a:b]], np.int64), n)
-                line = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                lines = [x.count(b"\n") + 1 for x in texts[a:b]]
+                doc = np.repeat(np.array([-1 if i is None else i for i in ids[a:b]], np.int64), lines)
+                line = np.arange(len(doc)) - np.repeat(np.cumsum(lines) - lines, lines)
                 at = (np.mod(doc, 2147483647) * 1000003 + line * 8191) % BITS
                 hit = np.flatnonzero(bits[at >> 3] >> (at & 7) & 1)
-                flat = [x for lines in split for x in lines]
+                if not len(hit):
+                    continue
+                flat = [x for t in texts[a:b] for x in t.split(b"\n")]
                 s = Sets([flat[i] for i in hit.tolist()], {}, least)
                 s1, s2 = s.sums()
                 sets = pa.ListArray.from_arrays(pa.array(np.append(s.start, len(s.hash)).astype(np.int32)), pa.array(s.hash.view(np.int64)))
@@ -239,8 +257,8 @@ class _Join:
         self.texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
         counts = self.texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
         counts = keep(counts)
-        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        often = counts.where(F.col("n") >= max(2.0, FREQUENT * total)).toArrow()
+        total = counts.where("word is null").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        often = counts.where("word is not null").where(F.col("n") >= max(2.0, FREQUENT * total)).toArrow()
         drop(counts)
         ranked = sorted(zip(often.column("n").to_pylist(), often.column("word").to_pylist()))
         rank = spark.sparkContext.broadcast({w.encode(): i + 1 for i, (_, w) in enumerate(ranked)})
@@ -248,6 +266,7 @@ class _Join:
         self.lines = keep(self.texts.mapInArrow(_lines(rank, least, threshold), schema))
         first = F.min(F.struct("doc_id", "lid", "line")).alias("f")
         self.sets = keep(self.lines.groupBy("s1", "s2").agg(first, *[F.first(c).alias(c) for c in ("n", "bits", "prefix")]).select("s1", "s2", "f.*", "n", "bits", "prefix"))
+        tidy(spark)
 
     def postings(self, sets: DataFrame) -> DataFrame:
         return sets.select("doc_id", "lid", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
@@ -257,10 +276,8 @@ class _Join:
         pairs = keep(pairs)
         ids = pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct()
         named = keep(self.sets.select("lid", "s1", "s2", "doc_id", "line").join(ids, "lid"))
-        spot = named.select((_spot(F.col("doc_id"), F.col("line")) + 1).alias("x"))  # bitmap buckets start at 1
-        bits = np.zeros(BITS // 8, np.uint8)
-        for r in spot.groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m")).toLocalIterator():  # at most BITS / 32768 rows
-            bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+        bits = spots(named, _spot(F.col("doc_id"), F.col("line")), BITS)
+        tidy(self.spark)
         wanted = self.spark.sparkContext.broadcast(bits)
         got = self.texts.mapInArrow(_fetched(wanted, self.least), "s1 long, s2 long, words array<long>")
         sets = keep(named.select("s1", "s2", "lid").join(got, ["s1", "s2"]).groupBy("lid").agg(F.first("words").alias("words")))
@@ -273,6 +290,8 @@ class _Join:
         """lids of sets that have a similar earlier one."""
         post = self.postings(self.sets).repartition("token").sortWithinPartitions("token", "doc_id", "lid")
         met = keep(post.mapInArrow(_meet(self.threshold), "token int, a long, b long"))
+        del post
+        tidy(self.spark)
         done = keep(self.verify(met.where("a >= 0").select("a", "b").distinct()).select(F.col("b").alias("lid")).distinct())
         opened = met.where("a < 0").select("token").distinct()
         if not opened.isEmpty():

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, components, drop, keep, ship, slices
+from .common import column, components, drop, keep, ship, slices, spots, tidy
 
 WIDTH, SIMILARITY = 5, 0.8
 #: 25 bands of 5: a pair at 0.8 meets in none with probability 5e-5.
@@ -22,7 +22,9 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Five standard deviations of the estimate below the threshold: pairs under it aren't verified (1 in 3 million at 0.8).
 ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
-PIVOTS = 4
+PIVOTS = 2
+#: Bits of the filter for the texts to fetch for comparison; a chance hit costs time only.
+BITS = 1 << 26
 
 GOLD = 0x9E3779B97F4A7C15
 
@@ -137,22 +139,33 @@ def _near(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(ok))
 
 
-def _shingled(batches):
-    import pyarrow as pa
+def _shingled(wanted):
+    """Packed shingles of the rows that the filter lets through."""
 
-    for batch in batches:
-        ids, texts = batch.column("doc_id"), column(batch, "text")
-        for a, b in slices(texts):
-            who, h, w = shingles(texts[a:b])
-            cut = np.searchsorted(who, np.arange(b - a + 1))
-            # upper halves keep the order; chance equals within a pair of texts are under 1e-4 shingles on average
-            out = [(h[i:j] >> np.uint64(32)).astype("<u4").tobytes() + w[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(out, pa.binary())], ["doc_id", "set"])
+    def run(batches):
+        import pyarrow as pa
+
+        bits = wanted.value
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            at = np.mod(ids, BITS)
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
+            ids, texts = batch.column("doc_id"), column(batch, "text")
+            for a, b in slices(texts):
+                who, h, w = shingles(texts[a:b])
+                cut = np.searchsorted(who, np.arange(b - a + 1))
+                # upper halves keep the order; chance equals within a pair of texts are under 1e-4 shingles on average
+                h, w = (h >> np.uint64(32)).astype("<u4"), w.astype("<u4")
+                out = [(b"" if (w[i:j] == 1).all() else b"w" + w[i:j].tobytes()) + h[i:j].tobytes() for i, j in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(out, pa.binary())], ["doc_id", "set"])
+
+    return run
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    v = np.frombuffer(raw, "<u4")
-    h, w = v[: len(v) // 2], v[len(v) // 2 :]
+    weighted = len(raw) % 4  # a leading byte tells that weights come first
+    v = np.frombuffer(raw, "<u4", offset=weighted)
+    w, h = (v[: len(v) // 2], v[len(v) // 2 :]) if weighted else (np.ones(len(v)), v)
     kinds, inverse = np.unique(h, return_inverse=True)
     return kinds, np.bincount(inverse, weights=w, minlength=len(kinds))
 
@@ -193,7 +206,9 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     first = member.join(sizes.where("n > 1"), "bucket")
     shared = keep(first)
     cand = shared.select(F.col("doc").alias("doc_id")).distinct()
-    sets = keep(texts.join(cand, "doc_id").mapInArrow(_shingled, "doc_id long, set binary").dropDuplicates(["doc_id"]))
+    wanted = spark.sparkContext.broadcast(spots(cand, F.pmod("doc_id", F.lit(BITS)), BITS))
+    sets = texts.where("doc_id is not null").mapInArrow(_shingled(wanted), "doc_id long, set binary")
+    sets = keep(sets.join(cand, "doc_id").dropDuplicates(["doc_id"]))
     sigs = reps.select(F.col("rep").alias("id"), "sig").dropDuplicates(["id"])
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -204,6 +219,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         return p.select("a", "set_a", "b", "set_b").mapInArrow(_verified(threshold), "a long, b long")
 
     found = keep(links(shared.select(F.col("pivot").alias("a"), F.col("doc").alias("b"))))
+    tidy(spark)
     root = keep(components(found))
     # buckets of two are done; in the others, whoever was no pivot yet
     rest = keep(shared.where("n > 2 and doc <> pivot").select("bucket", "doc"))
@@ -212,9 +228,10 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         of = rest.join(root.select(F.col("node").alias("doc"), "root"), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
         open_ = of.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
         live = keep(of.join(open_, "bucket"))
-        # a rank limit: every task keeps its own least few of a bucket before rows move
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("doc", F.lit(pivots)), "doc"))
-        pivot = keep(live.select("bucket", F.col("doc").alias("p"), F.col("root").alias("p_root"), rank.alias("k")).where(F.col("k") <= pivots).drop("k"))
+        # members outside the bucket's largest class first, in one order for all buckets
+        of_root, of_bucket = F.count("*").over(Window.partitionBy("bucket", "root")), F.count("*").over(Window.partitionBy("bucket"))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("most", F.xxhash64("doc", F.lit(pivots)), "doc"))
+        pivot = keep(live.select("bucket", "doc", "root", (2 * of_root > of_bucket).alias("most")).select("bucket", F.col("doc").alias("p"), F.col("root").alias("p_root"), rank.alias("k")).where(F.col("k") <= pivots).drop("k"))
         if pivot.isEmpty():
             break
         pairs = live.join(pivot, "bucket").where("root <> p_root").select(F.col("p").alias("a"), F.col("doc").alias("b"))
@@ -224,6 +241,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         nxt = keep(live.select("bucket", "doc").join(pivot.select("bucket", F.col("p").alias("doc")), ["bucket", "doc"], "left_anti"))
         drop(rest, live, pivot, found, old)
         rest, pivots = nxt, pivots * 2
+        tidy(spark)
     drop(rest, live, pivot, shared, sets)
     named = reps.select("same", "rep").join(root.select(F.col("node").alias("rep"), "root"), "rep", "left")
     named = named.select("same", "rep", F.coalesce("root", "rep").alias("root"))
