@@ -119,8 +119,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = keep(both.select("u").union(both.select("v")).distinct())
     cur = keep(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    print_of = None
-    for _ in range(rounds):
+    mark = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    print_of = mark(cur)
+    for _ in range(rounds if print_of["n"] else 0):
         two = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = two.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -131,10 +132,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         nxt = keep(nxt.where("u <> v").distinct())
         drop(cur, large)
         cur = nxt
-        now = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        now = mark(cur)
         if now == print_of:
             break
         print_of = now
     else:
-        raise RuntimeError(f"components: not settled after {rounds} rounds")
+        if print_of["n"]:
+            raise RuntimeError(f"components: not settled after {rounds} rounds")
     return nodes.join(cur, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("root"))

@@ -53,9 +53,8 @@ def rule_of(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, action
 
 
-def _target(tag: Column, pick: str, url: Column) -> Column:
-    """Where a tag points, made absolute; null for none or for what isn't a page."""
-    to = F.trim(F.regexp_extract(tag, pick, 1))
+def _absolute(to: Column, url: Column) -> Column:
+    """A link made absolute; null for none or for what isn't a page."""
     site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
     return F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/") & (site != ""), F.concat(site, to))
 
@@ -68,15 +67,17 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     u = F.col("url")
     p = pages.select(F.col("page_id"), F.col("url").cast("string"), F.col("html").cast("string"))
     tags = ((CANONICAL, HREF), (REFRESH, GOES_TO))
+    each = range(len(tags))
+    # one step after another, so no pattern is run over the page's html more than once
+    p = p.select("page_id", "url", *[F.regexp_extract("html", tags[i][0], 0).alias(f"tag{i}") for i in each])
+    p = p.select("page_id", "url", *[F.trim(F.regexp_extract(f"tag{i}", tags[i][1], 1)).alias(f"to{i}") for i in each])
+    p = p.select("page_id", "url", host(u).alias("host"), path(u).alias("path"), *[_absolute(F.col(f"to{i}"), u).alias(f"to{i}") for i in each])
+    p = p.select("*", *[x.alias(n) for i in each for x, n in ((host(F.col(f"to{i}")), f"host{i}"), (path(F.col(f"to{i}")), f"path{i}"))])
+    # of every tag where the page's first such one goes, and what a rule says there
+    aim = [F.struct(node(F.col(f"to{i}")).alias("node"), rule_of(F.col(f"host{i}"), F.col(f"path{i}"), rules)[1].alias("action")) for i in each]
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-
-    def aim(tag):
-        """Where the page's first such tag goes, and what a rule says there."""
-        to = _target(F.regexp_extract("html", tag[0], 0), tag[1], u)
-        return F.struct(node(to).alias("node"), rule_of(host(to), path(to), rules)[1].alias("action"))
-
-    seen = p.select("page_id", host(u).alias("host"), path(u).alias("path"), node(u).alias("node"), F.filter(F.array(*map(aim, tags)), lambda x: x["node"].isNotNull()).alias("to"))
-    seen = keep(seen.select("*", rule.alias("rule"), action.alias("action")))
+    seen = p.select("page_id", "host", "path", node(u).alias("node"), F.array(*aim).alias("to"), rule.alias("rule"), action.alias("action"))
+    seen = keep(seen.withColumn("to", F.filter("to", lambda x: x["node"].isNotNull())))
     edges = seen.where("node is not null and size(to) > 0").select(F.col("node").alias("a"), F.explode("to.node").alias("b")).where("a <> b")
     root = keep(components(edges))
     # a rule on where a link goes counts, be that a row of pages or not
