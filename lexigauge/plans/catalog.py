@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexigauge.functions import text as T
-from lexigauge.operators import matching, scores, shaping, stats
+from lexigauge.operators import matching, scores, shaping, spans, stats
 from lexigauge.sources import tables
 from lexigauge.sources.tables import CRITERIA, table
 
@@ -461,3 +461,104 @@ def ranking(s, d):
     i = tables.scores(s, d).where("k % 3 = 0").groupBy("para").agg(F.count("*").alias("issues"))
     j = a.join(i, "para", "left").select("para", "aggregate", F.coalesce("issues", F.lit(0)).alias("issues"))
     return j.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.coalesce("aggregate", F.lit(0))), "issues", "para")).cast("long"))
+
+
+MARKED = "mk AS (SELECT p_partkey, '# ' || p_name || ' **' || p_type || '** [' || p_brand || '](http://x.org/a) `' || p_name || '` ![pic](a.png)' AS s FROM part)"
+
+
+@query(f"""WITH {MARKED} SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '!\\[([^\\]]*)\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '(?m)^#{{1,6}}[ \\t]+', '', 'g'), '(?m)^>[ \\t]?', '', 'g'), '(?m)^[ \\t]*[-*+][ \\t]+', '', 'g'), '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '`([^`]*)`', '\\1', 'g')) AS plain FROM mk""")
+def strip_markdown(s, d):
+    c = F.concat(F.lit("# "), "p_name", F.lit(" **"), "p_type", F.lit("** ["), "p_brand", F.lit("](http://x.org/a) `"), "p_name", F.lit("` ![pic](a.png)"))
+    return table(s, d, "part").select("p_partkey", T.strip_markdown(c).alias("plain"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 OR length(p_name) > 10 THEN p_type ELSE p_name END AS lemma FROM part")
+def lemma_fallback(s, d):
+    lemma = F.when(F.col("p_size") % 3 != 0, F.col("p_name")).otherwise(" ")
+    return table(s, d, "part").select("p_partkey", T.lemma_or_surface(lemma, F.col("p_type"), 10).alias("lemma"))
+
+
+@query(f"WITH {SCORE}, {VERDICTS} SELECT crit, CASE WHEN guess IN ('green', 'yellow', 'red') THEN guess END AS verdict, count(*) AS n FROM v GROUP BY ALL")
+def verdict_whitelist(s, d):
+    return _verdicts(s, d).groupBy("crit", T.verdict(F.col("guess")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CAST(greatest(strlen(coalesce(text, '')), 1) AS BIGINT) AS n_tokens FROM documents")
+def token_estimate(s, d):
+    return table(s, d, "documents").select("doc_id", F.greatest(F.octet_length(F.coalesce("text", F.lit(""))), F.lit(1)).cast("long").alias("n_tokens"))
+
+
+@query("SELECT p_partkey, replace(replace('the [' || p_name || '] of [' || p_type || ']', '[' || p_name || ']', upper(p_name)), '[' || p_type || ']', upper(p_type)) AS text FROM part")
+def glossary_rewrite(s, d):
+    terms = F.array("p_name", "p_type")
+    text = F.concat(F.lit("the ["), "p_name", F.lit("] of ["), "p_type", F.lit("]"))
+    return table(s, d, "part").select("p_partkey", F.aggregate(terms, text, lambda a, t: F.replace(a, F.concat(F.lit("["), t, F.lit("]")), F.upper(t))).alias("text"))
+
+
+@query("WITH p AS (SELECT p_name AS item, 1 AS prio FROM part WHERE p_size < 10 UNION ALL SELECT p_name, 2 FROM part WHERE p_retailprice > 1000 UNION ALL SELECT p_name, 3 FROM part) SELECT item, min(prio) AS pool FROM p GROUP BY item")
+def priority_binding(s, d):
+    p = table(s, d, "part")
+    pool = F.when(F.col("p_size") < 10, 1).when(F.col("p_retailprice") > 1000, 2).otherwise(3)
+    return p.groupBy(F.col("p_name").alias("item")).agg(F.min(pool).alias("pool"))
+
+
+@query(f"WITH {WORDS} SELECT title, surface, min(idx) AS first_idx FROM gold GROUP BY title, surface")
+def first_occurrence(s, d):
+    return tables.mentions(s, d, "gold").groupBy("title", "surface").agg(F.min("idx").cast("long").alias("first_idx"))
+
+
+@query(f"WITH {SCORE} SELECT id, first_value(kind) OVER (PARTITION BY para, crit ORDER BY ts, id) AS decision FROM score")
+def decision_cache(s, d):
+    v = tables.scores(s, d)
+    first = v.groupBy("para", "crit").agg(F.min_by("kind", F.struct("ts", "id")).alias("decision"))
+    return v.join(first, ["para", "crit"]).select("id", "decision")
+
+
+@query(f"""WITH {SCORE}, {REV}, g AS (SELECT para, revision, max(aggregate) AS best FROM rev WHERE revision IS NOT NULL AND kind <> 'cache' GROUP BY ALL)
+SELECT para, revision, best, best = max(best) OVER (PARTITION BY para) AS is_best, revision = max(revision) OVER (PARTITION BY para) AS is_newest FROM g""")
+def revision_list(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("para")
+    g = _revisions(s, d).where("revision is not null and kind <> 'cache'").groupBy("para", "revision").agg(F.max("aggregate").alias("best"))
+    return g.select("para", "revision", "best", (F.col("best") == F.max("best").over(w)).alias("is_best"), (F.col("revision") == F.max("revision").over(w)).alias("is_newest"))
+
+
+@query("SELECT a.doc_id, min(b.doc_id) AS found FROM documents a JOIN documents b ON a.text = b.text GROUP BY a.doc_id")
+def exact_text_lookup(s, d):
+    t = table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("key")).where("key is not null")
+    return t.join(t.groupBy("key").agg(F.min("doc_id").alias("found")), "key").groupBy("doc_id").agg(F.min("found").alias("found"))
+
+
+@query("WITH gone AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0) SELECT l_orderkey, count(*) AS n_lines FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM gone)) GROUP BY l_orderkey")
+def cascade_delete(s, d):
+    gone = table(s, d, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    lost = table(s, d, "orders").join(gone, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(s, d, "lineitem").select("l_orderkey").join(lost, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
+
+
+@query(f"WITH {SCORE} SELECT id, round(least(value / 50 + 1.5, 10), 4) AS value FROM score WHERE kind = 'seed'")
+def seed_uplift(s, d):
+    return tables.scores(s, d).where("kind = 'seed'").select("id", F.round(F.least(F.col("value") / 50 + 1.5, F.lit(10.0)), 4).alias("value"))
+
+
+@query("WITH m AS (SELECT p_partkey AS m, lower(p_name) AS norm, p_size FROM part WHERE p_size < 25), n AS (SELECT lower(p_name) AS norm, count(*) AS n, min(p_partkey) AS only_ FROM part WHERE p_partkey % 3 = 0 GROUP BY 1) SELECT m, CASE WHEN n = 1 THEN 'green' WHEN n > 1 THEN 'judge' ELSE 'red' END AS verdict, CASE WHEN n = 1 THEN only_ END AS entity FROM m LEFT JOIN n USING (norm)")
+def grounding_ladder(s, d):
+    p = table(s, d, "part")
+    names = p.where("p_partkey % 3 = 0").groupBy(F.lower("p_name").alias("norm")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("only"))
+    m = p.where("p_size < 25").select(F.col("p_partkey").alias("m"), F.lower("p_name").alias("norm")).join(names, "norm", "left")
+    return m.select("m", F.when(F.col("n") == 1, "green").when(F.col("n") > 1, "judge").otherwise("red").alias("verdict"), F.when(F.col("n") == 1, F.col("only")).alias("entity"))
+
+
+@query("SELECT event_type, arg_min(event_id, (abs(value - 100), event_id)) AS event_id FROM events GROUP BY event_type")
+def closest_pick(s, d):
+    return table(s, d, "events").groupBy("event_type").agg(F.min_by("event_id", F.struct(F.abs(F.col("value") - 100), "event_id")).alias("event_id"))
+
+
+@query()
+def claim_longest_first(s, d):
+    """Words of five letters and more of each turn, and pairs of them, claimed longest first; no SQL for a greedy choice."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0)))
+    pairs = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,} [A-Za-z]{5,}"), F.lit(0)))
+    rows = table(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text", F.concat(words, pairs).alias("surfaces"))
+    return spans.claim(rows, "turn_id")

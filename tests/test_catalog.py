@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -25,7 +26,7 @@ def rows(df: pd.DataFrame):
             return v.tolist()
         if v is None or pd.isna(v):
             return None
-        return round(float(v), 8) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "fiub" else str(v)
+        return round(float(v), 8) if isinstance(v, (int, float, np.number, np.bool_)) else str(v)
 
     return sorted(repr([cell(v) for v in r]) for r in df[sorted(df.columns)].itertuples(index=False))
 
