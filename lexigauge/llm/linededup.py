@@ -1,12 +1,11 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its words. Words are ordered from rare to frequent over the whole corpus; two sets whose Jaccard
-similarity reaches the threshold share a word among the first few of each (the prefix). Sets that share one meet in a
-shuffle by that word, and pairs pass the length filter, the positional filter and a bit-parity bound on their overlap
-before their words are compared. A line goes if an earlier line (by doc_id, then place) has the same set or a similar one.
-
-A word's group is never paired with itself in whole unless it is small: in a large one every set first meets the
-earliest PIVOTS, which settles copies of one line; only sets still unsettled then meet all earlier ones in a join.
+similarity reaches the threshold share a word among the first few of each (the prefix). Equal sets are one class, and
+classes that share a prefix word meet in a join by that word, which keeps a pair at its first shared word only, so every
+pair comes up once. Pairs pass the length filter, the positional filter and a bit-parity bound on their overlap within
+the join; those left have their words compared. No link between different sets is lost.
+A line goes if an earlier line (by doc_id, then place) has the same set or a similar one.
 """
 
 from __future__ import annotations
@@ -24,7 +23,6 @@ SIMILARITY = 0.8
 LEAST_WORDS = 5
 #: Words of at least this share of all are ordered by count (at most 1 / FREQUENT of them); rarer ones come before, by hash.
 FREQUENT = 1e-5
-SMALL, PIVOTS = 64, 4
 #: Bits of the filter that tells which lines to fetch again for comparison; a chance hit costs time only.
 BITS = 1 << 26
 
@@ -119,7 +117,7 @@ def _lines(rank, least, threshold):
                 doc, line = s.text_of[s.kept] + a, s.place[s.kept]
                 p = prefix_length(s.size, threshold)
                 take = np.repeat(s.start, p) + np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array((s.hash[take] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array(s.hash[take].view(np.int64)))
                 s1, s2 = s.sums()
                 lid = part + next_id + np.arange(len(s.kept))
                 next_id += len(s.kept)
@@ -129,82 +127,6 @@ def _lines(rank, least, threshold):
     return run
 
 
-def may_match(n_a, pos_a, bits_a, n_b, pos_b, bits_b, threshold):
-    """The three filters, none of which loses a pair: lengths, words left after the shared one, parity bits that differ."""
-    need = np.ceil(threshold / (1 + threshold) * (n_a + n_b) - 1e-9)
-    ok = (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9) & (np.minimum(pos_a, pos_b) + np.minimum(n_a - pos_a, n_b - pos_b) >= need)
-    return ok & (n_a + n_b - np.bitwise_count((bits_a ^ bits_b).view(np.uint64)) >= 2 * need)
-
-
-def _meet(threshold):
-    """Sorted postings to pairs (a earlier, b later); a large group gives its pairs with PIVOTS and a row (token, -1, -1)."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        names = ("token", "doc_id", "lid", "n", "pos", "bits")
-        current, head, count = None, None, 0
-
-        def star(rows, base):
-            for k in range(len(head[0])):
-                later = np.arange(len(rows[0])) + base > k
-                ok = later & may_match(head[3][k], head[4][k], head[5][k], rows[3], rows[4], rows[5], threshold)
-                if ok.any():
-                    yield np.full(int(ok.sum()), head[2][k]), rows[2][ok]
-
-        def rowset(out, opened):
-            a = np.concatenate([*(x for x, _ in out), np.full(len(opened), -1)]).astype(np.int64)
-            b = np.concatenate([*(y for _, y in out), np.full(len(opened), -1)]).astype(np.int64)
-            t = np.concatenate([np.zeros(len(a) - len(opened)), np.array(opened, np.float64)]).astype(np.int32)
-            k = np.unique(np.stack([t.astype(np.int64), a, b], 1), axis=0) if len(a) else np.zeros((0, 3), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(k[:, 0].astype(np.int32)), pa.array(k[:, 1]), pa.array(k[:, 2])], ["token", "a", "b"])
-
-        def pairs(cols, starts, sizes):
-            """All pairs within many small groups, group sizes one after another."""
-            for n in np.unique(sizes[sizes > 1]).tolist():
-                at = starts[sizes == n]
-                i, j = np.triu_indices(n, 1)
-                for k in range(0, len(at), max(1, 200_000 // len(i))):
-                    part = at[k : k + max(1, 200_000 // len(i)), None]
-                    x, y = (part + i).ravel(), (part + j).ravel()
-                    ok = may_match(cols[3][x], cols[4][x], cols[5][x], cols[3][y], cols[4][y], cols[5][y], threshold)
-                    yield cols[2][x[ok]], cols[2][y[ok]]
-
-        held = None  # the last group of a batch may go on in the next: its rows, while it is small
-        for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
-            if not len(cols[0]):
-                continue
-            out, opened = [], []
-            if count > SMALL and cols[0][0] == current:  # a large group goes on
-                n = int(np.searchsorted(cols[0] != current, True)) if cols[0][-1] != current else len(cols[0])
-                out += star([c[:n] for c in cols], count)
-                count += n
-                cols = [c[n:] for c in cols]
-            elif held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            if not len(cols[0]):
-                yield rowset(out, opened)
-                continue
-            held, count = None, 0
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(cols[0])) + 1])
-            sizes = np.diff(np.append(starts, len(cols[0])))
-            for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-                rows = [c[s : s + n] for c in cols]
-                current, head, count = int(rows[0][0]), [c[:PIVOTS] for c in rows], n
-                opened.append(current)
-                out += star(rows, 0)
-            if sizes[-1] <= SMALL:
-                held, count = [c[starts[-1] :] for c in cols], 0
-                starts, sizes = starts[:-1], sizes[:-1]
-            out += pairs(cols, starts[sizes <= SMALL], sizes[sizes <= SMALL])
-            yield rowset(out, opened)
-        if held is not None:
-            yield rowset(list(pairs(held, np.array([0]), np.array([len(held[0])]))), [])
-
-    return run
-
-
 def _spot(doc_id, line):
     return F.pmod(F.pmod(doc_id, F.lit(2147483647)) * F.lit(1000003) + line.cast("long") * F.lit(8191), F.lit(BITS))
 
@@ -234,17 +156,23 @@ def _fetched(wanted, least):
 
 
 def _verified(threshold):
+    """Of pairs with their words and doc_ids those that are similar, the earlier one as a."""
+
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            x, y = b.column("wa"), b.column("wb")
-            ok = []
-            for p, q in zip(x, y):
-                p, q = p.values.to_numpy(), q.values.to_numpy()
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= threshold * (len(p) + len(q) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for batch in batches:
+            x, y = batch.column("wa"), batch.column("wb")
+            na, nb = (np.diff(c.offsets.to_numpy()) for c in (x, y))
+            pair = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
+            word = np.concatenate([x.flatten().to_numpy(), y.flatten().to_numpy()])
+            order = np.lexsort((word, pair))
+            pair, word = pair[order], word[order]
+            both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (word[1:] == word[:-1])], minlength=len(na))
+            ok = both >= threshold * (na + nb - both) - 1e-9
+            a, b, da, db = (batch.column(c).to_numpy()[ok] for c in ("a", "b", "da", "db"))
+            late = (da > db) | ((da == db) & (a > b))
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(late, b, a)), pa.array(np.where(late, a, b))], ["a", "b"])
 
     return run
 
@@ -262,53 +190,51 @@ class _Join:
         drop(counts)
         ranked = sorted(zip(often.column("n").to_pylist(), often.column("word").to_pylist()))
         rank = spark.sparkContext.broadcast({w.encode(): i + 1 for i, (_, w) in enumerate(ranked)})
-        schema = "doc_id long, lid long, line int, s1 long, s2 long, n int, bits long, prefix array<int>"
+        schema = "doc_id long, lid long, line int, s1 long, s2 long, n int, bits long, prefix array<long>"
         self.lines = keep(self.texts.mapInArrow(_lines(rank, least, threshold), schema))
         first = F.min(F.struct("doc_id", "lid", "line")).alias("f")
         self.sets = keep(self.lines.groupBy("s1", "s2").agg(first, *[F.first(c).alias(c) for c in ("n", "bits", "prefix")]).select("s1", "s2", "f.*", "n", "bits", "prefix"))
         tidy(spark)
 
-    def postings(self, sets: DataFrame) -> DataFrame:
-        return sets.select("doc_id", "lid", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of lids whose sets are similar."""
-        pairs = keep(pairs)
+    def candidates(self) -> DataFrame:
+        """Pairs of lids, each once, whose sets may be similar; none that is similar is missing."""
+        c, t = F.col, self.threshold
+        post = self.sets.select("lid", "n", "bits", "prefix", F.posexplode("prefix").alias("pos", "token"))
+        post = post.select("token", "lid", "n", "bits", "pos", F.slice("prefix", F.lit(1), c("pos")).alias("before"))
+        need = F.ceil(t / (1 + t) * (c("x.n") + c("y.n")) - 1e-9)
+        once = (c("x.lid") < c("y.lid")) & ~F.arrays_overlap("x.before", "y.before")
+        near = (F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n") - 1e-9) & (F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= need)
+        near = near & (c("x.n") + c("y.n") - F.bit_count(c("x.bits").bitwiseXOR(c("y.bits"))) >= 2 * need)
+        on = (c("x.token") == c("y.token")) & near & once
+        return post.alias("x").join(post.alias("y"), on).select(c("x.lid").alias("a"), c("y.lid").alias("b"))
+
+    def links(self) -> DataFrame:
+        """Pairs of lids whose sets are similar, the earlier one as a."""
+        pairs = keep(self.candidates())
+        tidy(self.spark)
         ids = pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct()
         named = keep(self.sets.select("lid", "s1", "s2", "doc_id", "line").join(ids, "lid"))
-        bits = spots(named, _spot(F.col("doc_id"), F.col("line")), BITS)
-        tidy(self.spark)
-        wanted = self.spark.sparkContext.broadcast(bits)
+        wanted = self.spark.sparkContext.broadcast(spots(named, _spot(F.col("doc_id"), F.col("line")), BITS))
         got = self.texts.mapInArrow(_fetched(wanted, self.least), "s1 long, s2 long, words array<long>")
-        sets = keep(named.select("s1", "s2", "lid").join(got, ["s1", "s2"]).groupBy("lid").agg(F.first("words").alias("words")))
-        p = pairs.join(sets.select(F.col("lid").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("lid").alias("b"), F.col("words").alias("wb")), "b")
-        out = keep(p.select("a", "wa", "b", "wb").mapInArrow(_verified(self.threshold), "a long, b long"))
+        sets = named.select("s1", "s2", "lid", "doc_id").join(got, ["s1", "s2"])
+        sets = keep(sets.groupBy("lid").agg(F.first("words").alias("w"), F.first("doc_id").alias("d")))
+        p = pairs.join(sets.toDF("a", "wa", "da"), "a").join(sets.toDF("b", "wb", "db"), "b")
+        out = keep(p.select("a", "da", "wa", "b", "db", "wb").mapInArrow(_verified(self.threshold), "a long, b long"))
         drop(pairs, named, sets)
+        tidy(self.spark)
         return out
 
-    def settled(self) -> DataFrame:
-        """lids of sets that have a similar earlier one."""
-        post = self.postings(self.sets).repartition("token").sortWithinPartitions("token", "doc_id", "lid")
-        met = keep(post.mapInArrow(_meet(self.threshold), "token int, a long, b long"))
-        del post
-        tidy(self.spark)
-        done = keep(self.verify(met.where("a >= 0").select("a", "b").distinct()).select(F.col("b").alias("lid")).distinct())
-        opened = met.where("a < 0").select("token").distinct()
-        if not opened.isEmpty():
-            left = self.sets.join(done, "lid", "left_anti")
-            names = ("doc_id", "lid", "n", "bits", "pos")
-            later = self.postings(left).join(opened, "token").select("token", *[F.col(c).alias(f"{c}_b") for c in names])
-            earlier = self.postings(self.sets).join(opened, "token").select("token", *[F.col(c).alias(f"{c}_a") for c in names])
-            c, t = F.col, self.threshold
-            need = F.ceil(t / (1 + t) * (c("n_a") + c("n_b")) - 1e-9)
-            before = F.struct("doc_id_a", "lid_a") < F.struct(c("doc_id_b").alias("doc_id_a"), c("lid_b").alias("lid_a"))
-            near = (F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b") - 1e-9) & (F.least("pos_a", "pos_b") + F.least(c("n_a") - c("pos_a"), c("n_b") - c("pos_b")) >= need)
-            near = near & (c("n_a") + c("n_b") - F.bit_count(c("bits_a").bitwiseXOR(c("bits_b"))) >= 2 * need)
-            pairs = later.join(earlier, "token").where(before & near).select(c("lid_a").alias("a"), c("lid_b").alias("b")).distinct()
-            more = self.verify(pairs).select(F.col("b").alias("lid")).distinct()
-            done = keep(done.union(more).distinct())
-        drop(met)
-        return done
+
+def _fates(docs: DataFrame, threshold: float, least: int) -> DataFrame:
+    """doc_id, line, first (the lid of its set's first line), exact, near, links of every line that has a link or an equal."""
+    j = _Join(docs, threshold, least)
+    links = j.links()
+    ends = links.select(F.col("a").alias("first"), F.lit(False).alias("late")).union(links.select(F.col("b").alias("first"), F.lit(True).alias("late")))
+    ends = ends.groupBy("first").agg(F.count("*").alias("links"), F.max("late").alias("near"))
+    sets = j.sets.select("s1", "s2", F.col("lid").alias("first")).join(ends, "first", "left")
+    out = j.lines.select("doc_id", "line", "lid", "s1", "s2").join(sets, ["s1", "s2"])
+    out = out.select("doc_id", "line", "first", (F.col("lid") != F.col("first")).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.where("exact or links > 0")
 
 
 def removals(docs: DataFrame, threshold: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
@@ -316,22 +242,30 @@ def removals(docs: DataFrame, threshold: float = SIMILARITY, least: int = LEAST_
 
     Null texts and rows without doc_id lose none. Rows repeated under a doc_id are taken in the order they are read.
     """
-    j = _Join(docs, threshold, least)
-    done = j.settled()
-    fate = j.sets.select("s1", "s2", F.col("lid").alias("first")).join(done.select(F.col("lid").alias("first"), F.lit(True).alias("near")), "first", "left")
-    out = j.lines.select("doc_id", "line", "lid", "s1", "s2").join(fate, ["s1", "s2"])
-    again = F.col("lid") != F.col("first")
-    return out.where(again | F.coalesce("near", F.lit(False))).select("doc_id", "line", again.alias("exact"))
+    return _fates(docs, threshold, least).where("exact or near").select("doc_id", "line", "exact")
+
 
+def report(docs: DataFrame, threshold: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
+    """One row per row of docs:
 
-def report(docs: DataFrame, **kw) -> DataFrame:
-    """One row per doc_id that loses lines or not: n_lines, n_links (lines with a similar or equal earlier one), n_exact, removed (their places)."""
-    cut = removals(docs, **kw).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sum(F.col("exact").cast("long")).alias("n_exact"))
+    class_id: the least doc_id with the very same text (a null text: its own); n_lines; n_links: links that its distinct
+    lines have to different lines anywhere; n_exact: lines that an earlier line equals; n_removed and removed: the lines that
+    go, and their places.
+    """
+    gone = F.col("exact") | F.col("near")
+    per = _fates(docs, threshold, least).groupBy("doc_id").agg(
+        F.sort_array(F.collect_set(F.when(gone, F.col("line")))).alias("removed"),
+        F.count_if("exact").alias("n_exact"),
+        F.collect_set(F.when(F.col("links") > 0, F.struct("first", "links"))).alias("met"),
+    )
+    per = per.withColumn("n_links", F.aggregate("met", F.lit(0).cast("long"), lambda n, x: n + x["links"])).drop("met")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
-    base = docs.select(F.col("doc_id").cast("long"), n.cast("long").alias("n_lines"))
-    out = base.join(cut, "doc_id", "left")
-    none = F.array().cast("array<int>")
-    return out.select("doc_id", "n_lines", F.size(F.coalesce("removed", none)).cast("long").alias("n_links"), F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"), F.concat_ws(",", F.coalesce("removed", none).cast("array<string>")).alias("removed"))
+    base = docs.select(F.col("doc_id").cast("long"), n.cast("long").alias("n_lines"), F.sha2("text", 256).alias("key"))
+    classes = base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"))
+    out = base.join(classes, "key", "left").join(per, "doc_id", "left")
+    none, zero = F.array().cast("array<int>"), F.lit(0).cast("long")
+    removed = F.coalesce("removed", none)
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_lines", F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_exact", zero).alias("n_exact"), F.size(removed).cast("long").alias("n_removed"), F.concat_ws(",", removed.cast("array<string>")).alias("removed"))
 
 
 def dedup(docs: DataFrame, **kw) -> DataFrame:

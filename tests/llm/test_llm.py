@@ -179,22 +179,46 @@ def test_solver_meets_the_bound_on_small_cases():
         assert sum(n for n, _ in packing.solve(np.bincount(lengths, minlength=1025) if lengths else np.zeros(1025, int))) == bins
 
 
-@pytest.mark.parametrize("small", [64, 3])
-def test_line_dedup_equals_brute_force(spark, docs, monkeypatch, small):
-    monkeypatch.setattr(linededup, "SMALL", small)
-    seen, sets, gone = set(), [], {}
-    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
-        for k, line in enumerate(r["text"].split("\n")):
+def slow_line_dedup(rows):
+    """doc_id to (n_links, removed) by comparing all sets."""
+    place, of = {}, {}
+    for doc, text in sorted(rows):
+        for k, line in enumerate(text.split("\n")):
             s = frozenset(line.lower().split())
-            if len(s) < linededup.LEAST_WORDS:
-                continue
-            if s in seen or any(len(s & x) >= 0.8 * len(s | x) for x in sets):
-                gone.setdefault(r["doc_id"], []).append(k)
-            if s not in seen:
-                seen.add(s)
-                sets.append(s)
-    got = {r["doc_id"]: r["removed"] for r in linededup.report(docs).collect()}
-    assert got == {i: ",".join(map(str, gone.get(i, []))) for i in got}
+            if len(s) >= linededup.LEAST_WORDS:
+                place.setdefault(s, (doc, k))
+                of.setdefault(doc, []).append((k, s))
+    sets = list(place)
+    links, near = Counter(), set()
+    for i, x in enumerate(sets):
+        for y in sets[:i]:
+            if 5 * len(x & y) >= 4 * len(x | y):
+                links.update((x, y))
+                near.add(x)
+    out = {doc: (0, "") for doc, _ in rows}
+    for doc, lines in of.items():
+        out[doc] = (sum(links[s] for s in {s for _, s in lines}), ",".join(str(k) for k, s in lines if s in near or place[s] != (doc, k)))
+    return out
+
+
+def test_line_dedup_equals_brute_force(docs):
+    want = slow_line_dedup([(r["doc_id"], r["text"]) for r in docs.collect()])
+    got = linededup.report(docs).collect()
+    assert {r["doc_id"]: (r["n_links"], r["removed"]) for r in got} == want
+    assert len(got) == len(want) and sum(n for n, _ in want.values())
+
+
+def test_line_dedup_loses_no_link_in_a_large_group(spark):
+    rng = random.Random(8)
+    base, rows = [f"w{i}" for i in range(20)], []
+    for k in range(120):
+        w = list(base)
+        w[rng.randrange(20)], w[rng.randrange(20)] = f"x{k % 90}", f"y{k % 40}"
+        rows.append((k, " ".join(w) + "\n" + " ".join(rng.choices(base, k=7))))
+    rows += [(500, rows[0][1]), (501, rows[0][1])]
+    got = linededup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r["doc_id"]: (r["n_links"], r["removed"]) for r in got} == slow_line_dedup(rows)
+    assert {r["class_id"] for r in got if r["doc_id"] in (0, 500, 501)} == {0}
 
 
 def test_near_duplicates(spark):
