@@ -2,9 +2,9 @@
 
 A line is the set of its words. Words are ordered from rare to frequent over the whole corpus; two sets whose Jaccard
 similarity reaches the threshold share a word among the first few of each (the prefix). Equal sets are one class, and
-classes that share a prefix word meet in a join by that word, which keeps a pair at its first shared word only, so every
-pair comes up once. Pairs pass the length filter, the positional filter and a bit-parity bound on their overlap within
-the join; those left have their words compared. No link between different sets is lost.
+classes that share a prefix word meet in a join by that word, which keeps a pair at its first shared word only. Pairs pass
+the length filter, the positional filter and a bit-parity bound on their overlap within the join; those left have their
+words compared. No link between different sets is lost.
 A line goes if an earlier line (by doc_id, then place) has the same set or a similar one.
 """
 
@@ -68,8 +68,12 @@ class Sets:
         kinds = list(dict.fromkeys(flat))
         number = dict(zip(kinds, range(len(kinds))))
         code = np.fromiter(map(xxhash.xxh64_intdigest, kinds), np.uint64, len(kinds))
-        order = np.array([(1 << 63) + rank[w] if w in rank else 0 for w in kinds], np.uint64)
-        order = np.lexsort((code, order))  # of kinds: rare ones by hash, then by rank
+        # What orders words and what prefixes meet by: 31 bits of the hash of rare ones, then ranks. Rare words may share one;
+        # then more pairs come up, but none is lost, for the order goes by it too.
+        token = (code >> np.uint64(33)).astype(np.uint32)
+        often = np.fromiter((rank.get(w, 0) for w in kinds), np.uint32, len(kinds))
+        token = np.where(often > 0, often + np.uint32(1 << 31), token)
+        order = np.lexsort((code, token))
         place = np.empty(len(kinds), np.int64)
         place[order] = np.arange(len(kinds))
         at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
@@ -78,7 +82,7 @@ class Sets:
         line_no = np.cumsum(new_text | new_line)
         word = ~(new_text | new_line)
         key = np.unique(line_no[word] * max(1, len(kinds)) + place[at[word]])
-        owner, h = key // max(1, len(kinds)), code[order[key % max(1, len(kinds))]] if len(key) else np.zeros(0, np.uint64)
+        owner, kind = key // max(1, len(kinds)), order[key % max(1, len(kinds))]
         lines = int(line_no[-1]) + 1 if len(line_no) else 1
         size = np.bincount(owner, minlength=lines)
         #: of every line its text and its place there
@@ -87,7 +91,8 @@ class Sets:
         self.place = np.arange(lines) - first[self.text_of]
         self.kept = np.flatnonzero(size >= least)
         self.size = size[self.kept]
-        self.hash = h[(size >= least)[owner]] if len(key) else h
+        kind = kind[(size >= least)[owner]]
+        self.hash, self.token = code[kind], token[kind]
         self.start = np.cumsum(self.size) - self.size
 
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +122,7 @@ def _lines(rank, least, threshold):
                 doc, line = s.text_of[s.kept] + a, s.place[s.kept]
                 p = prefix_length(s.size, threshold)
                 take = np.repeat(s.start, p) + np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array(s.hash[take].view(np.int64)))
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array(s.token[take].view(np.int32)))
                 s1, s2 = s.sums()
                 lid = part + next_id + np.arange(len(s.kept))
                 next_id += len(s.kept)
@@ -190,10 +195,12 @@ class _Join:
         drop(counts)
         ranked = sorted(zip(often.column("n").to_pylist(), often.column("word").to_pylist()))
         rank = spark.sparkContext.broadcast({w.encode(): i + 1 for i, (_, w) in enumerate(ranked)})
-        schema = "doc_id long, lid long, line int, s1 long, s2 long, n int, bits long, prefix array<long>"
+        schema = "doc_id long, lid long, line int, s1 long, s2 long, n int, bits long, prefix array<int>"
         self.lines = keep(self.texts.mapInArrow(_lines(rank, least, threshold), schema))
         first = F.min(F.struct("doc_id", "lid", "line")).alias("f")
         self.sets = keep(self.lines.groupBy("s1", "s2").agg(first, *[F.first(c).alias(c) for c in ("n", "bits", "prefix")]).select("s1", "s2", "f.*", "n", "bits", "prefix"))
+        wide, self.lines = self.lines, keep(self.lines.select("doc_id", "lid", "line", "s1", "s2"))
+        drop(wide)
         tidy(spark)
 
     def candidates(self) -> DataFrame:
@@ -202,11 +209,11 @@ class _Join:
         post = self.sets.select("lid", "n", "bits", "prefix", F.posexplode("prefix").alias("pos", "token"))
         post = post.select("token", "lid", "n", "bits", "pos", F.slice("prefix", F.lit(1), c("pos")).alias("before"))
         need = F.ceil(t / (1 + t) * (c("x.n") + c("y.n")) - 1e-9)
-        once = (c("x.lid") < c("y.lid")) & ~F.arrays_overlap("x.before", "y.before")
-        near = (F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n") - 1e-9) & (F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= need)
+        left = F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos"))  # a pair comes up at its first shared token; none before is shared
+        near = (c("x.lid") < c("y.lid")) & (F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n") - 1e-9) & (left >= need)
         near = near & (c("x.n") + c("y.n") - F.bit_count(c("x.bits").bitwiseXOR(c("y.bits"))) >= 2 * need)
-        on = (c("x.token") == c("y.token")) & near & once
-        return post.alias("x").join(post.alias("y"), on).select(c("x.lid").alias("a"), c("y.lid").alias("b"))
+        on = (c("x.token") == c("y.token")) & near & ~F.arrays_overlap("x.before", "y.before")
+        return post.alias("x").join(post.alias("y"), on).select(c("x.lid").alias("a"), c("y.lid").alias("b")).distinct()
 
     def links(self) -> DataFrame:
         """Pairs of lids whose sets are similar, the earlier one as a."""
