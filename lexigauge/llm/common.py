@@ -7,6 +7,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -76,7 +77,9 @@ def drop(*dfs: DataFrame) -> None:
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more; its cleaner waits for a collection."""
     gc.collect()
+    time.sleep(0.3)  # the gateway lets go of its objects a moment after Python does
     spark._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def spots(df: DataFrame, spot, bits: int) -> np.ndarray:

@@ -11,6 +11,7 @@ A line goes if an earlier line (by doc_id, then place) has the same set or a sim
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ SIMILARITY = 0.8
 LEAST_WORDS = 5
 #: Words of at least this share of all are ordered by count (at most 1 / FREQUENT of them); rarer ones come before, by hash.
 FREQUENT = 1e-5
+#: Pairs are compared in so many shares, one after another, for the words of all at once would take several times the input's disk.
+SHARES = 4
 #: Bits of the filter that tells which lines to fetch again for comparison; a chance hit costs time only.
 BITS = 1 << 26
 
@@ -225,11 +228,16 @@ class _Join:
         got = self.texts.mapInArrow(_fetched(wanted, self.least), "s1 long, s2 long, words array<long>")
         sets = named.select("s1", "s2", "lid", "doc_id").join(got, ["s1", "s2"])
         sets = keep(sets.groupBy("lid").agg(F.first("words").alias("w"), F.first("doc_id").alias("d")))
-        p = pairs.join(sets.toDF("a", "wa", "da"), "a").join(sets.toDF("b", "wb", "db"), "b")
-        out = keep(p.select("a", "da", "wa", "b", "db", "wb").mapInArrow(_verified(self.threshold), "a long, b long"))
-        drop(pairs, named, sets)
+        drop(named)
+        done = []
+        for i in range(SHARES):
+            tidy(self.spark)
+            mine = F.pmod(F.xxhash64("b"), F.lit(SHARES)) == i
+            p = pairs.where(mine).join(sets.toDF("a", "wa", "da"), "a").join(sets.toDF("b", "wb", "db").where(mine), "b")
+            done.append(keep(p.select("a", "da", "wa", "b", "db", "wb").mapInArrow(_verified(self.threshold), "a long, b long")))
+        drop(pairs, sets)
         tidy(self.spark)
-        return out
+        return reduce(DataFrame.union, done)
 
 
 def _fates(docs: DataFrame, threshold: float, least: int) -> DataFrame:
