@@ -118,6 +118,20 @@ def vectors(s: DataFrame) -> DataFrame:
     return s.select("*", failed.alias("base_failed"), *[v.cast("double").alias(f"x{i}") for i, v in enumerate(x)])
 
 
+#: Groups of at most so many rows in all are broadcast (under 1 kB each); more are joined by salted keys.
+FEW_GROUPS, SALTS = 50_000, 32
+
+
+def _beside(rows: DataFrame, groups: DataFrame, on: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """rows with what groups, which has one row a key, says of them; a hot key's rows never meet in one task."""
+    if few:
+        return rows.join(F.broadcast(groups), on, how)
+    names = [c for c in rows.columns if c not in on]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.spark_partition_id(), *names), F.lit(SALTS)))
+    every = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(every, [*on, "_salt"], how).drop("_salt")
+
+
 def _by_share(binned: DataFrame, keys: list[str], share: float) -> DataFrame:
     """The least bin at which the rows of a key reach the share; binned has keys and a long column bin. Aggregated before any shuffle."""
     counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
@@ -161,13 +175,13 @@ def _invert(floors):
     return run
 
 
-def estimates(rows: DataFrame, d: int, floors: list[float], share: float = SHARE, steps: int = STEPS) -> DataFrame:
+def estimates(rows: DataFrame, d: int, floors: list[float], few: bool = True, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """Centre m0.., metric p and scale of each group g of rows (g, x0..). scale: d2 / scale is about chi-squared."""
     x = [f"x{i}" for i in range(d)]
     long = rows.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("x")) for i, c in enumerate(x)])).alias("e")).select("g", "e.f", "e.x")
     mid = _by_share(long.select("g", "f", F.floor(F.col("x") * 4096).alias("bin")), ["g", "f"], 0.5).select("g", "f", (F.col("bin") / 4096).alias("m"))
     mid = keep(mid)
-    away = long.join(mid, ["g", "f"]).select("g", "f", F.floor(F.abs(F.col("x") - F.col("m")) * 4096).alias("bin"))
+    away = _beside(long, mid, ["g", "f"], few).select("g", "f", F.floor(F.abs(F.col("x") - F.col("m")) * 4096).alias("bin"))
     mad = _by_share(away, ["g", "f"], 0.5).select("g", "f", (F.col("bin") / 4096 * 1.4826).alias("s"))
     both = mid.join(mad, ["g", "f"])
     floor_of = F.array(*map(F.lit, floors))
@@ -176,14 +190,14 @@ def estimates(rows: DataFrame, d: int, floors: list[float], share: float = SHARE
     now = keep(first.select("g", *[f"m{i}" for i in range(d)], F.array(*diag).alias("p")))
     schema = "g string, " + ", ".join(f"m{i} double" for i in range(d)) + ", p array<double>"
     for _ in range(steps):
-        at = rows.join(now, "g").select("g", *x, _bin_of(_distance(d)).alias("bin"))
-        near = at.join(_by_share(at.select("g", "bin"), ["g"], share).withColumnRenamed("bin", "to"), "g").where("bin <= to")
+        at = _beside(rows, now, ["g"], few).select("g", *x, _bin_of(_distance(d)).alias("bin"))
+        near = _beside(at, _by_share(at.select("g", "bin"), ["g"], share).withColumnRenamed("bin", "to"), ["g"], few).where("bin <= to")
         sums = near.groupBy("g").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.avg(F.col(x[i]) * F.col(x[j])).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)])
         nxt = keep(sums.mapInArrow(_invert(floors), schema))
         drop(now)
         now = nxt
     z = 0.6744897501960817  # of 0.75; the scale makes that share of distances meet chi-squared's
-    at = rows.join(now, "g").select("g", _bin_of(_distance(d)).alias("bin"))
+    at = _beside(rows, now, ["g"], few).select("g", _bin_of(_distance(d)).alias("bin"))
     scale = _by_share(at, ["g"], 0.75).select("g", (F.pow(F.lit(2.0), (F.col("bin") + 1) / BINS) / chi2_quantile(z, d)).alias("scale"))
     out = keep(now.join(scale, "g"))
     drop(now, mid)
@@ -206,10 +220,12 @@ def judge(docs: DataFrame, z_cut: float = Z_CUT, margin: float = MARGIN) -> Data
     n_of = n_of.select("*", F.when(F.col("n") >= LEAST_ROWS, F.col("k")).alias("g"))
     rest = n_of.where("g is null").groupBy("l").agg(F.sum("n").alias("of"))
     names = n_of.join(rest, "l", "left").select("k", F.coalesce("g", F.when(F.col("of") >= LEAST_ROWS, F.concat("l", F.lit("\x1f*"))), F.lit("*")).alias("g"))
-    named = usable.withColumn("k", pair).join(names, "k").select("g", *[f"x{i}" for i in range(d)])
-    fitted = estimates(named, d, floors)
+    names = keep(names)
+    few = names.count() <= FEW_GROUPS
+    named = _beside(usable.withColumn("k", pair), names, ["k"], few).select("g", *[f"x{i}" for i in range(d)])
+    fitted = estimates(named, d, floors, few)
     cut = chi2_quantile(z_cut, d) * margin
-    out = s.withColumn("k", pair).join(names, "k", "left").join(fitted, "g", "left")
+    out = _beside(_beside(s.withColumn("k", pair), names, ["k"], few, "left"), fitted, ["g"], few, "left")
     enough = F.col("g").isNotNull() & F.col("p").isNotNull()
     d2 = F.when(enough, _distance(d) / F.col("scale"))
     out = out.withColumn("outlier_d2", d2)

@@ -99,6 +99,13 @@ def test_mcd_rejects_a_planted_outlier(spark):
     assert not out[999] and sum(out.values()) >= 297
 
 
+def test_quality_with_many_groups_is_the_same(docs, monkeypatch):
+    rows = lambda: sorted((r["doc_id"], r["kept"], r["base_failed"], round(r["outlier_d2"] or 0, 6)) for r in quality.judge(docs).collect())
+    few = rows()
+    monkeypatch.setattr(quality, "FEW_GROUPS", 0)
+    assert rows() == few
+
+
 def brute_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
