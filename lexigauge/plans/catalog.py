@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexigauge.functions import text as T
-from lexigauge.operators import matching, scores, shaping, spans, stats
+from lexigauge.operators import matching, rules, scores, shaping, spans, stats
 from lexigauge.sources import tables
 from lexigauge.sources.tables import CRITERIA, table
 
@@ -562,3 +562,104 @@ def claim_longest_first(s, d):
     pairs = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,} [A-Za-z]{5,}"), F.lit(0)))
     rows = table(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text", F.concat(words, pairs).alias("surfaces"))
     return spans.claim(rows, "turn_id")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def type_counts(s, d):
+    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, count(*) AS n, max(value) AS best FROM events GROUP BY user_id")
+def paragraph_counts(s, d):
+    return table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("best"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def scored_criteria(s, d):
+    return table(s, d, "events").select("user_id", "event_type").distinct()
+
+
+@query("SELECT lower(p_name) AS surface, min(CASE WHEN p_size < 25 THEN 0 ELSE 1 END) AS source FROM part GROUP BY 1")
+def surface_union(s, d):
+    p = table(s, d, "part")
+    both = p.where("p_size < 25").select(F.lower("p_name").alias("surface"), F.lit(0).alias("source")).unionByName(p.where("p_size >= 25").select(F.lower("p_name").alias("surface"), F.lit(1).alias("source")))
+    return both.groupBy("surface").agg(F.min("source").alias("source"))
+
+
+@query(f"WITH {WORDS} SELECT title, count(DISTINCT c) AS n FROM (SELECT title, unnest(cands) AS c FROM pred) GROUP BY title")
+def candidate_union(s, d):
+    return tables.mentions(s, d, "pred").select("title", F.explode("cands").alias("c")).groupBy("title").agg(F.countDistinct("c").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'blank' WHEN length(text) > 2000 THEN 'too_long' WHEN len(string_split(text, chr(10))) > 12 THEN 'too_many' WHEN lang = 'en' THEN 'same_language' ELSE 'ok' END AS verdict FROM documents")
+def document_validation(s, d):
+    t = F.col("text")
+    bad = [("blank", t.isNull() | (F.trim(t) == "")), ("too_long", F.length(t) > 2000), ("too_many", F.size(F.split(t, "\n")) > 12), ("same_language", F.col("lang") == "en")]
+    return table(s, d, "documents").select("doc_id", rules.first_failing(bad).alias("verdict"))
+
+
+@query("WITH c AS (SELECT event_id, 400 + CAST(floor(value) AS BIGINT) % 130 AS status FROM events) SELECT event_id, CASE WHEN status = 429 THEN 'rate_limit' WHEN status >= 500 THEN 'server' WHEN status IN (401, 403) THEN 'auth' ELSE 'client' END AS reason, status >= 500 OR status = 429 AS transient FROM c")
+def failure_reason(s, d):
+    status = 400 + F.floor("value") % 130
+    return table(s, d, "events").select("event_id", rules.reason(status).alias("reason"), rules.transient(status).alias("transient"))
+
+
+@query(f"WITH {SCORE}, {ISSUES}, m AS (SELECT *, ['open', 'dismissed', 'outdated', 'accepted'][1 + id % 4] AS target FROM iss) SELECT id, CASE WHEN status <> 'accepted' AND target <> 'accepted' THEN target ELSE status END AS status FROM m")
+def status_transition(s, d):
+    k = F.col("k")
+    status = F.when(k % 7 == 0, "accepted").when(k % 7 == 1, "dismissed").when(k % 7 == 2, "outdated").otherwise("open")
+    target = F.get(F.array(*map(F.lit, ("open", "dismissed", "outdated", "accepted"))), (F.col("id") % 4).cast("int"))
+    return tables.scores(s, d).where("k % 3 = 0").select("id", rules.move(status, target).alias("status"))
+
+
+@query(f"WITH {SCORE} SELECT id, unnest(['seed', 'cache']) AS kind, value FROM score WHERE kind = 'live'")
+def score_fan_out(s, d):
+    return tables.scores(s, d).where("kind = 'live'").select("id", F.explode(F.array(F.lit("seed"), F.lit("cache"))).alias("kind"), "value")
+
+
+@query("SELECT user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r <= 2 GROUP BY user_id HAVING count(*) FILTER (WHERE value < 40) = 2")
+def dead_routes(s, d):
+    return rules.dead_starts(table(s, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], F.col("value") < 40)
+
+
+@query("SELECT event_id, CASE WHEN greatest(value / 200, value / 150) >= 0.8 THEN 'red' WHEN greatest(value / 200, value / 150) >= 0.5 THEN 'yellow' ELSE 'green' END AS band FROM events")
+def budget_band(s, d):
+    return table(s, d, "events").select("event_id", rules.band(F.col("value") / 200, F.col("value") / 150).alias("band"))
+
+
+@query("SELECT user_id, CASE WHEN count(DISTINCT event_type) = 5 THEN 'all' ELSE string_agg(DISTINCT event_type, '+' ORDER BY event_type) END AS roles FROM events GROUP BY user_id")
+def role_usage(s, d):
+    roles = F.array_sort(F.collect_set("event_type"))
+    return table(s, d, "events").groupBy("user_id").agg(F.when(F.size(roles) == 5, "all").otherwise(F.array_join(roles, "+")).alias("roles"))
+
+
+@query("SELECT doc_id, CASE WHEN len(l) > 1 THEN array_to_string([l[1] || ' ' || l[2]] || l[3:], '|') ELSE array_to_string(l, '|') END AS merged FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)")
+def merged_up(s, d):
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.array_join(rules.merge_up(F.split("text", "\n"), 1), "|").alias("merged"))
+
+
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS r FROM documents WHERE n_chars > 200) WHERE r <= 10")
+def seeded_picks(s, d):
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.concat(F.lit("7:"), "doc_id")), "doc_id"))
+    return table(s, d, "documents").where("n_chars > 200").select("doc_id", "lang", rank.alias("r")).where("r <= 10").drop("r")
+
+
+@query(f"WITH {LINES} SELECT doc_id, arg_max(idx, (length(line), -idx)) AS idx FROM lines GROUP BY doc_id")
+def longest_paragraph(s, d):
+    return tables.lines(s, d).groupBy("doc_id").agg(F.max_by("idx", F.struct(F.length("line"), -F.col("idx"))).alias("idx"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_repair(s, d):
+    """props wrapped as a reply with a fence, a preface and a trailing comma, and read back."""
+    raw = F.concat(F.lit("Sure:\n```json\n"), F.regexp_replace("props", r"\}\s*$", ",}"), F.lit("\n```"))
+    return table(s, d, "events").select("event_id", F.get_json_object(rules.repair_json(raw), "$.k").alias("k"))
+
+
+@query("WITH RECURSIVE w AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_partkey < 4 UNION ALL SELECT p.p_partkey, w.depth + 1 FROM w JOIN part p ON p.p_partkey // 3 = w.node WHERE w.depth < 3) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+def category_walk(s, d):
+    p = table(s, d, "part")
+    edges = p.select(F.floor(F.col("p_partkey") / 3).alias("parent"), F.col("p_partkey").alias("child"))
+    return rules.walk(edges, p.where("p_partkey < 4").select(F.col("p_partkey").alias("node")), 3)
