@@ -2,7 +2,7 @@
 
 A mask fixes which of a few neighbouring words are hashed; the others may differ. Hashes of training positions meet
 those of the benchmark, each hit names a diagonal (training position minus benchmark position), and the words along
-the diagonal are compared one by one: substitutions cost, the best run must be long and at least 80 % equal.
+the diagonal are compared one by one: the longest run that is at least 80 % equal must be long enough.
 """
 
 from __future__ import annotations
@@ -50,13 +50,16 @@ def seeds(ids: np.ndarray, mask: str, salt: int) -> np.ndarray:
 
 
 def best_run(same: np.ndarray, similarity: float = SIMILARITY) -> tuple[int, int]:
-    """(first, past the last) of the run that scores highest: 1 for an equal word, slightly under s / (1 - s) against another."""
-    step = np.where(same, 1.0, -similarity / (1 - similarity) + 0.1)
-    total = np.concatenate([[0.0], np.cumsum(step)])
+    """(first, past the last) of the longest run of which that share is equal; ties to more equal words, then the first. (0, 0): none."""
+    equal = np.concatenate([[0], np.cumsum(same)])
+    total = equal - similarity * np.arange(len(equal))
     low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return start, end
+    # of every end the first start whose sum is no higher; the tolerance is for sums of fractions
+    start = np.searchsorted(-low, -(total + 1e-9), "left")
+    size = np.arange(len(equal)) - start
+    longest = np.flatnonzero(size == size.max())
+    end = int(longest[np.argmax((equal - equal[start])[longest])])
+    return int(start[end]), end
 
 
 def verify(doc: np.ndarray, item: np.ndarray, diagonal: int, min_words: int, similarity: float):
@@ -65,13 +68,14 @@ def verify(doc: np.ndarray, item: np.ndarray, diagonal: int, min_words: int, sim
     if b <= a:
         return None
     same = doc[a + diagonal : b + diagonal] == item[a:b]
-    s, e = best_run(same, similarity)
-    n, equal = e - s, int(same[s:e].sum())
     whole = len(item) < min_words or len(item) * similarity < min_words
     need = int(np.ceil(similarity * len(item))) if whole else min_words
-    if n < need or equal < similarity * n:
+    if same.sum() < similarity * need - 1e-9:
+        return None
+    s, e = best_run(same, similarity)
+    if e - s < need:
         return None
-    return n, equal, a + s + diagonal, a + s
+    return e - s, int(same[s:e].sum()), a + s + diagonal, a + s
 
 
 class Index:
