@@ -2,7 +2,8 @@
 
 Plain identifiers are found in the text as it stands. A transducer then rewrites look-alike characters, spelled
 digits and at/dot disguises, keeping for each stretch of its output the stretch of source that it stands for.
-Identifiers found in the output that touch a rewritten stretch are mapped back to source characters and added.
+Identifiers found in the output that touch a rewritten stretch are mapped back to source characters and added, unless
+a span already there covers them; one that reaches beyond a plain span is added beside it.
 """
 
 from __future__ import annotations
@@ -77,6 +78,9 @@ AT, DOT = "at|arroba|ät|chez", "dot|point|punkt|punto"
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
 TOKEN = rf"(?:(?:double|triple)[ \t]+)?(?:{'|'.join(sorted(SPELLED, key=len, reverse=True))}|{DOT}|plus|[0-9]+)"
 RUN = re.compile(rf"(?<!\w){TOKEN}(?:[ \t,;/-]{{1,3}}{TOKEN}){{5,}}(?!\w)", re.I)
+OCTET = rf"(?:[0-9]{{1,3}}|(?:{'|'.join(sorted(SPELLED, key=len, reverse=True))})(?:[ \t-]{{1,3}}(?:{'|'.join(sorted(SPELLED, key=len, reverse=True))})){{0,2}})"
+#: An address with its dots spelled, its numbers in digits or in words.
+DOTTED = re.compile(rf"(?<!\w){OCTET}(?:[ \t]{{1,3}}(?:{DOT})[ \t]{{1,3}}{OCTET}){{3}}(?!\w)", re.I)
 PART = re.compile(rf"(?:(double|triple)[ \t]+)?({'|'.join(sorted(SPELLED, key=len, reverse=True))}|{DOT}|plus|[0-9]+)", re.I)
 BRACKETED = re.compile(rf"\s{{0,3}}{OPEN}\s{{0,3}}(?:({AT}|@)|(?:{DOT}|\.))\s{{0,3}}{CLOSE}\s{{0,3}}", re.I)
 BARE = re.compile(rf"(?<=[A-Za-z0-9._%+-])[ \t]{{1,3}}(?:{AT})[ \t]{{1,3}}(?=([A-Za-z0-9-]{{1,63}}(?:(?:[ \t]{{1,3}}(?:{DOT})[ \t]{{1,3}}|\.)[A-Za-z0-9-]{{1,63}})+))", re.I)
@@ -114,19 +118,23 @@ class Rewritten:
 def _edits(text: str) -> list[tuple[int, int, str]]:
     """Replacements (start, end, new) in order, none overlapping."""
     found = []
-    if THREE.search(text):
-        for m in RUN.finditer(text):
+    spelled, dotted = THREE.search(text), DISGUISED.search(text)
+    if spelled or dotted:
+        addresses = list(DOTTED.finditer(text)) if dotted else []
+        starts = {m.start() for m in addresses}
+        for m in (*(RUN.finditer(text) if spelled else ()), *addresses):
             words = [(p, (p[2] or "").lower()) for p in PART.finditer(text, *m.span())]
-            if sum(w in SPELLED for _, w in words) < 3:
+            if m.re is RUN and sum(w in SPELLED for _, w in words) < 3:
                 continue
             last = m.start()
             for k, (p, w) in enumerate(words):
-                if p.start() > last and k:
+                apart = p.start() in starts and words[k - 1][1].isdigit()  # a number before an address isn't part of it
+                if p.start() > last and k and not apart:
                     found.append((last, p.start(), ""))
                 new = SPELLED.get(w) or ("+" if w == "plus" else w if w.isdigit() else ".")
                 found.append((p.start(), p.end(), new * {"double": 2, "triple": 3}.get((p[1] or "").lower(), 1)))
                 last = p.end()
-    if DISGUISED.search(text):
+    if dotted:
         found += [(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(text)]
         for m in BARE.finditer(text):
             dots = list(BARE_DOT.finditer(text, m.start(1), m.end(1)))
@@ -173,7 +181,7 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     once = "".join(first.out)
     second = rewrite(once)
     twice = "".join(second.out)
-    added, taken = [], [(s, e) for s, _, e in base]
+    seen = []
     for level in ([first], [second, first]) if second.src and not all(x[2] for x in second.src) else ([first],):
         for s, kind, e in detect(once if len(level) == 1 else twice):
             span, touched = (s, e), False
@@ -185,9 +193,14 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
                     shift = r.src[i][0] - r.at[i]
                     mapped = (span[0] + shift, span[1] + shift)
                 span = mapped
-            if touched and all(span[1] <= a or b <= span[0] for a, b in taken):
-                added.append((span[0], kind, span[1]))
-                taken.append(span)
+            if touched:
+                seen.append((span[0], kind, span[1]))
+    added, taken = [], [(s, e) for s, _, e in base]
+    # the longest first, so a shorter one that it covers adds nothing
+    for s, kind, e in sorted(seen, key=lambda x: (x[0] - x[2], x)):
+        if not any(a <= s and e <= b for a, b in taken):
+            added.append((s, kind, e))
+            taken.append((s, e))
     return base, sorted(added)
 
 
@@ -212,8 +225,8 @@ def _scan(batches):
 def spans(docs: DataFrame) -> DataFrame:
     """One row per row of docs: counts of plain spans by kind, base_sha256 over them, all spans, and those that rewriting added.
 
-    A span is kind:start:end in code points of the source, end exclusive. A null text is empty. An added span never
-    overlaps a plain one.
+    A span is kind:start:end in code points of the source, end exclusive. A null text is empty. No span covers
+    an added one; an added span may reach beyond a plain one that it overlaps, and both stay.
     """
     ship(docs.sparkSession)
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, added string"
