@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import column, drop, keep, ship, slices, spots, tidy
 
 SIMILARITY = 0.8
-#: Lines of fewer distinct words are too short to be copies of one another; they always stay.
-LEAST_WORDS = 5
+#: Lines of fewer distinct words stay: only those without any.
+LEAST_WORDS = 1
 #: Words of at least this share of all are ordered by count (at most 1 / FREQUENT of them); rarer ones come before, by hash.
 FREQUENT = 1e-5
 #: Pairs are compared in so many shares, one after another, for the words of all at once would take several times the input's disk.
@@ -40,8 +40,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(n, threshold: float):
-    """Words of a set of n that must hold one in common with any set as similar."""
-    return n - np.ceil(threshold * np.asarray(n) - 1e-9).astype(np.int64) + 1
+    """Words of a set of n that must hold one in common with any other set as similar; none if only equal sets are that similar."""
+    n = np.asarray(n)
+    p = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+    return np.where(n < threshold * (n + 1) - 1e-9, 0, p)
 
 
 def _count(batches):
