@@ -2,7 +2,7 @@
 
 Pieces of one length are interchangeable, so the search needs 1,024 counts and no documents: around the largest
 piece left it enumerates undominated fillings, takes each as often as the counts allow, prunes by the waste bound,
-and keeps the best packing so far (best fit first) as incumbent. Pieces then look up their place by their rank
+and keeps the best packing so far as incumbent, at first that of best-fit decreasing. Pieces then look up their place by their rank
 within their length, which a prefix sum over partitions gives; no task ever holds a whole length.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
+from bisect import bisect_left, insort
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import column, keep, ship
 
 CAPACITY, END_ID = 1024, 2
-#: Work limits of the search (fillings tried per bin, nodes): they bound time, never the documents packed.
-FILLINGS, NODES = 6, 4000
+#: Work limits of the search (fillings kept per bin, nodes in all, nodes and branches a level of one enumeration): they
+#: bound time, never the documents packed, and the packing is never worse than best fit's.
+FILLINGS, NODES, STEPS, BRANCHES = 6, 4000, 300, 12
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -88,8 +90,8 @@ def waste_bound(counts: np.ndarray) -> int:
     return max(best, int(np.max(over + mid_n + np.maximum(0, extra))))
 
 
-def fillings(counts: np.ndarray, room: int, most: int = FILLINGS, nodes: int = 300) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room`, least waste first and larger pieces first among equals; the first is at least best fit's.
+def fillings(counts: np.ndarray, room: int, most: int = FILLINGS, nodes: int = STEPS) -> list[tuple[int, ...]]:
+    """Undominated fillings of `room`, least waste first and larger pieces first among equals.
 
     A filling that leaves room for another piece, or in which two pieces could be swapped for a larger one at no more
     waste, is dominated: pieces are taken in falling size and a branch is left when it can't beat the worst kept.
@@ -119,7 +121,7 @@ def fillings(counts: np.ndarray, room: int, most: int = FILLINGS, nodes: int = 3
             if taken.count(s) < counts[s]:
                 go(j, room - s, (*taken, s))
                 tried += 1
-                if tried >= 12 or left[0] <= 0 or (found and found[0][0] == 0 and len(found) >= most):
+                if tried >= BRANCHES or left[0] <= 0 or (found and found[0][0] == 0 and len(found) >= most):
                     return
         if not tried:
             found.append((room, len(taken), taken))
@@ -136,12 +138,48 @@ def fillings(counts: np.ndarray, room: int, most: int = FILLINGS, nodes: int = 3
     return [t for _, _, t in found] or [()]
 
 
+def best_fit(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
+    """(times, lengths in a sequence) of best-fit decreasing: pieces from the largest down, each to the fullest sequence it fits."""
+    cap, rooms, of = len(counts) - 1, [], {}
+
+    def put(room: int, times: int, lengths: tuple[int, ...]) -> None:
+        if times:
+            if room not in of:
+                insort(rooms, room)
+            of.setdefault(room, []).append((times, lengths))
+
+    for s in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[s])
+        while left:
+            i = bisect_left(rooms, s)
+            if i == len(rooms):
+                room, times, lengths = cap, -(-left // (cap // s)), ()
+            else:
+                room = rooms[i]
+                times, lengths = of[room].pop()
+                if not of[room]:
+                    del of[room], rooms[i]
+            # the next piece of this length goes to the same sequence as long as it fits, for that is the fullest then
+            k = room // s
+            full = min(times, left // k)
+            put(room - k * s, full, lengths + (s,) * k)
+            times, left = times - full, left - full * k
+            if times and left:
+                put(room - left * s, 1, lengths + (s,) * left)
+                times, left = times - 1, 0
+            put(room, times, lengths)
+    return [x for room in rooms for x in of[room]]
+
+
 def solve(counts: np.ndarray, nodes: int = NODES) -> list[tuple[int, tuple[int, ...]]]:
-    """(times, lengths in a sequence), as few sequences in all as the search finds; optimal when it meets the bound."""
+    """(times, lengths in a sequence), as few sequences in all as the search finds, no more than best fit; optimal when it meets the bound."""
     counts = counts.astype(np.int64).copy()
     cap = len(counts) - 1
     bound = waste_bound(counts)
-    best, best_n = None, None
+    best = best_fit(counts)
+    best_n = sum(n for n, _ in best)
+    if best_n <= bound:
+        return best
     stack = [(counts, 0, [], None)]  # counts left, bins so far, packing so far, fillings yet to try
     first_dive = True
     while stack and nodes > 0:
@@ -149,13 +187,14 @@ def solve(counts: np.ndarray, nodes: int = NODES) -> list[tuple[int, tuple[int,
         if todo is None:
             nz = np.flatnonzero(left)
             if not len(nz):
-                if best is None or used < best_n:
+                if used < best_n:
                     best, best_n = done, used
                 first_dive = False
                 if best_n <= bound:
                     break
                 continue
-            if best_n is not None and used + waste_bound(left) >= best_n:
+            if used + waste_bound(left) >= best_n:
+                first_dive = False
                 continue
             big = int(nz[-1])
             rest = left.copy()
@@ -172,7 +211,7 @@ def solve(counts: np.ndarray, nodes: int = NODES) -> list[tuple[int, tuple[int,
         nxt[sizes] -= each * times
         stack.append((nxt, used + times, [*done, (times, (big, *f))], None))
         nodes -= 0 if first_dive else 1
-    return best or []
+    return best
 
 
 def places(counts: np.ndarray) -> tuple[np.ndarray, ...]:
