@@ -35,15 +35,18 @@ def default_vocab() -> str:
 
 @functools.lru_cache(2)
 def encoder(spec: bytes):
-    """The byte-level BPE of a tokenizers file. Its ids are its merge ranks, so the faster rank encoder gives the same ids."""
+    """The byte-level BPE of a tokenizers file. Its ids are its merge ranks, so the faster rank encoder gives the same ids; added tokens are cut out of the text first."""
     import tiktoken
 
     free = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in free} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in free)}
     spec = json.loads(spec)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    added = spec.get("added_tokens", [])
+    if odd := [t["content"] for t in added if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]:
+        raise ValueError(f"added tokens that take more than their own text: {odd}")
+    special = {t["content"]: t["id"] for t in added}
     ranks = {bytes(shown[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -63,7 +66,7 @@ def _pieces(spec, capacity):
         for batch in batches:
             out = [[] for _ in range(7)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), column(batch, "text")):
-                ids = np.append(enc.encode_to_numpy(text.decode()), np.uint32(END_ID)).astype("<u4")
+                ids = np.append(enc.encode_to_numpy(text.decode(), allowed_special="all"), np.uint32(END_ID)).astype("<u4")
                 for k, (start, n) in enumerate(cut(len(ids), capacity)):
                     rank = seen[n] = seen.get(n, -1) + 1
                     for o, x in zip(out, (doc, k, start, n, zlib.crc32(ids[start : start + n].tobytes()), part, rank)):

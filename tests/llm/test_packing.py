@@ -1,6 +1,7 @@
-"""Packing: never worse than best fit."""
+"""Packing: never worse than best fit, and the ids of the tokenizers library for texts that hold added tokens."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -31,3 +32,14 @@ def test_no_more_sequences_than_best_fit(n):
             assert sum((k * np.bincount(x, minlength=1025) for k, x in plan), 0 * counts).tolist() == counts.tolist()
             assert all(sum(x) <= 1024 and k > 0 for k, x in plan)
         assert packing.waste_bound(counts) <= sum(k for k, _ in packing.solve(counts)) <= want
+
+
+def test_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>\n\n x  <|endoftext|>", "no<|endoftext|>space", "<|endoftext| >", "word   <|endoftext|>\n"]
+    t = Tokenizer.from_file(packing.default_vocab())
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = {i: np.array([*t.encode(x, add_special_tokens=False).ids, packing.END_ID], "<u4") for i, x in enumerate(texts)}
+    assert 50256 in want[0]
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
