@@ -17,6 +17,11 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
+#: A tag as HTML reads it: a > in a quoted value doesn't end it. Possessive, so long tags need no stack.
+TAG = r"(?is)<{}\b(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>"
+ATTRIBUTE = r"(?is)[^\s=\"'<>/]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+DELAY = r"(?is)^[\s\d.]*+[;,]?\s*(?:url\s*=\s*)?[\"']?([^\"']*)"
+# What the SQL twin reads: the first tag of each kind, quoted values, no relative targets.
 CANONICAL = r"(?is)<link\b[^>]{0,2000}\brel\s*=\s*[\"']?canonical\b[^>]{0,2000}>"
 HREF = r"(?is)\bhref\s*=\s*[\"']([^\"'>]*)[\"']"
 REFRESH = r"(?is)<meta\b[^>]{0,2000}\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]{0,2000}>"
@@ -53,30 +58,56 @@ def rule_of(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, action
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name, quoted or not; null if it has none."""
+    mine = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda x: x.rlike(rf"(?is)^{name}\s*="))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.get(mine, 0), r"(?s)^[^=]*=\s*", ""), r"(?s)^[\"']|[\"']$", ""))
+
+
+def _targets(html: Column) -> Column:
+    """Where all canonical links and refresh tags of a page go, as they are written."""
+    every = lambda name: F.coalesce(F.regexp_extract_all(html, F.lit(TAG.format(name)), F.lit(0)), F.array().cast("array<string>"))
+    links = F.filter(every("link"), lambda x: _attribute(x, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)"))
+    metas = F.filter(every("meta"), lambda x: F.lower(_attribute(x, "http-equiv")) == "refresh")
+    to = F.concat(F.transform(links, lambda x: _attribute(x, "href")), F.transform(metas, lambda x: F.trim(F.regexp_extract(_attribute(x, "content"), DELAY, 1))))
+    return F.filter(to, lambda x: x != "")
+
+
+def _undotted(p: Column) -> Column:
+    """A path with its . and .. steps taken."""
+    none = F.array().cast("array<string>")
+    up = lambda got: F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(1)))
+    steps = F.aggregate(F.split(p, "/", -1), none, lambda got, x: F.when(x == "..", up(got)).when(x == ".", got).otherwise(F.concat(got, F.array(x))))
+    end = F.when(p.rlike(r"/\.{1,2}$"), "/").otherwise("")
+    return F.when(p.rlike(r"/\.{1,2}(?:/|$)"), F.concat(F.array_join(steps, "/"), end)).otherwise(p)
+
+
 def _absolute(to: Column, url: Column) -> Column:
-    """A link made absolute; null for none or for what isn't a page."""
+    """A link made absolute against its page; null for what isn't a page."""
     site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/") & (site != ""), F.concat(site, to))
+    folder = F.regexp_extract(F.concat(F.lit("/"), F.regexp_replace(path(url), "^/", "")), r"(?s)^(.*/)", 1)
+    full = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to))
+    full = full.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (site == ""), F.lit(None)).when(to.startswith("/"), F.concat(site, to))
+    full = full.when(to.startswith("?") | to.startswith("#"), F.concat(site, path(url), to)).otherwise(F.concat(site, folder, to))
+    return F.concat(F.regexp_extract(full, r"(?s)^(.*?://[^/?#]*)", 1), _undotted(path(full)), F.regexp_extract(full, r"(?s)^.*?://[^?#]*(.*)$", 1))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, via (rule, alias or default).
 
     A null url, or one without ://, has neither host nor path, fits no rule and is allowed. Null html has no links.
+    All canonical links and refresh tags of a page count, relative ones from the page's path.
     """
     u = F.col("url")
     p = pages.select(F.col("page_id"), F.col("url").cast("string"), F.col("html").cast("string"))
-    tags = ((CANONICAL, HREF), (REFRESH, GOES_TO))
-    each = range(len(tags))
     # one step after another, so no pattern is run over the page's html more than once
-    p = p.select("page_id", "url", *[F.regexp_extract("html", tags[i][0], 0).alias(f"tag{i}") for i in each])
-    p = p.select("page_id", "url", *[F.trim(F.regexp_extract(f"tag{i}", tags[i][1], 1)).alias(f"to{i}") for i in each])
-    p = p.select("page_id", "url", host(u).alias("host"), path(u).alias("path"), *[_absolute(F.col(f"to{i}"), u).alias(f"to{i}") for i in each])
-    p = p.select("*", *[x.alias(n) for i in each for x, n in ((host(F.col(f"to{i}")), f"host{i}"), (path(F.col(f"to{i}")), f"path{i}"))])
-    # of every tag where the page's first such one goes, and what a rule says there
-    aim = [F.struct(node(F.col(f"to{i}")).alias("node"), rule_of(F.col(f"host{i}"), F.col(f"path{i}"), rules)[1].alias("action")) for i in each]
+    p = p.select("page_id", "url", host(u).alias("host"), path(u).alias("path"), _targets(F.col("html")).alias("goes"))
+    p = p.withColumn("goes", F.transform("goes", lambda x: _absolute(x, u)))
+    p = p.withColumn("goes", F.transform(F.filter("goes", lambda x: x.isNotNull()), lambda x: F.struct(node(x).alias("node"), host(x).alias("host"), path(x).alias("path"))))
+    # of every tag where it goes, and what a rule says there
+    aim = F.transform("goes", lambda x: F.struct(x["node"].alias("node"), rule_of(x["host"], x["path"], rules)[1].alias("action")))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    seen = p.select("page_id", "host", "path", node(u).alias("node"), F.array(*aim).alias("to"), rule.alias("rule"), action.alias("action"))
+    seen = p.select("page_id", "host", "path", node(u).alias("node"), aim.alias("to"), rule.alias("rule"), action.alias("action"))
     seen = keep(seen.withColumn("to", F.filter("to", lambda x: x["node"].isNotNull())))
     edges = seen.where("node is not null and size(to) > 0").select(F.col("node").alias("a"), F.explode("to.node").alias("b")).where("a <> b")
     root = keep(components(edges))
