@@ -86,7 +86,7 @@ def spots(df: DataFrame, spot, bits: int) -> np.ndarray:
     """A filter of that many bits with the bit of every value of spot (0 up to bits) set. Built in buckets of 32,768 bits."""
     out = np.zeros(bits // 8, np.uint8)
     x = df.select((spot + 1).alias("x"))  # bitmap buckets start at 1
-    for r in x.groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m")).toLocalIterator():
+    for r in x.groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m")).collect():
         out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
     return out
 
@@ -111,6 +111,81 @@ def column(batch, name: str, null: bytes | None = b"") -> list:
     return out if null is None else [null if x is None else x for x in out]
 
 
+GOLD = 0x9E3779B97F4A7C15
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads them evenly."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def hashes(strings) -> np.ndarray:
+    """64-bit hashes of an Arrow string array's values; different ones of up to eight bytes and equal length never share one."""
+    import xxhash
+
+    n_all = len(strings)
+    if not n_all:
+        return np.zeros(0, np.uint64)
+    off = np.frombuffer(strings.buffers()[1], np.int32, n_all + 1, strings.offset * 4).astype(np.int64)
+    raw = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    data = np.zeros(len(raw) + 8, np.uint8)
+    data[: len(raw)] = raw
+    at, n = off[:-1] - off[0], np.diff(off)
+    eight = np.ndarray(len(raw) + 1, "<u8", data, strides=(1,))
+    with np.errstate(over="ignore"):
+        h = mix(n.astype(np.uint64) + np.uint64(GOLD))
+        live = np.arange(n_all)
+        for j in range(0, 64, 8):
+            live = live[n[live] > j]
+            if not len(live):
+                break
+            short = np.maximum(0, 8 - (n[live] - j)).astype(np.uint64) * np.uint64(8)
+            x = eight[at[live] + j] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> short)
+            h[live] = mix(h[live] * np.uint64(GOLD) + x)
+    for i in np.flatnonzero(n > 64).tolist():
+        h[i] = xxhash.xxh64_intdigest(raw[at[i] : at[i] + n[i]].tobytes())
+    return h
+
+
+def array_slices(texts, limit: int = SLICE_BYTES):
+    """(first, past the last) of runs of an Arrow string array that together have at most limit bytes, single longer ones apart."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    a = total = 0
+    for i, n in enumerate(size.tolist()):
+        if i > a and total + n > limit:
+            yield a, i
+            a, total = i, 0
+        total += n
+    if a < len(size):
+        yield a, len(size)
+
+
+def word_codes(units, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, object]:
+    """Of an Arrow string array: the unit and the kind of every word in order, the kinds' hashes, and the kinds.
+
+    Words are runs without \\x20 and \\x09-\\x0D, A-Z lower-cased; null units have none.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if pa.types.is_dictionary(units.type) or units.null_count:
+        units = pc.fill_null(units, "")
+    words = pc.ascii_split_whitespace(pc.ascii_lower(units) if lower else units)
+    owner = np.repeat(np.arange(len(units)), np.diff(words.offsets.to_numpy()))
+    coded = words.flatten().dictionary_encode()
+    kind, kinds = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    blank = np.flatnonzero(pc.binary_length(kinds).to_numpy(zero_copy_only=False) == 0)  # splitting leaves one at a unit's ends
+    if len(blank):
+        real = kind != blank[0]
+        owner, kind = owner[real], kind[real]
+    return owner, kind, hashes(kinds), kinds
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

@@ -1,43 +1,37 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words. Words are ordered from rare to frequent over the whole corpus; two sets whose Jaccard
-similarity reaches the threshold share a word among the first few of each (the prefix). Equal sets are one class, and
-classes that share a prefix word meet in a join by that word, which keeps a pair at its first shared word only. Pairs pass
-the length filter, the positional filter and a bit-parity bound on their overlap within the join; those left have their
-words compared. No link between different sets is lost.
-A line goes if an earlier line (by doc_id, then place) has the same set or a similar one.
+A line is the set of its words. Words are ordered from rare to frequent by a sketch of all counts, ties by hash; two sets
+whose Jaccard similarity reaches the threshold share a word among the first few of each (the prefix). Equal sets are one
+class. Classes that share a prefix word meet in a join by that word; pairs pass the length filter, the positional filter
+and a bit-parity bound on their overlap within it. Those left have their words compared in groups of lines that met, each
+line's words being sent once to each group. No link between different sets is lost.
+A line goes if an earlier line (by doc_id, then hash of the text, then place) has the same set or a similar one.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, drop, keep, ship, slices, spots, tidy
+from .common import GOLD, array_slices, drop, keep, mix, ship, spots, tidy, word_codes
 
 SIMILARITY = 0.8
 #: Lines of fewer distinct words stay: only those without any.
 LEAST_WORDS = 1
-#: Words of at least this share of all are ordered by count (at most 1 / FREQUENT of them); rarer ones come before, by hash.
-FREQUENT = 1e-5
-#: Pairs are compared in so many shares, one after another, for the words of all at once would take several times the input's disk.
-SHARES = 4
+#: Cells that count words by hash, log2. Words that share one are ordered as if they were as frequent as both together.
+CELLS = 23
+#: Cells are summed in blocks of so many, log2.
+BLOCK = 12
+#: A word with this count has its lines carry it to their later prefix words, so that pairs that share it come up once.
+HOT = 64
+#: So many hot words at most are carried; pairs that share only later ones come up more often and are made one again.
+CARRIED = 6
+#: Lines of a group whose words are compared in one place; larger groups are cut into squares of this side.
+SIDE = 64
 #: Bits of the filter that tells which lines to fetch again for comparison; a chance hit costs time only.
 BITS = 1 << 26
 
-GOLD = 0x9E3779B97F4A7C15
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
 
 def prefix_length(n, threshold: float):
     """Words of a set of n that must hold one in common with any other set as similar; none if only equal sets are that similar."""
@@ -46,54 +40,76 @@ def prefix_length(n, threshold: float):
     return np.where(n < threshold * (n + 1) - 1e-9, 0, p)
 
 
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts on a log scale of a byte: 0 for none or one, then four steps a doubling."""
+    return np.where(counts > 1, 1 + np.floor(4 * np.log2(np.maximum(counts, 2)) - 4), 0).clip(0, 255).astype(np.uint8)
+
+
 def _count(batches):
-    """Counts of words that are frequent within their batch: any word of a FREQUENT share of all is so in some batch."""
+    """The cell counts of a task's words, by block: places in the block and counts."""
+    import pyarrow as pa
+
+    def told():
+        for k in np.unique(np.flatnonzero(cells) >> BLOCK).tolist():
+            mine = cells[k << BLOCK : (k + 1) << BLOCK]
+            at = np.flatnonzero(mine)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([mine[at].astype("<u4").tobytes()], pa.binary())], ["block", "at", "n"])
+
+    cells, seen = np.zeros(1 << CELLS, np.uint32), 0
+    for batch in batches:
+        texts = batch.column("text")
+        for a, b in array_slices(texts):
+            _, kind, code, _ = word_codes(texts.slice(a, b - a))
+            n = np.bincount(kind, minlength=len(code))
+            np.add.at(cells, (code >> np.uint64(64 - CELLS)).astype(np.int64), n.astype(np.uint32))
+            seen += len(kind)
+            if seen > 1 << 30:
+                yield pa.Table.from_batches(told()).combine_chunks().to_batches()[0]
+                cells[:], seen = 0, 0
+    if seen:
+        yield pa.Table.from_batches(told()).combine_chunks().to_batches()[0]
+
+
+def _leveled(batches):
+    """Sums of the blocks that a task has, as levels."""
     import pyarrow as pa
 
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        seen: Counter = Counter()
-        for t in column(batch, "text"):
-            seen.update(t.lower().split())
-        total = sum(seen.values())
-        often = {w: n for w, n in seen.items() if n > 1 and n >= FREQUENT / 2 * total}
-        words = [None, *often]  # null carries the total
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([total, *often.values()], pa.int64())], ["word", "n"])
+        for k, at, n in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "n"))):
+            sums.setdefault(k, np.zeros(1 << BLOCK, np.int64))[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([levels(x).tobytes() for x in sums.values()], pa.binary())], ["block", "levels"])
+
+
+def order(texts: DataFrame) -> np.ndarray:
+    """The level of every cell of the word counts of texts; its size does not depend on them."""
+    parts = texts.select("text").mapInArrow(_count, "block int, at binary, n binary").repartition("block").mapInArrow(_leveled, "block int, levels binary")
+    out = np.zeros(1 << CELLS, np.uint8)
+    for r in parts.collect():
+        out[r["block"] << BLOCK : (r["block"] + 1) << BLOCK] = np.frombuffer(bytes(r["levels"]), np.uint8)
+    return out
 
 
 class Sets:
-    """The word sets of many lines: of the kept ones the place, and hashes sorted by line, then from rare to frequent words.
+    """The word sets of many lines (an Arrow array): sizes, and of the kept lines hashes and tokens, from rare to frequent words.
 
-    texts are split at \\n; the marks between texts and lines are bytes that UTF-8 never has.
+    A token is a word's level and its hash: what orders words and what prefixes meet by.
     """
 
-    def __init__(self, texts: list[bytes], rank: dict[bytes, int], least: int):
-        import xxhash
-
-        flat = b" \xff ".join(texts).replace(b"\n", b" \xfe ").lower().split()
-        kinds = list(dict.fromkeys(flat))
-        number = dict(zip(kinds, range(len(kinds))))
-        code = np.fromiter(map(xxhash.xxh64_intdigest, kinds), np.uint64, len(kinds))
-        # What orders words and what prefixes meet by: 31 bits of the hash of rare ones, then ranks. Rare words may share one;
-        # then more pairs come up, but none is lost, for the order goes by it too.
-        token = (code >> np.uint64(33)).astype(np.uint32)
-        often = np.fromiter((rank.get(w, 0) for w in kinds), np.uint32, len(kinds))
-        token = np.where(often > 0, often + np.uint32(1 << 31), token)
-        order = np.lexsort((code, token))
-        place = np.empty(len(kinds), np.int64)
-        place[order] = np.arange(len(kinds))
-        at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        text, line = number.get(b"\xff", -1), number.get(b"\xfe", -1)
-        new_text, new_line = at == text, at == line
-        line_no = np.cumsum(new_text | new_line)
-        word = ~(new_text | new_line)
-        key = np.unique(line_no[word] * max(1, len(kinds)) + place[at[word]])
-        owner, kind = key // max(1, len(kinds)), order[key % max(1, len(kinds))]
-        lines = int(line_no[-1]) + 1 if len(line_no) else 1
-        size = np.bincount(owner, minlength=lines)
-        #: of every line its text and its place there
-        first = np.concatenate([[0], line_no[new_text]]) if len(texts) else np.zeros(0, np.int64)
-        self.text_of = np.searchsorted(first, np.arange(lines), "right") - 1
-        self.place = np.arange(lines) - first[self.text_of]
+    def __init__(self, lines, level: np.ndarray | None, least: int):
+        owner, kind, code, _ = word_codes(lines)
+        k = max(1, len(code))
+        token = code >> np.uint64(8)
+        if level is not None:
+            token |= level[(code >> np.uint64(64 - CELLS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
+        by = np.lexsort((code, token))
+        place = np.empty(len(code), np.int64)
+        place[by] = np.arange(len(code))
+        key = owner * k + place[kind]
+        key.sort()
+        key = key[np.diff(key, prepend=-1) != 0]
+        owner, kind = key // k, by[key % k] if len(by) else key
+        size = np.bincount(owner, minlength=len(lines))
         self.kept = np.flatnonzero(size >= least)
         self.size = size[self.kept]
         kind = kind[(size >= least)[owner]]
@@ -105,161 +121,203 @@ class Sets:
         if not len(self.start):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         with np.errstate(over="ignore"):
-            return tuple(np.add.reduceat(_mix(self.hash + np.uint64(s)), self.start).view(np.int64) for s in (1, GOLD))
+            return tuple(np.add.reduceat(mix(self.hash + np.uint64(s)), self.start).view(np.int64) for s in (1, GOLD))
 
     def parity(self) -> np.ndarray:
         """64 bits, each the parity of the words that hash to it."""
         if not len(self.start):
             return np.zeros(0, np.int64)
-        return np.bitwise_xor.reduceat(np.uint64(1) << (_mix(self.hash) >> np.uint64(58)), self.start).view(np.int64)
+        return np.bitwise_xor.reduceat(np.uint64(1) << (mix(self.hash) >> np.uint64(58)), self.start).view(np.int64)
+
+
+def _split(texts):
+    """The lines of an Arrow array of texts, the text of each and its place there."""
+    import pyarrow.compute as pc
 
+    lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    off = lines.offsets.to_numpy()
+    off = off - off[0]
+    text = np.repeat(np.arange(len(texts)), np.diff(off))
+    return lines.flatten(), text, np.arange(len(text)) - off[text]
 
-def _lines(rank, least, threshold):
+
+def _lines(level, least, threshold):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, next_id = TaskContext.get().partitionId() << 40, 0
+        part, next_id, hot = TaskContext.get().partitionId() << 40, 0, np.uint64(levels(np.array([HOT]))[0])
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), column(batch, "text")
-            for a, b in slices(texts):
-                s = Sets(texts[a:b], rank.value, least)
-                doc, line = s.text_of[s.kept] + a, s.place[s.kept]
+            texts = batch.column("text")
+            for a, b in array_slices(texts):
+                lines, text, line = _split(texts.slice(a, b - a))
+                s = Sets(lines, np.frombuffer(level.value, np.uint8), least)
+                text, line = text[s.kept], line[s.kept]
                 p = prefix_length(s.size, threshold)
-                take = np.repeat(s.start, p) + np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array(s.token[take].view(np.int32)))
+                at = np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
+                token, owner = s.token[np.repeat(s.start, p) + at], np.repeat(np.arange(len(p)), p)
+                lev = token >> np.uint64(56)
+                met = lev > 0  # a word counted once meets no other line; such words come first
+                n_met = np.bincount(owner[met], minlength=len(p))
+                n_hot = np.bincount(owner[lev >= hot], minlength=len(p))
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_met)]).astype(np.int32)), pa.array(token[met].view(np.int64)))
                 s1, s2 = s.sums()
                 lid = part + next_id + np.arange(len(s.kept))
                 next_id += len(s.kept)
-                doc_id = pa.array(ids, pa.int64()).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([doc_id, pa.array(lid), pa.array(line.astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(s.size.astype(np.int32)), pa.array(s.parity()), prefix], ["doc_id", "lid", "line", "s1", "s2", "n", "bits", "prefix"])
+                doc, th = (batch.column(c).slice(a, b - a).take(pa.array(text)) for c in ("doc_id", "th"))
+                cols = {"doc_id": doc, "th": th, "line": pa.array(line.astype(np.int32)), "lid": pa.array(lid), "s1": pa.array(s1), "s2": pa.array(s2), "n": pa.array(s.size.astype(np.int32)), "bits": pa.array(s.parity()), "lone": pa.array((p - n_met).astype(np.int32)), "cold": pa.array((n_met - n_hot).astype(np.int32)), "prefix": prefix}
+                yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
 
-def _spot(doc_id, line):
-    return F.pmod(F.pmod(doc_id, F.lit(2147483647)) * F.lit(1000003) + line.cast("long") * F.lit(8191), F.lit(BITS))
+def _spot(th, line):
+    return F.pmod(F.pmod(th, F.lit(2147483647)) * F.lit(1000003) + line.cast("long") * F.lit(8191), F.lit(BITS))
 
 
 def _fetched(wanted, least):
+    """The packed words of the lines that the filter lets through."""
+
     def run(batches):
         import pyarrow as pa
 
         bits = wanted.value
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), column(batch, "text")
-            for a, b in slices(texts):
-                lines = [x.count(b"\n") + 1 for x in texts[a:b]]
-                doc = np.repeat(np.array([-1 if i is None else i for i in ids[a:b]], np.int64), lines)
-                line = np.arange(len(doc)) - np.repeat(np.cumsum(lines) - lines, lines)
-                at = (np.mod(doc, 2147483647) * 1000003 + line * 8191) % BITS
+            texts = batch.column("text")
+            for a, b in array_slices(texts):
+                lines, text, line = _split(texts.slice(a, b - a))
+                doc, th = (batch.column(c).slice(a, b - a).to_numpy()[text] for c in ("doc_id", "th"))
+                at = (np.mod(th, 2147483647) * 1000003 + line * 8191) % BITS
                 hit = np.flatnonzero(bits[at >> 3] >> (at & 7) & 1)
                 if not len(hit):
                     continue
-                flat = [x for t in texts[a:b] for x in t.split(b"\n")]
-                s = Sets([flat[i] for i in hit.tolist()], {}, least)
-                s1, s2 = s.sums()
-                sets = pa.ListArray.from_arrays(pa.array(np.append(s.start, len(s.hash)).astype(np.int32)), pa.array(s.hash.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), sets], ["s1", "s2", "words"])
+                s = Sets(lines.take(pa.array(hit)), None, least)
+                hit = hit[s.kept]
+                ends = np.append(s.start, len(s.hash)) * 8
+                packed = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(s.hash.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(th[hit]), pa.array(line[hit].astype(np.int32)), packed], ["doc_id", "th", "line", "words"])
 
     return run
 
 
 def _verified(threshold):
-    """Of pairs with their words and doc_ids those that are similar, the earlier one as a."""
+    """Rows by key, of each first the lines (b null) and then the pairs: pairs that are similar, the earlier line as a."""
 
     def run(batches):
         import pyarrow as pa
 
+        now, sets = None, {}
         for batch in batches:
-            x, y = batch.column("wa"), batch.column("wb")
-            na, nb = (np.diff(c.offsets.to_numpy()) for c in (x, y))
-            pair = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
-            word = np.concatenate([x.flatten().to_numpy(), y.flatten().to_numpy()])
-            order = np.lexsort((word, pair))
-            pair, word = pair[order], word[order]
-            both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (word[1:] == word[:-1])], minlength=len(na))
-            ok = both >= threshold * (na + nb - both) - 1e-9
-            a, b, da, db = (batch.column(c).to_numpy()[ok] for c in ("a", "b", "da", "db"))
-            late = (da > db) | ((da == db) & (a > b))
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(late, b, a)), pa.array(np.where(late, a, b))], ["a", "b"])
+            out_a, out_b = [], []
+            for key, a, b, doc, th, line, words in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "doc_id", "th", "line", "words"))):
+                if key != now:
+                    now, sets = key, {}
+                if b is None:
+                    sets[a] = frozenset(np.frombuffer(words, "<u8").tolist()), (doc, th, line)
+                    continue
+                (x, x_at), (y, y_at) = sets[a], sets[b]
+                both = len(x & y)
+                if both >= threshold * (len(x) + len(y) - both) - 1e-9:
+                    out_a.append(a if x_at < y_at else b)
+                    out_b.append(b if x_at < y_at else a)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return run
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
 class _Join:
     def __init__(self, docs: DataFrame, threshold: float, least: int):
         spark = self.spark = docs.sparkSession
         ship(spark)
         self.threshold, self.least = threshold, least
-        self.texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
-        counts = self.texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        counts = keep(counts)
-        total = counts.where("word is null").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-        often = counts.where("word is not null").where(F.col("n") >= max(2.0, FREQUENT * total)).toArrow()
-        drop(counts)
-        ranked = sorted(zip(often.column("n").to_pylist(), often.column("word").to_pylist()))
-        rank = spark.sparkContext.broadcast({w.encode(): i + 1 for i, (_, w) in enumerate(ranked)})
-        schema = "doc_id long, lid long, line int, s1 long, s2 long, n int, bits long, prefix array<int>"
-        self.lines = keep(self.texts.mapInArrow(_lines(rank, least, threshold), schema))
-        first = F.min(F.struct("doc_id", "lid", "line")).alias("f")
-        self.sets = keep(self.lines.groupBy("s1", "s2").agg(first, *[F.first(c).alias(c) for c in ("n", "bits", "prefix")]).select("s1", "s2", "f.*", "n", "bits", "prefix"))
-        wide, self.lines = self.lines, keep(self.lines.select("doc_id", "lid", "line", "s1", "s2"))
+        self.texts = _texts(docs).where("doc_id is not null and text is not null")
+        level = spark.sparkContext.broadcast(order(self.texts).tobytes())
+        schema = "doc_id long, th long, line int, lid long, s1 long, s2 long, n int, bits long, lone int, cold int, prefix array<long>"
+        wide = keep(self.texts.mapInArrow(_lines(level, least, threshold), schema))
+        first = F.min(F.struct("doc_id", "th", "line", "lid")).alias("f")
+        sets = wide.groupBy("s1", "s2").agg(first, F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "bits", "lone", "cold", "prefix")])
+        self.sets = keep(sets.select("s1", "s2", "f.*", "copies", "n", "bits", "lone", "cold", "prefix"))
+        self.lines = keep(wide.select("doc_id", "th", "line", "s1", "s2"))
         drop(wide)
         tidy(spark)
 
     def candidates(self) -> DataFrame:
         """Pairs of lids, each once, whose sets may be similar; none that is similar is missing."""
         c, t = F.col, self.threshold
-        post = self.sets.select("lid", "n", "bits", "prefix", F.posexplode("prefix").alias("pos", "token"))
-        post = post.select("token", "lid", "n", "bits", "pos", F.slice("prefix", F.lit(1), c("pos")).alias("before"))
+        post = self.sets.where("size(prefix) > 0").select("lid", "n", "bits", "lone", "cold", "prefix", F.posexplode("prefix").alias("at", "token"))
+        before = F.slice("prefix", c("cold") + 1, F.greatest(F.lit(0), F.least(c("at") - c("cold"), F.lit(CARRIED))))
+        post = post.select("token", "lid", "n", (c("lone") + c("at")).alias("pos"), "bits", before.alias("before"))
         need = F.ceil(t / (1 + t) * (c("x.n") + c("y.n")) - 1e-9)
-        left = F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos"))  # a pair comes up at its first shared token; none before is shared
+        left = F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos"))  # at a pair's first shared token none before is shared
         near = (c("x.lid") < c("y.lid")) & (F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n") - 1e-9) & (left >= need)
         near = near & (c("x.n") + c("y.n") - F.bit_count(c("x.bits").bitwiseXOR(c("y.bits"))) >= 2 * need)
         on = (c("x.token") == c("y.token")) & near & ~F.arrays_overlap("x.before", "y.before")
         return post.alias("x").join(post.alias("y"), on).select(c("x.lid").alias("a"), c("y.lid").alias("b")).distinct()
 
     def links(self) -> DataFrame:
-        """Pairs of lids whose sets are similar, the earlier one as a."""
+        """Pairs of lids whose sets are similar, the earlier one as a.
+
+        A line's home is the least line it may be similar to; pairs are compared by the homes of their ends, those of large
+        homes cut into squares.
+        """
+        c = F.col
         pairs = keep(self.candidates())
         tidy(self.spark)
-        ids = pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct()
-        named = keep(self.sets.select("lid", "s1", "s2", "doc_id", "line").join(ids, "lid"))
-        wanted = self.spark.sparkContext.broadcast(spots(named, _spot(F.col("doc_id"), F.col("line")), BITS))
-        got = self.texts.mapInArrow(_fetched(wanted, self.least), "s1 long, s2 long, words array<long>")
-        sets = named.select("s1", "s2", "lid", "doc_id").join(got, ["s1", "s2"])
-        sets = keep(sets.groupBy("lid").agg(F.first("words").alias("w"), F.first("doc_id").alias("d")))
+        met = pairs.select(c("a").alias("lid"), c("b").alias("o")).union(pairs.select(c("b").alias("lid"), c("a").alias("o")))
+        homes = keep(met.groupBy("lid").agg(F.min("o").alias("o")).select("lid", F.least("lid", "o").alias("home")))
+        sides = homes.groupBy("home").agg(F.ceil(F.count("*") / SIDE).alias("sides")).where("sides > 1")
+        cell = F.xxhash64("home", F.pmod(F.xxhash64("lid"), F.coalesce("sides", F.lit(1))))
+        cells = keep(homes.join(sides, "home", "left").select("lid", cell.alias("cell")))
+        keyed = pairs.join(cells.toDF("a", "ca"), "a").join(cells.toDF("b", "cb"), "b")
+        keyed = keep(keyed.select(F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")).alias("key"), "a", "b"))
+        named = keep(self.sets.select("lid", "doc_id", "th", "line").join(cells.select("lid"), "lid"))
+        drop(pairs, homes, cells)
+        tidy(self.spark)
+        wanted = self.spark.sparkContext.broadcast(spots(named, _spot(c("th"), c("line")), BITS))
+        got = self.texts.mapInArrow(_fetched(wanted, self.least), "doc_id long, th long, line int, words binary")
+        at = ["doc_id", "th", "line"]
+        words = keep(named.join(got, at).groupBy("lid").agg(*[F.first(x).alias(x) for x in (*at, "words")]))
         drop(named)
-        done = []
-        for i in range(SHARES):
-            tidy(self.spark)
-            mine = F.pmod(F.xxhash64("b"), F.lit(SHARES)) == i
-            p = pairs.where(mine).join(sets.toDF("a", "wa", "da"), "a").join(sets.toDF("b", "wb", "db").where(mine), "b")
-            done.append(keep(p.select("a", "da", "wa", "b", "db", "wb").mapInArrow(_verified(self.threshold), "a long, b long")))
-        drop(pairs, sets)
         tidy(self.spark)
-        return reduce(DataFrame.union, done)
+        need = keyed.select("key", c("a").alias("lid")).union(keyed.select("key", c("b").alias("lid"))).distinct()
+        kinds = {"doc_id": "long", "th": "long", "line": "int", "words": "binary"}
+        rows = need.join(words, "lid").select("key", c("lid").alias("a"), F.lit(None).cast("long").alias("b"), *kinds)
+        rows = rows.union(keyed.select("key", "a", "b", *[F.lit(None).cast(k) for k in kinds.values()]))
+        rows = rows.repartition("key").sortWithinPartitions("key", c("b").asc_nulls_first())
+        out = keep(rows.mapInArrow(_verified(self.threshold), "a long, b long"))
+        drop(keyed, words)
+        tidy(self.spark)
+        return out
 
 
 def _fates(docs: DataFrame, threshold: float, least: int) -> DataFrame:
-    """doc_id, line, first (the lid of its set's first line), exact, near, links of every line that has a link or an equal."""
+    """doc_id, th, line, first (the lid of its set's first line), exact, near, links of every line that has a link or an equal."""
     j = _Join(docs, threshold, least)
     links = j.links()
-    ends = links.select(F.col("a").alias("first"), F.lit(False).alias("late")).union(links.select(F.col("b").alias("first"), F.lit(True).alias("late")))
-    ends = ends.groupBy("first").agg(F.count("*").alias("links"), F.max("late").alias("near"))
-    sets = j.sets.select("s1", "s2", F.col("lid").alias("first")).join(ends, "first", "left")
-    out = j.lines.select("doc_id", "line", "lid", "s1", "s2").join(sets, ["s1", "s2"])
-    out = out.select("doc_id", "line", "first", (F.col("lid") != F.col("first")).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
-    return out.where("exact or links > 0")
+    ends = links.select(F.col("a").alias("lid"), F.lit(False).alias("late")).union(links.select(F.col("b").alias("lid"), F.lit(True).alias("late")))
+    ends = ends.groupBy("lid").agg(F.count("*").alias("links"), F.max("late").alias("near"))
+    at = ["doc_id", "th", "line"]
+    sets = j.sets.select("s1", "s2", "lid", "copies", F.struct(*at).alias("f")).join(ends, "lid", "left").where("copies > 1 or links > 0")
+    out = j.lines.select(*at, "s1", "s2").join(sets, ["s1", "s2"])
+    out = out.select(*at, F.col("lid").alias("first"), (F.struct(*at) != F.col("f")).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = keep(out.where("exact or links > 0"))
+    drop(j.sets, j.lines, links)
+    tidy(j.spark)
+    return out
 
 
 def removals(docs: DataFrame, threshold: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, line, exact) of every line that goes, lines counted from 0; exact: an earlier line has the very same words.
+    """(doc_id, th, line, exact) of every line that goes; th: xxhash64 of its text; lines counted from 0; exact: an earlier line has the very same words.
 
-    Null texts and rows without doc_id lose none. Rows repeated under a doc_id are taken in the order they are read.
+    Null texts and rows without doc_id lose none. Rows with equal doc_id and text are one document here; other rows
+    repeated under a doc_id are documents of their own, ordered by th.
     """
-    return _fates(docs, threshold, least).where("exact or near").select("doc_id", "line", "exact")
+    return _fates(docs, threshold, least).where("exact or near").select("doc_id", "th", "line", "exact").distinct()
 
 
 def report(docs: DataFrame, threshold: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
@@ -267,30 +325,46 @@ def report(docs: DataFrame, threshold: float = SIMILARITY, least: int = LEAST_WO
 
     class_id: the least doc_id with the very same text (a null text: its own); n_lines; n_links: links that its distinct
     lines have to different lines anywhere; n_exact: lines that an earlier line equals; n_removed and removed: the lines that
-    go, and their places.
+    go, and their places. Rows with equal doc_id and text are one document and have equal results. Null and blank texts and
+    rows without doc_id have no links and lose nothing; an empty table gives no rows.
     """
     gone = F.col("exact") | F.col("near")
-    per = _fates(docs, threshold, least).groupBy("doc_id").agg(
+    per = _fates(docs, threshold, least).groupBy("doc_id", "th").agg(
         F.sort_array(F.collect_set(F.when(gone, F.col("line")))).alias("removed"),
-        F.count_if("exact").alias("n_exact"),
+        F.size(F.collect_set(F.when(F.col("exact"), F.col("line")))).cast("long").alias("n_exact"),
         F.collect_set(F.when(F.col("links") > 0, F.struct("first", "links"))).alias("met"),
     )
     per = per.withColumn("n_links", F.aggregate("met", F.lit(0).cast("long"), lambda n, x: n + x["links"])).drop("met")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
-    base = docs.select(F.col("doc_id").cast("long"), n.cast("long").alias("n_lines"), F.sha2("text", 256).alias("key"))
+    base = _texts(docs).select("doc_id", "th", n.cast("long").alias("n_lines"), F.md5("text").alias("key"))
     classes = base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    out = base.join(classes, "key", "left").join(per, "doc_id", "left")
+    out = base.join(classes, "key", "left").join(per, ["doc_id", "th"], "left")
     none, zero = F.array().cast("array<int>"), F.lit(0).cast("long")
     removed = F.coalesce("removed", none)
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_lines", F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_exact", zero).alias("n_exact"), F.size(removed).cast("long").alias("n_removed"), F.concat_ws(",", removed.cast("array<string>")).alias("removed"))
-
-
-def dedup(docs: DataFrame, **kw) -> DataFrame:
-    """docs with those lines taken out of text; a text that loses all its lines goes. n_chars, where docs has it, follows."""
-    cut = keep(removals(docs, **kw).groupBy("doc_id").agg(F.collect_set("line").alias("_cut")).withColumnRenamed("doc_id", "_id"))
-    kept = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.array_contains("_cut", i), x)), lambda x: x.isNotNull())
-    rows = docs.join(cut, docs["doc_id"] == F.col("_id"), "left").withColumn("_kept", F.when(F.col("_cut").isNotNull(), kept))
-    rows = rows.where("_kept is null or size(_kept) > 0")
-    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    cols = [text.alias("text") if c == "text" else F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length(text)).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*cols)
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
+    return out.select("doc_id", own.alias("class_id"), "n_lines", F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_exact", zero).alias("n_exact"), F.size(removed).cast("long").alias("n_removed"), F.concat_ws(",", removed.cast("array<string>")).alias("removed"))
+
+
+def dedup(docs: DataFrame, threshold: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
+    """docs with those lines taken out of text; a text that loses its last line with a word goes. n_chars, where docs has it, follows.
+
+    Of rows with equal doc_id and text one stays (the lines of the others equal its own). Null texts, texts without a word
+    and rows without doc_id stay as they are. Other columns are passed on, whatever their names.
+    """
+    own = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(own))])
+    c = {x: F.col(f"c{i}") for i, x in enumerate(own)}
+    text, doc = c["text"].cast("string"), c["doc_id"].cast("long")
+    rows = rows.withColumn("id", doc).withColumn("th", F.xxhash64(text))
+    again = rows.where("id is not null").where(text.isNotNull()).groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1")
+    again = keep(again.select("id", "th"))
+    if not again.isEmpty():
+        some = rows.join(again, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+        rows = rows.join(again, ["id", "th"], "left_anti").unionByName(some)
+    cut = removals(docs.select("doc_id", "text"), threshold, least).groupBy("doc_id", "th").agg(F.collect_set("line").alias("cut"))
+    cut = keep(cut.withColumnRenamed("doc_id", "id"))
+    kept = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.when(~F.array_contains("cut", i), x)), lambda x: x.isNotNull())
+    rows = rows.join(cut, ["id", "th"], "left").withColumn("new", F.when(F.col("cut").isNotNull(), F.array_join(kept, "\n")))
+    rows = rows.where(r"new is null or new rlike '[^\\x20\\x09-\\x0D]'")
+    new = {"text": F.coalesce("new", text), "n_chars": F.when(F.col("new").isNull(), c.get("n_chars", text)).otherwise(F.length("new"))}
+    return rows.select(*[new.get(x, c[x]).alias(x) for x in own])
