@@ -2,9 +2,10 @@
 
 A line is the set of its words. Words are ordered from rare to frequent by a sketch of all counts, ties by hash; two sets
 whose Jaccard similarity reaches the threshold share a word among the first few of each (the prefix). Equal sets are one
-class. Classes that share a prefix word meet in a join by that word; pairs pass the length filter, the positional filter
-and a bit-parity bound on their overlap within it. Those left have their words compared in groups of lines that met, each
-line's words being sent once to each group. No link between different sets is lost.
+class. Classes that share a prefix word meet in its list; pairs pass the length filter, the positional filter and a
+bit-parity bound on their overlap within it. Lines that may be similar are named by the least line of their component in
+the list (their leader), and have their words compared with those of the same leader. No link between different sets is
+lost, and none is a row: lines get counts.
 A line goes if an earlier line (by doc_id, then hash of the text, then place) has the same set or a similar one.
 """
 
@@ -23,12 +24,12 @@ LEAST_WORDS = 1
 CELLS = 23
 #: Cells are summed in blocks of so many, log2.
 BLOCK = 12
-#: A word with this count has its lines carry it to their later prefix words, so that pairs that share it come up once.
-HOT = 64
-#: So many hot words at most are carried; pairs that share only later ones come up more often and are made one again.
-CARRIED = 6
-#: Lines of a group whose words are compared in one place; larger groups are cut into squares of this side.
-SIDE = 64
+#: Postings of a word that meet in one place; those of a more frequent one are dealt in shares, each two of which meet.
+LIST = 2048
+#: Lines of a group whose words are compared in one place; larger groups are dealt in the same way.
+SIDE = 512
+#: Pairs that are filtered at a time, about.
+PAIRS = 1 << 19
 #: Bits of the filter that tells which lines to fetch again for comparison; a chance hit costs time only.
 BITS = 1 << 26
 
@@ -146,7 +147,7 @@ def _lines(level, least, threshold):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, next_id, hot = TaskContext.get().partitionId() << 40, 0, np.uint64(levels(np.array([HOT]))[0])
+        part, next_id = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             texts = batch.column("text")
             for a, b in array_slices(texts):
@@ -159,13 +160,12 @@ def _lines(level, least, threshold):
                 lev = token >> np.uint64(56)
                 met = lev > 0  # a word counted once meets no other line; such words come first
                 n_met = np.bincount(owner[met], minlength=len(p))
-                n_hot = np.bincount(owner[lev >= hot], minlength=len(p))
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_met)]).astype(np.int32)), pa.array(token[met].view(np.int64)))
                 s1, s2 = s.sums()
                 lid = part + next_id + np.arange(len(s.kept))
                 next_id += len(s.kept)
                 doc, th = (batch.column(c).slice(a, b - a).take(pa.array(text)) for c in ("doc_id", "th"))
-                cols = {"doc_id": doc, "th": th, "line": pa.array(line.astype(np.int32)), "lid": pa.array(lid), "s1": pa.array(s1), "s2": pa.array(s2), "n": pa.array(s.size.astype(np.int32)), "bits": pa.array(s.parity()), "lone": pa.array((p - n_met).astype(np.int32)), "cold": pa.array((n_met - n_hot).astype(np.int32)), "prefix": prefix}
+                cols = {"doc_id": doc, "th": th, "line": pa.array(line.astype(np.int32)), "lid": pa.array(lid), "s1": pa.array(s1), "s2": pa.array(s2), "n": pa.array(s.size.astype(np.int32)), "bits": pa.array(s.parity()), "lone": pa.array((p - n_met).astype(np.int32)), "prefix": prefix}
                 yield pa.RecordBatch.from_pydict(cols)
 
     return run
@@ -200,27 +200,138 @@ def _fetched(wanted, least):
     return run
 
 
-def _verified(threshold):
-    """Rows by key, of each first the lines (b null) and then the pairs: pairs that are similar, the earlier line as a."""
+def _pairs(first: np.ndarray, size: np.ndarray):
+    """Places (x, y), x < y, of all pairs within runs of rows that start at first and have size rows, in bounded parts."""
+    for many in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size * (size - 1) // 2) // PAIRS)) + 1):
+        n, at = size[many], first[many]
+        rest = np.concatenate([np.arange(k - 1, -1, -1) for k in n.tolist()]) if len(n) else np.zeros(0, np.int64)
+        x = np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        for some in np.split(np.arange(len(x)), np.flatnonzero(np.diff(np.cumsum(rest) // PAIRS)) + 1):
+            r = rest[some]
+            left = np.repeat(x[some], r)
+            yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(r) - r, r)
+
+
+def _met(threshold):
+    """Of postings by key: (lid, leader) of every line that may be similar to another one of its list.
+
+    Such pairs make a graph; the leader is the least line of its component there.
+    """
+
+    def found(key, lid, n, pos, bits):
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(key)))
+        xs, ys = [], []
+        for x, y in _pairs(first, size):
+            nx, ny = n[x], n[y]
+            need = np.ceil(threshold / (1 + threshold) * (nx + ny) - 1e-9)
+            # at a pair's first shared token none before is shared
+            ok = (np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-9) & (np.minimum(nx - pos[x], ny - pos[y]) >= need)
+            x, y, room = x[ok], y[ok], (nx + ny - 2 * need)[ok]
+            ok = np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)) <= room
+            xs.append(x[ok])
+            ys.append(y[ok])
+        x, y = np.concatenate([*xs, np.zeros(0, np.int64)]), np.concatenate([*ys, np.zeros(0, np.int64)])
+        lead = lid.copy()
+        while True:
+            least = np.minimum(lead[x], lead[y])
+            if (lead[x] == least).all() and (lead[y] == least).all():
+                break
+            np.minimum.at(lead, x, least)
+            np.minimum.at(lead, y, least)
+        some = np.unique(np.concatenate([x, y]))
+        return lid[some], lead[some]
 
     def run(batches):
         import pyarrow as pa
 
-        now, sets = None, {}
+        names, kept = ("key", "lid", "n", "pos", "bits"), None
         for batch in batches:
-            out_a, out_b = [], []
-            for key, a, b, doc, th, line, words in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "doc_id", "th", "line", "words"))):
+            cols = [batch.column(c).to_numpy() for c in names]
+            if kept is not None:
+                cols = [np.concatenate(p) for p in zip(kept, cols)]
+            done = cols[0][::-1] != cols[0][-1:]  # the last list may go on in the next batch
+            end = len(done) - int(np.argmax(done)) if done.any() else 0
+            kept = [c[end:] for c in cols]
+            if end:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found(*[c[:end] for c in cols])], ["lid", "leader"])
+        if kept is not None and len(kept[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found(*kept)], ["lid", "leader"])
+
+    return run
+
+
+def _similar(sets, others, threshold):
+    """Of lines as word arrays, whether each pair (one of sets, one of others) is similar: words' overlaps by a matrix product."""
+    both = np.concatenate([*sets, *others])
+    kinds, at, n = np.unique(both, return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1  # words of one line only don't overlap
+    owner = np.repeat(np.arange(len(sets) + len(others)), [len(w) for w in (*sets, *others)])
+    held = (n > 1)[at]
+    m = np.zeros((len(sets) + len(others), int((n > 1).sum())), np.float32)
+    m[owner[held], column[at[held]]] = 1
+    x, y = m[: len(sets)], m[len(sets) :]
+    size = np.array([len(w) for w in (*sets, *others)], np.float64)
+    over = (x @ y.T).astype(np.float64)
+    return over >= threshold * (size[: len(sets), None] + size[None, len(sets) :] - over) - 1e-9
+
+
+def _linked(threshold):
+    """Rows by key: lines of a group, or of two shares of one. (lid, links, near) of lines with links to lines there.
+
+    A pair may meet in several groups; it counts in that of the least leader that both have.
+    """
+
+    def counted(leader, lines):
+        # lines: side, lid, place, leaders, words
+        cross = len({x[0] for x in lines}) > 1 or lines[0][0] >= 0
+        links, near = dict.fromkeys((x[1] for x in lines), 0), set()
+
+        def link(a, b):
+            links[a[1]] += 1
+            links[b[1]] += 1
+            near.add(b[1] if a[2] < b[2] else a[1])
+
+        earlier = [frozenset(k for k in x[3] if k < leader) for x in lines]
+        left = [i for i, x in enumerate(lines) if x[0] <= 0]
+        right = [i for i, x in enumerate(lines) if x[0] > 0] if cross else left
+        if len(left) * len(right) <= 200:
+            words = [frozenset(x[4].tolist()) for x in lines]
+            for i in left:
+                for j in right:
+                    if cross or i < j:
+                        both = len(words[i] & words[j])
+                        if both >= threshold * (len(words[i]) + len(words[j]) - both) - 1e-9 and earlier[i].isdisjoint(earlier[j]):
+                            link(lines[i], lines[j])
+        else:
+            ok = _similar([lines[i][4] for i in left], [lines[j][4] for j in right], threshold)
+            if not cross:
+                ok = np.triu(ok, 1)
+            for i, j in zip(*(x.tolist() for x in np.nonzero(ok))):
+                i, j = left[i], right[j]
+                if earlier[i].isdisjoint(earlier[j]):
+                    link(lines[i], lines[j])
+        return [(k, n, k in near) for k, n in links.items() if n]
+
+    def run(batches):
+        import pyarrow as pa
+
+        def told(out):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.bool_())], ["lid", "links", "near"])
+
+        now, lead, lines = None, None, []
+        for batch in batches:
+            out = []
+            for key, leader, side, lid, doc, th, line, leaders, words in zip(*(batch.column(c).to_pylist() for c in ("key", "leader", "side", "lid", "doc_id", "th", "line", "leaders", "words"))):
                 if key != now:
-                    now, sets = key, {}
-                if b is None:
-                    sets[a] = frozenset(np.frombuffer(words, "<u8").tolist()), (doc, th, line)
-                    continue
-                (x, x_at), (y, y_at) = sets[a], sets[b]
-                both = len(x & y)
-                if both >= threshold * (len(x) + len(y) - both) - 1e-9:
-                    out_a.append(a if x_at < y_at else b)
-                    out_b.append(b if x_at < y_at else a)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                    if len(lines) > 1:
+                        out += counted(lead, lines)
+                    now, lead, lines = key, leader, []
+                lines.append((side, lid, (doc, th, line), leaders, np.frombuffer(words, "<u8")))
+            yield told(out)
+        if len(lines) > 1:
+            yield told(counted(lead, lines))
 
     return run
 
@@ -237,60 +348,59 @@ class _Join:
         self.threshold, self.least = threshold, least
         self.texts = _texts(docs).where("doc_id is not null and text is not null")
         level = spark.sparkContext.broadcast(order(self.texts).tobytes())
-        schema = "doc_id long, th long, line int, lid long, s1 long, s2 long, n int, bits long, lone int, cold int, prefix array<long>"
+        schema = "doc_id long, th long, line int, lid long, s1 long, s2 long, n int, bits long, lone int, prefix array<long>"
         wide = keep(self.texts.mapInArrow(_lines(level, least, threshold), schema))
         first = F.min(F.struct("doc_id", "th", "line", "lid")).alias("f")
-        sets = wide.groupBy("s1", "s2").agg(first, F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "bits", "lone", "cold", "prefix")])
-        self.sets = keep(sets.select("s1", "s2", "f.*", "copies", "n", "bits", "lone", "cold", "prefix"))
+        sets = wide.groupBy("s1", "s2").agg(first, F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "bits", "lone", "prefix")])
+        self.sets = keep(sets.select("s1", "s2", "f.*", "copies", "n", "bits", "lone", "prefix"))
         self.lines = keep(wide.select("doc_id", "th", "line", "s1", "s2"))
         drop(wide)
         tidy(spark)
 
-    def candidates(self) -> DataFrame:
-        """Pairs of lids, each once, whose sets may be similar; none that is similar is missing."""
-        c, t = F.col, self.threshold
-        post = self.sets.where("size(prefix) > 0").select("lid", "n", "bits", "lone", "cold", "prefix", F.posexplode("prefix").alias("at", "token"))
-        before = F.slice("prefix", c("cold") + 1, F.greatest(F.lit(0), F.least(c("at") - c("cold"), F.lit(CARRIED))))
-        post = post.select("token", "lid", "n", (c("lone") + c("at")).alias("pos"), "bits", before.alias("before"))
-        need = F.ceil(t / (1 + t) * (c("x.n") + c("y.n")) - 1e-9)
-        left = F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos"))  # at a pair's first shared token none before is shared
-        near = (c("x.lid") < c("y.lid")) & (F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n") - 1e-9) & (left >= need)
-        near = near & (c("x.n") + c("y.n") - F.bit_count(c("x.bits").bitwiseXOR(c("y.bits"))) >= 2 * need)
-        on = (c("x.token") == c("y.token")) & near & ~F.arrays_overlap("x.before", "y.before")
-        return post.alias("x").join(post.alias("y"), on).select(c("x.lid").alias("a"), c("y.lid").alias("b")).distinct()
-
-    def links(self) -> DataFrame:
-        """Pairs of lids whose sets are similar, the earlier one as a.
+    def meetings(self) -> DataFrame:
+        """(lid, leader), each once: two lines that are similar have a leader in common.
 
-        A line's home is the least line it may be similar to; pairs are compared by the homes of their ends, those of large
-        homes cut into squares.
+        Postings meet by token. A token of more than LIST postings is dealt in shares, each two of which meet.
         """
         c = F.col
-        pairs = keep(self.candidates())
-        tidy(self.spark)
-        met = pairs.select(c("a").alias("lid"), c("b").alias("o")).union(pairs.select(c("b").alias("lid"), c("a").alias("o")))
-        homes = keep(met.groupBy("lid").agg(F.min("o").alias("o")).select("lid", F.least("lid", "o").alias("home")))
-        sides = homes.groupBy("home").agg(F.ceil(F.count("*") / SIDE).alias("sides")).where("sides > 1")
-        cell = F.xxhash64("home", F.pmod(F.xxhash64("lid"), F.coalesce("sides", F.lit(1))))
-        cells = keep(homes.join(sides, "home", "left").select("lid", cell.alias("cell")))
-        keyed = pairs.join(cells.toDF("a", "ca"), "a").join(cells.toDF("b", "cb"), "b")
-        keyed = keep(keyed.select(F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")).alias("key"), "a", "b"))
-        named = keep(self.sets.select("lid", "doc_id", "th", "line").join(cells.select("lid"), "lid"))
-        drop(pairs, homes, cells)
+        post = self.sets.where("size(prefix) > 0").select("lid", "n", "bits", "lone", F.posexplode("prefix").alias("at", "token"))
+        post = post.select("token", "lid", "n", (c("lone") + c("at")).alias("pos"), "bits")
+        often = F.shiftrightunsigned("token", 56) >= int(levels(np.array([LIST]))[0])  # fewer occurrences, fewer postings
+        shares = keep(post.where(often).groupBy("token").agg(F.ceil(F.count("*") / LIST).alias("shares")).where("shares > 1"))
+        big = post.where(often).join(shares, "token", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+        own = F.pmod(F.xxhash64("lid"), c("shares"))
+        big = big.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), c("shares") - 1)))
+        key = F.when(c("shares") == 1, c("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
+        cols = ["lid", "n", "pos", "bits"]
+        lists = post.where(~often).select(c("token").alias("key"), *cols).union(big.select(key.alias("key"), *cols))
+        lists = lists.repartition("key").sortWithinPartitions("key")
+        out = keep(lists.mapInArrow(_met(self.threshold), "lid long, leader long").distinct())
+        drop(shares)
         tidy(self.spark)
+        return out
+
+    def links(self) -> DataFrame:
+        """(lid, links, near) of sets that are similar to others: to how many, and whether one of them has an earlier line."""
+        c = F.col
+        met = self.meetings()
+        sides = met.groupBy("leader").agg(F.ceil(F.count("*") / SIDE).alias("sides")).where("sides > 1")
+        sides = keep(sides)
+        mine = met.groupBy("lid").agg(F.collect_set("leader").alias("leaders"))
+        named = keep(self.sets.select("lid", "doc_id", "th", "line").join(mine, "lid"))
         wanted = self.spark.sparkContext.broadcast(spots(named, _spot(c("th"), c("line")), BITS))
         got = self.texts.mapInArrow(_fetched(wanted, self.least), "doc_id long, th long, line int, words binary")
         at = ["doc_id", "th", "line"]
-        words = keep(named.join(got, at).groupBy("lid").agg(*[F.first(x).alias(x) for x in (*at, "words")]))
-        drop(named)
-        tidy(self.spark)
-        need = keyed.select("key", c("a").alias("lid")).union(keyed.select("key", c("b").alias("lid"))).distinct()
-        kinds = {"doc_id": "long", "th": "long", "line": "int", "words": "binary"}
-        rows = need.join(words, "lid").select("key", c("lid").alias("a"), F.lit(None).cast("long").alias("b"), *kinds)
-        rows = rows.union(keyed.select("key", "a", "b", *[F.lit(None).cast(k) for k in kinds.values()]))
-        rows = rows.repartition("key").sortWithinPartitions("key", c("b").asc_nulls_first())
-        out = keep(rows.mapInArrow(_verified(self.threshold), "a long, b long"))
-        drop(keyed, words)
+        rows = named.join(got, at).groupBy("lid").agg(*[F.first(x).alias(x) for x in (*at, "leaders", "words")])
+        rows = rows.withColumn("leader", F.explode("leaders")).join(sides, "leader", "left")
+        share = F.pmod(F.xxhash64("lid"), F.coalesce("sides", F.lit(1)))
+        rows = rows.withColumn("own", share).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("sides", F.lit(1)) - 1)))
+        key = F.when(c("sides").isNull(), c("leader")).otherwise(F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")))
+        side = F.when(c("own") == c("other"), -1).when(c("own") < c("other"), 0).otherwise(1)
+        rows = rows.select(key.alias("key"), "leader", side.alias("side"), "lid", *at, "leaders", "words")
+        rows = rows.repartition("key").sortWithinPartitions("key", "leader")
+        out = rows.mapInArrow(_linked(self.threshold), "lid long, links long, near boolean")
+        out = keep(out.groupBy("lid").agg(F.sum("links").alias("links"), F.bool_or("near").alias("near")))
+        drop(met, sides, named)
         tidy(self.spark)
         return out
 
@@ -299,10 +409,8 @@ def _fates(docs: DataFrame, threshold: float, least: int) -> DataFrame:
     """doc_id, th, line, first (the lid of its set's first line), exact, near, links of every line that has a link or an equal."""
     j = _Join(docs, threshold, least)
     links = j.links()
-    ends = links.select(F.col("a").alias("lid"), F.lit(False).alias("late")).union(links.select(F.col("b").alias("lid"), F.lit(True).alias("late")))
-    ends = ends.groupBy("lid").agg(F.count("*").alias("links"), F.max("late").alias("near"))
     at = ["doc_id", "th", "line"]
-    sets = j.sets.select("s1", "s2", "lid", "copies", F.struct(*at).alias("f")).join(ends, "lid", "left").where("copies > 1 or links > 0")
+    sets = j.sets.select("s1", "s2", "lid", "copies", F.struct(*at).alias("f")).join(links, "lid", "left").where("copies > 1 or links > 0")
     out = j.lines.select(*at, "s1", "s2").join(sets, ["s1", "s2"])
     out = out.select(*at, F.col("lid").alias("first"), (F.struct(*at) != F.col("f")).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
     out = keep(out.where("exact or links > 0"))
@@ -335,8 +443,8 @@ def report(docs: DataFrame, threshold: float = SIMILARITY, least: int = LEAST_WO
         F.collect_set(F.when(F.col("links") > 0, F.struct("first", "links"))).alias("met"),
     )
     per = per.withColumn("n_links", F.aggregate("met", F.lit(0).cast("long"), lambda n, x: n + x["links"])).drop("met")
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
-    base = _texts(docs).select("doc_id", "th", n.cast("long").alias("n_lines"), F.md5("text").alias("key"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    base = _texts(docs).select("doc_id", "th", n.cast("long").alias("n_lines"), F.when(F.col("text").isNotNull(), F.struct("th", F.xxhash64(F.lit(1), "text").alias("t2"))).alias("key"))
     classes = base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"))
     out = base.join(classes, "key", "left").join(per, ["doc_id", "th"], "left")
     none, zero = F.array().cast("array<int>"), F.lit(0).cast("long")
