@@ -3,18 +3,20 @@
 A text is its five-word shingles, weighted by how often each occurs. Every element is a Poisson process whose rate is
 its weight; an arrival falls on a random register, and each register keeps the element that came first. Elements stop
 when their next arrival is later than every register's. Two signatures agree in a register with the probability
-Jaccard similarity of the weights. Bands of registers make buckets; within a bucket texts are compared with pivots,
-whose number doubles each round, until no two texts of a bucket that are still in different classes are uncompared.
-A comparison estimates from all registers first, then verifies on the shingles.
+Jaccard similarity of the weights. Bands of registers make buckets. A bucket is named by its least text (the leader), and
+texts of one leader are compared: all registers estimate first, then the shingles verify. A pair that is in one class
+already isn't compared. Large groups are dealt in shares, each with the leader; then texts outside a group's main class
+meet the whole group.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, components, drop, keep, ship, slices, spots, tidy
+from .common import GOLD, array_slices, components, drop, keep, ship, spots, tidy, word_codes
+from .common import mix as _mix
 
 WIDTH, SIMILARITY = 5, 0.8
 #: 25 bands of 5: a pair at 0.8 meets in none with probability 5e-5.
@@ -22,45 +24,52 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Five standard deviations of the estimate below the threshold: pairs under it aren't verified (1 in 3 million at 0.8).
 ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
-PIVOTS = 2
+#: Texts of a group that are compared in one place, and bytes of their packed shingles.
+SIDE, SIDE_BYTES = 512, 32 << 20
 #: Bits of the filter for the texts to fetch for comparison; a chance hit costs time only.
 BITS = 1 << 26
 
-GOLD = 0x9E3779B97F4A7C15
 
+def _words(texts):
+    """Of an Arrow array of texts: the text and the hash of every word."""
+    owner, kind, code, _ = word_codes(texts)
+    return owner, code[kind]
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
 
+def names(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits that name each text's sequence of words, and whether it has any."""
+    count = np.bincount(owner, minlength=n)
+    some = count > 0
+    start = (np.cumsum(count) - count)[some]
+    place = (np.arange(len(owner)) - np.repeat(start, count[some])).astype(np.uint64)
+    out = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
+    with np.errstate(over="ignore"):
+        for o, seed in zip(out, (1, GOLD)):
+            if len(start):
+                o[some] = np.add.reduceat(_mix(h + _mix(place + np.uint64(seed))), start).view(np.int64)
+    return out[0], out[1], some
 
-def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, weight) of the shingles of several texts, by text and hash. A text of one to four words is one shingle.
 
-    Words: runs without \\x20 and \\x09-\\x0D, A-Z lower-cased.
-    """
-    import xxhash
-
-    split = [t.lower().split() for t in texts]
-    n = np.array([len(w) for w in split], np.int64)
-    flat = [x for w in split for x in w]
-    kinds = dict.fromkeys(flat)
-    code = dict(zip(kinds, map(xxhash.xxh64_intdigest, kinds)))
-    h = np.fromiter(map(code.__getitem__, flat), np.uint64, len(flat))
-    owner = np.repeat(np.arange(len(texts)), n)
-    m = max(0, len(flat) - WIDTH + 1)
+def shingles(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, weight) of the shingles of several texts' words, by text and hash. A text of one to four words is one shingle."""
+    m = max(0, len(h) - WIDTH + 1)
     at = np.flatnonzero(owner[:m] == owner[WIDTH - 1 :]) if m else np.zeros(0, np.int64)
     s = np.full(len(at), 7, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(WIDTH):
             s = _mix(s * np.uint64(GOLD) + h[at + k])
     who = owner[at]
-    short = np.flatnonzero((n > 0) & (n < WIDTH))
-    if len(short):
-        s = np.concatenate([s, np.array([xxhash.xxh64_intdigest(b" ".join(split[i])) for i in short], np.uint64)])
-        who = np.concatenate([who, short])
+    count = np.bincount(owner) if len(owner) else np.zeros(0, np.int64)
+    few = (count > 0) & (count < WIDTH)
+    if few.any():
+        start = (np.cumsum(count) - count)[few]
+        whole = np.full(len(start), 7, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(WIDTH - 1):
+                has = count[few] > k
+                whole[has] = _mix(whole[has] * np.uint64(GOLD) + h[start[has] + k])
+            whole = _mix(whole + count[few].astype(np.uint64))
+        s, who = np.concatenate([s, whole]), np.concatenate([who, np.flatnonzero(few)])
     o = np.lexsort((s, who))
     s, who = s[o], who[o]
     new = np.ones(len(s), bool)
@@ -109,13 +118,12 @@ def similarity(x: np.ndarray, xw: np.ndarray, y: np.ndarray, yw: np.ndarray) ->
 
 def _sign(batches):
     import pyarrow as pa
-    import xxhash
 
     for batch in batches:
-        ids, texts = batch.column("doc_id"), column(batch, "text")
-        for a, b in slices(texts):
-            who, h, w = shingles(texts[a:b])
-            sig = signatures(who, h, w, b - a)
+        texts = batch.column("text")
+        for a, b in array_slices(texts):
+            owner, h = _words(texts.slice(a, b - a))
+            sig = signatures(*shingles(owner, h), b - a)
             bands = np.zeros((b - a, BANDS), np.uint64)
             with np.errstate(over="ignore"):
                 for k in range(BANDS):
@@ -123,41 +131,33 @@ def _sign(batches):
                     for r in range(ROWS):
                         x = _mix(x * np.uint64(GOLD) + sig[:, k * ROWS + r])
                     bands[:, k] = x
-            same = [xxhash.xxh3_128_hexdigest(b" ".join(t.lower().split())) if t.split(None, 1) else None for t in texts[a:b]]
+            s1, s2, some = names(owner, h, b - a)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
-            short = [r.tobytes() for r in (sig >> np.uint64(32)).astype("<u4")]
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(same, pa.string()), keys, pa.array(short, pa.binary())], ["doc_id", "same", "bands", "sig"])
-
+            ids = [batch.column(c).slice(a, b - a) for c in ("doc_id", "th")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(s1, mask=~some), pa.array(s2, mask=~some), keys], ["doc_id", "th", "s1", "s2", "bands"])
 
-def _near(batches):
-    """Pairs whose signatures agree in enough registers (their upper 32 bits are compared: equal elements stay equal)."""
-    import pyarrow as pa
-
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, REGISTERS) for c in ("sig_a", "sig_b"))
-        ok = (x == y).mean(1) >= ESTIMATE
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(ok))
 
-
-def _shingled(wanted):
-    """Packed shingles of the rows that the filter lets through."""
+def _packed(wanted):
+    """Names, registers and shingles of the rows that the filter lets through."""
 
     def run(batches):
         import pyarrow as pa
 
         bits = wanted.value
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            at = np.mod(ids, BITS)
-            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
-            ids, texts = batch.column("doc_id"), column(batch, "text")
-            for a, b in slices(texts):
-                who, h, w = shingles(texts[a:b])
+            at = np.mod(batch.column("th").to_numpy(), BITS)
+            texts = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool))).column("text")
+            for a, b in array_slices(texts):
+                owner, h = _words(texts.slice(a, b - a))
+                s1, s2, _ = names(owner, h, b - a)
+                who, h, w = shingles(owner, h)
+                # upper halves: equal registers stay equal, and the order of shingles stays; chance equals within a pair of
+                # texts are under 1e-4 shingles on average
+                sig = (signatures(who, h, w, b - a) >> np.uint64(32)).astype("<u4")
                 cut = np.searchsorted(who, np.arange(b - a + 1))
-                # upper halves keep the order; chance equals within a pair of texts are under 1e-4 shingles on average
                 h, w = (h >> np.uint64(32)).astype("<u4"), w.astype("<u4")
                 out = [(b"" if (w[i:j] == 1).all() else b"w" + w[i:j].tobytes()) + h[i:j].tobytes() for i, j in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(out, pa.binary())], ["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(out, pa.binary())], ["s1", "s2", "sig", "set"])
 
     return run
 
@@ -170,93 +170,158 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return kinds, np.bincount(inverse, weights=w, minlength=len(kinds))
 
 
-def _verified(threshold):
+def _joined(threshold):
+    """Rows by key: texts of a group with the class they are in. Edges (a, b) that join those that are similar, a tree a class."""
+
+    def joined(rows):
+        sig = np.frombuffer(b"".join(r[2] for r in rows), "<u4").reshape(-1, REGISTERS)
+        up, sets = list(range(len(rows))), {}
+        first: dict = {}
+        for i, r in enumerate(rows):
+            up[i] = first.setdefault(r[1], i)
+
+        def top(i):
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        def unpacked(i):
+            if len(sets) > 256 and i not in sets:
+                sets.clear()
+            return sets[i] if i in sets else sets.setdefault(i, _unpack(rows[i][3]))
+
+        out = []
+        for i in range(len(rows) - 1):
+            share = (sig[i + 1 :] == sig[i]).mean(1)
+            for j in (np.flatnonzero(share >= ESTIMATE) + i + 1).tolist():
+                a, b = top(i), top(j)
+                if a != b and similarity(*unpacked(i), *unpacked(j)) >= threshold:
+                    up[b] = a
+                    out.append((rows[i][0], rows[j][0]))
+        return out
+
     def run(batches):
         import pyarrow as pa
 
+        def told(out):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        now, rows = None, []
         for batch in batches:
-            seen: dict = {}
-            ok = []
-            for a, x, b, y in zip(*(batch.column(c).to_pylist() for c in ("a", "set_a", "b", "set_b"))):
-                if len(seen) > 64:
-                    seen = {}
-                x = seen[a] if a in seen else seen.setdefault(a, _unpack(x))
-                ok.append(similarity(*x, *_unpack(y)) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            out = []
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "lid", "root", "sig", "set"))):
+                if key != now:
+                    out += joined(rows) if len(rows) > 1 else []
+                    now, rows = key, []
+                rows.append(row)
+            yield told(out)
+        if len(rows) > 1:
+            yield told(joined(rows))
 
     return run
 
 
-def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the least doc_id of its class), copy_of (the least doc_id with the same words).
+def _edges(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Edges within each key of rows (key, lid, root)."""
+    rows = rows.distinct().join(sets.select("lid", "sig", "set"), "lid").select("key", "lid", "root", "sig", "set")
+    return keep(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_joined(threshold), "a long, b long"))
 
-    Texts without a word (null, empty, blank) and rows without doc_id are classes of their own. Classes are the
-    connected components of verified links. An empty table gives none.
-    """
+
+def _rest(meet: DataFrame, sides: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, lid, root) of the comparisons left in large groups: who isn't in the group's main class meets all of the group."""
+    c = F.col
+    of = meet.join(sides, "leader").join(root.select(c("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+    of = keep(of)
+    per = of.groupBy("leader", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    per = per.groupBy("leader").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("most"))
+    open_ = keep(per.where("kinds > 1").select("leader", "main", _sides(c("n") - c("most"), c("bytes")).alias("odd"), _sides(c("n"), c("bytes")).alias("all")))
+    if open_.isEmpty():
+        return None
+    x = of.select("leader", "lid", "root").join(open_, "leader").withColumn("main", c("root") == c("main"))
+    h = F.xxhash64("lid", F.lit(2))
+    own = F.when(c("main"), c("odd") + F.pmod(h, c("all"))).otherwise(F.pmod(h, c("odd")))
+    last = F.when(c("main"), c("odd") - 1).otherwise(c("odd") + c("all") - 1)
+    x = x.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return x.select(F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "lid", "root")
+
+
+def _sides(n, size):
+    return F.ceil(F.greatest(n / SIDE, size / SIDE_BYTES))
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, th, first (doc_id, th of the least row of the class) and copy_of, of every row of docs; both null where it has no class."""
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = keep(texts.mapInArrow(_sign, "doc_id long, same string, bands array<long>, sig binary"))
-    real = signed.where("same is not null and doc_id is not null")
-    reps = real.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    # the signature of a representative comes from its own row; a doc_id with several texts keeps one row a text
-    reps = keep(real.join(reps, "same").where("doc_id = rep").groupBy("same").agg(F.min("rep").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    member = reps.select(F.col("rep").alias("doc"), F.explode("bands").alias("bucket"))
-    sizes = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc"), "doc"))["doc"].alias("pivot"))
-    first = member.join(sizes.where("n > 1"), "bucket")
-    shared = keep(first)
-    cand = shared.select(F.col("doc").alias("doc_id")).distinct()
-    wanted = spark.sparkContext.broadcast(spots(cand, F.pmod("doc_id", F.lit(BITS)), BITS))
-    sets = texts.where("doc_id is not null").mapInArrow(_shingled(wanted), "doc_id long, set binary")
-    sets = keep(sets.join(cand, "doc_id").dropDuplicates(["doc_id"]))
-    sigs = reps.select(F.col("rep").alias("id"), "sig").dropDuplicates(["id"])
-
-    def links(pairs: DataFrame) -> DataFrame:
-        p = pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).where("a <> b").distinct()
-        p = p.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        p = p.mapInArrow(_near, "a long, b long")
-        p = p.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-        return p.select("a", "set_a", "b", "set_b").mapInArrow(_verified(threshold), "a long, b long")
-
-    found = keep(links(shared.select(F.col("pivot").alias("a"), F.col("doc").alias("b"))))
+    c = F.col
+    text = c("text").cast("string")
+    texts = docs.select(c("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    signed = keep(texts.mapInArrow(_sign, "doc_id long, th long, s1 long, s2 long, bands array<long>"))
+    real = signed.where("s1 is not null and doc_id is not null")
+    reps = real.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "th")).alias("f"), F.first("bands").alias("bands"))
+    reps = keep(reps.select("s1", "s2", "f", "bands").withColumn("lid", F.monotonically_increasing_id()))
+    tidy(spark)
+    member = reps.select("lid", F.explode("bands").alias("bucket"))
+    lead = member.groupBy("bucket").agg(F.min("lid").alias("leader"), F.max("lid").alias("hi")).where("leader < hi").select("bucket", "leader")
+    meet = keep(member.join(lead, "bucket").select("lid", "leader").distinct())
+    tidy(spark)
+    cand = keep(meet.select("lid").distinct().join(reps.select("lid", "s1", "s2", c("f.th").alias("th")), "lid"))
+    wanted = spark.sparkContext.broadcast(spots(cand, F.pmod("th", F.lit(BITS)), BITS))
+    sets = texts.where("doc_id is not null").mapInArrow(_packed(wanted), "s1 long, s2 long, sig binary, set binary")
+    sets = keep(sets.join(cand.select("s1", "s2", "lid"), ["s1", "s2"]).groupBy("lid").agg(F.first("sig").alias("sig"), F.first("set").alias("set")))
+    drop(cand)
+    meet_all, meet = meet, keep(meet.join(sets.select("lid", F.length("set").alias("bytes")), "lid"))
+    drop(meet_all)
+    sides = keep(meet.groupBy("leader").agg(_sides(F.count("*"), F.sum("bytes")).alias("sides")).where("sides > 1"))
+    rows = meet.join(sides, "leader", "left").withColumn("sides", F.coalesce("sides", F.lit(1)))
+    own = F.array(F.pmod(F.xxhash64("lid"), c("sides")))
+    every = F.sequence(F.lit(0).cast("long"), c("sides") - 1)  # the leader is in all shares
+    rows = rows.withColumn("own", F.explode(F.when(c("lid") == c("leader"), every).otherwise(own)))
+    rows = rows.select(F.when(c("sides") == 1, c("leader")).otherwise(F.xxhash64("leader", "own")).alias("key"), "lid", c("lid").alias("root"))
+    found = _edges(rows, sets, threshold)
     tidy(spark)
     root = keep(components(found))
-    # buckets of two are done; in the others, whoever was no pivot yet
-    rest = keep(shared.where("n > 2 and doc <> pivot").select("bucket", "doc"))
-    pivots = PIVOTS
-    while True:
-        of = rest.join(root.select(F.col("node").alias("doc"), "root"), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
-        open_ = of.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        live = keep(of.join(open_, "bucket"))
-        # members outside the bucket's largest class first, in one order for all buckets
-        of_root, of_bucket = F.count("*").over(Window.partitionBy("bucket", "root")), F.count("*").over(Window.partitionBy("bucket"))
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("most", F.xxhash64("doc", F.lit(pivots)), "doc"))
-        pivot = keep(live.select("bucket", "doc", "root", (2 * of_root > of_bucket).alias("most")).select("bucket", F.col("doc").alias("p"), F.col("root").alias("p_root"), rank.alias("k")).where(F.col("k") <= pivots).drop("k"))
-        if pivot.isEmpty():
-            break
-        pairs = live.join(pivot, "bucket").where("root <> p_root").select(F.col("p").alias("a"), F.col("doc").alias("b"))
-        found = keep(links(pairs))
+    drop(found)
+    rest = _rest(meet, sides, root)
+    if rest is not None:
+        found = _edges(rest, sets, threshold)
         old = root
         root = keep(components(found.union(old.select("root", "node"))))
-        nxt = keep(live.select("bucket", "doc").join(pivot.select("bucket", F.col("p").alias("doc")), ["bucket", "doc"], "left_anti"))
-        drop(rest, live, pivot, found, old)
-        rest, pivots = nxt, pivots * 2
-        tidy(spark)
-    drop(rest, live, pivot, shared, sets)
-    named = reps.select("same", "rep").join(root.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    named = named.select("same", "rep", F.coalesce("root", "rep").alias("root"))
-    out = signed.select("doc_id", "same").join(named, "same", "left")
-    real = F.col("doc_id").isNotNull() & F.col("rep").isNotNull()
-    return out.select("doc_id", F.when(real, F.col("root")).otherwise(F.col("doc_id")).alias("class_id"), F.when(real, F.col("rep")).otherwise(F.col("doc_id")).alias("copy_of"))
-
-
-def dedup(docs: DataFrame, **kw) -> DataFrame:
-    """docs with the row of least doc_id of each class; of rows repeated under one doc_id and class, one."""
-    c = classes(docs, **kw)
-    lost = keep(c.where("doc_id <> class_id").select("doc_id").distinct())
-    out = docs.join(lost, "doc_id", "left_anti").select(docs.columns)
-    again = keep(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    if again.isEmpty():
-        return out
-    once = out.join(again, "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
-    return out.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+        drop(found, old)
+    drop(meet, sets, sides)
+    tidy(spark)
+    named = reps.select("s1", "s2", "lid", "f").join(root.select(c("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+    least = named.groupBy("root").agg(F.min("f").alias("first"))
+    named = keep(named.join(least, "root").select("s1", "s2", "first", c("f.doc_id").alias("copy_of")))
+    out = keep(signed.select("doc_id", "th", F.when(c("doc_id").isNotNull(), c("s1")).alias("s1"), "s2").join(named, ["s1", "s2"], "left").select("doc_id", "th", "first", "copy_of"))
+    drop(signed, reps, root, named)
+    tidy(spark)
+    return out
+
+
+def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (the least doc_id of its class), copy_of (the least doc_id with the same words).
+
+    Texts without a word (null, empty, blank) and rows without doc_id are classes of their own. Classes are the
+    connected components of verified links; rows repeated under a doc_id are told apart by their words. An empty table gives none.
+    """
+    return _classes(docs, threshold).select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"))
+
+
+def dedup(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each class: that of least doc_id, then xxhash64 of the text; of rows equal in both, any one.
+
+    Texts without a word and rows without doc_id stay, all of them. Other columns are passed on, whatever their names.
+    """
+    own = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(own))])
+    rows = rows.withColumn("id", F.col(f"c{own.index('doc_id')}").cast("long")).withColumn("th", F.xxhash64(F.col(f"c{own.index('text')}").cast("string")))
+    c = _classes(docs.select("doc_id", "text"), threshold).where("first is not null")
+    lost = keep(c.where("first <> struct(doc_id, th)").select(F.col("doc_id").alias("id"), "th").distinct())
+    again = keep(c.groupBy(F.col("doc_id").alias("id"), "th").agg(F.count("*").alias("n")).where("n > 1").select("id", "th"))
+    rows = rows.join(lost, ["id", "th"], "left_anti")
+    if not again.isEmpty():
+        once = rows.join(again, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+        rows = rows.join(again, ["id", "th"], "left_anti").unionByName(once)
+    return rows.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(own)])
