@@ -320,15 +320,17 @@ def _linked(threshold):
         def told(out):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.bool_())], ["lid", "links", "near"])
 
-        now, lead, lines = None, None, []
+        now, lead, lines, seen = None, None, [], set()
         for batch in batches:
             out = []
             for key, leader, side, lid, doc, th, line, leaders, words in zip(*(batch.column(c).to_pylist() for c in ("key", "leader", "side", "lid", "doc_id", "th", "line", "leaders", "words"))):
                 if key != now:
                     if len(lines) > 1:
                         out += counted(lead, lines)
-                    now, lead, lines = key, leader, []
-                lines.append((side, lid, (doc, th, line), leaders, np.frombuffer(words, "<u8")))
+                    now, lead, lines, seen = key, leader, [], set()
+                if lid not in seen:  # rows with equal doc_id and text are one document
+                    seen.add(lid)
+                    lines.append((side, lid, (doc, th, line), leaders, np.frombuffer(words, "<u8")))
             yield told(out)
         if len(lines) > 1:
             yield told(counted(lead, lines))
@@ -355,7 +357,6 @@ class _Join:
         self.sets = keep(sets.select("s1", "s2", "f.*", "copies", "n", "bits", "lone", "prefix"))
         self.lines = keep(wide.select("doc_id", "th", "line", "s1", "s2"))
         drop(wide)
-        tidy(spark)
 
     def meetings(self) -> DataFrame:
         """(lid, leader), each once: two lines that are similar have a leader in common.
@@ -376,13 +377,18 @@ class _Join:
         lists = lists.repartition("key").sortWithinPartitions("key")
         out = keep(lists.mapInArrow(_met(self.threshold), "lid long, leader long").distinct())
         drop(shares)
-        tidy(self.spark)
         return out
 
     def links(self) -> DataFrame:
         """(lid, links, near) of sets that are similar to others: to how many, and whether one of them has an earlier line."""
         c = F.col
-        met = self.meetings()
+        tidy(self.spark)  # what the tables before were made of
+        first = self.meetings()
+        tidy(self.spark)
+        # leaders that meet a lesser one give way to it, alike for all their lines
+        least = first.groupBy("lid").agg(F.min("leader").alias("least")).select(c("lid").alias("leader"), "least")
+        met = keep(first.join(least, "leader").select("lid", c("least").alias("leader")).distinct())
+        drop(first)
         sides = met.groupBy("leader").agg(F.ceil(F.count("*") / SIDE).alias("sides")).where("sides > 1")
         sides = keep(sides)
         mine = met.groupBy("lid").agg(F.collect_set("leader").alias("leaders"))
@@ -390,8 +396,7 @@ class _Join:
         wanted = self.spark.sparkContext.broadcast(spots(named, _spot(c("th"), c("line")), BITS))
         got = self.texts.mapInArrow(_fetched(wanted, self.least), "doc_id long, th long, line int, words binary")
         at = ["doc_id", "th", "line"]
-        rows = named.join(got, at).groupBy("lid").agg(*[F.first(x).alias(x) for x in (*at, "leaders", "words")])
-        rows = rows.withColumn("leader", F.explode("leaders")).join(sides, "leader", "left")
+        rows = named.join(got, at).withColumn("leader", F.explode("leaders")).join(sides, "leader", "left")
         share = F.pmod(F.xxhash64("lid"), F.coalesce("sides", F.lit(1)))
         rows = rows.withColumn("own", share).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("sides", F.lit(1)) - 1)))
         key = F.when(c("sides").isNull(), c("leader")).otherwise(F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")))
@@ -401,7 +406,6 @@ class _Join:
         out = rows.mapInArrow(_linked(self.threshold), "lid long, links long, near boolean")
         out = keep(out.groupBy("lid").agg(F.sum("links").alias("links"), F.bool_or("near").alias("near")))
         drop(met, sides, named)
-        tidy(self.spark)
         return out
 
 
@@ -409,13 +413,13 @@ def _fates(docs: DataFrame, threshold: float, least: int) -> DataFrame:
     """doc_id, th, line, first (the lid of its set's first line), exact, near, links of every line that has a link or an equal."""
     j = _Join(docs, threshold, least)
     links = j.links()
+    tidy(j.spark)
     at = ["doc_id", "th", "line"]
     sets = j.sets.select("s1", "s2", "lid", "copies", F.struct(*at).alias("f")).join(links, "lid", "left").where("copies > 1 or links > 0")
     out = j.lines.select(*at, "s1", "s2").join(sets, ["s1", "s2"])
     out = out.select(*at, F.col("lid").alias("first"), (F.struct(*at) != F.col("f")).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
     out = keep(out.where("exact or links > 0"))
     drop(j.sets, j.lines, links)
-    tidy(j.spark)
     return out
 
 
