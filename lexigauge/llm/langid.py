@@ -7,7 +7,10 @@ languages, so switches inside a text are seen; marginals come from the forward-b
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
+import unicodedata
 from itertools import repeat
 
 import numpy as np
@@ -16,18 +19,33 @@ from pyspark.sql import functions as F
 
 from .common import column, ship, slices
 
-#: Bounds of the training sample: texts per language, spliced sequences, their words; and languages in all.
-TRAIN_TEXTS, SEQUENCES, LENGTH, LANGUAGES = 150, 1600, 36, 64
+#: Bounds of the training sample: texts per language, texts in all (each language keeps one at least), spliced sequences, their words.
+TRAIN_TEXTS, TRAIN_ALL, SEQUENCES, LENGTH = 150, 9600, 1600, 36
 FEATURES, LEXICON, EPOCHS, RATE, L2 = 1 << 16, 300, 60, 0.15, 1e-4
 #: Word types a worker remembers between texts.
 REMEMBERED = 200_000
 
-WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
+@functools.cache
+def _word() -> re.Pattern:
+    """By Unicode category: letters, then letters and marks."""
+    kinds = {"L": [], "M": []}
+    for i in range(sys.maxunicode + 1):
+        if (k := unicodedata.category(chr(i))[0]) in kinds:
+            runs = kinds[k]
+            if runs and runs[-1][1] == i - 1:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+    letters, marks = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in kinds[k]) for k in "LM")
+    return re.compile(f"[{letters}][{letters}{marks}]*")
+
+
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters and combining marks that start with a letter, lower-cased."""
+    return _word().findall(text.lower())
 
 
 def _hash(cols, salt: int) -> np.ndarray:
@@ -232,14 +250,15 @@ def _predict(model):
 
 
 def sample(docs: DataFrame, folds: int, test_fold: int, per_language: int = TRAIN_TEXTS) -> list[tuple[str, str]]:
-    """At most per_language labelled training texts of each language, the least by hash; the LANGUAGES most frequent languages."""
+    """At most per_language labelled training texts of each language, the least by hash; fewer of each if they would be more than TRAIN_ALL, but one."""
     d = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string"), F.col("text").cast("string"))
     held = F.coalesce(F.crc32(F.col("id").cast("binary")) % folds == test_fold, F.lit(False))
     d = d.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held)
-    langs = [r["lang"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    many = d.select("lang").distinct().count()
+    per_language = max(1, min(per_language, TRAIN_ALL // max(1, many)))
     # the limit by rank is applied in every task before rows are shuffled
     w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), F.xxhash64("text"))
-    keys = d.where(F.col("lang").isin(langs)).select("id", "lang", "text", F.row_number().over(w).alias("k")).where(F.col("k") <= per_language)
+    keys = d.select("id", "lang", "text", F.row_number().over(w).alias("k")).where(F.col("k") <= per_language)
     return sorted((r["lang"], r["text"]) for r in keys.select("lang", "text").collect())
 
 
