@@ -21,7 +21,7 @@ SIMILARITY = 0.8
 #: Lines of fewer distinct words stay: only those without any.
 LEAST_WORDS = 1
 #: Cells that count words by hash, log2. Words that share one are ordered as if they were as frequent as both together.
-CELLS = 23
+CELLS = 24
 #: Cells are summed in blocks of so many, log2.
 BLOCK = 12
 #: Postings of a word that meet in one place; those of a more frequent one are dealt in shares, each two of which meet.
@@ -124,11 +124,13 @@ class Sets:
         with np.errstate(over="ignore"):
             return tuple(np.add.reduceat(mix(self.hash + np.uint64(s)), self.start).view(np.int64) for s in (1, GOLD))
 
-    def parity(self) -> np.ndarray:
-        """64 bits, each the parity of the words that hash to it."""
+    def parity(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits, each the parity of the words that hash to it."""
         if not len(self.start):
-            return np.zeros(0, np.int64)
-        return np.bitwise_xor.reduceat(np.uint64(1) << (mix(self.hash) >> np.uint64(58)), self.start).view(np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        bit = mix(self.hash) >> np.uint64(57)
+        one = np.uint64(1) << (bit & np.uint64(63))
+        return tuple(np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, one, np.uint64(0)), self.start).view(np.int64) for k in (0, 1))
 
 
 def _split(texts):
@@ -162,10 +164,11 @@ def _lines(level, least, threshold):
                 n_met = np.bincount(owner[met], minlength=len(p))
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_met)]).astype(np.int32)), pa.array(token[met].view(np.int64)))
                 s1, s2 = s.sums()
+                even, odd = s.parity()
                 lid = part + next_id + np.arange(len(s.kept))
                 next_id += len(s.kept)
                 doc, th = (batch.column(c).slice(a, b - a).take(pa.array(text)) for c in ("doc_id", "th"))
-                cols = {"doc_id": doc, "th": th, "line": pa.array(line.astype(np.int32)), "lid": pa.array(lid), "s1": pa.array(s1), "s2": pa.array(s2), "n": pa.array(s.size.astype(np.int32)), "bits": pa.array(s.parity()), "lone": pa.array((p - n_met).astype(np.int32)), "prefix": prefix}
+                cols = {"doc_id": doc, "th": th, "line": pa.array(line.astype(np.int32)), "lid": pa.array(lid), "s1": pa.array(s1), "s2": pa.array(s2), "n": pa.array(s.size.astype(np.int32)), "bits": pa.array(even), "bits2": pa.array(odd), "lone": pa.array((p - n_met).astype(np.int32)), "prefix": prefix}
                 yield pa.RecordBatch.from_pydict(cols)
 
     return run
@@ -218,7 +221,7 @@ def _met(threshold):
     Such pairs make a graph; the leader is the least line of its component there.
     """
 
-    def found(key, lid, n, pos, bits):
+    def found(key, lid, n, pos, *bits):
         new = np.concatenate([[True], key[1:] != key[:-1]])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(key)))
@@ -229,7 +232,7 @@ def _met(threshold):
             # at a pair's first shared token none before is shared
             ok = (np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-9) & (np.minimum(nx - pos[x], ny - pos[y]) >= need)
             x, y, room = x[ok], y[ok], (nx + ny - 2 * need)[ok]
-            ok = np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)) <= room
+            ok = sum(np.bitwise_count((b[x] ^ b[y]).view(np.uint64)) for b in bits) <= room
             xs.append(x[ok])
             ys.append(y[ok])
         x, y = np.concatenate([*xs, np.zeros(0, np.int64)]), np.concatenate([*ys, np.zeros(0, np.int64)])
@@ -246,7 +249,7 @@ def _met(threshold):
     def run(batches):
         import pyarrow as pa
 
-        names, kept = ("key", "lid", "n", "pos", "bits"), None
+        names, kept = ("key", "lid", "n", "pos", "bits", "bits2"), None
         for batch in batches:
             cols = [batch.column(c).to_numpy() for c in names]
             if kept is not None:
@@ -350,11 +353,11 @@ class _Join:
         self.threshold, self.least = threshold, least
         self.texts = _texts(docs).where("doc_id is not null and text is not null")
         level = spark.sparkContext.broadcast(order(self.texts).tobytes())
-        schema = "doc_id long, th long, line int, lid long, s1 long, s2 long, n int, bits long, lone int, prefix array<long>"
+        schema = "doc_id long, th long, line int, lid long, s1 long, s2 long, n int, bits long, bits2 long, lone int, prefix array<long>"
         wide = keep(self.texts.mapInArrow(_lines(level, least, threshold), schema))
         first = F.min(F.struct("doc_id", "th", "line", "lid")).alias("f")
-        sets = wide.groupBy("s1", "s2").agg(first, F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "bits", "lone", "prefix")])
-        self.sets = keep(sets.select("s1", "s2", "f.*", "copies", "n", "bits", "lone", "prefix"))
+        sets = wide.groupBy("s1", "s2").agg(first, F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "bits", "bits2", "lone", "prefix")])
+        self.sets = keep(sets.select("s1", "s2", "f.*", "copies", "n", "bits", "bits2", "lone", "prefix"))
         self.lines = keep(wide.select("doc_id", "th", "line", "s1", "s2"))
         drop(wide)
 
@@ -364,15 +367,15 @@ class _Join:
         Postings meet by token. A token of more than LIST postings is dealt in shares, each two of which meet.
         """
         c = F.col
-        post = self.sets.where("size(prefix) > 0").select("lid", "n", "bits", "lone", F.posexplode("prefix").alias("at", "token"))
-        post = post.select("token", "lid", "n", (c("lone") + c("at")).alias("pos"), "bits")
+        post = self.sets.where("size(prefix) > 0").select("lid", "n", "bits", "bits2", "lone", F.posexplode("prefix").alias("at", "token"))
+        post = post.select("token", "lid", "n", (c("lone") + c("at")).alias("pos"), "bits", "bits2")
         often = F.shiftrightunsigned("token", 56) >= int(levels(np.array([LIST]))[0])  # fewer occurrences, fewer postings
         shares = keep(post.where(often).groupBy("token").agg(F.ceil(F.count("*") / LIST).alias("shares")).where("shares > 1"))
         big = post.where(often).join(shares, "token", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
         own = F.pmod(F.xxhash64("lid"), c("shares"))
         big = big.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), c("shares") - 1)))
         key = F.when(c("shares") == 1, c("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
-        cols = ["lid", "n", "pos", "bits"]
+        cols = ["lid", "n", "pos", "bits", "bits2"]
         lists = post.where(~often).select(c("token").alias("key"), *cols).union(big.select(key.alias("key"), *cols))
         lists = lists.repartition("key").sortWithinPartitions("key")
         out = keep(lists.mapInArrow(_met(self.threshold), "lid long, leader long").distinct())
@@ -380,7 +383,7 @@ class _Join:
         return out
 
     def links(self) -> DataFrame:
-        """(lid, links, near) of sets that are similar to others: to how many, and whether one of them has an earlier line."""
+        """Sets that are similar to others (s1, s2, lid, f: the first line): links, to how many; near, whether one of them has an earlier line."""
         c = F.col
         tidy(self.spark)  # what the tables before were made of
         first = self.meetings()
@@ -392,11 +395,11 @@ class _Join:
         sides = met.groupBy("leader").agg(F.ceil(F.count("*") / SIDE).alias("sides")).where("sides > 1")
         sides = keep(sides)
         mine = met.groupBy("lid").agg(F.collect_set("leader").alias("leaders"))
-        named = keep(self.sets.select("lid", "doc_id", "th", "line").join(mine, "lid"))
+        named = keep(self.sets.select("lid", "doc_id", "th", "line", "s1", "s2").join(mine, "lid"))
         wanted = self.spark.sparkContext.broadcast(spots(named, _spot(c("th"), c("line")), BITS))
         got = self.texts.mapInArrow(_fetched(wanted, self.least), "doc_id long, th long, line int, words binary")
         at = ["doc_id", "th", "line"]
-        rows = named.join(got, at).withColumn("leader", F.explode("leaders")).join(sides, "leader", "left")
+        rows = named.drop("s1", "s2").join(got, at).withColumn("leader", F.explode("leaders")).join(sides, "leader", "left")
         share = F.pmod(F.xxhash64("lid"), F.coalesce("sides", F.lit(1)))
         rows = rows.withColumn("own", share).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("sides", F.lit(1)) - 1)))
         key = F.when(c("sides").isNull(), c("leader")).otherwise(F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")))
@@ -404,7 +407,8 @@ class _Join:
         rows = rows.select(key.alias("key"), "leader", side.alias("side"), "lid", *at, "leaders", "words")
         rows = rows.repartition("key").sortWithinPartitions("key", "leader")
         out = rows.mapInArrow(_linked(self.threshold), "lid long, links long, near boolean")
-        out = keep(out.groupBy("lid").agg(F.sum("links").alias("links"), F.bool_or("near").alias("near")))
+        out = out.groupBy("lid").agg(F.sum("links").alias("links"), F.bool_or("near").alias("near"))
+        out = keep(out.join(named.select("s1", "s2", "lid", F.struct(*at).alias("f")), "lid").select("s1", "s2", "lid", "f", "links", "near"))
         drop(met, sides, named)
         return out
 
@@ -415,9 +419,12 @@ def _fates(docs: DataFrame, threshold: float, least: int) -> DataFrame:
     links = j.links()
     tidy(j.spark)
     at = ["doc_id", "th", "line"]
-    sets = j.sets.select("s1", "s2", "lid", "copies", F.struct(*at).alias("f")).join(links, "lid", "left").where("copies > 1 or links > 0")
+    more = j.sets.where("copies > 1").select("s1", "s2", "lid", F.struct(*at).alias("f"))
+    own = links.select("lid", F.lit(True).alias("own"))
+    more = more.join(own, "lid", "left").where("own is null").select("s1", "s2", "lid", "f", F.lit(0).cast("long").alias("links"), F.lit(False).alias("near"))
+    sets = links.union(more)
     out = j.lines.select(*at, "s1", "s2").join(sets, ["s1", "s2"])
-    out = out.select(*at, F.col("lid").alias("first"), (F.struct(*at) != F.col("f")).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = out.select(*at, F.col("lid").alias("first"), (F.struct(*at) != F.col("f")).alias("exact"), "near", "links")
     out = keep(out.where("exact or links > 0"))
     drop(j.sets, j.lines, links)
     return out
