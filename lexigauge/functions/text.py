@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +16,31 @@ ADVICE_PHRASE = ("the translation", "if needed", "if context requires", "which i
 ADVICE = rf"(?i)^\s*({'|'.join(ADVICE_START)})\b|\b({'|'.join(ADVICE_PHRASE)})\b"
 
 
+QUOTES = "'\"‘’“”"
+QUOTED_CHOICE = rf"[{QUOTES}][^{QUOTES}]+[{QUOTES}]\s*(?:/|\bor\b)\s*[{QUOTES}]"
+# Dashes that count as one, and namespaces that hold no articles.
+DASHES = "[\u2010-\u2015\u2212]"
+NAMESPACES = ("Category:", "File:", "Template:", "Help:", "Wikipedia:", "Talk:", "User:", "Portal:", "Special:", "Media:", "MediaWiki:", "Module:", "Служебная:", "Категория:", "Файл:", "Шаблон:", "Справка:", "Википедия:", "Обсуждение:", "Участник:", "Портал:")
+
+
+def norm_text(s: str) -> str:
+    """A key for comparing labels: NFC, one kind of dash, е for ё, single spaces, case folded."""
+    s = re.sub(DASHES, "-", unicodedata.normalize("NFC", s)).replace("ё", "е").replace("Ё", "Е")
+    return re.sub(r"\s+", " ", s).strip().casefold()
+
+
+def norm(c: Column) -> Column:
+    """norm_text of a column; Spark has neither NFC nor case folding, so this is an Arrow function. Each kind of value is folded once a batch."""
+
+    @F.pandas_udf("string")
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            known = {v: norm_text(v) for v in x.dropna().unique()}
+            yield pd.Series([known.get(v) for v in x], dtype=object)
+
+    return fold(c)
+
+
 def tokens(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda t: t != "")
 
@@ -21,7 +51,8 @@ def token_index(text: Column, pos: Column) -> Column:
 
 
 def is_advice(c: Column) -> Column:
-    return F.coalesce(c.rlike(ADVICE), F.lit(False))
+    """Starts like advice, holds a phrase of advice, or offers a quoted alternative to something quoted."""
+    return F.coalesce(c.rlike(ADVICE) | c.rlike(QUOTED_CHOICE), F.lit(False))
 
 
 def colour(score: Column) -> Column:
@@ -50,18 +81,38 @@ def shares_stems(reference: Column, found: Column, least: float = 0.6) -> Column
     return F.size(F.array_intersect(reference, found)) >= least * F.size(reference)
 
 
+# What goes from Markdown, in this order; table rows are joined between the two lists.
+MARKS = ((r"\r\n", "\n"), (r"(?m)^```[^\n]*$", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\(([^)]*)\)", "$1"), (r"<[^>\n]+>", ""), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"(?m)^([-*_]){3,}\s*$", ""), (r"(?m)^\|?[\s:|-]+\|[\s:|-]*$", ""))
+SPANS = ((r"(\*\*|__)(.*?)\1", "$2"), (r"(\*|_)(?=\S)(.*?)(?<=\S)\1", "$2"), (r"`([^`]*)`", "$1"), (r"\n{3,}", "\n\n"))
+
+
 def strip_markdown(c: Column) -> Column:
-    """Emphasis, headings, quotes, list marks, links, images, code marks."""
-    for pattern, new in ((r"!\[([^\]]*)\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^>[ \t]?", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"`([^`]*)`", "$1")):
+    """Markdown as plain text: fences, images, links, tags, headings, quotes, rules, tables, emphasis and code marks go, their text stays."""
+    for pattern, new in MARKS:
         c = F.regexp_replace(c, pattern, new)
-    return F.trim(c)
+    row = "\ue000"  # marks a table row
+    c = F.regexp_replace(c, r"(?m)^\|(.+)\|\s*$", f"{row}$1")
+    cells = lambda x: F.array_join(F.filter(F.transform(F.split(F.substr(x, F.lit(2)), r"\|"), lambda y: F.trim(y)), lambda y: y != ""), " — ")
+    c = F.array_join(F.transform(F.split(c, "\n"), lambda x: F.when(x.startswith(row), cells(x)).otherwise(x)), "\n")
+    for pattern, new in SPANS:
+        c = F.regexp_replace(c, pattern, new)
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def any_title(href: Column) -> Column:
+    """The title in an href that starts with ./ or /wiki/, decoded, without its anchor; null for others."""
+    body = F.regexp_extract(href, r"(?s)^(?:\./|/wiki/)([^#]*)", 1)
+    title = F.translate(F.try_url_decode(F.replace(body, F.lit("+"), F.lit("%2B"))), "_", " ")
+    return F.when(href.rlike(r"^(?:\./|/wiki/)"), F.coalesce(title, F.translate(body, "_", " ")))
 
 
 def link_title(href: Column) -> Column:
-    """The page title in a main-namespace href; null for external links, other namespaces and anchors."""
-    body = F.regexp_replace(F.regexp_replace(href, r"^(\./|/wiki/|/)", ""), "#.*$", "")
-    outside = href.rlike("^[a-z]+://|^//|^#") | (body == "") | body.rlike(r"(?i)^(file|category|template|help|special|talk|user|portal|wikipedia):")
-    return F.when(~outside, F.translate(F.url_decode(body), "_", " "))
+    """any_title, but null for other namespaces than that of articles."""
+    title = any_title(href)
+    outside = F.lit(False)
+    for prefix in NAMESPACES:
+        outside = outside | title.startswith(prefix)
+    return F.when(~outside, title)
 
 
 def signed_year(c: Column) -> Column:

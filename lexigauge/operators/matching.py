@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigauge.functions import text
+
+
+def _sides(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
+    """Gold and predicted mentions that share their keys with one of the other side; side tells which they are."""
+    cols = ["title", "idx", "surface", "qid", "span"]
+    half = lambda d, o, name: d.join(o.select(*keys).distinct(), keys, "left_semi").select(F.lit(name).alias("side"), *cols)
+    return half(gold, pred, "gold").union(half(pred, gold, "pred"))
+
 
 def strict(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Gold mentions with a prediction of the same place, entity and normalised surface."""
-    norm = F.lower(F.trim("surface")).alias("norm")
-    keys = ["title", "idx", "qid", "norm"]
-    return gold.withColumn("norm", norm).join(pred.select("title", "idx", "qid", norm), keys, "left_semi").select(gold.columns)
+    """Mentions of both sides with the same place, entity and normalised surface as one of the other side."""
+    folded = lambda d: d.withColumn("norm", text.norm(F.col("surface")))
+    return _sides(folded(gold), folded(pred), ["title", "idx", "qid", "norm"])
 
 
 def overlapping(gold: DataFrame, pred: DataFrame, same_entity: bool = True, floor: int = 1) -> DataFrame:
@@ -22,7 +30,8 @@ def overlapping(gold: DataFrame, pred: DataFrame, same_entity: bool = True, floo
 
 
 def document(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    return gold.join(pred.select("title", "qid"), ["title", "qid"], "left_semi")
+    """Mentions of both sides whose entity the other side has anywhere in the document."""
+    return _sides(gold, pred, ["title", "qid"])
 
 
 def survival(gold: DataFrame, pred: DataFrame) -> DataFrame:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def claimed(text: str, surfaces: list[str]) -> list[tuple[int, int, str]]:
-    """Every occurrence of each surface, the longest surfaces first, that overlaps no span claimed before; by start."""
+    """Every occurrence of each surface, the longest surfaces first, that overlaps no span claimed before; by start.
+
+    Occurrences of a surface are counted off from the left without overlap, claimed or not.
+    """
     starts, ends = [], {}
     for s in sorted(dict.fromkeys(x for x in surfaces if x), key=len, reverse=True):
         at = text.find(s)
@@ -18,9 +21,7 @@ def claimed(text: str, surfaces: list[str]) -> list[tuple[int, int, str]]:
             if (i == 0 or ends[starts[i - 1]][0] <= at) and (i == len(starts) or starts[i] >= at + len(s)):
                 starts.insert(i, at)
                 ends[at] = (at + len(s), s)
-                at = text.find(s, at + len(s))
-            else:
-                at = text.find(s, at + 1)
+            at = text.find(s, at + len(s))
     return [(a, *ends[a]) for a in starts]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexigauge.functions import text as T
-from lexigauge.operators import matching, rules, scores, shaping, spans, stats
+from lexigauge.operators import anchors, evaluation, extraction, matching, rules, scores, shaping, spans, stats
 from lexigauge.sources import tables
 from lexigauge.sources.tables import CRITERIA, table
 
@@ -17,7 +17,7 @@ SCORE = """e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k F
 score AS (SELECT user_id AS para, event_type AS crit, value, ts, event_id AS id, k, CASE WHEN k % 10 < 2 THEN 'seed' WHEN k % 10 = 2 THEN 'cache' WHEN k % 10 = 3 THEN 'archived' ELSE 'live' END AS kind FROM e)"""
 RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY para, crit ORDER BY ts DESC, id DESC) AS r FROM score WHERE kind IN ('seed', 'live'))"
 LINES = "lines AS (SELECT doc_id, u.i - 1 AS idx, u.line FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i) u WHERE trim(u.line) <> '')"
-WORDS = """w AS (SELECT doc_id AS title, i - 1 AS idx, surface, lower(regexp_replace(surface, '[^A-Za-z]', '', 'g')) AS qid FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS surface, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)),
+WORDS = """w AS MATERIALIZED (SELECT doc_id AS title, i - 1 AS idx, surface, lower(regexp_replace(surface, '[^A-Za-z]', '', 'g')) AS qid FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS surface, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)),
 gold AS (SELECT *, 1 + idx % 2 AS span FROM w WHERE length(qid) > 5 AND regexp_matches(surface, '^[A-Z]')),
 pred AS (SELECT title, idx - CASE WHEN length(qid) % 5 = 0 THEN 1 ELSE 0 END AS idx, surface, qid, 1 + length(qid) % 3 AS span, idx AS id, [CASE WHEN length(qid) % 7 <> 0 THEN qid ELSE 'none' END, substr(qid, 1, 4)] AS cands FROM w WHERE length(qid) > 5 AND (length(qid) % 2 = 1 OR length(qid) > 9))"""
 LAST = "last AS (SELECT title, idx, span, arg_max(qid, id) AS qid, arg_max(cands, id) AS cands FROM pred GROUP BY ALL)"
@@ -84,11 +84,11 @@ def carry_forward_aggregate(s, d):
     return scores.carry_forward(tables.scores(s, d), tables.criteria(s), 9)
 
 
-REV = "rev AS (SELECT para, CASE WHEN k % 11 <> 0 THEN k % 9 END AS revision, round(value / 50, 2) AS aggregate, kind, ts, id FROM score)"
+REV = "rev AS (SELECT para, CASE WHEN k % 11 <> 0 THEN k % 9 END AS revision, CAST(round(CAST(value AS DECIMAL(18, 4)) * 0.02, 2) AS DOUBLE) AS aggregate, kind, ts, id FROM score)"
 
 
 def _revisions(s, d):
-    return tables.scores(s, d).select("para", F.when(F.col("k") % 11 != 0, F.col("k") % 9).alias("revision"), F.round(F.col("value") / 50, 2).alias("aggregate"), "kind", "ts", "id")
+    return tables.scores(s, d).select("para", F.when(F.col("k") % 11 != 0, F.col("k") % 9).alias("revision"), F.round(F.col("value").cast("decimal(18,4)") * F.expr("0.02BD"), 2).cast("double").alias("aggregate"), "kind", "ts", "id")
 
 
 @query(f"WITH {SCORE}, {REV}, b AS (SELECT *, row_number() OVER (PARTITION BY para ORDER BY aggregate DESC, ts DESC, id DESC) AS r FROM rev WHERE revision IS NOT NULL AND kind <> 'cache') SELECT b.para, b.revision, b.aggregate, b.revision = c.cur AS is_current FROM b JOIN (SELECT para, max(revision) AS cur FROM rev GROUP BY para) c USING (para) WHERE r = 1")
@@ -153,9 +153,21 @@ def _mentions(s, d):
     return tables.mentions(s, d, "gold"), tables.mentions(s, d, "pred")
 
 
-@query(f"WITH {WORDS} SELECT title, idx, surface, qid FROM gold g WHERE EXISTS (SELECT 1 FROM pred p WHERE p.title = g.title AND p.idx = g.idx AND p.qid = g.qid AND lower(trim(p.surface)) = lower(trim(g.surface)))")
+NORM = "replace(lower(trim(regexp_replace(translate(regexp_replace(nfc_normalize({}), '[‐-―−]', '-', 'g'), 'ёЁ', 'еЕ'), '\\s+', ' ', 'g'))), 'ß', 'ss')"
+
+
+@query(f"SELECT p_partkey, {NORM.format("'Ёлка –  ' || chr(101) || chr(769) || '  ' || p_name || '−STRAßE '")} AS key FROM part")
+def norm_key(s, d):
+    raw = F.concat(F.lit("Ёлка –  e\u0301  "), "p_name", F.lit("−STRAßE "))
+    return table(s, d, "part").select("p_partkey", T.norm(raw).alias("key"))
+
+
+BOTH = "SELECT 'gold' AS side, title, idx, surface, qid, span FROM gold {0} UNION ALL SELECT 'pred', title, idx, surface, qid, span FROM pred {1}"
+
+
+@query(f"WITH {WORDS}, gn AS (SELECT DISTINCT title, idx, qid, {NORM.format('surface')} AS n FROM gold), pn AS (SELECT DISTINCT title, idx, qid, {NORM.format('surface')} AS n FROM pred) " + BOTH.format(f"WHERE (title, idx, qid, {NORM.format('surface')}) IN (SELECT (title, idx, qid, n) FROM pn)", f"WHERE (title, idx, qid, {NORM.format('surface')}) IN (SELECT (title, idx, qid, n) FROM gn)"))
 def match_strict(s, d):
-    return matching.strict(*_mentions(s, d)).select("title", "idx", "surface", "qid")
+    return matching.strict(*_mentions(s, d))
 
 
 @query(f"WITH {WORDS} SELECT g.title, g.idx AS gold_idx, p.idx AS pred_idx, g.qid FROM gold g JOIN pred p ON p.title = g.title AND p.qid = g.qid AND g.idx < p.idx + greatest(p.span, 1) AND p.idx < g.idx + greatest(g.span, 1)")
@@ -163,9 +175,9 @@ def match_overlap(s, d):
     return matching.overlapping(*_mentions(s, d)).select(F.col("g.title"), F.col("g.idx").alias("gold_idx"), F.col("p.idx").alias("pred_idx"), F.col("g.qid"))
 
 
-@query(f"WITH {WORDS} SELECT title, idx, qid FROM gold g WHERE EXISTS (SELECT 1 FROM pred p WHERE p.title = g.title AND p.qid = g.qid)")
+@query(f"WITH {WORDS} " + BOTH.format("SEMI JOIN (SELECT DISTINCT title, qid FROM pred) USING (title, qid)", "SEMI JOIN (SELECT DISTINCT title, qid FROM gold) USING (title, qid)"))
 def match_document(s, d):
-    return matching.document(*_mentions(s, d)).select("title", "idx", "qid")
+    return matching.document(*_mentions(s, d))
 
 
 @query(f"""WITH {WORDS}, gk AS (SELECT title, qid, bool_or(regexp_matches(surface, '^\\p{{Lu}}')) AS up, bool_and(regexp_matches(surface, '^\\p{{Lu}}')) AS al FROM gold WHERE surface <> '' GROUP BY ALL),
@@ -359,27 +371,34 @@ def token_index(s, d):
 
 
 def _probe(s, d):
-    return table(s, d, "part").select("p_partkey", F.concat(F.when(F.col("p_size") % 5 == 0, "Consider ").when(F.col("p_size") % 5 == 1, " use the ").otherwise(""), F.col("p_name"), F.when(F.col("p_size") % 7 == 0, " if needed").otherwise("")).alias("s"))
+    return table(s, d, "part").select("p_partkey", F.concat(F.when(F.col("p_size") % 5 == 0, "Consider ").when(F.col("p_size") % 5 == 1, " use the ").otherwise(""), F.col("p_name"), F.when(F.col("p_size") % 7 == 0, " if needed").when(F.col("p_size") % 11 == 0, " 'one' or 'two'").when(F.col("p_size") % 13 == 0, " 'one', 'two'").otherwise("")).alias("s"))
 
 
-PROBE = "pr AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'Consider ' WHEN p_size % 5 = 1 THEN ' use the ' ELSE '' END || p_name || CASE WHEN p_size % 7 = 0 THEN ' if needed' ELSE '' END AS s FROM part)"
+ADVISES = "regexp_matches(s, '{}') OR regexp_matches(s, '{}')".format(T.ADVICE, T.QUOTED_CHOICE.replace("'", "''"))
+PROBE = "pr AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'Consider ' WHEN p_size % 5 = 1 THEN ' use the ' ELSE '' END || p_name || CASE WHEN p_size % 7 = 0 THEN ' if needed' WHEN p_size % 11 = 0 THEN ' ''one'' or ''two''' WHEN p_size % 13 = 0 THEN ' ''one'', ''two''' ELSE '' END AS s FROM part)"
 
 
-@query(f"WITH {PROBE} SELECT p_partkey, regexp_matches(s, '{T.ADVICE}') AS advice FROM pr")
+@query(f"WITH {PROBE} SELECT p_partkey, ({ADVISES}) AS advice FROM pr")
 def advice_flag(s, d):
     return _probe(s, d).select("p_partkey", T.is_advice(F.col("s")).alias("advice"))
 
 
-@query(f"WITH {PROBE} SELECT p_partkey, CASE WHEN regexp_matches(s, '{T.ADVICE}') THEN '' ELSE s END AS suggestion, CASE WHEN regexp_matches(s, '{T.ADVICE}') THEN 'Advice: ' || trim(s) ELSE '' END AS explanation FROM pr")
+@query(f"WITH {PROBE} SELECT p_partkey, CASE WHEN ({ADVISES}) THEN '' ELSE s END AS suggestion, CASE WHEN ({ADVISES}) THEN 'Advice: ' || trim(s) ELSE '' END AS explanation FROM pr")
 def sanitize_issue(s, d):
     a = T.is_advice(F.col("s"))
     return _probe(s, d).select("p_partkey", F.when(a, "").otherwise(F.col("s")).alias("suggestion"), F.when(a, F.concat(F.lit("Advice: "), F.trim("s"))).otherwise("").alias("explanation"))
 
 
-@query("""WITH h AS (SELECT page_id, regexp_extract(html, '<a href="([^"]*)"', 1) AS href FROM pages), b AS (SELECT page_id, href, regexp_replace(regexp_replace(href, '^(\\./|/wiki/|/)', ''), '#.*$', '') AS body FROM h)
-SELECT page_id, CASE WHEN NOT (regexp_matches(href, '^[a-z]+://|^//|^#') OR body = '' OR regexp_matches(body, '(?i)^(file|category|template|help|special|talk|user|portal|wikipedia):')) THEN translate(url_decode(body), '_', ' ') END AS title FROM b""")
+HREF = "CASE page_id % 6 WHEN 0 THEN './A+b%20' || page_id || '#part' WHEN 1 THEN '/wiki/Файл:x_' || page_id WHEN 2 THEN '/wiki/Portal_' || page_id WHEN 3 THEN '/x/' || page_id WHEN 4 THEN './Talk:' || page_id ELSE regexp_extract(html, '<a href=\"([^\"]*)\"', 1) END"
+
+
+@query(f"""WITH h AS (SELECT page_id, {HREF} AS href FROM pages), b AS (SELECT page_id, href, translate(url_decode(regexp_replace(regexp_replace(href, '^(\\./|/wiki/)', ''), '#.*$', '')), '_', ' ') AS t FROM h)
+SELECT page_id, CASE WHEN regexp_matches(href, '^(\\./|/wiki/)') AND NOT regexp_matches(t, '^({"|".join(T.NAMESPACES)})') THEN t END AS title FROM b""")
 def href_title(s, d):
-    return table(s, d, "pages").select("page_id", T.link_title(F.regexp_extract("html", r'<a href="([^"]*)"', 1)).alias("title"))
+    k, p = F.col("page_id") % 6, F.col("page_id").cast("string")
+    href = F.when(k == 0, F.concat(F.lit("./A+b%20"), p, F.lit("#part"))).when(k == 1, F.concat(F.lit("/wiki/Файл:x_"), p)).when(k == 2, F.concat(F.lit("/wiki/Portal_"), p))
+    href = href.when(k == 3, F.concat(F.lit("/x/"), p)).when(k == 4, F.concat(F.lit("./Talk:"), p)).otherwise(F.regexp_extract("html", r'<a href="([^"]*)"', 1))
+    return table(s, d, "pages").select("page_id", T.link_title(href).alias("title"))
 
 
 @query(f"WITH {SCORE} SELECT id, CASE WHEN value / 40 >= 8 THEN 'green' WHEN value / 40 >= 6 THEN 'yellow' ELSE 'red' END AS colour FROM score")
@@ -466,7 +485,7 @@ def ranking(s, d):
 MARKED = "mk AS (SELECT p_partkey, '# ' || p_name || ' **' || p_type || '** [' || p_brand || '](http://x.org/a) `' || p_name || '` ![pic](a.png)' AS s FROM part)"
 
 
-@query(f"""WITH {MARKED} SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '!\\[([^\\]]*)\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '(?m)^#{{1,6}}[ \\t]+', '', 'g'), '(?m)^>[ \\t]?', '', 'g'), '(?m)^[ \\t]*[-*+][ \\t]+', '', 'g'), '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '`([^`]*)`', '\\1', 'g')) AS plain FROM mk""")
+@query(f"""WITH {MARKED} SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '!\\[([^\\]]*)\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '(?m)^#{{1,6}}[ \\t]+', '', 'g'), '(?m)^>[ \\t]?', '', 'g'), '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '`([^`]*)`', '\\1', 'g')) AS plain FROM mk""")
 def strip_markdown(s, d):
     c = F.concat(F.lit("# "), "p_name", F.lit(" **"), "p_type", F.lit("** ["), "p_brand", F.lit("](http://x.org/a) `"), "p_name", F.lit("` ![pic](a.png)"))
     return table(s, d, "part").select("p_partkey", T.strip_markdown(c).alias("plain"))
@@ -663,3 +682,100 @@ def category_walk(s, d):
     p = table(s, d, "part")
     edges = p.select(F.floor(F.col("p_partkey") / 3).alias("parent"), F.col("p_partkey").alias("child"))
     return rules.walk(edges, p.where("p_partkey < 4").select(F.col("p_partkey").alias("node")), 3)
+
+
+# What pages link to: every third title has no page, every third of the rest no entity, every fifth entity is a date.
+TITLE_MAP = "title string, canonical string, qid string, classes array<string>"
+
+
+def _titles(found):
+    h = F.xxhash64("title")
+    t = found.where("title is not null").select("title").distinct().where(F.pmod(h, F.lit(3)) != 0)
+    qid = F.when(F.pmod(h, F.lit(9)) != 1, F.concat(F.lit("Q"), F.crc32("title").cast("string")))
+    return t.select("title", F.upper("title").alias("canonical"), qid.alias("qid"), F.when(F.pmod(h, F.lit(5)) == 0, F.array(F.lit("Q578"))).otherwise(F.array(F.lit("Q5"))).alias("classes"))
+
+
+@query()
+def page_anchors(s, d):
+    """Links of pages as gold mentions, and those left out with the reason; no SQL for parsing HTML."""
+    found = anchors.found(table(s, d, "pages"), "page_id", "html")
+    return anchors.resolved(found, _titles(found), "page_id")
+
+
+@query()
+def page_anchor_counters(s, d):
+    return anchors.counters(page_anchors(s, d), "page_id")
+
+
+@query()
+def page_text(s, d):
+    return anchors.flattened(table(s, d, "pages"), "page_id", "html")
+
+
+@query()
+def sentence_contexts(s, d):
+    """The sentences around the first number of each turn; no SQL for the rules of abbreviations."""
+    t = table(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
+    at = F.regexp_instr("text", F.lit("[0-9]+")) - 1
+    t = t.select("turn_id", "text", at.alias("start"), (at + F.length(F.regexp_extract("text", "[0-9]+", 0))).alias("end")).where("start >= 0")
+    return extraction.contexts(t).select("turn_id", "start", "context")
+
+
+@query()
+def reply_surfaces(s, d):
+    """Surfaces in model replies, built around the words of parts, checked against the part's own words."""
+    rows = table(s, d, "part").select("p_partkey", F.col("p_name").alias("source"), F.concat(F.lit('Sure: [{"surface": "'), F.split("p_name", " ")[0], F.lit('", "category": "place"}, {"surface": "none]", "category": "odd"}] done')).alias("reply"))
+    return extraction.surfaces(rows, "p_partkey")
+
+
+TIERS = "g AS (SELECT *, length(qid) % 4 = 0 AS off FROM gold)"
+
+
+def _tiered(s, d):
+    gold, pred = _mentions(s, d)
+    return gold.withColumn("tier", F.when(F.length("qid") % 4 == 0, 1).otherwise(0)), pred
+
+
+@query(f"""WITH {WORDS}, {TIERS}, gu AS (SELECT title, qid, bool_or(regexp_matches(surface, '^\\p{{Lu}}')) AS up, bool_and(regexp_matches(surface, '^\\p{{Lu}}')) AS al FROM g WHERE NOT off GROUP BY ALL),
+pu AS (SELECT title, qid, bool_or(regexp_matches(surface, '^\\p{{Lu}}')) AS up FROM pred GROUP BY ALL),
+c AS (SELECT CASE WHEN coalesce(a.up, b.up) THEN 'named' ELSE 'term' END AS class, a.qid IS NOT NULL AS ing, b.qid IS NOT NULL AS inp, coalesce(a.up AND NOT a.al, false) AS amb FROM gu a FULL JOIN pu b ON a.title = b.title AND a.qid = b.qid),
+n AS (SELECT l.class, count(*) FILTER (ing AND inp) AS tp, count(*) FILTER (ing AND NOT inp) AS fn, count(*) FILTER (inp AND NOT ing) AS fp FROM (VALUES ('named'), ('term')) l(class) LEFT JOIN c USING (class) GROUP BY 1)
+SELECT class, tp, fn, fp, tp + fn AS gold_units, (SELECT count(*) FROM c WHERE amb) AS n_ambiguous, (SELECT count(*) FROM g WHERE off) AS n_dropped_by_tier, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS r_doc, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS p_doc FROM n""")
+def corpus_aggregate(s, d):
+    return evaluation.corpus(*_tiered(s, d)).select("class", "tp", "fn", "fp", "gold_units", "n_ambiguous", "n_dropped_by_tier", "r_doc", "p_doc")
+
+
+@query(f"""WITH {SCORE}, r AS (SELECT CASE k % 3 WHEN 0 THEN 'green' WHEN 1 THEN 'yellow' ELSE 'red' END AS gd, CASE k % 5 WHEN 2 THEN 'yellow' WHEN 3 THEN 'red' ELSE 'green' END AS pd, k % 7 AS gq, CASE WHEN k % 4 > 0 THEN k % 14 END AS pq, k % 6 AS calls FROM score)
+SELECT count(*) AS n, count(*) FILTER (gd = 'green') AS n_green, count(*) FILTER (gd = 'yellow') AS n_yellow, count(*) FILTER (gd = 'red') AS n_red,
+round(count(*) FILTER (gd <> 'red' AND pq = gq) / count(*) FILTER (gd <> 'red'), 4) AS qid_accuracy, round(count(*) FILTER (pd <> 'red') / count(*), 4) AS coverage, round(count(*) FILTER (gd = 'red' AND pd = 'red') / count(*) FILTER (gd = 'red'), 4) AS red_accuracy, round(avg(calls), 2) AS avg_api_calls FROM r""")
+def grounding_score(s, d):
+    k = F.col("k")
+    colour = lambda x: F.when(x == 0, "green").when(x == 1, "yellow").otherwise("red")
+    rows = tables.scores(s, d).select(colour(k % 3).alias("gold_difficulty"), F.when(k % 5 == 2, "yellow").when(k % 5 == 3, "red").otherwise("green").alias("pred_difficulty"), (k % 7).alias("gold_qid"), F.when(k % 4 > 0, k % 14).alias("pred_qid"), (k % 6).alias("n_api_calls"))
+    return evaluation.grounding(rows)
+
+
+@query(f"WITH {SCORE}, {VERDICTS}, l AS (SELECT unnest(['green', 'yellow', 'red']) AS label), c AS (SELECT label, count(*) FILTER (truth = label AND guess = label) AS tp, count(*) FILTER (truth = label) AS t, count(*) FILTER (guess = label) AS p FROM v, l GROUP BY label) SELECT label, round(CASE WHEN p > 0 THEN tp / p ELSE 0 END, 4) AS precision, round(CASE WHEN t > 0 THEN tp / t ELSE 0 END, 4) AS recall, round(CASE WHEN t + p > 0 THEN 2 * tp / (t + p) ELSE 0 END, 4) AS f1 FROM c")
+def label_scores(s, d):
+    return evaluation.per_label(_verdicts(s, d), "truth", "guess", LABELS)
+
+
+@query(f"WITH {SCORE}, {VERDICTS}, l AS (SELECT unnest(['green', 'yellow', 'red']) AS label), c AS (SELECT crit, label, count(*) FILTER (truth = label AND guess = label) AS tp, count(*) FILTER (truth = label) AS t, count(*) FILTER (guess = label) AS p FROM v, l GROUP BY crit, label) SELECT crit AS category, CAST(sum(t) AS BIGINT) AS n, round(avg(2 * tp / (t + p)) FILTER (t > 0), 4) AS macro_f1 FROM c GROUP BY crit")
+def category_scores(s, d):
+    return evaluation.per_category(_verdicts(s, d), "crit", "truth", "guess", LABELS)
+
+
+@query("WITH g AS (SELECT DISTINCT o_orderpriority AS k, o_custkey % 50 AS x FROM orders WHERE o_orderkey % 3 < 2), e AS (SELECT DISTINCT o_orderpriority AS k, o_custkey % 60 AS x FROM orders WHERE o_orderkey % 5 < 3), j AS (SELECT coalesce(g.k, e.k) AS k, g.x AS gx, e.x AS ex FROM g FULL JOIN e ON g.k = e.k AND g.x = e.x), c AS (SELECT k, count(*) FILTER (gx = ex) AS tp, count(ex) AS n_extracted, count(gx) AS n_gold, list_sort(list(gx) FILTER (ex IS NULL)) AS missed, list_sort(list(ex) FILTER (gx IS NULL)) AS spurious FROM j GROUP BY k) SELECT k, tp, n_extracted, n_gold, round(tp / n_extracted, 4) AS precision, round(tp / n_gold, 4) AS recall, round(2 * tp / (n_extracted + n_gold), 4) AS f1, array_to_string(missed, ',') AS missed, array_to_string(spurious, ',') AS spurious FROM c")
+def extraction_scores(s, d):
+    o = table(s, d, "orders")
+    gold = o.where("o_orderkey % 3 < 2").select(F.col("o_orderpriority").alias("k"), (F.col("o_custkey") % 50).alias("x"))
+    found = o.where("o_orderkey % 5 < 3").select(F.col("o_orderpriority").alias("k"), (F.col("o_custkey") % 60).alias("x"))
+    out = evaluation.extraction(found, gold, "k", "x")
+    return out.withColumn("missed", F.array_join(F.col("missed").cast("array<string>"), ",")).withColumn("spurious", F.array_join(F.col("spurious").cast("array<string>"), ","))
+
+
+@query(f"""WITH {WORDS}, x AS (SELECT DISTINCT title, idx, surface, qid, span FROM gold WHERE idx % 10 = 3), c AS (SELECT length(qid) % 4 = 0 AS tier, (title, idx, surface, qid, span) IN (SELECT (title, idx, surface, qid, span) FROM x) AS out FROM gold)
+SELECT (SELECT count(*) FROM (SELECT DISTINCT title, qid FROM gold WHERE length(qid) % 4 <> 0 AND idx % 10 <> 3)) AS n_entities, count(*) FILTER (tier) AS n_dropped_by_tier, count(*) FILTER (NOT tier AND out) AS n_dropped_by_exclusion FROM c""")
+def effective_gold(s, d):
+    gold, _ = _tiered(s, d)
+    return evaluation.gold_counts(gold, gold.where("idx % 10 = 3"))
