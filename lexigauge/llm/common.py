@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at a time; a longer single text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,6 +152,7 @@ def hashes(strings) -> np.ndarray:
 
 def array_slices(texts, limit: int = SLICE_BYTES):
     """(first, past the last) of runs of an Arrow string array that together have at most limit bytes, single longer ones apart."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -163,6 +164,7 @@ def array_slices(texts, limit: int = SLICE_BYTES):
         total += n
     if a < len(size):
         yield a, len(size)
+    pa.default_memory_pool().release_unused()
 
 
 def word_codes(units, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, object]:

@@ -28,11 +28,14 @@ REMEMBERED = 200_000
 UNKNOWN = "und"
 
 
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
 @functools.cache
-def _word() -> re.Pattern:
-    """By Unicode category: letters, then letters and marks."""
+def _word(astral: bool) -> re.Pattern:
+    """By Unicode category: letters, then letters and marks. A class within the first plane is a table, so it is kept apart."""
     kinds = {"L": [], "M": []}
-    for i in range(sys.maxunicode + 1):
+    for i in range(sys.maxunicode + 1 if astral else 1 << 16):
         if (k := unicodedata.category(chr(i))[0]) in kinds:
             runs = kinds[k]
             if runs and runs[-1][1] == i - 1:
@@ -45,7 +48,8 @@ def _word() -> re.Pattern:
 
 def words(text: str) -> list[str]:
     """Runs of letters and combining marks that start with a letter, lower-cased."""
-    return _word().findall(text.lower())
+    text = text.lower()
+    return _word(ASTRAL.search(text) is not None).findall(text)
 
 
 def _hash(cols, salt: int) -> np.ndarray:

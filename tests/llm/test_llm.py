@@ -33,8 +33,7 @@ OPERATORS = [brown.score, quality.judge, pii.spans, packing.pack, linededup.repo
 
 @pytest.mark.parametrize("op", OPERATORS, ids=lambda f: f.__module__)
 def test_odd_rows_and_empty_tables(spark, odd, op):
-    n = op(odd).count()
-    assert n >= 8
+    assert op(odd).count() >= 8
     assert op(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -160,7 +159,6 @@ def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_vocab())
-    t.encode_special_tokens = True
     got = packing.pack(docs).collect()
     by: dict = {}
     for r in got:
@@ -286,6 +284,14 @@ def test_crf_marginals_equal_enumeration():
     assert np.allclose(post, want / total, atol=1e-5) and abs(log_z[0] - np.log(total)) < 1e-6
 
 
+def test_language_words_are_letters_with_their_marks(spark):
+    assert langid.words("½ ² ③ Ⅷ x2y हिन्दी Été \U00010400") == ["x", "y", "हिन्दी", "été", "\U00010428"]
+    rows = [(i, t, lang, "s", 1) for i, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("die katze sitzt auf der matte", "de")] * 30)]
+    rows += [(900, "½ ² ③", None, "s", 1), (901, None, None, "s", 1), (902, "12 !!", None, "s", 1)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[900] == got[901] == got[902] == ("und", 0.0) and {got[0][0], got[1][0]} == {"en", "de"}
+
+
 def test_language_held_out(spark, docs):
     out = langid.predict(docs).collect()
     held = [r for r in out if r["held_out"] and r["n_words"] >= 5]
