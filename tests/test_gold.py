@@ -28,7 +28,7 @@ def test_sentences_and_context():
     assert [t[a:b] for a, b in extraction.sentences(t)] == ["В 44 г. до н. э. пал Цезарь.", "А. С. Пушкин писал!", "Он жил в XIX в. и т. д. Конец…", "Всё"]
     at = t.index("писал")
     assert extraction.context(t, at, at + 5) == "А. С. Пушкин писал!"
-    assert extraction.context(t, at, t.index("XIX") + 3).startswith("А. С.") and extraction.context("ab.  c", 3, 5) == ""
+    assert extraction.context(t, at, t.index("XIX") + 3).startswith("А. С.") and extraction.context("ab.  C", 3, 5) == ""
     assert extraction.sentences("") == [] and extraction.capitalised("Он видел Рим и Кадашман-Харбе. Город Рим. Марк Антоний ушёл") == ["Рим", "Кадашман-Харбе", "Город Рим", "Марк Антоний"]
 
 
