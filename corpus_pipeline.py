@@ -41,7 +41,7 @@ def pack(spark, docs, sf_dir):
 
 STAGES = [("language_id", identify), ("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("decontamination", decontaminate), ("packing", pack)]
 
-#: Language ID, seeds and tokenizers are beyond SQL; tests hold run() against a brute-force version.
+#: Language ID, seeds and tokenizers are beyond SQL; tests hold the operators of the stages against brute force, run() as a whole is not yet.
 ORACLE_SQL = None
 
 
