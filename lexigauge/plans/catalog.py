@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexigauge.functions import text as T
-from lexigauge.operators import anchors, evaluation, extraction, matching, rules, scores, shaping, spans, stats
+from lexigauge.operators import anchors, decisions, evaluation, extraction, matching, rules, scores, shaping, spans, stats
 from lexigauge.sources import tables
 from lexigauge.sources.tables import CRITERIA, table
 
@@ -779,3 +779,107 @@ SELECT (SELECT count(*) FROM (SELECT DISTINCT title, qid FROM gold WHERE length(
 def effective_gold(s, d):
     gold, _ = _tiered(s, d)
     return evaluation.gold_counts(gold, gold.where("idx % 10 = 3"))
+
+
+ENTITY = "ent AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 11 > 0 THEN ['Q5', CASE p_size % 7 WHEN 0 THEN 'Q11424' WHEN 1 THEN 'Q578' WHEN 2 THEN 'Q207694' WHEN 3 THEN 'Q39911' ELSE 'Q571' END] END AS classes, CASE WHEN p_partkey % 11 > 0 AND p_size % 5 > 0 THEN p_partkey * 7 % 1500 - 500 END AS year FROM part)"
+
+
+def _entities(s, d):
+    k = F.col("p_size") % 7
+    other = F.when(k == 0, "Q11424").when(k == 1, "Q578").when(k == 2, "Q207694").when(k == 3, "Q39911").otherwise("Q571")
+    known = F.col("p_partkey") % 11 > 0
+    return table(s, d, "part").select("p_partkey", "p_brand", F.when(known, F.array(F.lit("Q5"), other)).alias("classes"), F.when(known & (F.col("p_size") % 5 > 0), F.col("p_partkey") * 7 % 1500 - 500).alias("year"))
+
+
+@query(f"WITH {ENTITY} SELECT p_partkey, coalesce(list_has_any(classes, ['Q11424', 'Q3305213', 'Q33506', 'Q207694']), false) OR coalesce(year >= 500, false) AS dropped FROM ent")
+def relevance_gate(s, d):
+    return _entities(s, d).select("p_partkey", decisions.gated(F.col("classes"), F.col("year")).alias("dropped"))
+
+
+@query(f"WITH {ENTITY}, c AS (SELECT p_brand, coalesce(list_has_any(classes, ['Q3186692', 'Q39911', 'Q578', 'Q3311614', 'Q29964144', 'Q14795564', 'Q18340514']), false) AS x FROM ent) SELECT p_brand, count(*) FILTER (NOT x) AS n_kept, count(*) FILTER (x) AS n_excluded FROM c GROUP BY p_brand")
+def chronology_filter(s, d):
+    x = decisions.of_classes(F.col("classes"), decisions.CALENDAR)
+    return _entities(s, d).groupBy("p_brand").agg(F.count_if(~x).alias("n_kept"), F.count_if(x).alias("n_excluded"))
+
+
+@query("""WITH e AS (SELECT p_partkey, CASE p_size % 9 WHEN 0 THEN NULL WHEN 1 THEN 'INCORRECT ' || p_name WHEN 2 THEN p_name || ': mistranslated' WHEN 3 THEN 'an omitted ' || p_name WHEN 4 THEN 'Confusing' WHEN 5 THEN '' ELSE p_name END AS x FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(lower(coalesce(x, '')), 'incorrect|wrong|mistranslat|error|missing|omit|distort|confus') THEN 'major' ELSE 'minor' END AS severity FROM e""")
+def issue_severity(s, d):
+    k, n = F.col("p_size") % 9, F.col("p_name")
+    x = F.when(k == 0, None).when(k == 1, F.concat(F.lit("INCORRECT "), n)).when(k == 2, F.concat(n, F.lit(": mistranslated"))).when(k == 3, F.concat(F.lit("an omitted "), n)).when(k == 4, "Confusing").when(k == 5, "").otherwise(n)
+    return table(s, d, "part").select("p_partkey", decisions.severity(x).alias("severity"))
+
+
+@query("""WITH t AS (SELECT p_partkey, replace(p_name, ' ', CASE p_size % 3 WHEN 0 THEN '] ' WHEN 1 THEN ' ' ELSE ' é - ' END) AS text, CASE WHEN p_size % 5 = 0 THEN 2 ELSE 1 END AS n FROM part),
+p AS (SELECT p_partkey, text, p_partkey % length(text) AS pos, substr(text, p_partkey % length(text) + 1, n) AS surface FROM t),
+g AS (SELECT *, CASE WHEN pos > 0 THEN substr(text, pos, 1) ELSE '' END AS a, substr(text, pos + 1 + length(surface), 1) AS b FROM p)
+SELECT p_partkey, length(trim(surface)) = 1 AND (regexp_matches(a, '[\\p{L}\\p{N}\\p{M}()\\[\\]{}⟨⟩«»<>]') OR regexp_matches(b, '[\\p{L}\\p{N}\\p{M}()\\[\\]{}⟨⟩«»<>]')) AS is_fragment FROM g""")
+def symbol_fragment(s, d):
+    k = F.col("p_size") % 3
+    by = F.when(k == 0, "] ").when(k == 1, " ").otherwise(" é - ")
+    t = table(s, d, "part").select("p_partkey", F.replace("p_name", F.lit(" "), by).alias("text"), F.when(F.col("p_size") % 5 == 0, 2).otherwise(1).alias("n"))
+    t = t.withColumn("pos", (F.col("p_partkey") % F.length("text")).cast("int")).withColumn("surface", F.substr("text", F.col("pos") + 1, F.col("n")))
+    return t.select("p_partkey", decisions.fragment(F.col("text"), F.col("pos"), F.col("surface")).alias("is_fragment"))
+
+
+TERMS = """term AS (SELECT p_partkey, p_brand, CASE p_size % 10 WHEN 0 THEN 'exact_label' WHEN 1 THEN 'label_match' WHEN 2 THEN 'llm_disambiguation' WHEN 3 THEN 'llm_rejected' WHEN 4 THEN 'judge_unavailable' WHEN 5 THEN 'no_candidates' WHEN 6 THEN 'other' WHEN 7 THEN '' END AS way, p_partkey % 4 = 0 AS bare, CASE WHEN p_partkey % 3 > 0 THEN 'Q' || p_size ELSE '' END AS qid, p_partkey // 5 % 3 AS n FROM part),
+toned AS (SELECT p_partkey, p_brand, CASE WHEN way IN ('exact_label', 'label_match') THEN 'det' WHEN way = 'llm_disambiguation' THEN 'llm' WHEN way IN ('llm_rejected', 'judge_unavailable') THEN 'rej' WHEN way = 'no_candidates' THEN 'none' WHEN way <> '' THEN CASE WHEN n > 0 THEN 'rej' ELSE 'none' END
+WHEN bare THEN CASE WHEN qid <> '' THEN 'det' ELSE 'none' END WHEN qid <> '' THEN ['none', 'det', 'llm'][n + 1] ELSE CASE WHEN n > 0 THEN 'rej' ELSE 'none' END END AS tone FROM term)"""
+WAYS = ("exact_label", "label_match", "llm_disambiguation", "llm_rejected", "judge_unavailable", "no_candidates", "other", "")
+
+
+def _toned(s, d):
+    way = F.get(F.array(*[F.lit(w) for w in WAYS]), F.col("p_size") % 10)
+    qid = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("Q"), F.col("p_size").cast("string"))).otherwise("")
+    tone = decisions.badge(way, F.col("p_partkey") % 4 == 0, qid, F.floor(F.col("p_partkey") / 5) % 3)
+    return table(s, d, "part").select("p_partkey", "p_brand", tone.alias("tone"))
+
+
+@query(f"WITH {TERMS} SELECT p_partkey, tone FROM toned")
+def term_badge(s, d):
+    return _toned(s, d).select("p_partkey", "tone")
+
+
+@query(f"WITH {TERMS}, g AS (SELECT p_brand, count(*) AS n, arg_min(tone, p_partkey) AS t FROM toned GROUP BY p_brand) SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_mentions, count(*) FILTER (t = 'det') AS n_det, count(*) FILTER (t = 'llm') AS n_llm, count(*) FILTER (t IN ('rej', 'none')) AS n_not_grounded FROM g")
+def group_summary(s, d):
+    return decisions.group_summary(_toned(s, d), "p_brand", "p_partkey", "tone")
+
+
+@query(f"WITH {AGG} SELECT para, CASE WHEN aggregate >= 8 THEN 'green' WHEN aggregate >= 6 THEN 'yellow' ELSE 'red' END AS band FROM agg")
+def score_band(s, d):
+    return scores.weighted(_latest(s, d), tables.criteria(s), ["para"]).select("para", decisions.score_band(F.col("aggregate")).alias("band"))
+
+
+@query(f"WITH {AGG} SELECT para % 20 AS doc, floor(CAST(sum(CAST(aggregate AS DECIMAL(18, 2))) AS DOUBLE) / count(*) * 10 + 0.5) / 10 AS aggregate FROM agg GROUP BY 1")
+def client_aggregate(s, d):
+    a = scores.weighted(_latest(s, d), tables.criteria(s), ["para"])
+    return a.groupBy((F.col("para") % 20).alias("doc")).agg(decisions.half_up(F.sum(F.col("aggregate").cast("decimal(18,2)")).cast("double") / F.count("aggregate")).alias("aggregate"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber AS route, l_suppkey % 5 = 0 AS dead, CAST(l_quantity AS INT) % 4 AS n_success, 1 - 2 * l_discount AS success_rate, CASE WHEN l_partkey % 4 > 0 THEN l_partkey % 4 < 3 END AS honest, CASE WHEN l_partkey % 3 > 0 THEN l_tax END AS cost, CASE WHEN l_suppkey % 7 > 0 THEN l_quantity END AS latency FROM lineitem),
+t AS (SELECT *, NOT dead AND n_success > 0 AS live, CASE WHEN honest AND success_rate >= 0.9 THEN 0 WHEN honest THEN 1 ELSE 2 END AS relaxed FROM r),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY live DESC, relaxed, cost NULLS LAST, latency NULLS LAST, route) AS n FROM t)
+SELECT l_orderkey, CASE WHEN live THEN route END AS route, CASE WHEN live THEN relaxed END AS relaxed FROM b WHERE n = 1""")
+def route_choice(s, d):
+    q, p, u = F.col("l_quantity"), F.col("l_partkey"), F.col("l_suppkey")
+    r = table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("route"), (u % 5 == 0).alias("dead"), (q.cast("int") % 4).alias("n_success"), (1 - 2 * F.col("l_discount")).alias("success_rate"), F.when(p % 4 > 0, p % 4 < 3).alias("honest"), F.when(p % 3 > 0, F.col("l_tax")).alias("cost"), F.when(u % 7 > 0, q).alias("latency"))
+    return decisions.choose_route(r, "l_orderkey")
+
+
+@query("""WITH j AS (SELECT p_partkey, [NULL, 'running', 'failed', 'done'][p_partkey % 4 + 1] AS tr, [NULL, 'skipped', 'running', 'stopped', 'done'][p_size % 5 + 1] AS pre, ['none', 'running', 'done', 'failed', NULL][p_partkey // 4 % 5 + 1] AS te FROM part)
+SELECT p_partkey, CASE WHEN tr = 'running' THEN false WHEN tr = 'failed' THEN true WHEN pre = 'running' THEN false ELSE coalesce(te IN ('done', 'failed'), false) END AS ended, coalesce(tr, 'done') = 'done' AND coalesce(pre, '') <> 'stopped' AND coalesce(te, '') = 'done' AS succeeded FROM j""")
+def job_state(s, d):
+    pick = lambda names, i: F.get(F.array(*[F.lit(n).cast("string") for n in names]), i.cast("int"))
+    p = F.col("p_partkey")
+    parts = pick((None, "running", "failed", "done"), p % 4), pick((None, "skipped", "running", "stopped", "done"), F.col("p_size") % 5), pick(("none", "running", "done", "failed", None), F.floor(p / 4) % 5)
+    return table(s, d, "part").select("p_partkey", decisions.ended(*parts).alias("ended"), decisions.succeeded(*parts).alias("succeeded"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, idx, row_number() OVER (ORDER BY doc_id, idx) - 1 AS n FROM lines")
+def global_paragraph_index(s, d):
+    return decisions.enumerate_all(tables.lines(s, d).select("doc_id", "idx"), "doc_id", "idx", "n")
+
+
+@query(f"WITH {SCORE}, {ISSUES} SELECT id, para, crit FROM iss i WHERE status = 'open' AND (kind = 'live' OR kind = 'seed' AND NOT EXISTS (SELECT 1 FROM score s WHERE s.kind = 'live' AND s.para = i.para AND s.crit = i.crit))")
+def open_findings(s, d):
+    return scores.visible(_issues(s, d), tables.scores(s, d)).where("status = 'open'").select("id", "para", "crit")
