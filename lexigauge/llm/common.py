@@ -103,6 +103,11 @@ def slices(texts: list[bytes], limit: int = SLICE_BYTES):
         yield a, len(texts)
 
 
+def quoted(name: str):
+    """The column of exactly that name, dots and backticks in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def column(batch, name: str, null: bytes | None = b"") -> list:
     """A string column of an Arrow batch as UTF-8 bytes, null given as `null`."""
     import pyarrow as pa

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, keep, ship, slices
+from .common import column, keep, quoted, ship, slices
 
 #: Five words each; a 0 is a position that is ignored.
 MASKS = ("11111", "1101101", "1011011", "11001011", "10110011")
@@ -231,6 +231,6 @@ def _joined(docs, bench, min_words, similarity):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """docs without those that hold a leak, columns as they came; a row without doc_id stays."""
+    """docs without those that hold a leak, columns as they came; a row without doc_id stays, rows that share a doc_id go together."""
     bad = keep(overlaps(docs, benchmark, **kw).select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(bad, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])

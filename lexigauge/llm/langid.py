@@ -16,8 +16,9 @@ from itertools import repeat
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import column, ship, slices
+from .common import column, quoted, ship, slices
 
 #: Bounds of the training sample: texts per language, texts in all (each language keeps one at least), spliced sequences, their words.
 TRAIN_TEXTS, TRAIN_ALL, SEQUENCES, LENGTH = 150, 9600, 1600, 36
@@ -279,8 +280,8 @@ def predict(docs: DataFrame, folds: int = 3, test_fold: int = 1, learn_from: Dat
     mine = ["held_out", "lang_pred", "score", "n_words", "second", "n_switches"]
     own = [c for c in docs.columns if c not in mine]
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == test_fold, F.lit(False))
-    row = F.struct(*own, held.alias("held_out"))
+    row = F.struct(*[quoted(c) for c in own], held.alias("held_out"))
     rows = docs.select(F.col("text").cast("string").alias("text"), row.alias("row"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, n_words long, second string, n_switches long"
+    schema = T.StructType([rows.schema["row"]]).add("lang_pred", "string").add("score", "double").add("n_words", "long").add("second", "string").add("n_switches", "long")
     out = rows.mapInArrow(_predict(model), schema)
     return out.select("row.*", "lang_pred", "score", "n_words", "second", "n_switches")
