@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexigauge.llm import decontam, langid, linededup, neardup, packing
-from lexigauge.llm.common import keep, table
+from lexigauge.llm.common import keep, quoted, table
 
 #: A text whose language is less probable than this over its words is rejected, as is one without a letter.
 LEAST_SCORE = 0.3
@@ -20,7 +20,7 @@ def identify(spark, docs, sf_dir):
     held = {c: f"_{c}" for c in own if c not in ("doc_id", "text", "lang")}
     out = langid.predict(docs.withColumnsRenamed(held))
     out = out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return out.select(*[F.col(held.get(c, c)).alias(c) for c in own])
+    return out.select(*[quoted(held.get(c, c)).alias(c) for c in own])
 
 
 def dedup_lines(spark, docs, sf_dir):
