@@ -311,12 +311,12 @@ def golden_merge(s, d):
     return shaping.merge_by_priority(rows, "key", ["name", "kind"])
 
 
-@query("""WITH t AS (SELECT p_partkey AS pos, split_part(p_name, ' ', 2) || CAST(p_size % 9 AS VARCHAR) AS stem, CASE WHEN p_size % 4 > 0 THEN p_type END AS qid, CASE p_size % 3 WHEN 0 THEN 'green' WHEN 1 THEN 'yellow' ELSE 'red' END AS verdict, p_name AS translation FROM part WHERE p_size < 25),
+@query("""WITH t AS (SELECT p_partkey AS pos, split_part(p_name, ' ', 2) || CAST(p_size % 9 AS VARCHAR) AS stem, CASE WHEN p_size % 4 > 0 THEN p_type END AS qid, CASE p_size % 3 WHEN 0 THEN 'green' WHEN 1 THEN 'yellow' ELSE 'red' END AS verdict, p_name AS translation FROM part),
 o AS (SELECT stem, min(qid) AS only_ FROM t GROUP BY stem HAVING count(DISTINCT qid) = 1), n AS (SELECT t.*, coalesce(qid, only_, 'ungrounded') AS entity FROM t LEFT JOIN o USING (stem))
 SELECT stem, entity, count(*) AS n, CASE WHEN bool_or(verdict = 'red') THEN 'red' WHEN bool_or(verdict = 'yellow') THEN 'yellow' ELSE 'green' END AS worst, arg_min(translation, pos) AS translation FROM n GROUP BY ALL""")
 def glossary_groups(s, d):
     k = F.col("p_size") % 3
-    t = table(s, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("pos"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), (F.col("p_size") % 9).cast("string")).alias("stem"), F.when(F.col("p_size") % 4 > 0, F.col("p_type")).alias("qid"), F.when(k == 0, "green").when(k == 1, "yellow").otherwise("red").alias("verdict"), F.col("p_name").alias("translation"))
+    t = table(s, d, "part").select(F.col("p_partkey").alias("pos"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), (F.col("p_size") % 9).cast("string")).alias("stem"), F.when(F.col("p_size") % 4 > 0, F.col("p_type")).alias("qid"), F.when(k == 0, "green").when(k == 1, "yellow").otherwise("red").alias("verdict"), F.col("p_name").alias("translation"))
     return shaping.glossary_groups(t)
 
 
@@ -441,15 +441,15 @@ def char_stats(s, d):
     return tables.lines(s, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg(n), 4).alias("mean_len"), F.median(n).alias("median_len"), F.max(n).cast("long").alias("max_len"))
 
 
-@query("WITH n AS (SELECT p_partkey AS id, lower(trim(p_name)) AS norm, 1 AS rank FROM part UNION ALL SELECT p_partkey, lower(p_brand || ' ' || p_name), 2 FROM part), q AS (SELECT DISTINCT lower(p_name) AS norm FROM part WHERE p_size < 10) SELECT q.norm, min(rank) AS rank, count(DISTINCT id) AS n_entities, min(id) AS first_id FROM q JOIN n USING (norm) GROUP BY q.norm")
+@query("WITH n AS (SELECT p_partkey AS id, lower(trim(p_name)) AS norm, 1 AS rank FROM part UNION ALL SELECT p_partkey, lower(p_brand || ' ' || p_name), 2 FROM part), q AS (SELECT DISTINCT lower(CASE WHEN p_size < 10 THEN p_name ELSE p_brand || ' ' || p_name END) AS norm FROM part) SELECT q.norm, min(rank) AS rank, count(DISTINCT id) AS n_entities, min(id) AS first_id FROM q JOIN n USING (norm) GROUP BY q.norm")
 def exact_label_match(s, d):
     p = table(s, d, "part")
     names = p.select(F.col("p_partkey").alias("id"), F.explode(F.array(F.struct(F.lower(F.trim("p_name")).alias("norm"), F.lit(1).alias("rank")), F.struct(F.lower(F.concat_ws(" ", "p_brand", "p_name")).alias("norm"), F.lit(2).alias("rank")))).alias("x")).select("id", "x.*")
-    q = p.where("p_size < 10").select(F.lower("p_name").alias("norm")).distinct()
+    q = p.select(F.lower(F.when(F.col("p_size") < 10, F.col("p_name")).otherwise(F.concat_ws(" ", "p_brand", "p_name"))).alias("norm")).distinct()
     return q.join(names, "norm").groupBy("norm").agg(F.min("rank").alias("rank"), F.countDistinct("id").alias("n_entities"), F.min("id").alias("first_id"))
 
 
-@query("""WITH m AS (SELECT p_partkey AS m, p_name, p_type, p_size FROM part), c AS (SELECT m, 1 AS rung, p_partkey AS cand FROM m JOIN part USING (p_name, p_type, p_size) UNION ALL SELECT m, 2, p_partkey FROM m JOIN part USING (p_type, p_size) WHERE p_partkey % 5 = 0), b AS (SELECT *, min(rung) OVER (PARTITION BY m) AS best FROM c WHERE cand <> m),
+@query("""WITH m AS (SELECT p_partkey AS m, p_name, p_type, p_size FROM part), c AS (SELECT m, 1 AS rung, p_partkey AS cand FROM m JOIN part USING (p_name, p_type, p_size) UNION ALL SELECT m, 2, p_partkey FROM m JOIN part USING (p_type, p_size)), b AS (SELECT *, min(rung) OVER (PARTITION BY m) AS best FROM c WHERE cand <> m),
 k AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY cand) AS r FROM b WHERE rung = best) SELECT m, rung, cand, r AS place FROM k WHERE r <= 5""")
 def candidate_ladder(s, d):
     from pyspark.sql import Window
@@ -459,7 +459,7 @@ def candidate_ladder(s, d):
     one = m.join(p, ["p_name", "p_type", "p_size"]).select("m", F.lit(1).alias("rung"), F.col("p_partkey").alias("cand")).where("cand <> m")
     # later rungs only for mentions that earlier ones left with nothing
     left = m.join(one.select("m").distinct(), "m", "left_anti")
-    two = left.join(p.where("p_partkey % 5 = 0"), ["p_type", "p_size"]).where("p_partkey <> m").select("m", F.lit(2).alias("rung"), F.col("p_partkey").alias("cand"))
+    two = left.join(p, ["p_type", "p_size"]).where("p_partkey <> m").select("m", F.lit(2).alias("rung"), F.col("p_partkey").alias("cand"))
     w = Window.partitionBy("m").orderBy("cand")
     return one.unionAll(two).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5")
 
@@ -561,11 +561,13 @@ def seed_uplift(s, d):
     return tables.scores(s, d).where("kind = 'seed'").select("id", F.round(F.least(F.col("value") / 50 + 1.5, F.lit(10.0)), 4).alias("value"))
 
 
-@query("WITH m AS (SELECT p_partkey AS m, lower(p_name) AS norm, p_size FROM part WHERE p_size < 25), n AS (SELECT lower(p_name) AS norm, count(*) AS n, min(p_partkey) AS only_ FROM part WHERE p_partkey % 3 = 0 GROUP BY 1) SELECT m, CASE WHEN n = 1 THEN 'green' WHEN n > 1 THEN 'judge' ELSE 'red' END AS verdict, CASE WHEN n = 1 THEN only_ END AS entity FROM m LEFT JOIN n USING (norm)")
+@query("WITH m AS (SELECT p_partkey AS m, lower(p_name || CASE WHEN p_size < 25 THEN '' WHEN p_size < 40 THEN ' ' || p_brand ELSE ' of old' END) AS norm FROM part), n AS (SELECT norm, count(*) AS n, min(id) AS only_ FROM (SELECT lower(p_name) AS norm, p_partkey AS id FROM part UNION ALL SELECT lower(p_name || ' ' || p_brand), p_partkey FROM part) GROUP BY norm) SELECT m, CASE WHEN n = 1 THEN 'green' WHEN n > 1 THEN 'judge' ELSE 'red' END AS verdict, CASE WHEN n = 1 THEN only_ END AS entity FROM m LEFT JOIN n USING (norm)")
 def grounding_ladder(s, d):
     p = table(s, d, "part")
-    names = p.where("p_partkey % 3 = 0").groupBy(F.lower("p_name").alias("norm")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("only"))
-    m = p.where("p_size < 25").select(F.col("p_partkey").alias("m"), F.lower("p_name").alias("norm")).join(names, "norm", "left")
+    full = F.concat_ws(" ", "p_name", "p_brand")
+    names = p.select("p_partkey", F.explode(F.array(F.lower("p_name"), F.lower(full))).alias("norm")).groupBy("norm").agg(F.count("*").alias("n"), F.min("p_partkey").alias("only"))
+    said = F.when(F.col("p_size") < 25, F.col("p_name")).when(F.col("p_size") < 40, full).otherwise(F.concat("p_name", F.lit(" of old")))
+    m = p.select(F.col("p_partkey").alias("m"), F.lower(said).alias("norm")).join(names, "norm", "left")
     return m.select("m", F.when(F.col("n") == 1, "green").when(F.col("n") > 1, "judge").otherwise("red").alias("verdict"), F.when(F.col("n") == 1, F.col("only")).alias("entity"))
 
 
@@ -765,11 +767,11 @@ def category_scores(s, d):
     return evaluation.per_category(_verdicts(s, d), "crit", "truth", "guess", LABELS)
 
 
-@query("WITH g AS (SELECT DISTINCT o_orderpriority AS k, o_custkey % 50 AS x FROM orders WHERE o_orderkey % 3 < 2), e AS (SELECT DISTINCT o_orderpriority AS k, o_custkey % 60 AS x FROM orders WHERE o_orderkey % 5 < 3), j AS (SELECT coalesce(g.k, e.k) AS k, g.x AS gx, e.x AS ex FROM g FULL JOIN e ON g.k = e.k AND g.x = e.x), c AS (SELECT k, count(*) FILTER (gx = ex) AS tp, count(ex) AS n_extracted, count(gx) AS n_gold, list_sort(list(gx) FILTER (ex IS NULL)) AS missed, list_sort(list(ex) FILTER (gx IS NULL)) AS spurious FROM j GROUP BY k) SELECT k, tp, n_extracted, n_gold, round(tp / n_extracted, 4) AS precision, round(tp / n_gold, 4) AS recall, round(2 * tp / (n_extracted + n_gold), 4) AS f1, array_to_string(missed, ',') AS missed, array_to_string(spurious, ',') AS spurious FROM c")
+@query("WITH g AS (SELECT DISTINCT o_orderpriority AS k, o_custkey * 3 AS x FROM orders), e AS (SELECT DISTINCT o_orderpriority AS k, o_custkey * 2 AS x FROM orders), j AS (SELECT coalesce(g.k, e.k) AS k, g.x AS gx, e.x AS ex FROM g FULL JOIN e ON g.k = e.k AND g.x = e.x), c AS (SELECT k, count(*) FILTER (gx = ex) AS tp, count(ex) AS n_extracted, count(gx) AS n_gold, list_sort(list(gx) FILTER (ex IS NULL)) AS missed, list_sort(list(ex) FILTER (gx IS NULL)) AS spurious FROM j GROUP BY k) SELECT k, tp, n_extracted, n_gold, round(tp / n_extracted, 4) AS precision, round(tp / n_gold, 4) AS recall, round(2 * tp / (n_extracted + n_gold), 4) AS f1, array_to_string(missed, ',') AS missed, array_to_string(spurious, ',') AS spurious FROM c")
 def extraction_scores(s, d):
     o = table(s, d, "orders")
-    gold = o.where("o_orderkey % 3 < 2").select(F.col("o_orderpriority").alias("k"), (F.col("o_custkey") % 50).alias("x"))
-    found = o.where("o_orderkey % 5 < 3").select(F.col("o_orderpriority").alias("k"), (F.col("o_custkey") % 60).alias("x"))
+    gold = o.select(F.col("o_orderpriority").alias("k"), (F.col("o_custkey") * 3).alias("x"))
+    found = o.select(F.col("o_orderpriority").alias("k"), (F.col("o_custkey") * 2).alias("x"))
     out = evaluation.extraction(found, gold, "k", "x")
     return out.withColumn("missed", F.array_join(F.col("missed").cast("array<string>"), ",")).withColumn("spurious", F.array_join(F.col("spurious").cast("array<string>"), ","))
 
