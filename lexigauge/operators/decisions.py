@@ -104,3 +104,25 @@ def enumerate_all(rows: DataFrame, doc: str, place: str, name: str, width: int =
     docs = docs.withColumn("_a", before(Window.partitionBy("_k").orderBy(doc))).join(blocks, "_k").select(doc, (F.col("_a") + F.col("_b")).alias("_o"))
     own = F.row_number().over(Window.partitionBy(doc).orderBy(place)) - 1
     return rows.withColumn(name, own).join(docs, doc).withColumn(name, F.col(name) + F.col("_o")).drop("_o")
+
+
+def route_stats(calls: DataFrame, group: list[str], padded_above: int = 100) -> DataFrame:
+    """Success, latency, tokens, cost and verdict of each route.
+
+    calls: ok, latency, prompt_tokens, completion_tokens, cost (null: not told), price_in and price_out (of a million
+    tokens; null: no price), dead. Latencies are those of successful calls, of all calls when none was. The cost of a call
+    is the median told one (real), else that of the median tokens by the prices (estimated), else unknown.
+    """
+    good = F.col("ok")
+    med = lambda c: F.percentile(F.when(good, F.col(c)), F.lit(0.5))
+    every = F.percentile("latency", F.lit(0.5))
+    late = lambda x: F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY {x})")
+    a = calls.groupBy(*group).agg(
+        F.count("*").alias("n_calls"), F.count_if(good).alias("n_success"), F.bool_or("dead").alias("dead"), F.coalesce(med("latency"), every).alias("latency_median"),
+        F.coalesce(late("IF(ok, latency, NULL)"), late("latency")).alias("latency_p90"), med("prompt_tokens").alias("prompt_median"), med("completion_tokens").alias("completion_median"),
+        med("cost").alias("_told"), F.max("price_in").alias("_in"), F.max("price_out").alias("_out"))
+    told, guess = F.col("_told"), (F.col("prompt_median") * F.col("_in") + F.col("completion_median") * F.col("_out")) / 1_000_000
+    rate, honest = F.col("n_success") / F.col("n_calls"), F.col("prompt_median") <= padded_above
+    verdict = F.when(F.col("dead"), "dead").when(F.col("n_success") == 0, "failed").when(rate < 0.9, "unstable").when(~honest, "padded").when(honest, "candidate").otherwise("unknown-tokens")
+    source = F.when(told.isNotNull(), "real").when(guess.isNotNull(), "estimated").otherwise("unknown")
+    return a.select(*group, "n_calls", "n_success", rate.alias("success_rate"), "latency_median", "latency_p90", "prompt_median", "completion_median", F.coalesce(told, guess).alias("cost"), source.alias("cost_source"), honest.alias("honest"), "dead", verdict.alias("verdict"))

@@ -112,3 +112,31 @@ def extraction(found: DataFrame, gold: DataFrame, key: str, item: str) -> DataFr
     )
     zero = lambda k, n: F.round(F.when(n > 0, k / n).otherwise(0.0), 4)
     return c.withColumns({"precision": zero(F.col("tp"), F.col("n_extracted")), "recall": zero(F.col("tp"), F.col("n_gold")), "f1": zero(2 * F.col("tp"), F.col("n_extracted") + F.col("n_gold"))})
+
+
+def contamination(gold: DataFrame, pred: DataFrame, tainted: str) -> DataFrame:
+    """Document-level recall with and without the predictions that came from a tainted source, in one row.
+
+    gold: title, qid; pred: title, qid (null: nothing found), source (null counts as clean). Every gold row counts, repeats too.
+    """
+    found = pred.where("qid is not null").select("title", "qid", (~F.col("source").eqNullSafe(tainted)).alias("clean"))
+    per = found.groupBy("title", "qid").agg(F.bool_or("clean").alias("clean"), F.lit(True).alias("hit"))
+    n = gold.join(per, ["title", "qid"], "left").agg(F.count("*").alias("n_gold"), F.count("hit").alias("matched"), F.count_if("clean").alias("matched_clean"))
+    p = found.agg(F.count("*").alias("n_grounded"), F.count_if(~F.col("clean")).alias("n_tainted"))
+    out = n.crossJoin(F.broadcast(p))  # one row by one row
+    full, clean = _share(F.col("matched"), F.col("n_gold"), 4), _share(F.col("matched_clean"), F.col("n_gold"), 4)
+    delta = _share(F.col("matched_clean") - F.col("matched"), F.col("n_gold"), 4)
+    return out.select("n_gold", "n_grounded", "n_tainted", _share(F.col("n_tainted"), F.col("n_grounded"), 4).alias("tainted_share"), "matched", "matched_clean", full.alias("recall"), clean.alias("recall_clean"), delta.alias("delta"), (F.col("matched") - F.col("matched_clean")).alias("n_lost"))
+
+
+def residuals(cells: DataFrame, targets: DataFrame, keys: list[str], value: str = "rho") -> DataFrame:
+    """cells joined to their targets (keys, target): target, computed and residual, four places."""
+    j = cells.join(targets, keys)
+    return j.select(*keys, "target", F.col(value).alias("computed"), F.round(F.col(value) - F.col("target"), 4).alias("residual"))
+
+
+def nearest(res: DataFrame, by: str) -> DataFrame:
+    """The mean absolute residual of each variant, and whether it is the least (the first by name of equal ones)."""
+    m = res.groupBy(by).agg(F.round(F.avg(F.abs(F.col("computed") - F.col("target"))), 4).alias("mean_abs"))
+    best = m.agg(F.min(F.struct("mean_abs", by)).alias("_b"))
+    return m.crossJoin(F.broadcast(best)).select(by, "mean_abs", (F.col(by) == F.col(f"_b.{by}")).alias("best"))  # one row

@@ -66,3 +66,27 @@ def ties(df: DataFrame, key: str, value: str) -> DataFrame:
     """Distinct values, the most frequent one (the smallest of equals) and its share."""
     n = df.groupBy(key, value).agg(F.count("*").alias("n"))
     return n.groupBy(key).agg(F.count("*").alias("n_distinct"), F.max_by(value, F.struct(F.col("n"), -F.col(value))).alias("modal"), F.round(F.max("n") / F.sum("n"), 4).alias("modal_share"))
+
+
+def spearman_grid(df: DataFrame, key: str, left: list[str], right: list[str]) -> DataFrame:
+    """spearman() of every column of `left` with every one of `right`, by key: key, criterion, metric, n, rho.
+
+    Each cell drops the rows where one of its own two columns is null. A cell without two rows is there with n and a null.
+    """
+    pairs = [F.struct(F.col(key).alias("k"), F.lit(a).alias("criterion"), F.lit(b).alias("metric")) for a in left for b in right]
+    values = [F.struct(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a in left for b in right]
+    rows = df.select(F.explode(F.arrays_zip(F.array(*pairs).alias("cell"), F.array(*values).alias("v"))).alias("z")).select("z.cell", "z.v.x", "z.v.y")
+    got = spearman(rows, "cell", "x", "y")
+    every = rows.select("cell").distinct().join(got, "cell", "left")
+    return every.select(F.col("cell.k").alias(key), "cell.criterion", "cell.metric", F.coalesce("n", F.lit(0)).alias("n"), "rho")
+
+
+def tie_summary(df: DataFrame, key: str, value: str, top: tuple[float, ...] = (9, 10)) -> DataFrame:
+    """Per key over present values: n, distinct ones, the most frequent (the smallest of equals), its share, the share of top values, the mean."""
+    per = df.groupBy(key, value).agg(F.count("*").alias("c"))
+    c, v, here = F.col("c"), F.col(value), F.col(value).isNotNull()
+    n = F.sum(F.when(here, c).otherwise(0))
+    of = lambda x: F.when(n > 0, F.round(x / n, 4))
+    return per.groupBy(key).agg(
+        n.alias("n"), F.count_if(here).alias("n_distinct"), F.max_by(value, F.when(here, F.struct(c, -v))).alias("modal"), of(F.max(F.when(here, c))).alias("modal_share"),
+        of(F.sum(F.when(v.isin(*top), c).otherwise(0))).alias("top_share"), of(F.sum(v.cast("decimal(18,6)") * c).cast("double")).alias("mean"))

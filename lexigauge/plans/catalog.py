@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexigauge.functions import forms
 from lexigauge.functions import text as T
-from lexigauge.operators import anchors, decisions, evaluation, extraction, matching, rules, scores, shaping, spans, stats
+from lexigauge.operators import anchors, decisions, evaluation, extraction, lookups, matching, pairing, rules, scores, shaping, spans, stats
 from lexigauge.sources import tables
 from lexigauge.sources.tables import CRITERIA, table
 
@@ -885,3 +886,196 @@ def global_paragraph_index(s, d):
 @query(f"WITH {SCORE}, {ISSUES} SELECT id, para, crit FROM iss i WHERE status = 'open' AND (kind = 'live' OR kind = 'seed' AND NOT EXISTS (SELECT 1 FROM score s WHERE s.kind = 'live' AND s.para = i.para AND s.crit = i.crit))")
 def open_findings(s, d):
     return scores.visible(_issues(s, d), tables.scores(s, d)).where("status = 'open'").select("id", "para", "crit")
+
+
+FULL = "CASE p_size % 4 WHEN 0 THEN p_name || ' of ' || p_brand WHEN 1 THEN p_name || ', the ' || p_type WHEN 2 THEN p_name || ' IV' ELSE p_name END"
+
+
+@query(f"""WITH n AS (SELECT p_partkey, p_type, p_brand, {FULL} AS name, p_size % 5 > 0 AS has FROM part), s AS (SELECT *, trim(regexp_replace(trim(string_split_regex(name, '\\s+(?:of|the|son|daughter|and)\\s+|,\\s*')[1]), '\\s+(?:[IVXLC]+|[A-Z])$', '')) AS short FROM n)
+SELECT p_partkey, CASE WHEN has THEN name || '|' || p_type || '|' || p_brand || CASE WHEN short <> name THEN '|' || short ELSE '' END ELSE p_type || '|' || name || '|' || p_brand END AS forms FROM s""")
+def entity_forms(s, d):
+    k = F.col("p_size") % 4
+    name = F.when(k == 0, F.concat("p_name", F.lit(" of "), "p_brand")).when(k == 1, F.concat("p_name", F.lit(", the "), "p_type")).when(k == 2, F.concat("p_name", F.lit(" IV"))).otherwise(F.col("p_name"))
+    value = lambda c: F.concat(F.lit('{"value":"'), c, F.lit('"}'))
+    label = F.when(F.col("p_size") % 5 > 0, F.concat(F.lit('"labels":{"en":'), value(name), F.lit("},"))).otherwise("")
+    json = F.concat(F.lit("{"), label, F.lit('"aliases":{"en":['), value(F.col("p_type")), F.lit(',{"value":"𒋀"},'), value(name), F.lit(']},"sitelinks":{"enwiki":{"title":"'), F.col("p_brand"), F.lit('"}}}'))
+    return table(s, d, "part").select("p_partkey", F.array_join(forms.latin_forms(forms.entity(json)), "|").alias("forms"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 1 THEN '' ELSE p_brand || '|' || p_type END AS names FROM part")
+def alternate_names(s, d):
+    k, name, brand = F.col("p_size") % 3, F.col("p_name"), F.col("p_brand")
+    twice = F.concat(F.lit("the "), name, F.lit(" and "), name, F.lit(" ("), brand, F.lit(", или "), F.col("p_type"), F.lit(") x (no)"))
+    context = F.when(k == 0, twice).when(k == 1, F.concat(name, F.lit(" x ("), brand, F.lit(")"))).otherwise(F.concat(name, F.lit("("), brand, F.lit(" или "), F.col("p_type"), F.lit(",)")))
+    return table(s, d, "part").select("p_partkey", F.array_join(forms.alternates(name, context), "|").alias("names"))
+
+
+INFLECTED = ("Тигра", "мирами", "дом", "Среднем", "линия", "яя", "городах", "синий")
+
+
+@query(f"""WITH w AS (SELECT p_partkey, i, lower([{", ".join(f"'{w}'" for w in INFLECTED)}][i]) AS w, o FROM (SELECT p_partkey, unnest([p_size % 8 + 1, p_partkey % 8 + 1]) AS i, unnest([1, 2]) AS o FROM part)),
+c AS (SELECT *, list_filter([{", ".join(f"'{e}'" for e in forms.CASE_ENDINGS)}], lambda e: ends_with(w, e) AND length(w) - length(e) >= 3)[1] AS e FROM w)
+SELECT p_partkey, string_agg(CASE WHEN length(w) > 4 AND e IS NOT NULL THEN substr(w, 1, length(w) - length(e)) ELSE w END, ' ' ORDER BY o) AS stem FROM c GROUP BY p_partkey""")
+def phrase_stems(s, d):
+    pick = lambda i: F.get(F.array(*map(F.lit, INFLECTED)), i.cast("int"))
+    return table(s, d, "part").select("p_partkey", forms.stems(F.concat_ws("  ", pick(F.col("p_size") % 8), pick(F.col("p_partkey") % 8))).alias("stem"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(range(length(p_name)), lambda i: substr(p_name, i + 1, length(f)) = f), ',') AS places FROM (SELECT p_partkey, p_name || p_name AS p_name, substr(p_name, 2, 1 + p_size % 2) AS f FROM part)")
+def fragment_places(s, d):
+    f = F.substr("p_name", F.lit(2), 1 + F.col("p_size") % 2)
+    return table(s, d, "part").select("p_partkey", F.array_join(forms.occurrences(F.concat("p_name", "p_name"), f).cast("array<string>"), ",").alias("places"))
+
+
+@query("""WITH t AS (SELECT p_partkey, p_size % 3 AS k, p_name, '=' || p_type AS p_type, p_brand FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN p_type || '!' WHEN 1 THEN p_name || '.' END AS sentence, CASE k WHEN 0 THEN p_name || '. ' WHEN 1 THEN '' END AS before, CASE k WHEN 0 THEN p_type WHEN 1 THEN p_name END AS match, CASE k WHEN 0 THEN '!  ' || p_brand || ' end' WHEN 1 THEN '. ' || p_type || '!  ' || p_brand || ' end' END AS after FROM t""")
+def sentence_of_match(s, d):
+    k = F.col("p_size") % 3
+    text = F.concat("p_name", F.lit(". ="), "p_type", F.lit("!  "), "p_brand", F.lit(" end"))
+    needle = F.when(k == 0, F.concat(F.lit("="), F.lower("p_type"))).when(k == 1, F.upper("p_name")).otherwise("zzz")
+    return table(s, d, "part").select("p_partkey", forms.sentence_with(text, needle).alias("sentence"), forms.match_span(text, needle).alias("m")).select("p_partkey", "sentence", "m.before", "m.match", "m.after")
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name || ' new ' || p_brand WHEN 1 THEN p_name || ' new ' || p_brand WHEN 2 THEN p_name || ' X' END AS target FROM part")
+def suggestion_splice(s, d):
+    k = F.col("p_size") % 4
+    fragment = F.when(k < 2, F.col("p_type")).when(k == 2, F.concat_ws("  ", "p_type", "p_brand")).otherwise("nothing like it")
+    said = F.when(k == 0, F.concat(F.upper(F.split_part("p_name", F.lit(" "), F.lit(2))), F.lit(" new"))).when(k == 1, F.concat(F.lit("new "), F.lower("p_brand"))).otherwise("X")
+    return table(s, d, "part").select("p_partkey", forms.spliced(F.concat_ws(" ", "p_name", "p_type", "p_brand"), fragment, said).alias("target"))
+
+
+PEOPLES = ("царь", "Ур", "Урук", "халдеи", "шумерцы", "бойцы", "Горцы", "самаряне", "цари", "инане")
+LEXICON = (("царь", "role"), ("Ур", "place"), ("халдеи", "people"), ("Ур", "other"))
+
+
+@query(f"""WITH w AS (SELECT p_partkey, [v[p_size % 10 + 1], v[p_partkey % 10 + 1], v[p_partkey // 10 % 10 + 1]] AS ws FROM (SELECT *, [{", ".join(f"'{w}'" for w in PEOPLES)}] AS v FROM part))
+SELECT p_partkey, array_to_string(list_concat(list_filter(['царь', 'Ур', 'халдеи'], lambda f: list_contains(ws, f)), list_filter(ws, lambda x, i: list_position(ws, x) = i AND x IN ('шумерцы', 'самаряне'))), ',') AS surfaces,
+array_to_string(list_transform(list_concat(list_filter(['царь', 'Ур', 'халдеи'], lambda f: list_contains(ws, f)), list_filter(ws, lambda x, i: list_position(ws, x) = i AND x IN ('шумерцы', 'самаряне'))), lambda x: CASE x WHEN 'царь' THEN 'role' WHEN 'Ур' THEN 'place' ELSE 'people' END), ',') AS categories FROM w""")
+def gazetteer_surfaces(s, d):
+    pick = lambda i: F.get(F.array(*map(F.lit, PEOPLES)), i.cast("int"))
+    p = F.col("p_partkey")
+    text = F.concat(pick(F.col("p_size") % 10), F.lit(", "), pick(p % 10), F.lit(" и "), pick(F.floor(p / 10) % 10), F.lit("."))
+    found = table(s, d, "part").select("p_partkey", forms.gazetteer(text, LEXICON).alias("g"))
+    return found.select("p_partkey", F.array_join("g.surface", ",").alias("surfaces"), F.array_join("g.category", ",").alias("categories"))
+
+
+@query("""WITH p AS (SELECT p_partkey, length(p_name) AS n, length(split_part(p_name, ' ', 1)) AS a FROM part)
+SELECT p_partkey, a + 1 AS start, n AS "end", 1 AS place FROM p UNION ALL SELECT p_partkey, n + 1, 2 * n + 1, 2 FROM p UNION ALL SELECT p_partkey, 0, a, 4 FROM p""")
+def claims_in_turn(s, d):
+    word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    rows = table(s, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_name").alias("text"), F.array(word(2), F.col("p_name"), F.lit(None).cast("string"), word(1), F.col("p_name")).alias("surfaces"))
+    return spans.claim_in_turn(rows, "p_partkey")
+
+
+@query("""WITH p AS (SELECT p_partkey, length(p_name) AS n FROM part) SELECT p_partkey, 0 AS start, n - 1 AS "end", 2 AS place, NULL AS host FROM p UNION ALL SELECT p_partkey, 0, 2, 3, 2 FROM p""")
+def nested_ranges(s, d):
+    n = F.length("p_name")
+    r = lambda a, b: F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"))
+    ranges = F.array(r(1, 3), r(0, n - 1), r(0, 2), r(n - 2, n), r(n - 1, n), r(n, n + 1))
+    return spans.show(table(s, d, "part").select("p_partkey", F.col("p_name").alias("text"), ranges.alias("ranges")), "p_partkey")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name, length(p_name) AS n, least(p_size % 4, length(split_part(p_name, ' ', 2)) - 1) AS cut, p_size % 7 = 0 AS lost FROM part), v AS (SELECT *, 2.0 * (n - cut) / (2 * n - cut) AS sim FROM p),
+t AS (SELECT *, CASE WHEN lost THEN 'red' WHEN cut = 0 OR sim >= 0.9 THEN 'green' WHEN sim >= 0.7 THEN 'yellow' ELSE 'red' END AS verdict FROM v)
+SELECT p_partkey, verdict, CASE WHEN verdict <> 'red' THEN substr(p_name, 1, n - cut) END AS surface, CASE WHEN verdict <> 'green' THEN p_name END AS recommended FROM t""")
+def fuzzy_pairs(s, d):
+    cut = F.least(F.col("p_size") % 4, F.length(F.split_part("p_name", F.lit(" "), F.lit(2))) - 1)
+    target = F.when(F.col("p_size") % 7 == 0, "§§ §§ §§").otherwise(F.concat(F.lit("§§ "), F.substr("p_name", F.lit(1), F.length("p_name") - cut), F.lit(" §§")))
+    out = table(s, d, "part").select("p_partkey", pairing.pair(F.array("p_name"), target).alias("x"))
+    return out.select("p_partkey", "x.verdict", "x.surface", "x.recommended")
+
+
+@query("""WITH known AS (SELECT DISTINCT lower(p_type) AS norm, 'about ' || p_type AS context FROM part), m AS (SELECT p_partkey, p_name, p_size, CASE p_size % 4 WHEN 0 THEN p_brand WHEN 1 THEN '' END AS context, CASE WHEN p_size % 4 = 1 THEN lower(p_type) END AS norm, CASE WHEN p_size % 4 = 2 THEN repeat('x', p_size) || ' ' || p_name || ' tail ' || p_type ELSE 'none' END AS source FROM part),
+j AS (SELECT m.* EXCLUDE (context), nullif(m.context, '') AS own, k.context AS got, strpos(source, p_name) AS found FROM m LEFT JOIN known k USING (norm))
+SELECT p_partkey, coalesce(own, got, CASE WHEN found > 0 THEN substr(source, greatest(1, found - 40), found - greatest(1, found - 40) + length(p_name) + 40) END, '') AS context, CASE WHEN own IS NOT NULL THEN 'golden' WHEN got IS NOT NULL THEN 'golden_source' WHEN found > 0 THEN 'reconstructed' ELSE 'unavailable' END AS origin,
+CASE WHEN own IS NOT NULL THEN p_partkey WHEN got IS NOT NULL THEN p_partkey WHEN found > 0 THEN found - 1 ELSE -1 END AS start, CASE WHEN own IS NULL AND got IS NULL AND found > 0 THEN found - 1 + length(p_name) ELSE -1 END AS "end" FROM j""")
+def mention_contexts(s, d):
+    p, k = table(s, d, "part"), F.col("p_size") % 4
+    known = p.select(F.lower("p_type").alias("norm"), F.concat(F.lit("about "), "p_type").alias("context")).distinct()
+    none = F.lit(None).cast("string")
+    m = p.select("p_partkey", F.col("p_name").alias("surface"), none.alias("norm_surface"), F.when(k == 1, F.lower("p_type")).alias("norm_lemma"), F.when(k == 0, F.col("p_brand")).when(k == 1, "").alias("context"), F.col("p_partkey").alias("para"), F.col("p_partkey").alias("start"), F.lit(None).cast("long").alias("end"))
+    source = F.when(k == 2, F.concat(F.expr("repeat('x', p_size)"), F.lit(" "), "p_name", F.lit(" tail "), "p_type")).otherwise("none")
+    return lookups.contexts(m, known, p.select(F.col("p_partkey").alias("para"), source.alias("source"))).select("p_partkey", "context", "origin", "start", "end")
+
+
+@query("""WITH t AS (SELECT p_partkey AS n, CASE WHEN p_size % 3 = 0 THEN 't' ELSE 'T' END || p_partkey AS title FROM part), c AS (SELECT title, CASE WHEN n % 17 = 4 THEN n - 1 ELSE n END AS n FROM t)
+SELECT title, CASE WHEN p_size % 11 = 0 THEN 'missing' WHEN p_size % 5 = 0 THEN 'no_entity' ELSE 'entity' END AS state, CASE WHEN p_size % 11 > 0 THEN 'T' || n END AS canonical, CASE WHEN p_size % 11 > 0 AND p_size % 5 > 0 THEN 'Q' || n END AS qid FROM c JOIN part ON p_partkey = n""")
+def title_entities(s, d):
+    p, n = table(s, d, "part"), F.col("p_partkey")
+    name = lambda letter, x: F.concat(F.lit(letter), x.cast("string"))
+    titles = p.select(F.when(F.col("p_size") % 3 == 0, name("t", n)).otherwise(name("T", n)).alias("title"))
+    normalized = p.select(name("t", n).alias("src"), name("T", n).alias("dst"))
+    redirects = p.select(name("T", n).alias("src"), F.when(n % 17 == 4, name("T", n - 1)).alias("dst"))
+    pages = p.select(name("T", n).alias("canonical"), F.when(F.col("p_size") % 5 > 0, name("Q", n)).alias("qid"), (F.col("p_size") % 11 == 0).alias("missing"))
+    return lookups.entities_of(titles, normalized, redirects, pages)
+
+
+@query("""WITH c AS (SELECT p_name AS surface, max(p_brand) AS target, CASE WHEN max(p_size) % 3 > 0 THEN 'red' END AS verdict FROM part GROUP BY 1)
+SELECT p_partkey, CASE WHEN verdict IS NULL THEN p_type WHEN length(target) % 2 = 0 THEN target END AS target, coalesce(verdict, 'green') AS verdict, CASE WHEN verdict IS NULL THEN 'say it' END AS recommended FROM part JOIN c ON surface = p_name""")
+def verdict_overlay(s, d):
+    p = table(s, d, "part")
+    c = p.groupBy(F.col("p_name").alias("surface")).agg(F.max("p_brand").alias("t"), F.max("p_size").alias("z"))
+    c = c.select("surface", F.when(F.length("t") % 2 == 0, F.col("t")).alias("target"), F.when(F.col("z") % 3 > 0, "red").alias("verdict"), F.lit(None).cast("string").alias("recommended"))
+    t = p.select("p_partkey", F.col("p_name").alias("surface"), F.col("p_type").alias("target"), F.lit("green").alias("verdict"), F.lit("say it").alias("recommended"))
+    return lookups.overlaid(t, c).drop("surface")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 48 THEN 'max_tokens' WHEN l_tax > 0.07 THEN 'reasoning' WHEN l_discount > 0.09 THEN 'temperature' WHEN l_quantity < 5 THEN 'zoom' END AS bad FROM lineitem""")
+def parameter_check(s, d):
+    q = F.col("l_quantity")
+    pairs = {"max_tokens": F.when(q > 48, "32769").otherwise(q.cast("int").cast("string")), "temperature": F.when(F.col("l_discount") > 0.09, "2.5").otherwise(F.col("l_discount").cast("string")), "reasoning": F.when(F.col("l_tax") > 0.07, '{"effort":"most"}').otherwise('{"effort":"low","max_tokens":9}'), "enable_thinking": F.lit("true")}
+    known = F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)])
+    params = F.when(q < 5, F.map_concat(known, F.create_map(F.lit("zoom"), F.lit("1")))).otherwise(known)
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", lookups.first_bad_parameter(params).alias("bad"))
+
+
+@query(f"""WITH {WORDS}, p AS (SELECT title, qid, length(qid) % 3 > 0 AS clean FROM pred WHERE length(qid) % 7 <> 0), g AS (SELECT count(*) AS n_grounded, count(*) FILTER (NOT clean) AS n_tainted FROM p), h AS (SELECT title, qid, bool_or(clean) AS clean FROM p GROUP BY ALL),
+n AS (SELECT count(*) AS n_gold, count(h.qid) AS matched, count(*) FILTER (clean) AS matched_clean FROM gold LEFT JOIN h USING (title, qid))
+SELECT n_gold, n_grounded, n_tainted, round(n_tainted / n_grounded, 4) AS tainted_share, matched, matched_clean, round(matched / n_gold, 4) AS recall, round(matched_clean / n_gold, 4) AS recall_clean, round((matched_clean - matched) / n_gold, 4) AS delta, matched - matched_clean AS n_lost FROM n, g""")
+def contamination_replay(s, d):
+    n = F.length("qid")
+    p = tables.mentions(s, d, "pred").select("title", F.when(n % 7 != 0, F.col("qid")).alias("qid"), F.when(n % 3 == 0, "sitelink").otherwise("label").alias("source"))
+    return evaluation.contamination(tables.mentions(s, d, "gold"), p, "sitelink")
+
+
+GRID = """u AS (SELECT l_linestatus, 'quantity' AS criterion, l_quantity AS x, * FROM lineitem UNION ALL SELECT l_linestatus, 'discount', l_discount, * FROM lineitem), v AS (SELECT l_linestatus, criterion, x, 'tax' AS metric, CASE WHEN l_tax < 0.08 THEN l_tax END AS y FROM u UNION ALL SELECT l_linestatus, criterion, x, 'price', l_extendedprice FROM u),
+r AS (SELECT l_linestatus, criterion, metric, rank() OVER (PARTITION BY l_linestatus, criterion, metric ORDER BY x) + (count(*) OVER (PARTITION BY l_linestatus, criterion, metric, x) - 1) / 2 AS a, rank() OVER (PARTITION BY l_linestatus, criterion, metric ORDER BY y) + (count(*) OVER (PARTITION BY l_linestatus, criterion, metric, y) - 1) / 2 AS b FROM v WHERE x IS NOT NULL AND y IS NOT NULL),
+grid AS (SELECT l_linestatus, criterion, metric, count(*) AS n, round(corr(a, b), 4) AS rho FROM r GROUP BY ALL)"""
+
+
+def _grid(s, d):
+    li = table(s, d, "lineitem").select("l_linestatus", F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.when(F.col("l_tax") < 0.08, F.col("l_tax")).alias("tax"), F.col("l_extendedprice").alias("price"))
+    return stats.spearman_grid(li, "l_linestatus", ["quantity", "discount"], ["tax", "price"])
+
+
+@query(f"WITH {GRID} SELECT * FROM grid")
+def correlation_grid(s, d):
+    return _grid(s, d)
+
+
+@query(f"WITH {GRID}, m AS (SELECT metric, round(avg(abs(rho - 0.25)), 4) AS mean_abs FROM grid GROUP BY metric) SELECT metric, mean_abs, row_number() OVER (ORDER BY mean_abs, metric) = 1 AS best FROM m")
+def nearest_variant(s, d):
+    cells = _grid(s, d)
+    keys = ["l_linestatus", "criterion", "metric"]
+    targets = cells.select(*keys, F.lit(0.25).alias("target"))
+    return evaluation.nearest(evaluation.residuals(cells, targets, keys), "metric")
+
+
+@query("""WITH q AS (SELECT l_returnflag, CASE WHEN l_tax > 0 THEN l_quantity END AS v FROM lineitem), n AS (SELECT l_returnflag, v, count(*) AS c FROM q WHERE v IS NOT NULL GROUP BY ALL)
+SELECT l_returnflag, CAST(sum(c) AS BIGINT) AS n, count(*) AS n_distinct, arg_max(v, (c, -v)) AS modal, round(max(c) / sum(c), 4) AS modal_share, round(coalesce(sum(c) FILTER (v IN (9, 10)), 0) / sum(c), 4) AS top_share, round(CAST(sum(CAST(v AS DECIMAL(18, 6)) * c) AS DOUBLE) / sum(c), 4) AS mean FROM n GROUP BY 1""")
+def tie_summary(s, d):
+    return stats.tie_summary(table(s, d, "lineitem").select("l_returnflag", F.when(F.col("l_tax") > 0, F.col("l_quantity")).alias("v")), "l_returnflag", "v")
+
+
+@query("""WITH c AS (SELECT l_suppkey, l_discount < 0.095 AS ok, CAST(l_quantity AS DOUBLE) AS lat, CASE WHEN l_suppkey % 4 > 0 THEN CAST(l_quantity * 4 AS INT) END AS pt, CAST(l_quantity AS INT) AS ct, CASE WHEN l_suppkey % 3 = 0 THEN l_tax END AS cost, CASE WHEN l_suppkey % 2 = 0 THEN 0.3 END AS price, l_suppkey % 9 = 0 AS dead FROM lineitem),
+p AS (SELECT l_suppkey, lat, ok, row_number() OVER (PARTITION BY l_suppkey, ok ORDER BY lat) AS r, count(*) OVER (PARTITION BY l_suppkey, ok) AS n FROM c), p90 AS (SELECT l_suppkey, coalesce(max(lat) FILTER (ok AND r = (9 * n + 9) // 10), max(lat)) AS latency_p90, count(*) FILTER (ok) AS good FROM p GROUP BY 1),
+a AS (SELECT l_suppkey, count(*) AS n_calls, count(*) FILTER (ok) AS n_success, bool_or(dead) AS dead, coalesce(median(lat) FILTER (ok), median(lat)) AS latency_median, median(pt) FILTER (ok) AS prompt_median, median(ct) FILTER (ok) AS completion_median, median(cost) FILTER (ok) AS told, max(price) AS price FROM c GROUP BY 1),
+b AS (SELECT *, (prompt_median * price + completion_median * price) / 1000000 AS guess, n_success / n_calls AS rate FROM a JOIN p90 USING (l_suppkey))
+SELECT l_suppkey, n_calls, n_success, round(rate, 6) AS success_rate, latency_median, CASE WHEN n_success > 0 THEN latency_p90 END AS latency_p90, prompt_median, completion_median, round(coalesce(told, guess), 9) AS cost, CASE WHEN told IS NOT NULL THEN 'real' WHEN guess IS NOT NULL THEN 'estimated' ELSE 'unknown' END AS cost_source, prompt_median <= 100 AS honest, dead,
+CASE WHEN dead THEN 'dead' WHEN n_success = 0 THEN 'failed' WHEN rate < 0.9 THEN 'unstable' WHEN prompt_median > 100 THEN 'padded' WHEN prompt_median IS NULL THEN 'unknown-tokens' ELSE 'candidate' END AS verdict FROM b""")
+def route_statistics(s, d):
+    k, q = F.col("l_suppkey"), F.col("l_quantity")
+    price = F.when(k % 2 == 0, 0.3)
+    calls = table(s, d, "lineitem").select("l_suppkey", (F.col("l_discount") < 0.095).alias("ok"), q.cast("double").alias("latency"), F.when(k % 4 > 0, (q * 4).cast("int")).alias("prompt_tokens"), q.cast("int").alias("completion_tokens"), F.when(k % 3 == 0, F.col("l_tax")).alias("cost"), price.alias("price_in"), price.alias("price_out"), (k % 9 == 0).alias("dead"))
+    out = decisions.route_stats(calls, ["l_suppkey"])
+    return out.withColumns({"success_rate": F.round("success_rate", 6), "cost": F.round("cost", 9), "latency_p90": F.when(F.col("n_success") > 0, F.col("latency_p90"))})
