@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, decontam, langid, licenses, linededup, neardup, packing, pii, quality, urls
+from . import brown, decontam, funnel, langid, licenses, linededup, neardup, packing, pii, quality, urls
 from .common import table
 
 
@@ -47,7 +47,11 @@ def op10_crf_language(spark, sf_dir):
     return out.select("doc_id", "held_out", "lang_pred", "score", "n_words", "second", "n_switches")
 
 
+def op11_ordered_funnels(spark, sf_dir):
+    return funnel.count(table(spark, sf_dir, "clicks"))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("op") and callable(f)}
 
 #: Equal results in SQL, where it can say them.
-SQL: dict[str, str] = {"op5_redirect_url_filter": urls.SQL}
+SQL: dict[str, str] = {"op5_redirect_url_filter": urls.SQL, "op11_ordered_funnels": funnel.sql()}
