@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, decontam, funnel, langid, licenses, linededup, neardup, packing, pii, quality, urls
+from . import brown, decontam, funnel, langid, licenses, linededup, neardup, packing, pii, quality, repair, urls
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op11_ordered_funnels(spark, sf_dir):
     return funnel.count(table(spark, sf_dir, "clicks"))
 
 
+def op12_conversation_repair(spark, sf_dir):
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("op") and callable(f)}
 
 #: Equal results in SQL, where it can say them.
