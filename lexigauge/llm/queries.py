@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, decontam, funnel, langid, licenses, linededup, neardup, packing, pii, quality, repair, urls
+from . import brown, decontam, funnel, langid, licenses, linededup, neardup, packing, pii, quality, repair, reuse, urls
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op12_conversation_repair(spark, sf_dir):
     return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_chunked_bpe(spark, sf_dir):
+    return reuse.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("op") and callable(f)}
 
 #: Equal results in SQL, where it can say them.
