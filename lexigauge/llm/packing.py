@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -27,6 +28,10 @@ FILLINGS, NODES, STEPS, BRANCHES = 6, 4000, 300, 12
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: From so many blanks in a row on, the rank encoder's pattern may run out of stack; the tokenizers library has no such limit.
+LONG_RUN = re.compile(r"\s{5000}")
+
+
 def default_vocab() -> str:
     import public_tokenizers
 
@@ -49,6 +54,24 @@ def encoder(spec: bytes):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@functools.lru_cache(2)
+def library(spec: bytes):
+    """The tokenizer of a file as the tokenizers library runs it, without truncation and padding."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(spec.decode())
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def ids_of(spec: bytes, text: str) -> np.ndarray:
+    """The ids of a text, whatever runs it holds."""
+    if LONG_RUN.search(text):
+        return np.array(library(spec).encode(text, add_special_tokens=False).ids, "<u4")
+    return encoder(spec).encode_to_numpy(text, allowed_special="all").astype("<u4")
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: whole pieces at the end, the rest in the first one."""
     if n <= capacity:
@@ -62,11 +85,11 @@ def _pieces(spec, capacity):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, part, seen = encoder(spec.value), TaskContext.get().partitionId(), {}
+        part, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             out = [[] for _ in range(7)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), column(batch, "text")):
-                ids = np.append(enc.encode_to_numpy(text.decode(), allowed_special="all"), np.uint32(END_ID)).astype("<u4")
+                ids = np.append(ids_of(spec.value, text.decode()), np.uint32(END_ID)).astype("<u4")
                 for k, (start, n) in enumerate(cut(len(ids), capacity)):
                     rank = seen[n] = seen.get(n, -1) + 1
                     for o, x in zip(out, (doc, k, start, n, zlib.crc32(ids[start : start + n].tobytes()), part, rank)):

@@ -43,3 +43,23 @@ def test_added_tokens(spark):
     want = {i: np.array([*t.encode(x, add_special_tokens=False).ids, packing.END_ID], "<u4") for i, x in enumerate(texts)}
     assert 50256 in want[0]
     assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+
+
+@pytest.mark.parametrize("kind", [" ", "\n", "x", " \n", "7", "!", "\u3000", "a \t"])
+def test_long_runs(kind):
+    with open(packing.default_vocab(), "rb") as f:
+        spec = f.read()
+    for n in (4_999, 5_000, 2_000_000 if kind in "  \n" else 20_000):
+        for text in (f"x{kind * (n // len(kind))}y", kind * (n // len(kind))):
+            assert packing.ids_of(spec, text).tolist() == packing.library(spec).encode(text, add_special_tokens=False).ids
+
+
+def test_long_blanks_are_packed(spark):
+    text = "x" + " " * 2_000_000 + "y"
+    got = packing.pack(spark.createDataFrame([(1, text), (2, None), (3, "a" * 2_000_000), (4, "\n" * 1_500_000), (5, " ")], "doc_id long, text string")).collect()
+    with open(packing.default_vocab(), "rb") as f:
+        t = packing.library(f.read())
+    for doc, s in ((1, text), (2, ""), (3, "a" * 2_000_000), (4, "\n" * 1_500_000), (5, " ")):
+        ids = np.array([*t.encode(s, add_special_tokens=False).ids, packing.END_ID], "<u4")
+        own = sorted((r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == doc)
+        assert own == [(a, n, zlib.crc32(ids[a : a + n].tobytes())) for a, n in packing.cut(len(ids))]
