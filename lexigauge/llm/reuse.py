@@ -17,20 +17,25 @@ import functools
 import hashlib
 import json
 import os
+import re
 import unicodedata
 from bisect import bisect_left
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, array_slices, column, drop, keep, mix, ship, spots
+from .common import SLICE_BYTES, array_slices, column, drop, keep, mix, ship, spots, tidy
 
 #: Bytes of a chunk: least, most, and a cut at one place in 2^CUT_BITS after the least.
 LEAST, MOST, CUT_BITS, WINDOW = 128, 2048, 7, 32
 #: Bits of the filter that tells shared chunks; bytes of text of a task, and of one call of the tokenizer.
 FILTER_BITS, TASK_BYTES, CALL_BYTES = 1 << 27, 16 << 20, 1 << 18
+#: Parts between blanks that a task remembers at a time, and the longest of them in characters.
+MEMO, LONG_PART = 300_000, 200
+#: A letter and a stop or comma behind it are two words in any case (U+0130 isn't among them: its small form ends in a mark).
+STOPS = re.compile("(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u045f])(?=[.,;:!?])")
 #: Characters that a core stays away from its chunk's ends.
 MARGIN = 16
 
@@ -48,6 +53,37 @@ class Codec:
     numbers: list
     margin: int
     plain: bool
+    mark: tuple | None  # an added token and its id
+    wide: bool  # ids or places need more than 16 bits
+    known: dict = field(default_factory=dict)
+
+    def ids(self, text: str) -> list[int]:
+        """The ids of a text. White space parts words in any case, so what stands between blanks is encoded once while it's remembered."""
+        out, known = [], self.known
+        for piece in _pieces(text):
+            parts = STOPS.sub(" ", piece).replace("\n", " ").split(" ")
+            if len(known) > MEMO:
+                known.clear()
+            new = list({p for p in parts if p not in known})
+            self._learn(new)
+            for p in parts:
+                out += known[p]
+            for p in new:
+                if len(p) > LONG_PART:
+                    del known[p]
+        return out
+
+    def _learn(self, parts: list[str]) -> None:
+        """The ids of parts, read off one text of all of them with an added token in between, which parts text before anything else."""
+        apart = [p for p in parts if self.mark is None or self.mark[0] in p]
+        self.known |= {p: e.ids for p, e in zip(apart, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False))}
+        if len(apart) == len(parts):
+            return
+        text, mark = self.mark
+        parts = [p for p in parts if text not in p]
+        ids = next(iter(self.tokenizer.encode_batch_fast([text.join(parts)], add_special_tokens=False))).ids
+        at = [*np.flatnonzero(np.array(ids) == mark).tolist(), len(ids)]
+        self.known |= {p: ids[a + 1 : b] for p, a, b in zip(parts, [-1, *at], at)}
 
     def digest(self, ids) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded text)."""
@@ -74,7 +110,7 @@ def codec(spec: bytes) -> Codec:
     t.no_truncation()
     t.no_padding()
     n = max(t.get_vocab(True).values()) + 1
-    return Codec(t, [t.id_to_token(i) for i in range(n)], [str(i) for i in range(n)], max([MARGIN, *(len(x["content"]) + 1 for x in added)]), told.get("decoder") is None)
+    return Codec(t, [t.id_to_token(i) for i in range(n)], [str(i) for i in range(n)], max([MARGIN, *(len(x["content"]) + 1 for x in added)]), told.get("decoder") is None, (added[0]["content"], added[0]["id"]) if added else None, max(n, MOST + WINDOW) > 1 << 16)
 
 
 _BYTE = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -134,28 +170,6 @@ def _pieces(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-def encoded(code: Codec, texts: list[str]):
-    """The ids of each text, a few texts at a time."""
-    todo, size = [], 0
-    for text in texts:
-        if len(text) > CALL_BYTES:
-            yield from _encoded(code, todo)
-            todo, size = [], 0
-            yield [i for piece in _pieces(text) for i in next(_encoded(code, [piece]))]
-            continue
-        todo.append(text)
-        size += len(text)
-        if size > CALL_BYTES:
-            yield from _encoded(code, todo)
-            todo, size = [], 0
-    yield from _encoded(code, todo)
-
-
-def _encoded(code, texts):
-    for e in code.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-        yield e.ids
-
-
 def words(code: Codec, texts: list[str]):
     """(start, end, ids) of the words of each text, in characters."""
     for i in range(0, len(texts), 256):
@@ -176,7 +190,7 @@ def calm(text: str) -> bool:
     return any(c < "\x80" or not (unicodedata.category(c).startswith("M") or "ᅠ" <= c <= "ᇿ" or unicodedata.combining(c)) for c in text)
 
 
-CORE = "core array<int>, first int, last int, upto int, head array<int>, tail array<int>"
+CORE = "core binary, first int, last int, upto int, head binary, tail binary"
 
 
 def core(text: str, found: list, margin: int = MARGIN):
@@ -198,6 +212,10 @@ def core(text: str, found: list, margin: int = MARGIN):
     return [x for w in found[i:k] for x in w[2]], first, last, upto, flat([w for w in found[i:j] if w[1] <= upto - margin]), flat([found[k]])
 
 
+def packed(numbers, wide: bool) -> bytes:
+    return np.array(numbers, "<u4" if wide else "<u2").tobytes()
+
+
 def _read(flat) -> list:
     out, i = [], 0
     while i < len(flat):
@@ -223,13 +241,11 @@ def joined(code: Codec, texts: list[bytes], cores: dict[bytes, tuple]) -> list[l
     while todo:
         asked = {}
         for d in todo:
-            for a, b in _windows(place[d], len(shown[d])):
+            for i, (a, b) in enumerate(_windows(place[d], len(shown[d]))):
                 if (d, a, b) not in done:
-                    asked[d, a, b] = shown[d][a:b]
-        small = {k: t for k, t in asked.items() if len(t) <= CALL_BYTES}
-        done |= dict(zip(small, words(code, list(small.values()))))
-        for k in asked.keys() - small.keys():
-            done[k] = _long_words(code, asked[k])
+                    first = place[d][i][0] + place[d][i][1][1] - a if i < len(place[d]) else None
+                    asked[d, a, b] = (shown[d][a:b], i > 0, first)
+        done |= zip(asked, _read_windows(code, list(asked.values())))
         again = []
         for d in todo:
             bad = _disagreed(place[d], len(shown[d]), lambda a, b: done[d, a, b])
@@ -242,12 +258,30 @@ def joined(code: Codec, texts: list[bytes], cores: dict[bytes, tuple]) -> list[l
     return ids
 
 
-def _long_words(code, text):
-    out, at = [], 0
-    for piece in _pieces(text):
-        out += [[a + at, b + at, ids] for a, b, ids in next(words(code, [piece]))]
-        at += len(piece)
-    return out
+def _blank(text: str, at: int, end: int) -> int:
+    """The first blank or line feed from a place on, or the end."""
+    found = [x for x in (text.find(" ", at, end), text.find("\n", at, end)) if x >= 0]
+    return min(found, default=end)
+
+
+def _read_windows(code, windows):
+    """The words of windows (text, whether its start must agree, where a core starts in it or None).
+
+    Places matter at a window's ends only: what lies between a blank behind its start and one before the core is one entry.
+    """
+    parts, ends = [], []
+    for text, left, first in windows:
+        n = len(text)
+        a = _blank(text, min(n, 4 * code.margin), n) if left else 0
+        b = n if first is None else max(text.rfind(" ", 0, max(0, first - 2 * code.margin)), text.rfind("\n", 0, max(0, first - 2 * code.margin)))
+        a, b = (0, 0) if b < a else (a, b)  # one piece: read all of it
+        parts.append((a, b))
+        ends += [text[:a], text[b:] if b < n else ""]
+    read = words(code, ends)
+    for (text, _, _), (a, b) in zip(windows, parts):
+        start, end = next(read), next(read)
+        middle = [[a, b, code.ids(text[a:b])]] if b > a else []
+        yield start + middle + [[x + b, y + b, ids] for x, y, ids in end]
 
 
 def _windows(place, n):
@@ -345,8 +379,9 @@ def _cores(spec):
             for a in range(0, len(raw), 512):
                 texts = [x.decode("utf-8", "replace") for x in raw[a : a + 512]]
                 found = [core(t, ws, code.margin) for t, ws in zip(texts, words(code, texts))]
+                found = [f and [packed(f[0], code.wide), *f[1:4], *(packed(x, code.wide) for x in f[4:])] for f in found]
                 cols = list(zip(*[f or [None] * 6 for f in found]))
-                kinds = [pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+                kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, 512), *[pa.array(c, t) for c, t in zip(cols, kinds)]], ["key", "core", "first", "last", "upto", "head", "tail"])
 
     return run
@@ -374,8 +409,7 @@ def _alone(spec, told, bits):
             for a, b in array_slices(batch.column("text"), SLICE_BYTES // 2):
                 part = texts[a:b]
                 waits = [any(map(has, keys(t, ends))) for t, ends in zip(part, chunks(part))]
-                made = encoded(code, [t.decode("utf-8", "replace") for t, w in zip(part, waits) if not w])
-                results = [(None, None, None) if w else code.digest(next(made)) for w in waits]
+                results = [(None, None, None) if w else code.digest(code.ids(t.decode("utf-8", "replace"))) for t, w in zip(part, waits)]
                 more = [batch.column("bucket").slice(a, b - a), pa.array([t if w else None for t, w in zip(part, waits)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(_told(batch.column("doc_id").slice(a, b - a), results, more), ["doc_id", "bucket", "text", *RESULT])
 
@@ -388,7 +422,8 @@ def _assembled(spec):
 
         code = codec(spec.value)
         cores = dict(zip(shared["key"].to_pylist(), zip(*(shared[c].to_pylist() for c in ("core", "first", "last", "upto", "head", "tail")))))
-        cores = {k: c for k, c in cores.items() if c[0] is not None}
+        plain = lambda x: np.frombuffer(x, "<u4" if code.wide else "<u2").tolist()
+        cores = {k: (plain(c[0]), *c[1:4], plain(c[4]), plain(c[5])) for k, c in cores.items() if c[0] is not None}
         texts, results = rows["text"].to_pylist(), list(zip(*(rows[c].to_pylist() for c in RESULT)))
         size, held, known = 0, [], {}
 
@@ -436,6 +471,7 @@ def digests(docs: DataFrame, vocab: str | None = None, bits: int = FILTER_BITS)
     twice = counted.groupBy("spot").agg(F.sum("n").alias("n")).where("n > 1")
     told = spark.sparkContext.broadcast(spots(twice, F.col("spot").bitwiseAND(F.lit(bits - 1)), bits).tobytes())
     drop(counted)
+    tidy(spark)
     buckets = max(1, -(-size // TASK_BYTES))
     own = own.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
     asked = keep(own.select("text", "bucket").mapInArrow(_asked(told, bits), "bucket long, key binary, text binary"))

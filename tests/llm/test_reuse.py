@@ -49,8 +49,9 @@ def test_unbroken_and_long(code, monkeypatch):
     texts = ["a" * 5000, "ab" * 3000, "".join(rng.choice("abcdefg") for _ in range(9000)), "́" * 3000, " " * 5000, "!" * 4000, "x" + "\n" * 4000 + "y", ("é" * 700 + " ") * 5, "日本語" * 900]
     raw = [t.encode() for t in texts]
     monkeypatch.setattr(reuse, "CALL_BYTES", 1000)
+    monkeypatch.setattr(reuse, "MEMO", 3)
     assert [code.digest(i) for i in reuse.joined(code, raw, cores_of(code, raw))] == [plain(code, t) for t in texts]
-    assert [code.digest(i) for i in reuse.encoded(code, texts)] == [plain(code, t) for t in texts]
+    assert [code.digest(code.ids(t)) for t in texts] == [plain(code, t) for t in texts]
 
 
 def test_chunks_follow_content():
