@@ -21,6 +21,7 @@ import re
 import unicodedata
 from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,6 +37,9 @@ FILTER_BITS, TASK_BYTES, CALL_BYTES = 1 << 27, 16 << 20, 1 << 18
 MEMO, LONG_PART = 300_000, 200
 #: A letter and a stop or comma behind it are two words in any case (U+0130 isn't among them: its small form ends in a mark).
 STOPS = re.compile("(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u045f])(?=[.,;:!?])")
+#: Letters that NFC leaves alone, of which each has one small form: a part of these alone is one word.
+WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u045f]+")
+END = "\x01"
 #: Characters that a core stays away from its chunk's ends.
 MARGIN = 16
 
@@ -55,6 +59,7 @@ class Codec:
     plain: bool
     mark: tuple | None  # an added token and its id
     wide: bool  # ids or places need more than 16 bits
+    ranks: tuple | None = None  # a rank encoder, the ids of its ranks, and which of them end a word
     known: dict = field(default_factory=dict)
 
     def ids(self, text: str) -> list[int]:
@@ -64,10 +69,9 @@ class Codec:
             parts = STOPS.sub(" ", piece).replace("\n", " ").split(" ")
             if len(known) > MEMO:
                 known.clear()
-            new = list({p for p in parts if p not in known})
+            new = list(set(parts).difference(known))
             self._learn(new)
-            for p in parts:
-                out += known[p]
+            out += chain.from_iterable(map(known.__getitem__, parts))
             for p in new:
                 if len(p) > LONG_PART:
                     del known[p]
@@ -75,6 +79,13 @@ class Codec:
 
     def _learn(self, parts: list[str]) -> None:
         """The ids of parts, read off one text of all of them with an added token in between, which parts text before anything else."""
+        if self.ranks and (plain := [p for p in parts if WORD.fullmatch(p)]):
+            encoder, ids, ends = self.ranks
+            found = encoder.encode_to_numpy(END.join(plain).lower() + END)
+            at = (np.flatnonzero(ends[found]) + 1).tolist()
+            found = ids[found].tolist()
+            self.known |= {p: found[a:b] for p, a, b in zip(plain, [0, *at], at)}
+            parts = [p for p in parts if p not in self.known]
         apart = [p for p in parts if self.mark is None or self.mark[0] in p]
         self.known |= {p: e.ids for p, e in zip(apart, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False))}
         if len(apart) == len(parts):
@@ -87,8 +98,33 @@ class Codec:
 
     def digest(self, ids) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded text)."""
-        text = " ".join([self.tokens[i] for i in ids]) if self.plain else self.tokenizer.decode(ids, skip_special_tokens=False)
-        return len(ids), hashlib.sha256(" ".join([self.numbers[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+        text = " ".join(map(self.tokens.__getitem__, ids)) if self.plain else self.tokenizer.decode(ids, skip_special_tokens=False)
+        return len(ids), hashlib.sha256(" ".join(map(self.numbers.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+
+def _ranked(model: dict):
+    """A rank encoder of the same merges for plain words: the end of a word is a byte, with which the last letter merges first.
+
+    A merge by rank of what it makes is the merge of its pair: what stands between two borders that no merge has crossed was
+    merged as it is alone, so a string has one pair.
+    """
+    import tiktoken
+
+    suffix = model.get("end_of_word_suffix")
+    if not suffix or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    free = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = {chr(b): b for b in free} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in free)}
+    letter, end = {b: c for c, b in shown.items()}, END.encode()
+    raw = lambda t: bytes(shown[c] for c in t.removesuffix(suffix)) + (end if t.endswith(suffix) else b"")
+    strings = {bytes([b]): letter[b] for b in range(256)} | {bytes([b]) + end: letter[b] + suffix for b in range(256) if bytes([b]) != end}
+    for pair in model["merges"]:
+        a, b = pair.split(" ") if isinstance(pair, str) else pair
+        if letter[end[0]] not in a + b:
+            strings.setdefault(raw(a + b), a + b)
+    ids = np.array([model["vocab"].get(t, -1) for t in strings.values()], np.int64)
+    ends = np.array([t.endswith(suffix) for t in strings.values()])
+    return tiktoken.Encoding("words", pat_str=f"[^{END}]*{END}", mergeable_ranks={t: i for i, t in enumerate(strings)}, special_tokens={}), ids, ends
 
 
 @functools.lru_cache(2)
@@ -110,7 +146,7 @@ def codec(spec: bytes) -> Codec:
     t.no_truncation()
     t.no_padding()
     n = max(t.get_vocab(True).values()) + 1
-    return Codec(t, [t.id_to_token(i) for i in range(n)], [str(i) for i in range(n)], max([MARGIN, *(len(x["content"]) + 1 for x in added)]), told.get("decoder") is None, (added[0]["content"], added[0]["id"]) if added else None, max(n, MOST + WINDOW) > 1 << 16)
+    return Codec(t, [t.id_to_token(i) for i in range(n)], [str(i) for i in range(n)], max([MARGIN, *(len(x["content"]) + 1 for x in added)]), told.get("decoder") is None, (added[0]["content"], added[0]["id"]) if added else None, max(n, MOST + WINDOW) > 1 << 16, _ranked(told["model"]))
 
 
 _BYTE = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)

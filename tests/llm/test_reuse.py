@@ -87,3 +87,12 @@ def test_other_tokenizers_are_refused():
         raw = f.read()
     with pytest.raises(ValueError):
         reuse.codec(raw)
+
+
+def test_plain_words_by_rank(code):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnoprstuvwzäöüßéèêçœæłšžАБВабвгдежзийклмнопрстуфхЁё\u01f0\u0149"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(20_000)] + ["the", "The", "THE", "ǅ", "Ǆ", "x" * 5000]
+    assert code.ranks is not None
+    for w in words:
+        assert code.ids(w) == code.tokenizer.encode(w, add_special_tokens=False).ids, w
