@@ -27,7 +27,9 @@ BLOCK = 12
 #: Postings of a word that meet in one place; those of a more frequent one are dealt in shares, each two of which meet.
 LIST = 2048
 #: Lines of a group whose words are compared in one place; larger groups are dealt in the same way.
-SIDE = 512
+SIDE, SIDE_BYTES = 512, 16 << 20
+#: Cells of a matrix in a comparison.
+GRID = 8 << 20
 #: Pairs that are filtered at a time, about.
 PAIRS = 1 << 19
 #: Bits of the filter that tells which lines to fetch again for comparison; a chance hit costs time only.
@@ -266,18 +268,28 @@ def _met(threshold):
 
 
 def _similar(sets, others, threshold):
-    """Of lines as word arrays, whether each pair (one of sets, one of others) is similar: words' overlaps by a matrix product."""
-    both = np.concatenate([*sets, *others])
-    kinds, at, n = np.unique(both, return_inverse=True, return_counts=True)
-    column = np.cumsum(n > 1) - 1  # words of one line only don't overlap
-    owner = np.repeat(np.arange(len(sets) + len(others)), [len(w) for w in (*sets, *others)])
-    held = (n > 1)[at]
-    m = np.zeros((len(sets) + len(others), int((n > 1).sum())), np.float32)
-    m[owner[held], column[at[held]]] = 1
-    x, y = m[: len(sets)], m[len(sets) :]
-    size = np.array([len(w) for w in (*sets, *others)], np.float64)
-    over = (x @ y.T).astype(np.float64)
-    return over >= threshold * (size[: len(sets), None] + size[None, len(sets) :] - over) - 1e-9
+    """Of lines as word arrays, whether each pair (one of sets, one of others) is similar; without others the pairs of sets.
+
+    Overlaps are a matrix product, summed over runs of words so that no matrix has more than GRID cells.
+    """
+    every = sets if others is None else [*sets, *others]
+    n = np.array([len(w) for w in every])
+    kinds, at, often = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    held = (often > 1)[at]  # words of one line only don't overlap
+    column = (np.cumsum(often > 1) - 1)[at[held]]
+    owner = np.repeat(np.arange(len(every)), n)[held]
+    del kinds, at, held
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    step = max(64, GRID // len(every))
+    rest = 0 if others is None else len(sets)
+    over = np.zeros((len(sets), len(every) - rest), np.float64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        i, j = np.searchsorted(column, (start, start + step))
+        m = np.zeros((len(every), step), np.float32)
+        m[owner[i:j], column[i:j] - start] = 1
+        over += m[: len(sets)] @ m[rest:].T
+    return over >= threshold * (n[: len(sets), None] + n[None, rest:] - over) - 1e-9
 
 
 def _linked(threshold):
@@ -308,7 +320,7 @@ def _linked(threshold):
                         if both >= threshold * (len(words[i]) + len(words[j]) - both) - 1e-9 and earlier[i].isdisjoint(earlier[j]):
                             link(lines[i], lines[j])
         else:
-            ok = _similar([lines[i][4] for i in left], [lines[j][4] for j in right], threshold)
+            ok = _similar([lines[i][4] for i in left], [lines[j][4] for j in right] if cross else None, threshold)
             if not cross:
                 ok = np.triu(ok, 1)
             for i, j in zip(*(x.tolist() for x in np.nonzero(ok))):
@@ -392,14 +404,14 @@ class _Join:
         least = first.groupBy("lid").agg(F.min("leader").alias("least")).select(c("lid").alias("leader"), "least")
         met = keep(first.join(least, "leader").select("lid", c("least").alias("leader")).distinct())
         drop(first)
-        sides = met.groupBy("leader").agg(F.ceil(F.count("*") / SIDE).alias("sides")).where("sides > 1")
-        sides = keep(sides)
         mine = met.groupBy("lid").agg(F.collect_set("leader").alias("leaders"))
-        named = keep(self.sets.select("lid", "doc_id", "th", "line", "s1", "s2").join(mine, "lid"))
+        named = keep(self.sets.select("lid", "doc_id", "th", "line", "s1", "s2", "n").join(mine, "lid"))
+        size = named.select("n", F.explode("leaders").alias("leader")).groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / SIDE, F.sum("n") * 8 / SIDE_BYTES)).alias("sides"))
+        sides = keep(size.where("sides > 1"))
         wanted = self.spark.sparkContext.broadcast(spots(named, _spot(c("th"), c("line")), BITS))
         got = self.texts.mapInArrow(_fetched(wanted, self.least), "doc_id long, th long, line int, words binary")
         at = ["doc_id", "th", "line"]
-        rows = named.drop("s1", "s2").join(got, at).withColumn("leader", F.explode("leaders")).join(sides, "leader", "left")
+        rows = named.drop("s1", "s2", "n").join(got, at).withColumn("leader", F.explode("leaders")).join(sides, "leader", "left")
         share = F.pmod(F.xxhash64("lid"), F.coalesce("sides", F.lit(1)))
         rows = rows.withColumn("own", share).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("sides", F.lit(1)) - 1)))
         key = F.when(c("sides").isNull(), c("leader")).otherwise(F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")))

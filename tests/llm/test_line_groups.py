@@ -36,3 +36,33 @@ def test_rows_repeated_under_a_doc_id(spark):
     ]
     rep = {(r["doc_id"], r["n_lines"], r["removed"], r["class_id"]) for r in linededup.report(docs).collect()}
     assert rep == {(1, 2, "", 1), (5, 2, "0,1", 1), (5, 1, "", 5), (7, 1, "", 7), (None, 1, "", None), (8, 0, "", 8), (9, 2, "", 9)}
+
+
+def test_overlaps_in_runs_of_words(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    lines = [rng.choice(60, rng.integers(1, 50), replace=False).astype(np.uint64) for _ in range(40)]
+    lines += [np.append(w, np.uint64(99)) for w in lines[:10]]
+    jaccard = lambda a, b: len({*a.tolist()} & {*b.tolist()}) / len({*a.tolist()} | {*b.tolist()})
+    want = np.array([[jaccard(a, b) >= 0.8 for b in lines] for a in lines])
+    assert want.sum() > len(lines)
+    for cells in (1 << 23, 1):
+        monkeypatch.setattr(linededup, "GRID", cells)
+        assert (linededup._similar(lines, None, 0.8) == want).all()
+        assert (linededup._similar(lines[:7], lines[7:], 0.8) == want[:7, 7:]).all()
+
+
+def test_long_lines_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    base = np.arange(200_000, dtype=np.uint64)
+    lines = [np.where(base == k, np.uint64(10**9 + k), base) for k in range(10)]  # as many as a side of SIDE_BYTES holds
+    assert sum(x.nbytes for x in lines) <= linededup.SIDE_BYTES
+    tracemalloc.start()
+    ok = linededup._similar(lines, [x + np.uint64(0) for x in lines], 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ok.all() and peak < 600 << 20
