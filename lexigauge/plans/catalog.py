@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 from lexigauge.functions import forms
 from lexigauge.functions import text as T
 from lexigauge.operators import anchors, decisions, evaluation, extraction, lookups, matching, pairing, rules, scores, shaping, spans, stats
+from lexigauge.plans.registry import QUERIES, SQL, query  # noqa: F401
 from lexigauge.sources import tables
 from lexigauge.sources.tables import CRITERIA, table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
 CRIT = "crit(crit, lo, hi, weight, enabled) AS (VALUES " + ", ".join(f"('{c}', {lo}::DOUBLE, {hi}::DOUBLE, {w}, {on})" for c, lo, hi, w, on in CRITERIA) + ")"
 SCORE = """e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
 score AS (SELECT user_id AS para, event_type AS crit, value, ts, event_id AS id, k, CASE WHEN k % 10 < 2 THEN 'seed' WHEN k % 10 = 2 THEN 'cache' WHEN k % 10 = 3 THEN 'archived' ELSE 'live' END AS kind FROM e)"""
@@ -25,16 +23,6 @@ LAST = "last AS (SELECT title, idx, span, arg_max(qid, id) AS qid, arg_max(cands
 ISSUES = "iss AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'accepted' WHEN k % 7 = 1 THEN 'dismissed' WHEN k % 7 = 2 THEN 'outdated' ELSE 'open' END AS status FROM score WHERE k % 3 = 0)"
 
 
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 def _latest(s, d):
     return scores.newest(scores.live(tables.scores(s, d)), ["para", "crit"])
 
@@ -981,7 +969,7 @@ SELECT p_partkey, verdict, CASE WHEN verdict <> 'red' THEN substr(p_name, 1, n -
 def fuzzy_pairs(s, d):
     cut = F.least(F.col("p_size") % 4, F.length(F.split_part("p_name", F.lit(" "), F.lit(2))) - 1)
     target = F.when(F.col("p_size") % 7 == 0, "§§ §§ §§").otherwise(F.concat(F.lit("§§ "), F.substr("p_name", F.lit(1), F.length("p_name") - cut), F.lit(" §§")))
-    out = table(s, d, "part").select("p_partkey", pairing.pair(F.array("p_name"), target).alias("x"))
+    out = pairing.pair(table(s, d, "part"), F.array("p_name"), target, "x")
     return out.select("p_partkey", "x.verdict", "x.surface", "x.recommended")
 
 
@@ -1079,3 +1067,6 @@ def route_statistics(s, d):
     calls = table(s, d, "lineitem").select("l_suppkey", (F.col("l_discount") < 0.095).alias("ok"), q.cast("double").alias("latency"), F.when(k % 4 > 0, (q * 4).cast("int")).alias("prompt_tokens"), q.cast("int").alias("completion_tokens"), F.when(k % 3 == 0, F.col("l_tax")).alias("cost"), price.alias("price_in"), price.alias("price_out"), (k % 9 == 0).alias("dead"))
     out = decisions.route_stats(calls, ["l_suppkey"])
     return out.withColumns({"success_rate": F.round("success_rate", 6), "cost": F.round("cost", 9), "latency_p90": F.when(F.col("n_success") > 0, F.col("latency_p90"))})
+
+
+from lexigauge.plans import evaluation_more, grounding, store_more  # noqa: E402, F401  they register their queries

@@ -1,6 +1,7 @@
 """Names, splices, pairs and spans against plain versions and by literal cases."""
 
 import difflib
+import random
 import json
 
 import pytest
@@ -79,18 +80,19 @@ def plain_pair(names, target):
     return (best[1], "yellow", names[0]) if best[0] >= 0.7 else (None, "red", names[0])
 
 
-words = st.lists(st.sampled_from(["Sargon", "sargon", "Sargo", "of", "Akkad", "Akad", "town", "the"]), min_size=1, max_size=5).map(" ".join)
-
-
-@given(st.lists(words, min_size=1, max_size=3), words)
-def test_located(names, target):
-    assert pairing.located(names, target) == plain_pair(names, target)
+def test_pair_against_all_windows(spark):
+    rng, vocabulary = random.Random(4), ["Sargon", "sargon", "Sargo", "of", "Akkad", "Akad", "town", "the", "Ur"]
+    some = lambda n: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, n)))
+    rows = [(i, [some(4) for _ in range(rng.randint(1, 3))], some(6)) for i in range(400)]
+    got = {r["id"]: tuple(r["pair"]) for r in pairing.pair(spark.createDataFrame(rows, "id int, f array<string>, t string"), F.col("f"), F.col("t")).collect()}
+    assert got == {i: plain_pair(f, t) for i, f, t in rows}
+    assert {v[1] for v in got.values()} == {"green", "yellow", "red"}
 
 
 def test_pair(spark):
-    rows = spark.createDataFrame([(1, ["Sargon of Akkad"], "the town of Akkad"), (2, None, "x"), (3, ["a", None], None), (4, ["Ur"], "in UR now")], "id int, f array<string>, t string")
-    got = {r["id"]: tuple(r["x"]) for r in rows.select("id", pairing.pair(F.col("f"), F.col("t")).alias("x")).collect()}
-    assert got == {1: (None, "red", "Sargon of Akkad"), 2: (None, "red", None), 3: (None, "red", "a"), 4: ("UR", "green", None)}
+    rows = spark.createDataFrame([(1, ["Sargon of Akkad"], "the town of Akkad"), (2, None, "x"), (3, ["a", None], None), (4, ["Ur"], "in UR now"), (5, [], "x"), (6, [""], "x y")], "id int, f array<string>, t string")
+    got = {r["id"]: tuple(r["pair"]) for r in pairing.pair(rows, F.col("f"), F.col("t")).collect()}
+    assert got == {1: (None, "red", "Sargon of Akkad"), 2: (None, "red", None), 3: (None, "red", "a"), 4: ("UR", "green", None), 5: (None, "red", None), 6: ("", "green", None)}
 
 
 @given(st.text("ab", max_size=14), st.lists(st.none() | st.text("ab", max_size=3), max_size=7))
