@@ -13,13 +13,16 @@ CATEGORIES = ("person", "place", "people", "title", "social", "institution", "dy
 CAPITALISED = r"[А-ЯЁ][а-яё]+(?:-[А-ЯЁ]?[а-яё]+)*(?:\s+[А-ЯЁ][а-яё]+(?:-[А-ЯЁ]?[а-яё]+)*)*"
 
 
+NEXT, QUOTED_OR_BRACKET = re.compile(r"\S"), re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[\[\]]', re.S)
+
+
 def _ends(text: str, at: int) -> bool:
     """Whether the sign at a place, which white space or the end follows, ends a sentence."""
     if text[at] != ".":
         return True
-    word = re.search(r"[^\W\d_]*\Z", text[:at][-40:])[0]
-    after = text[at + 1 :].lstrip()[:1]
-    return not (len(word) == 1 or word.lower() in ABBREVIATIONS or (after.isalpha() and after.islower()))
+    word = re.search(r"[^\W\d_]*\Z", text[max(0, at - 40) : at])[0]
+    after = NEXT.search(text, at + 1)
+    return not (len(word) == 1 or word.lower() in ABBREVIATIONS or (after and after[0].isalpha() and after[0].islower()))
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -42,8 +45,10 @@ def capitalised(text: str) -> list[str]:
     """Runs of capitalised words, each once; a single word that starts a sentence is none."""
     out: dict[str, None] = {}
     for m in re.finditer(CAPITALISED, text):
-        before = text[: m.start()]
-        opens = not before.strip() or re.search(r"[.!?…»)]\s+\Z", before[-200:])
+        at = m.start()
+        while at and text[at - 1].isspace():
+            at -= 1
+        opens = not at or (at < m.start() and text[at - 1] in ".!?…»)")
         if not opens or re.search(r"[ -]", m[0]):
             out[m[0]] = None
     return list(out)
@@ -53,10 +58,10 @@ def first_array(reply: str) -> str | None:
     """The first balanced [...] of a reply; brackets in JSON strings don't count."""
     for opening in re.finditer(r"\[", reply):
         depth = 0
-        for m in re.finditer(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[\[\]]', reply[opening.start() :], re.S):
+        for m in QUOTED_OR_BRACKET.finditer(reply, opening.start()):
             depth += {"[": 1, "]": -1}.get(m[0], 0)
             if not depth:
-                return reply[opening.start() : opening.start() + m.end()]
+                return reply[opening.start() : m.end()]
     return None
 
 

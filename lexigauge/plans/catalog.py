@@ -159,7 +159,7 @@ def match_strict(s, d):
     return matching.strict(*_mentions(s, d))
 
 
-@query(f"WITH {WORDS} SELECT g.title, g.idx AS gold_idx, p.idx AS pred_idx, g.qid FROM gold g JOIN pred p ON p.title = g.title AND p.qid = g.qid AND g.idx < p.idx + greatest(p.span, 1) AND p.idx < g.idx + greatest(g.span, 1)")
+@query(f"WITH {WORDS}, same AS MATERIALIZED (SELECT title, qid, g.idx AS gi, g.span AS gs, p.idx AS pi, p.span AS ps FROM gold g JOIN pred p USING (title, qid)) SELECT title, gi AS gold_idx, pi AS pred_idx, qid FROM same WHERE gi < pi + greatest(ps, 1) AND pi < gi + greatest(gs, 1)")
 def match_overlap(s, d):
     return matching.overlapping(*_mentions(s, d)).select(F.col("g.title"), F.col("g.idx").alias("gold_idx"), F.col("p.idx").alias("pred_idx"), F.col("g.qid"))
 
@@ -689,7 +689,8 @@ def _titles(found):
 @query()
 def page_anchors(s, d):
     """Links of pages as gold mentions, and those left out with the reason; no SQL for parsing HTML."""
-    found = anchors.found(table(s, d, "pages"), "page_id", "html")
+    paragraphs = F.replace(F.regexp_replace("html", r"<(/?)li\b", "<$1p"), F.lit('href="/'), F.lit('href="./'))  # the lists of links as paragraphs
+    found = anchors.found(table(s, d, "pages").withColumn("html", paragraphs), "page_id", "html")
     return anchors.resolved(found, _titles(found), "page_id")
 
 
@@ -705,10 +706,10 @@ def page_text(s, d):
 
 @query()
 def sentence_contexts(s, d):
-    """The sentences around the first number of each turn; no SQL for the rules of abbreviations."""
+    """The sentences around the first long word of each turn; no SQL for the rules of abbreviations."""
     t = table(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
-    at = F.regexp_instr("text", F.lit("[0-9]+")) - 1
-    t = t.select("turn_id", "text", at.alias("start"), (at + F.length(F.regexp_extract("text", "[0-9]+", 0))).alias("end")).where("start >= 0")
+    at = F.regexp_instr("text", F.lit(r"\p{L}{9,}")) - 1
+    t = t.select("turn_id", "text", at.alias("start"), (at + F.length(F.regexp_extract("text", r"\p{L}{9,}", 0))).alias("end")).where("start >= 0")
     return extraction.contexts(t).select("turn_id", "start", "context")
 
 
@@ -1069,4 +1070,4 @@ def route_statistics(s, d):
     return out.withColumns({"success_rate": F.round("success_rate", 6), "cost": F.round("cost", 9), "latency_p90": F.when(F.col("n_success") > 0, F.col("latency_p90"))})
 
 
-from lexigauge.plans import evaluation_more, grounding, store_more  # noqa: E402, F401  they register their queries
+from lexigauge.plans import evaluation_more, grounding, rules_more, store_more  # noqa: E402, F401  they register their queries
