@@ -1070,4 +1070,4 @@ def route_statistics(s, d):
     return out.withColumns({"success_rate": F.round("success_rate", 6), "cost": F.round("cost", 9), "latency_p90": F.when(F.col("n_success") > 0, F.col("latency_p90"))})
 
 
-from lexigauge.plans import evaluation_more, grounding, rules_more, store_more  # noqa: E402, F401  they register their queries
+from lexigauge.plans import evaluation_more, grounding, rules_more, store_more, store_rows  # noqa: E402, F401  they register their queries
