@@ -123,3 +123,31 @@ def surfaces(rows: DataFrame, key: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[key, *names, "n_dropped"])
 
     return rows.select(key, "source", "reply").mapInPandas(run, f"{key} {kind}, surface string, lemma string, category string, category_raw string, n_dropped long")
+
+
+def deterministic(rows: DataFrame, key: str, lexicon) -> DataFrame:
+    """(key, start, end, surface, category) without a model: capitalised runs, then the lexicon's forms and gentilics, each surface once.
+
+    rows: key (unique), text. Longer surfaces claim their places before shorter ones. Runs have no category. Null and empty texts
+    give nothing. lexicon: (form, category) pairs, a table of bounded size.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import ArrayType, StringType
+
+    from lexigauge.functions import forms
+    from lexigauge.operators import spans
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def runs(texts):
+        import pandas as pd
+
+        return pd.Series([capitalised(t or "") for t in texts], dtype=object)
+
+    pair = "array<struct<surface:string,category:string>>"
+    listed = rows.select(key, F.coalesce("text", F.lit("")).alias("text")).withColumn("runs", runs("text")).withColumn("known", forms.gazetteer(F.col("text"), lexicon))
+    plain = F.transform("runs", lambda s: F.struct(s.alias("surface"), F.lit(None).cast("string").alias("category"))).cast(pair)
+    more = F.filter("known", lambda x: ~F.array_contains("runs", x["surface"]))
+    listed = listed.select(key, "text", F.concat(plain, more).alias("all"))
+    placed = spans.claim(listed.select(key, "text", F.transform("all", lambda x: x["surface"]).alias("surfaces")), key)
+    kinds = listed.select(key, F.explode("all").alias("x")).select(key, "x.surface", "x.category")
+    return placed.join(kinds, [key, "surface"]).select(key, "start", "end", "surface", "category")

@@ -159,3 +159,26 @@ def nested_documents(s, d):
     return docs.select("doc", F.size("paragraphs").cast("long").alias("n_paragraphs"), n.alias("n_scores"), F.md5(F.array_join(told, ";")).alias("content"))
 
 
+
+
+# Latin letters and what stands for them, so that rules for Cyrillic meet the driver's texts.
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "абцдефгхийклмнопярстуввхузАБЦДЕФГХИЙКЛМНОПЯРСТУВВХУЗ"
+
+
+@query()
+def deterministic_terms(s, d):
+    """Capitalised runs and listed words of turns with their places; no SQL for claims. Brute force in the tests."""
+    from lexigauge.operators import extraction
+
+    rows = table(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), F.translate("text", LATIN, CYRILLIC).alias("text"))
+    return extraction.deterministic(rows, "turn_id", [("тхе", "other"), ("анд", "place"), ("оф", None)])
+
+
+@query()
+def page_titles(s, d):
+    """The different titles that a page's paragraphs link to; no SQL for parsing HTML."""
+    from lexigauge.operators import anchors
+
+    paragraphs = F.replace(F.regexp_replace("html", r"<(/?)li\b", "<$1p"), F.lit('href="/'), F.lit('href="./'))
+    found = anchors.found(table(s, d, "pages").withColumn("html", paragraphs), "page_id", "html")
+    return found.where("title IS NOT NULL").groupBy("page_id").agg(F.sort_array(F.collect_set("title")).alias("titles"))

@@ -72,3 +72,32 @@ def test_capitals_and_arrays_on_long_texts():
     assert extraction.first_array('x [1 "]" [2, "]"] y') == '[2, "]"]' and extraction.first_array("[[") is None
     text = "Слово и дело. " * 40_000
     assert len(extraction.sentences(text)) == 40_000
+
+
+def test_deterministic_terms(spark):
+    from lexigauge.functions import forms
+    from lexigauge.operators import spans
+
+    rng = random.Random(3)
+    words = ["Аккад", "Ур", "город", "царь", "египтяне", "финикийцы", "и", "Кадашман-Харбе", "Урук", "молодцы"]
+    texts = [(i, " ".join(rng.choice(words) + rng.choice(["", "", ".", ",", "!"]) for _ in range(rng.randint(0, 14)))) for i in range(80)] + [(900, None), (901, "")]
+    lexicon = [("царь", "title"), ("город", "place"), ("Ур", "place")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    listed = {r["id"]: [(x["surface"], x["category"]) for x in r["g"]] for r in df.select("id", forms.gazetteer(F.coalesce("text", F.lit("")), lexicon).alias("g")).collect()}
+    want = []
+    for i, t in texts:
+        kinds = dict.fromkeys(extraction.capitalised(t or ""))
+        for surface, category in listed[i]:
+            kinds.setdefault(surface, category)
+        taken = set()
+        for surface in sorted(kinds, key=len, reverse=True):
+            at = (t or "").find(surface)
+            while at >= 0:
+                here = set(range(at, at + len(surface)))
+                if not here & taken:
+                    taken |= here
+                    want.append((i, at, at + len(surface), surface, kinds[surface]))
+                at = t.find(surface, at + len(surface))
+    got = [tuple(r) for r in extraction.deterministic(df, "id", lexicon).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {x[4] for x in want} == {None, "title", "place", "people"}
