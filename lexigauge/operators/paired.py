@@ -28,6 +28,16 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, value: str, na
     return out.withColumn(name, F.col("_start") + F.col("_own")).drop("_part", "_own", "_start")
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """df with a running number from 0 in an order of all its rows, which must leave no ties; no task holds more than its range of rows."""
+    spread = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    own = spread.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    counts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return own.join(starts, "_part").withColumn(name, F.col("_start") + F.col("_own")).drop("_part", "_own", "_start")
+
+
 def normal_tail(z: Column) -> Column:
     """The two-sided probability of a standard normal value at least as far out."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigauge.operators.paired import numbered
+
 
 def redirect_chain(titles: DataFrame, redirects: DataFrame, hops: int = 10) -> DataFrame:
     """Where each title ends after following (src, dst) while the next title is new, at most `hops` times."""
@@ -36,12 +40,18 @@ def glossary_groups(terms: DataFrame) -> DataFrame:
 
 def decile_picks(rows: DataFrame, key: str, size: str, bins: int = 10) -> DataFrame:
     """The lower-median element of each of `bins` equal bins by rank of size; the remainder past bins * (n // bins) is left out."""
-    # over few rows by nature: a ranking of titles, one per row
-    ranked = rows.select(key, size, (F.row_number().over(Window.orderBy(size, key)) - 1).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
+    ranked = numbered(rows.select(key, size), [F.col(size), F.col(key)], "r").crossJoin(rows.agg(F.count("*").alias("n")))  # one row
     step = F.floor(F.col("n") / bins)
     return ranked.where((step > 0) & (F.col("r") < step * bins)).withColumn("bin", F.floor(F.col("r") / step)).where(F.col("r") - F.col("bin") * step == F.floor((step - 1) / 2)).select("bin", key, size)
 
 
+def ranked(rows: DataFrame, by: str, tie: Sequence[str], descending: bool = True) -> DataFrame:
+    """rows with `place` from 1 by a column, missing values as 0; `tie` names columns that settle equal ones, the last of them unique."""
+    first = F.coalesce(by, F.lit(0))
+    order = [first.desc() if descending else first.asc(), *[F.col(c) for c in tie]]
+    return numbered(rows, order, "place").withColumn("place", F.col("place") + 1)
+
+
 def segments(spans: DataFrame, key: str) -> DataFrame:
     """Elementary segments between neighbouring ends of spans (s, e), with how many spans cover each; uncovered ones go."""
     ends = spans.select(key, F.explode(F.array("s", "e")).alias("a")).distinct()

@@ -463,12 +463,10 @@ def ablation_grid(s, d):
 
 @query(f"WITH {AGG}, i AS (SELECT para, count(*) AS issues FROM score WHERE k % 3 = 0 GROUP BY para) SELECT para, aggregate, coalesce(issues, 0) AS issues, row_number() OVER (ORDER BY coalesce(aggregate, 0) DESC, coalesce(issues, 0), para) AS place FROM agg LEFT JOIN i USING (para)")
 def ranking(s, d):
-    from pyspark.sql import Window
-
     a = scores.weighted(_latest(s, d), tables.criteria(s), ["para"])
     i = tables.scores(s, d).where("k % 3 = 0").groupBy("para").agg(F.count("*").alias("issues"))
     j = a.join(i, "para", "left").select("para", "aggregate", F.coalesce("issues", F.lit(0)).alias("issues"))
-    return j.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.coalesce("aggregate", F.lit(0))), "issues", "para")).cast("long"))
+    return shaping.ranked(j, "aggregate", ["issues", "para"]).withColumn("place", F.col("place").cast("long"))
 
 
 MARKED = "mk AS (SELECT p_partkey, '# ' || p_name || ' **' || p_type || '** [' || p_brand || '](http://x.org/a) `' || p_name || '` ![pic](a.png)' AS s FROM part)"

@@ -68,3 +68,19 @@ def test_bootstrap(spark):
         assert got[k]["low"] < got[k]["mean"] < got[k]["high"]
     with pytest.raises(ValueError):
         paired.bootstrap(spark.createDataFrame(rows, "k string, u int, d double"), ["k"], "u", "d", replicates=6)
+
+
+def test_numbered_over_many_tasks(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2, 3]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "v int, i int").repartition(6)
+    from pyspark.sql import functions as F
+
+    from lexigauge.operators.shaping import ranked
+
+    got = {r["i"]: r["place"] for r in paired.numbered(df, [F.desc("v"), F.col("i")]).collect()}
+    order = sorted(rows, key=lambda r: (-(r[0] or -1), r[1]))
+    assert got == {i: n for n, (_, i) in enumerate(order)}
+    up = {r["i"]: r["place"] for r in ranked(df, "v", ["i"], descending=False).collect()}
+    assert up == {i: n for n, (_, i) in enumerate(sorted(rows, key=lambda r: (r[0] or 0, r[1])), 1)}
+    assert paired.numbered(df.limit(0), [F.col("i")]).count() == 0
