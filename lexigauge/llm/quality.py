@@ -207,8 +207,9 @@ def estimates(rows: DataFrame, d: int, floors: list[float], few: bool = True, sh
 def judge(docs: DataFrame, z_cut: float = Z_CUT, margin: float = MARGIN) -> DataFrame:
     """One row per row of docs: the base statistics, base_failed, kept, and outlier_d2 (null where nothing was estimated).
 
-    A null text has no words and fails. Null languages and sources are groups of their own. Groups of fewer than
-    LEAST_ROWS usable rows share their language's estimates, or everyone's; with fewer in all, base rules alone decide.
+    A null text has no words and fails. Null languages and sources are groups of their own. The small groups of a language
+    (under LEAST_ROWS usable rows each) share one estimate if they have so many rows together; the others share one with the
+    small groups of all languages, however few rows that leaves. Where nothing can be estimated base rules alone decide.
     """
     s = keep(vectors(stats(docs)))
     floors = list(FEATURES.values())
