@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, quoted, ship, slices
+from .common import SLICE_BYTES, column, quoted, ship, slices
 
 #: Bounds of the training sample: texts per language, texts in all (each language keeps one at least), spliced sequences, their words.
 TRAIN_TEXTS, TRAIN_ALL, SEQUENCES, LENGTH = 150, 9600, 1600, 36
@@ -96,8 +96,8 @@ class Types:
         if len(self.seen) > REMEMBERED:
             self.seen, self.scores = {}, self.scores[:0]
         new = [w for w in dict.fromkeys(flat) if w not in self.seen]
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
+        for a in range(0, len(new), 10_000):
+            part = new[a : a + 10_000]
             ids, who = features(part, self.lexicon)
             found = np.stack([np.bincount(who, weights=self.weights[ids, j], minlength=len(part)) for j in range(self.weights.shape[1])], 1)
             self.seen.update(zip(part, range(len(self.scores), len(self.scores) + len(part))))
@@ -236,7 +236,7 @@ def _predict(model):
         for batch in batches:
             texts = column(batch, "text")
             lang, score, n_words, second, switches = [], [], [], [], []
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_BYTES // 4):
                 part = [t.decode() for t in texts[a:b]]
                 for p in label(part, types, m) if m else [np.zeros((0, 1))] * len(part):
                     n = len(p)
