@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigauge.functions import text
+from lexigauge.operators.harness import touching
 
 
 def _sides(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,7 +41,8 @@ def survival(gold: DataFrame, pred: DataFrame) -> DataFrame:
     Of predictions at one place and span the last by id counts.
     """
     last = pred.groupBy("title", "idx", "span").agg(F.max_by(F.struct("qid", "cands"), "id").alias("x")).select("title", "idx", "span", "x.*")
-    hit = overlapping(gold, last, same_entity=False, floor=0).select(F.col("g.title").alias("title"), F.col("g.qid").alias("qid"), F.col("p.qid").alias("got"), F.col("p.cands").alias("cands"))
+    own = lambda d: d.withColumn("span", F.greatest("span", F.lit(0)))
+    hit = touching(own(gold), own(last))
     per = hit.groupBy("title", "qid").agg(F.lit(True).alias("rec"), F.bool_or(F.array_contains("cands", F.col("qid"))).alias("found"), F.bool_or((F.col("got") == F.col("qid")) & F.array_contains("cands", F.col("qid"))).alias("ok"))
     any_ = last.select("title", "qid").distinct().withColumn("direct", F.lit(True))
     all_ = gold.select("title", "qid").distinct().join(per, ["title", "qid"], "left").join(any_, ["title", "qid"], "left")
