@@ -76,7 +76,6 @@ def test_capitals_and_arrays_on_long_texts():
 
 def test_deterministic_terms(spark):
     from lexigauge.functions import forms
-    from lexigauge.operators import spans
 
     rng = random.Random(3)
     words = ["Аккад", "Ур", "город", "царь", "египтяне", "финикийцы", "и", "Кадашман-Харбе", "Урук", "молодцы"]
