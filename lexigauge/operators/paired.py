@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigauge.operators.cuts import cut
+
 #: Of erf's approximation by Abramowitz and Stegun (7.1.26), whose error is under 1.5e-7.
 ERF_P, ERF = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 #: The distribution function of a Poisson variable of mean 1 at 0, 1 and so on.
@@ -17,8 +19,9 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, value: str, na
     """df with the total of value over the rows of the same key that come before; rows of a key may fill many tasks.
 
     `order` must be different within a key. Rows go to tasks by range; each task's totals (a row a key and task) give its start.
+    The dealt rows are kept, for a second sampling or coalescing would cut the ranges elsewhere.
     """
-    spread = df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id())
+    spread = cut(df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
     own = Window.partitionBy("_part", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     spread = spread.withColumn("_own", F.coalesce(F.sum(value).over(own), F.lit(0)))
     last = spread.groupBy("_part", *keys).agg((F.max(F.struct("_own", F.col(value).alias("v")))).alias("m"), F.sum(value).alias("_sum"))
@@ -29,8 +32,11 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, value: str, na
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
-    """df with a running number from 0 in an order of all its rows, which must leave no ties; no task holds more than its range of rows."""
-    spread = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """df with a running number from 0 in an order of all its rows, which must leave no ties; no task holds more than its range of rows.
+
+    The dealt rows are kept, for a second sampling or coalescing would cut the ranges elsewhere.
+    """
+    spread = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     own = spread.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     counts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task

@@ -46,9 +46,9 @@ def decile_picks(rows: DataFrame, key: str, size: str, bins: int = 10) -> DataFr
 
 
 def ranked(rows: DataFrame, by: str, tie: Sequence[str], descending: bool = True) -> DataFrame:
-    """rows with `place` from 1 by a column, missing values as 0; `tie` names columns that settle equal ones, the last of them unique."""
+    """rows with `place` from 1 by a column, missing values as 0; `tie` names columns that settle equal ones, the last of them unique, nulls last."""
     first = F.coalesce(by, F.lit(0))
-    order = [first.desc() if descending else first.asc(), *[F.col(c) for c in tie]]
+    order = [first.desc() if descending else first.asc(), *[F.col(c).asc_nulls_last() for c in tie]]
     return numbered(rows, order, "place").withColumn("place", F.col("place") + 1)
 
 

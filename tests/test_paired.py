@@ -84,3 +84,27 @@ def test_numbered_over_many_tasks(spark):
     up = {r["i"]: r["place"] for r in ranked(df, "v", ["i"], descending=False).collect()}
     assert up == {i: n for n, (_, i) in enumerate(sorted(rows, key=lambda r: (r[0] or 0, r[1])), 1)}
     assert paired.numbered(df.limit(0), [F.col("i")]).count() == 0
+
+
+def test_ranges_are_dealt_once(spark):
+    """Narrow and wide plans used to coalesce ranges in different ways, so that starts belonged to other tasks."""
+    from pyspark.sql import functions as F
+
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(20000, numPartitions=7).select(F.lit("a").alias("k"), F.col("id").alias("i"), F.lit(1).alias("n"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        assert all(r["i"] == r["place"] for r in paired.numbered(df, [F.col("i")]).collect())
+        assert all(r["i"] == r["before"] for r in paired.running_total(df, ["k"], "i", "n", "before").collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_ranked_unnamed_last(spark):
+    from lexigauge.operators.shaping import ranked
+
+    rows = spark.createDataFrame([(None, 1.0), (3, 1.0), (2, None)], "para long, aggregate double")
+    assert {r["para"]: r["place"] for r in ranked(rows, "aggregate", ["para"]).collect()} == {3: 1, None: 2, 2: 3}
