@@ -445,12 +445,12 @@ def candidate_ladder(s, d):
 
     p = table(s, d, "part").select("p_partkey", "p_name", "p_type", "p_size")
     m = p.withColumnRenamed("p_partkey", "m")
-    one = m.join(p, ["p_name", "p_type", "p_size"]).select("m", F.lit(1).alias("rung"), F.col("p_partkey").alias("cand")).where("cand <> m")
+    same = (["p_name", "p_type", "p_size"], ["p_type", "p_size"])
+    one, two = (pairing.first_others(m, p, keys, "m", "p_partkey", 5).withColumn("rung", F.lit(rung)) for rung, keys in enumerate(same, 1))
     # later rungs only for mentions that earlier ones left with nothing
-    left = m.join(one.select("m").distinct(), "m", "left_anti")
-    two = left.join(p, ["p_type", "p_size"]).where("p_partkey <> m").select("m", F.lit(2).alias("rung"), F.col("p_partkey").alias("cand"))
+    two = two.join(one.select("m").distinct(), "m", "left_anti")
     w = Window.partitionBy("m").orderBy("cand")
-    return one.unionAll(two).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5")
+    return one.unionByName(two).select("m", "rung", "cand").withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5")
 
 
 @query("SELECT a || b || c AS config, count(*) AS n FROM (VALUES ('0'), ('1')) x(a), (VALUES ('0'), ('1')) y(b), (VALUES ('0'), ('1')) z(c), part p WHERE (a = '0' OR p_size % 2 = 0) AND (b = '0' OR p_size > 10) AND (c = '0' OR p_retailprice > 905) GROUP BY 1")
