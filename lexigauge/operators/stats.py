@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigauge.operators.cuts import cut
+
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Score interval of k in n, clamped, four places; (0, 1) for none."""
@@ -43,14 +45,27 @@ def by_rank(df: DataFrame, key: str, value: str, shares: dict[str, float], rule:
 
 
 def spearman(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """Correlation of average ranks over rows where both are present; null for fewer than two or a constant side."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    mean_rank = lambda c: F.rank().over(Window.partitionBy(key).orderBy(c)) + (F.count("*").over(Window.partitionBy(key, c)) - 1) / 2
-    r = rows.select(key, mean_rank(x).alias("a"), mean_rank(y).alias("b"))
-    s = r.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(e).alias(c) for c, e in (("sa", F.col("a")), ("sb", F.col("b")), ("sab", F.col("a") * F.col("b")), ("saa", F.col("a") * F.col("a")), ("sbb", F.col("b") * F.col("b")))])
-    n = F.col("n")
-    top, left, right = n * F.col("sab") - F.col("sa") * F.col("sb"), n * F.col("saa") - F.col("sa") * F.col("sa"), n * F.col("sbb") - F.col("sb") * F.col("sb")
-    return s.select(key, "n", F.when((n > 1) & (left > 0) & (right > 0), F.round(top / F.sqrt(left * right), 4)).alias("rho"))
+    """Correlation of average ranks over rows where both are present; null for fewer than two or a constant side.
+
+    Ranks come from counts of values, so no key's rows meet in one task. Twice a rank is whole, and the sums are exact.
+    """
+    from lexigauge.operators.paired import running_total
+
+    k = F.struct(F.col(key).alias("k")).alias("_k")  # a null key is a key
+    rows = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(k, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_c")))
+
+    def twice(value, name):
+        seen = running_total(rows.groupBy("_k", value).agg(F.sum("_c").alias("_n")), ["_k"], value, "_n", "_before")
+        return seen.select("_k", value, (2 * F.col("_before") + F.col("_n") + 1).alias(name))
+
+    r = rows.join(twice("_x", "_a"), ["_k", "_x"]).join(twice("_y", "_b"), ["_k", "_y"])
+    whole = lambda c: F.col(c).cast("decimal(18,0)")
+    of = lambda *names: F.sum(F.col("_c").cast("decimal(10,0)") * (whole(names[0]) if len(names) == 1 else (F.col(names[0]) * F.col(names[1])).cast("decimal(20,0)")))
+    s = r.groupBy("_k").agg(F.sum("_c").alias("n"), of("_a").alias("sa"), of("_b").alias("sb"), of("_a", "_b").alias("sab"), of("_a", "_a").alias("saa"), of("_b", "_b").alias("sbb"))
+    n = F.col("n").cast("decimal(12,0)")
+    about = lambda both, one, two: (n * F.col(both) - F.col(one) * F.col(two)).cast("double")
+    top, left, right = about("sab", "sa", "sb"), about("saa", "sa", "sa"), about("sbb", "sb", "sb")
+    return s.select(F.col("_k.k").alias(key), "n", F.when((n > 1) & (left > 0) & (right > 0), F.round(top / F.sqrt(left) / F.sqrt(right), 4)).alias("rho"))
 
 
 def kendall(df: DataFrame, key: str, order: str, x: str, y: str) -> DataFrame:
@@ -77,7 +92,7 @@ def spearman_grid(df: DataFrame, key: str, left: list[str], right: list[str]) ->
     values = [F.struct(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a in left for b in right]
     rows = df.select(F.explode(F.arrays_zip(F.array(*pairs).alias("cell"), F.array(*values).alias("v"))).alias("z")).select("z.cell", "z.v.x", "z.v.y")
     got = spearman(rows, "cell", "x", "y")
-    every = rows.select("cell").distinct().join(got, "cell", "left")
+    every = df.select(key).distinct().select(F.explode(F.array(*pairs)).alias("cell")).join(got, "cell", "left")
     return every.select(F.col("cell.k").alias(key), "cell.criterion", "cell.metric", F.coalesce("n", F.lit(0)).alias("n"), "rho")
 
 

@@ -22,3 +22,19 @@ def test_first_others_of_a_large_group(spark):
     df = spark.range(30000).select(F.lit("a").alias("k"), F.col("id").alias("m"))
     got = pairing.first_others(df, df, ["k"], "m", "m", 5)
     assert got.groupBy("m").count().where("count = 5").count() == 30000
+
+
+def test_spearman_of_one_large_key(spark):
+    from lexigauge.operators import stats
+
+    rng = random.Random(5)
+    rows = [(rng.choice([None, "k"]), rng.choice([None, 1.0, 2.5, float(i)]), rng.choice([3.0, float(i % 40), None])) for i in range(600)]
+    got = {r["k"]: (r["n"], r["rho"]) for r in stats.spearman(spark.createDataFrame(rows, "k string, x double, y double"), "k", "x", "y").collect()}
+    for key in (None, "k"):
+        own = [(x, y) for k, x, y in rows if k == key and x is not None and y is not None]
+        a, b = ([sorted(v).index(i) + (v.count(i) + 1) / 2 for i in v] for v in ([x for x, _ in own], [y for _, y in own]))
+        mean = (len(own) + 1) / 2
+        cov = lambda p, q: sum((i - mean) * (j - mean) for i, j in zip(p, q))
+        assert got[key] == (len(own), round(cov(a, b) / (cov(a, a) * cov(b, b)) ** 0.5, 4))
+    plan = stats.spearman(spark.createDataFrame(rows, "k string, x double, y double"), "k", "x", "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank(" not in plan  # a window of a key's rows would hold them all in one task
