@@ -20,6 +20,8 @@ SPACES = "[   -     　﻿]"
 GLUE = "()[]{}⟨⟩«»<>"
 DATE_CLASSES = ("Q3186692", "Q39911", "Q578", "Q3311614", "Q29964144", "Q14795564", "Q18340514")
 
+#: Characters of html after which a task gives on what it has.
+PIECE = 1 << 20
 #: Tags without content, and tags whose start ends an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote center dir div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -106,16 +108,26 @@ def mentions(html: str | None) -> list[tuple[int, int, str, str, int, bool]]:
 
 
 def _each(rows: DataFrame, key: str, html: str, of, schema: str) -> DataFrame:
+    """key and what `of` says of each page; a page at a time, given on whenever PIECE characters of html are done."""
     kind = rows.schema[key].dataType.simpleString()
 
-    def run(frames):
-        import pandas as pd
-
-        names = [key, *[x.split()[0] for x in schema.split(", ")]]
-        for f in frames:
-            yield pd.DataFrame([(k, *x) for k, h in zip(f[key], f[html]) for x in of(h)], columns=names)
-
-    return rows.select(key, html).mapInPandas(run, f"{key} {kind}, {schema}")
+    def run(batches):
+        import pyarrow as pa
+
+        fields = [x.split() for x in schema.split(", ")]
+        types = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+        for batch in batches:
+            of_schema = pa.schema([(key, batch.schema.field(0).type), *[(n, types[k]) for n, k in fields]])
+            out, size = [], 0
+            for i in range(batch.num_rows):
+                h = batch.column(1)[i].as_py()
+                out += [(batch.column(0)[i].as_py(), *x) for x in of(h)]
+                size += len(h or "")
+                if size >= PIECE or (out and i + 1 == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), of_schema)] if out else [pa.array([], f.type) for f in of_schema], schema=of_schema)
+                    out, size = [], 0
+
+    return rows.select(key, html).mapInArrow(run, f"{key} {kind}, {schema}")
 
 
 def flattened(pages: DataFrame, key: str, html: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,18 +17,31 @@ MOST_PARAGRAPHS, MOST_CHARS, MOST_TITLE, MOST_LANGUAGE = 40, 4000, 120, 40
 BUCKET = 64
 
 
-def _buckets(place: Column, span: Column) -> Column:
-    return F.explode(F.sequence(F.floor(place / BUCKET), F.floor((place + F.greatest(span, F.lit(0))) / BUCKET)))
+def _buckets(place: Column, span: Column, explode=F.explode) -> Column:
+    return explode(F.sequence(F.floor(place / BUCKET), F.floor((place + F.greatest(span, F.lit(0))) / BUCKET)))
 
 
-def touching(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """title, qid (gold), got, cands of every pair of mentions whose token ranges overlap; a pair may come more than once.
+def fates(gold: DataFrame, last: DataFrame, pred: DataFrame) -> DataFrame:
+    """title, qid, in_gold, in_pred, rec, found, ok, direct: what becomes of every (title, qid) of gold or pred.
 
-    Ranges meet by buckets of 64 tokens, so a long document is dealt to many tasks.
+    rec: one of its mentions overlaps a prediction of `last`; found: such a one has it among its candidates; direct: as its id;
+    ok: both at once. in_pred: pred names it. Ranges meet by buckets of 64 tokens, so a long document is dealt to many tasks;
+    each side is read once there.
     """
-    g = gold.select("title", "qid", F.col("idx").alias("a"), F.col("span").alias("an"), _buckets(F.col("idx"), F.col("span")).alias("bucket"))
-    p = pred.select("title", F.col("qid").alias("got"), "cands", F.col("idx").alias("b"), F.col("span").alias("bn"), _buckets(F.col("idx"), F.col("span")).alias("bucket"))
-    return g.join(p, ["title", "bucket"]).where("a < b + bn AND b < a + an").select("title", "qid", "got", "cands")
+    g = gold.select("title", "qid", F.col("idx").alias("a"), F.col("span").alias("an"), _buckets(F.col("idx"), F.col("span"), F.explode_outer).alias("bucket"))
+    p = last.select("title", F.col("qid").alias("got"), "cands", F.col("idx").alias("b"), F.col("span").alias("bn"), _buckets(F.col("idx"), F.col("span")).alias("bucket")).withColumn("hit", F.lit(True))
+    g, p = g.alias("g"), p.alias("p")
+    on = (F.col("g.title") == F.col("p.title")) & (F.col("g.bucket") == F.col("p.bucket")) & (F.col("a") < F.col("b") + F.col("bn")) & (F.col("b") < F.col("a") + F.col("an"))
+    met = g.join(p, on, "left").select("g.title", "qid", "got", "cands", "hit")
+    yes = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    has, same = F.array_contains("cands", F.col("qid")), F.col("got") == F.col("qid")
+    flags = ("rec", "found", "ok", "direct")
+    per = met.groupBy("title", "qid").agg(*[yes(c).alias(f) for f, c in zip(flags, (F.col("hit"), has, has & same, same))])
+    unnamed = F.col("title").isNull() | F.col("qid").isNull()  # equals nothing of the other side
+    half = lambda d, side: d.withColumns({"in_gold": F.lit(side == "gold"), "in_pred": F.lit(side == "pred"), "_own": F.when(unnamed, side)})
+    said = pred.select("title", "qid").distinct()
+    both = half(per, "gold").unionByName(half(said.withColumns({f: F.lit(False) for f in flags}), "pred"))
+    return both.groupBy("title", "qid", "_own").agg(*[F.bool_or(f).alias(f) for f in ("in_gold", "in_pred", *flags)]).drop("_own")
 
 
 def survival_rates(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -40,14 +55,9 @@ def survival_rates(gold: DataFrame, pred: DataFrame) -> DataFrame:
     last = pred
     if "id" in pred.columns:
         last = pred.groupBy("title", "idx", "span").agg(F.max_by(F.struct("qid", "cands"), "id").alias("x")).select("title", "idx", "span", "x.*")
-    has = F.coalesce(F.array_contains("cands", F.col("qid")), F.lit(False))
-    per = touching(gold, last).groupBy("title", "qid").agg(F.lit(True).alias("rec"), F.bool_or(has).alias("found"), F.bool_or(F.coalesce(F.col("got") == F.col("qid"), F.lit(False))).alias("direct"))
-    entities = gold.select("title", "qid").distinct().join(per, ["title", "qid"], "left")
-    yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    found, direct = F.col("found"), F.col("direct")
-    n = entities.agg(F.count("*").alias("n"), yes(F.col("rec")).alias("rec"), yes(found).alias("found"), yes(found & direct).alias("ok"), yes(direct).alias("direct"), yes(direct & ~found).alias("miss"))
-    linked = pred.where("qid IS NOT NULL").select("title", "qid").distinct().join(gold.select("title", "qid").distinct().withColumn("real", F.lit(True)), ["title", "qid"], "left").agg(F.count("*").alias("linked"), F.count("real").alias("linked_real"))
-    both = n.crossJoin(linked)  # one row each
+    every = fates(gold, last, pred.where("qid IS NOT NULL"))
+    own = lambda *flags: F.count_if(functools.reduce(Column.__and__, map(F.col, ("in_gold", *flags))))
+    both = every.agg(own().alias("n"), own("rec").alias("rec"), own("found").alias("found"), own("found", "direct").alias("ok"), own("direct").alias("direct"), F.count_if(F.col("in_gold") & F.col("direct") & ~F.col("found")).alias("miss"), F.count_if("in_pred").alias("linked"), own("in_pred").alias("linked_real"))
     pairs = (("R_NER", "rec", "n"), ("R_search", "found", "rec"), ("A_disamb", "ok", "found"), ("R", "ok", "n"), ("R_direct", "direct", "n"), ("P", "linked_real", "linked"), ("miss", "miss", "n"))
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(a).alias("matched"), F.col(b).alias("total")) for m, a, b in pairs]))
     out = both.select(cells.alias("c")).select("c.*")

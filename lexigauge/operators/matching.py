@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigauge.functions import text
-from lexigauge.operators.harness import touching
+from lexigauge.operators.harness import fates
 
 
-def _sides(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
-    """Gold and predicted mentions that share their keys with one of the other side; side tells which they are."""
-    cols = ["title", "idx", "surface", "qid", "span"]
-    half = lambda d, o, name: d.join(o.select(*keys).distinct(), keys, "left_semi").select(F.lit(name).alias("side"), *cols)
-    return half(gold, pred, "gold").union(half(pred, gold, "pred"))
+COLUMNS = ["title", "idx", "surface", "qid", "span"]
+
+
+def _both(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """The mentions of both sides in one table; side tells which they are."""
+    half = lambda d, name: d.select(F.lit(name).alias("side"), *COLUMNS)
+    return half(gold, "gold").union(half(pred, "pred"))
+
+
+def _shared(both: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that share their keys, none of them null, with one of the other side. Each side is read and dealt once."""
+    of = Window.partitionBy(*keys)
+    known = both.where(" and ".join(f"{k} is not null" for k in keys))
+    return known.withColumn("_sides", F.min("side").over(of) != F.max("side").over(of)).where("_sides").drop("_sides")
 
 
 def strict(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Mentions of both sides with the same place, entity and normalised surface as one of the other side."""
-    folded = lambda d: d.withColumn("norm", text.norm(F.col("surface")))
-    return _sides(folded(gold), folded(pred), ["title", "idx", "qid", "norm"])
+    place = ["title", "idx", "qid"]
+    near = _shared(_both(gold, pred), place).withColumn("norm", text.norm(F.col("surface")))  # folds only those at one place
+    return _shared(near, [*place, "norm"]).drop("norm")
 
 
 def overlapping(gold: DataFrame, pred: DataFrame, same_entity: bool = True, floor: int = 1) -> DataFrame:
@@ -32,7 +42,7 @@ def overlapping(gold: DataFrame, pred: DataFrame, same_entity: bool = True, floo
 
 def document(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Mentions of both sides whose entity the other side has anywhere in the document."""
-    return _sides(gold, pred, ["title", "qid"])
+    return _shared(_both(gold, pred), ["title", "qid"])
 
 
 def survival(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -42,11 +52,8 @@ def survival(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """
     last = pred.groupBy("title", "idx", "span").agg(F.max_by(F.struct("qid", "cands"), "id").alias("x")).select("title", "idx", "span", "x.*")
     own = lambda d: d.withColumn("span", F.greatest("span", F.lit(0)))
-    hit = touching(own(gold), own(last))
-    per = hit.groupBy("title", "qid").agg(F.lit(True).alias("rec"), F.bool_or(F.array_contains("cands", F.col("qid"))).alias("found"), F.bool_or((F.col("got") == F.col("qid")) & F.array_contains("cands", F.col("qid"))).alias("ok"))
-    any_ = last.select("title", "qid").distinct().withColumn("direct", F.lit(True))
-    all_ = gold.select("title", "qid").distinct().join(per, ["title", "qid"], "left").join(any_, ["title", "qid"], "left")
-    return all_.agg(F.count("*").alias("n_gold"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(f"n_{c}") for c in ("rec", "found", "ok", "direct")])
+    every = fates(own(gold), own(last), last).where("in_gold")
+    return every.agg(F.count("*").alias("n_gold"), F.count_if("rec").alias("n_rec"), F.count_if("found").alias("n_found"), F.count_if("ok").alias("n_ok"), F.count_if("in_pred").alias("n_direct"))
 
 
 def by_class(gold: DataFrame, pred: DataFrame) -> DataFrame:

@@ -11,13 +11,19 @@ from lexigauge.operators.paired import numbered
 
 
 def redirect_chain(titles: DataFrame, redirects: DataFrame, hops: int = 10) -> DataFrame:
-    """Where each title ends after following (src, dst) while the next title is new, at most `hops` times."""
-    cur = titles.select("title", F.col("title").alias("at"), F.array("title").alias("seen"))
+    """Where each title ends after following (src, dst) while the next title is new, at most `hops` times.
+
+    Only titles that redirect at all go through the hops; rows without dst are none.
+    """
+    edges = redirects.where("dst is not null").select(F.col("src").alias("at"), F.col("dst"))
+    moving = titles.select("title").distinct().join(edges.select(F.col("at").alias("title")), "title", "left_semi")
+    cur = moving.select("title", F.col("title").alias("at"), F.array("title").alias("seen"))
     for _ in range(hops):
-        nxt = cur.join(redirects.select(F.col("src").alias("at"), F.col("dst")), "at", "left")
+        nxt = cur.join(edges, "at", "left")
         go = F.col("dst").isNotNull() & ~F.array_contains("seen", F.col("dst"))
         cur = nxt.select("title", F.when(go, F.col("dst")).otherwise(F.col("at")).alias("at"), F.when(go, F.array_append("seen", F.col("dst"))).otherwise(F.col("seen")).alias("seen"))
-    return cur.select("title", F.col("at").alias("target"), (F.size("seen") - 1).alias("n_hops"))
+    ends = cur.select("title", F.col("at").alias("_end"), (F.size("seen") - 1).alias("_hops"))
+    return titles.select("title").join(ends, "title", "left").select("title", F.coalesce("_end", "title").alias("target"), F.coalesce("_hops", F.lit(0)).alias("n_hops"))
 
 
 def merge_by_priority(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -54,9 +60,13 @@ def ranked(rows: DataFrame, by: str, tie: Sequence[str], descending: bool = True
 
 def segments(spans: DataFrame, key: str) -> DataFrame:
     """Elementary segments between neighbouring ends of spans (s, e), with how many spans cover each; uncovered ones go."""
-    ends = spans.select(key, F.explode(F.array("s", "e")).alias("a")).distinct()
-    parts = ends.withColumn("b", F.lead("a").over(Window.partitionBy(key).orderBy("a"))).where("b is not null")
-    return parts.join(spans.select(key, "s", "e"), key).where("s <= a and b <= e").groupBy(key, "a", "b").agg(F.count("*").alias("n_cover"))
+    real = F.coalesce(F.col("s") < F.col("e"), F.lit(False)).cast("int")
+    # one shuffle: points of equal place and running totals both lie with their key
+    points = spans.where(F.col(key).isNotNull()).repartition(key).select(key, F.explode(F.array(F.struct(F.col("s").alias("a"), real.alias("d")), F.struct(F.col("e").alias("a"), (-real).alias("d")))).alias("p"))
+    points = points.select(key, "p.a", "p.d").where("a is not null").groupBy(key, "a").agg(F.sum("d").alias("d"))
+    along = Window.partitionBy(key).orderBy("a")
+    parts = points.select(key, "a", F.lead("a").over(along).alias("b"), F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("n_cover"))
+    return parts.where("n_cover > 0 and b is not null")
 
 
 def offsets(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:

@@ -36,8 +36,11 @@ def mentions(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     w = d.select(F.col("doc_id").alias("title"), F.posexplode(F.split("text", " ")).alias("idx", "surface"))
     qid = F.lower(F.regexp_replace("surface", "[^A-Za-z]", ""))
+    w = w.where("length(surface) > 5")  # short words drop out before their letters are picked
+    if which == "gold":
+        w = w.where(F.substring("surface", 1, 1).between("A", "Z"))
     w = w.select("title", "idx", "surface", qid.alias("qid")).where("length(qid) > 5")
     if which == "gold":
-        return w.where(F.col("surface").rlike("^[A-Z]")).withColumn("span", F.lit(1) + F.col("idx") % 2)
+        return w.withColumn("span", F.lit(1) + F.col("idx") % 2)
     p = w.where((F.length("qid") % 2 == 1) | (F.length("qid") > 9))
     return p.select("title", (F.col("idx") - F.when(F.length("qid") % 5 == 0, 1).otherwise(0)).alias("idx"), "surface", "qid", (F.lit(1) + F.length("qid") % 3).alias("span"), F.col("idx").alias("id"), F.array(F.when(F.length("qid") % 7 != 0, F.col("qid")).otherwise("none"), F.substring("qid", 1, 4)).alias("cands"))

@@ -38,3 +38,29 @@ def test_spearman_of_one_large_key(spark):
         assert got[key] == (len(own), round(cov(a, b) / (cov(a, a) * cov(b, b)) ** 0.5, 4))
     plan = stats.spearman(spark.createDataFrame(rows, "k string, x double, y double"), "k", "x", "y")._jdf.queryExecution().optimizedPlan().toString()
     assert "rank(" not in plan  # a window of a key's rows would hold them all in one task
+
+
+def test_segments_of_one_large_key(spark):
+    from lexigauge.operators import shaping
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(30)]), rng.choice([None, *range(30)])) for _ in range(200)]
+    want = set()
+    for k in "ab":
+        own = [(s, e) for q, s, e in rows if q == k]
+        ends = sorted({x for p in own for x in p if x is not None})
+        for a, b in zip(ends, ends[1:]):
+            n = sum(s is not None and e is not None and s <= a and b <= e for s, e in own)
+            want |= {(k, a, b, n)} if n else set()
+    got = shaping.segments(spark.createDataFrame(rows, "k string, s long, e long"), "k")
+    assert {tuple(r) for r in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # 1,000 spans of a key would make millions of pairs
+
+
+def test_only_redirected_titles_hop(spark):
+    from lexigauge.operators import shaping
+
+    titles = spark.createDataFrame([("a",), ("a",), ("z",), (None,)], "title string")
+    red = spark.createDataFrame([("a", "b"), ("b", None), ("z", None), ("z", None)], "src string, dst string")
+    got = sorted(map(str, shaping.redirect_chain(titles, red).collect()))
+    assert got == sorted(map(str, spark.createDataFrame([("a", "b", 1), ("a", "b", 1), ("z", "z", 0), (None, None, 0)], "title string, target string, n_hops int").collect()))
