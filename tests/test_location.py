@@ -65,3 +65,18 @@ def test_either_way_and_relabelled(spark):
     m = spark.createDataFrame([(1, "a", None, "first"), (2, "a", "b", "second"), (3, "c", "", "third")], "place int, surface string, lemma string, context string")
     lemmas = spark.createDataFrame([("a", "z"), ("a", "b"), ("c", "")], "surface string, lemma string")
     assert sorted(map(tuple, location.relabelled(m, lemmas).collect())) == [(1, "a", "b", "first", True), (2, "a", "b", "first", False), (3, "c", "", "third", False)]
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 7])
+def test_first_holding(spark, monkeypatch, piece):
+    """One row a needle, where pairs with every text grew with the square of the texts."""
+    monkeypatch.setattr(location, "PIECE", piece)
+    rng = random.Random(piece)
+    word = lambda n: "".join(rng.choice("abcé\U0001f600\n") for _ in range(n))
+    texts = [(rng.choice([None, *range(9)]), i, word(rng.randint(0, 60))) for i in range(80)] + [(0, 98, None), (4, 99, "")]
+    needles = [word(rng.choice([1, 2, 3, 4, 5, 12, 20])) for _ in range(80)] + [texts[3][2][:15], texts[3][2][:15], None, "zz", ""]
+    df = spark.createDataFrame(texts, "place int, key int, text string").selectExpr("struct(place, key) AS first", "text")
+    got = {r["needle"]: tuple(r["first"]) for r in location.first_holding(spark.createDataFrame([(n,) for n in needles], "needle string"), df).collect()}
+    least = lambda x: tuple((v is not None, v) for v in x)
+    want = {n: min(((p, k) for p, k, t in texts if t is not None and n in t), key=least) for n in needles if n is not None and any(t is not None and n in t for _, _, t in texts)}
+    assert got == want
