@@ -18,18 +18,21 @@ def _both(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return half(gold, "gold").union(half(pred, "pred"))
 
 
-def _shared(both: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that share their keys, none of them null, with one of the other side. Each side is read and dealt once."""
-    of = Window.partitionBy(*keys)
-    known = both.where(" and ".join(f"{k} is not null" for k in keys))
-    return known.withColumn("_sides", F.min("side").over(of) != F.max("side").over(of)).where("_sides").drop("_sides")
+def _shared(both: DataFrame, keys: list[str], *known: str) -> DataFrame:
+    """Rows that share their keys, none of them null, with one of the other side. Each side is read and dealt once.
+
+    known: more keys, which are never null. A test for null would run once more the function that makes them.
+    """
+    of = Window.partitionBy(*keys, *known)
+    there = both.where(" and ".join(f"{k} is not null" for k in keys))
+    return there.withColumn("_sides", F.min("side").over(of) != F.max("side").over(of)).where("_sides").drop("_sides")
 
 
 def strict(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Mentions of both sides with the same place, entity and normalised surface as one of the other side."""
     place = ["title", "idx", "qid"]
-    near = _shared(_both(gold, pred), place).withColumn("norm", text.norm(F.col("surface")))  # folds only those at one place
-    return _shared(near, [*place, "norm"]).drop("norm")
+    near = _shared(_both(gold, pred).where("surface is not null"), place).withColumn("norm", text.norm(F.col("surface")))  # folds only those at one place
+    return _shared(near, place, "norm").drop("norm")
 
 
 def overlapping(gold: DataFrame, pred: DataFrame, same_entity: bool = True, floor: int = 1) -> DataFrame:

@@ -100,3 +100,33 @@ def test_deterministic_terms(spark):
     got = [tuple(r) for r in extraction.deterministic(df, "id", lexicon).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert {x[4] for x in want} == {None, "title", "place", "people"}
+
+
+def test_strict_folds_once(spark):
+    from lexigauge.operators import matching
+
+    gold = spark.createDataFrame([("A", 1, "STRASSE", "q", 1), ("A", 2, "x", "q", 1), ("A", 3, None, "q", 1)], "title string, idx int, surface string, qid string, span int")
+    pred = spark.createDataFrame([("A", 1, "straße", "q", 2), ("A", 2, "y", "q", 1), ("A", 3, None, "q", 1)], gold.schema)
+    out = matching.strict(gold, pred)
+    assert sorted((r["side"], r["surface"]) for r in out.collect()) == [("gold", "STRASSE"), ("pred", "straße")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_mentions_word_by_word(spark, tmp_path):
+    import re
+
+    from lexigauge.sources import tables
+
+    texts = [None, "", " ", "Abcdef abcdefg  Äbcdefgh É1bcdefghijk\nLonger-words (Parens) ", "K" * 7 + "K " + "İstanbul-City", "abcdefghij " * 5000]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for which in ("gold", "pred"):
+        want = []
+        for i, t in enumerate(texts):
+            for k, w in enumerate((t or "").split(" ")):
+                q = re.sub("[^A-Za-z]", "", w).lower()
+                n = len(q)
+                if n > 5 and (re.match("[A-Z]", w) if which == "gold" else n % 2 == 1 or n > 9):
+                    want.append((i, k, w, q) if which == "gold" else (i, k - (n % 5 == 0), w, q))
+        got = tables.mentions(spark, str(tmp_path), which)
+        assert sorted(tuple(r) for r in got.select("title", "idx", "surface", "qid").collect()) == sorted(want)
+        assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()  # the letters of a word were picked up to five times
