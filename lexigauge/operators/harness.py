@@ -21,27 +21,32 @@ def _buckets(place: Column, span: Column, explode=F.explode) -> Column:
     return explode(F.sequence(F.floor(place / BUCKET), F.floor((place + F.greatest(span, F.lit(0))) / BUCKET)))
 
 
-def fates(gold: DataFrame, last: DataFrame, pred: DataFrame) -> DataFrame:
+def last_of(pred: DataFrame) -> DataFrame:
+    """pred with `last`: whether a row is the one of greatest id at its place and span. Where no id is known its answer counts as null."""
+    later = F.lead(F.lit(True)).over(Window.partitionBy("title", "idx", "span").orderBy(F.col("id").asc_nulls_first()))
+    return pred.withColumn("last", later.isNull())
+
+
+def fates(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """title, qid, in_gold, in_pred, rec, found, ok, direct: what becomes of every (title, qid) of gold or pred.
 
-    rec: one of its mentions overlaps a prediction of `last`; found: such a one has it among its candidates; direct: as its id;
-    ok: both at once. in_pred: pred names it. Ranges meet by buckets of 64 tokens, so a long document is dealt to many tasks;
-    each side is read once there.
+    rec: one of its mentions overlaps a prediction that is `last`; found: such a one has it among its candidates; direct: as its
+    id; ok: both at once. in_pred: pred names it, last or not. Ranges meet by buckets of 64 tokens, so a long document is dealt to
+    many tasks. Each side is read once: what meets nothing comes out of the join as well.
     """
-    g = gold.select("title", "qid", F.col("idx").alias("a"), F.col("span").alias("an"), _buckets(F.col("idx"), F.col("span"), F.explode_outer).alias("bucket"))
-    p = last.select("title", F.col("qid").alias("got"), "cands", F.col("idx").alias("b"), F.col("span").alias("bn"), _buckets(F.col("idx"), F.col("span")).alias("bucket")).withColumn("hit", F.lit(True))
-    g, p = g.alias("g"), p.alias("p")
-    on = (F.col("g.title") == F.col("p.title")) & (F.col("g.bucket") == F.col("p.bucket")) & (F.col("a") < F.col("b") + F.col("bn")) & (F.col("b") < F.col("a") + F.col("an"))
-    met = g.join(p, on, "left").select("g.title", "qid", "got", "cands", "hit")
-    yes = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    g = gold.select("title", "qid", F.col("idx").alias("a"), F.col("span").alias("an"), _buckets(F.col("idx"), F.col("span"), F.explode_outer).alias("bucket"), F.lit(True).alias("is_gold"))
+    known = lambda c: F.when(F.col("id").isNotNull(), F.col(c)) if "id" in pred.columns else F.col(c)
+    p = pred.select(F.col("title").alias("t"), F.col("qid").alias("said"), known("qid").alias("got"), known("cands").alias("cands"), F.col("idx").alias("b"), F.col("span").alias("bn"), "last", _buckets(F.col("idx"), F.col("span"), F.explode_outer).alias("at"))
+    on = (F.col("title") == F.col("t")) & (F.col("bucket") == F.col("at")) & (F.col("a") < F.col("b") + F.col("bn")) & (F.col("b") < F.col("a") + F.col("an")) & F.col("last")
+    met = g.join(p, on, "full_outer")
+    yes, no = lambda c: F.coalesce(c, F.lit(False)), F.lit(False)
     has, same = F.array_contains("cands", F.col("qid")), F.col("got") == F.col("qid")
-    flags = ("rec", "found", "ok", "direct")
-    per = met.groupBy("title", "qid").agg(*[yes(c).alias(f) for f, c in zip(flags, (F.col("hit"), has, has & same, same))])
-    unnamed = F.col("title").isNull() | F.col("qid").isNull()  # equals nothing of the other side
-    half = lambda d, side: d.withColumns({"in_gold": F.lit(side == "gold"), "in_pred": F.lit(side == "pred"), "_own": F.when(unnamed, side)})
-    said = pred.select("title", "qid").distinct()
-    both = half(per, "gold").unionByName(half(said.withColumns({f: F.lit(False) for f in flags}), "pred"))
-    return both.groupBy("title", "qid", "_own").agg(*[F.bool_or(f).alias(f) for f in ("in_gold", "in_pred", *flags)]).drop("_own")
+    flags = ("in_gold", "in_pred", "rec", "found", "ok", "direct")
+    row = lambda title, qid, side, *f: F.struct(title.alias("title"), qid.alias("qid"), F.when(title.isNull() | qid.isNull(), side).alias("_own"), *[c.alias(n) for n, c in zip(flags, f)])  # noqa: E731  no title or id equals nothing of the other side
+    mine = F.when(F.col("is_gold"), row(F.col("title"), F.col("qid"), "gold", F.lit(True), no, yes(F.col("last")), yes(has), yes(has & same), yes(same)))
+    other = F.when(F.col("said").isNotNull(), row(F.col("t"), F.col("said"), "pred", no, F.lit(True), no, no, no, no))
+    each = met.select(F.explode(F.array_compact(F.array(mine, other))).alias("x")).select("x.*")
+    return each.groupBy("title", "qid", "_own").agg(*[F.bool_or(f).alias(f) for f in flags]).drop("_own")
 
 
 def survival_rates(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -52,10 +57,7 @@ def survival_rates(gold: DataFrame, pred: DataFrame) -> DataFrame:
     when an overlapping prediction has it among its candidates; resolved when one has it as its id. R counts found and resolved
     ones, R_direct all resolved ones, their difference is miss. P: of different predicted (title, qid) those that are gold.
     """
-    last = pred
-    if "id" in pred.columns:
-        last = pred.groupBy("title", "idx", "span").agg(F.max_by(F.struct("qid", "cands"), "id").alias("x")).select("title", "idx", "span", "x.*")
-    every = fates(gold, last, pred.where("qid IS NOT NULL"))
+    every = fates(gold, last_of(pred) if "id" in pred.columns else pred.withColumn("last", F.lit(True)))
     own = lambda *flags: F.count_if(functools.reduce(Column.__and__, map(F.col, ("in_gold", *flags))))
     both = every.agg(own().alias("n"), own("rec").alias("rec"), own("found").alias("found"), own("found", "direct").alias("ok"), own("direct").alias("direct"), F.count_if(F.col("in_gold") & F.col("direct") & ~F.col("found")).alias("miss"), F.count_if("in_pred").alias("linked"), own("in_pred").alias("linked_real"))
     pairs = (("R_NER", "rec", "n"), ("R_search", "found", "rec"), ("A_disamb", "ok", "found"), ("R", "ok", "n"), ("R_direct", "direct", "n"), ("P", "linked_real", "linked"), ("miss", "miss", "n"))

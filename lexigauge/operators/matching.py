@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigauge.functions import text
-from lexigauge.operators.harness import fates
+from lexigauge.operators.harness import fates, last_of
 
 
 COLUMNS = ["title", "idx", "surface", "qid", "span"]
@@ -53,9 +53,9 @@ def survival(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
     Of predictions at one place and span the last by id counts.
     """
-    last = pred.groupBy("title", "idx", "span").agg(F.max_by(F.struct("qid", "cands"), "id").alias("x")).select("title", "idx", "span", "x.*")
     own = lambda d: d.withColumn("span", F.greatest("span", F.lit(0)))
-    every = fates(own(gold), own(last), last).where("in_gold")
+    last = last_of(pred).where("last").withColumn("qid", F.when(F.col("id").isNotNull(), F.col("qid")))
+    every = fates(own(gold), own(last)).where("in_gold")
     return every.agg(F.count("*").alias("n_gold"), F.count_if("rec").alias("n_rec"), F.count_if("found").alias("n_found"), F.count_if("ok").alias("n_ok"), F.count_if("in_pred").alias("n_direct"))
 
 

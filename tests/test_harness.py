@@ -102,6 +102,16 @@ def test_deterministic_terms(spark):
     assert {x[4] for x in want} == {None, "title", "place", "people"}
 
 
+def test_both_sides_are_read_once(spark):
+    gold = spark.createDataFrame([("A", "q", 1, 2), (None, "q", 1, 2), ("A", "r", 1, 2)], "title string, qid string, idx int, span int")
+    rows = [("A", 1, 1, "x", ["q"], 3), ("A", 1, 1, "q", ["q"], 5), ("A", 1, 1, "z", None, None), (None, 1, 2, "q", ["q"], 1), ("A", None, 1, "r", None, 2)]
+    pred = spark.createDataFrame(rows, "title string, idx int, span int, qid string, cands array<string>, id int")
+    got = {r["metric"]: (r["matched"], r["total"]) for r in harness.survival_rates(gold, pred).collect()}
+    assert got == {"R_NER": (2, 3), "R_search": (1, 2), "A_disamb": (1, 1), "R": (1, 3), "R_direct": (1, 3), "P": (2, 5), "miss": (0, 3)}
+    plan = harness.survival_rates(gold, pred)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2  # predictions were read twice, once more for what they name
+
+
 def test_strict_folds_once(spark):
     from lexigauge.operators import matching
 
