@@ -59,21 +59,37 @@ def _asked(words: list[Column], kinds: list[Column]) -> Column:
     return F.filter(rows, lambda r, i: F.array_position(F.transform(rows, lambda x: x["q"]), r["q"]) == i + 1)
 
 
-def _climbed(state: DataFrame, answers: DataFrame, asked: Column, mechanism: str, source: Column, tier: str, limit: int) -> DataFrame:
-    """state with the hits of one rung: each id once, by the word's place and the hit's rank; unknown if a word was never asked."""
-    words = state.select("key", F.posexplode(asked).alias("place", "a")).select("key", "place", "a.q", "a.kind")
-    known = answers.where(F.col("mechanism") == mechanism).select("q", F.slice("hits", 1, limit).alias("ids"))
-    got = words.join(known, "q", "left")
-    told = F.struct("place", F.struct("q", "kind", F.lit(mechanism).alias("mechanism"), F.coalesce(F.size("ids"), F.lit(0)).alias("n_hits")).alias("query"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
-    of = got.groupBy("key").agg(F.sort_array(F.collect_list(told)).alias("got"), F.bool_or(F.col("ids").isNull()).alias("never"))  # a few words a mention
-    out = state.join(of, "key", "left")
-    ids = F.array_distinct(F.flatten(F.transform("got", lambda g: g["ids"])))
-    found = F.coalesce(F.transform(ids, lambda i: F.struct(i.alias("id"), F.lit(tier).alias("tier"))).cast(HIT), F.array().cast(HIT))
-    asked_now = F.coalesce(F.transform("got", lambda g: g["query"]).cast(QUERY), F.array().cast(QUERY))
-    never = F.coalesce("never", F.lit(False))
-    hits = F.when(never, F.array().cast(HIT)).otherwise(found)
-    name = F.when(never, F.lit(UNKNOWN)).when(F.size(hits) > 0, source).otherwise(F.col("source"))
-    return out.withColumns({"hits": hits, "source": name, "queries": F.concat("queries", asked_now)}).drop("got", "never")
+def _climbed(state: DataFrame, answers: DataFrame, rungs: list[tuple[Column, str, str, str, int]]) -> DataFrame:
+    """state with hits, queries and source: those of the first rung with a hit or with a word that was never asked.
+
+    rungs: words asked, mechanism, source, tier, most hits of a word. All rungs' words meet the answers in one join, as answers
+    are a table; what a rung above the one that settles a mention asks is left out again. Each id counts once, by the word's
+    place and the hit's rank. Keys meet their few words in one grouping, so the table is dealt twice in all.
+    """
+
+    def listed(r, asked, mechanism, most):
+        return F.transform(asked, lambda w, i: F.struct(F.lit(r).alias("rung"), i.alias("place"), w["q"].alias("q"), w["kind"].alias("kind"), F.lit(mechanism).alias("mechanism"), F.lit(most).alias("most")))
+
+    ask = [listed(r, asked, mechanism, most) for r, (asked, mechanism, _, _, most) in enumerate(rungs)]
+    words = state.select("key", F.explode(F.concat(*ask)).alias("a")).select("key", "a.*")
+    got = words.join(answers.select("mechanism", "q", "hits"), ["mechanism", "q"], "left").withColumn("ids", F.slice("hits", 1, F.col("most")))
+    query = F.struct("q", "kind", "mechanism", F.coalesce(F.size("ids"), F.lit(0)).alias("n_hits")).cast("struct<q:string,kind:string,mechanism:string,n_hits:int>")
+    told = F.struct("rung", "place", query.alias("query"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+    ends = F.col("ids").isNull() | (F.size("ids") > 0)
+    of = got.groupBy("key").agg(F.sort_array(F.collect_list(told)).alias("got"), F.min(F.when(ends, F.col("rung"))).alias("stop"), F.collect_set(F.when(F.col("ids").isNull(), F.col("rung"))).alias("never"))  # a few words a mention
+    out = state.select("key").join(of, "key", "left")
+    stop = F.col("stop")
+    unknown = F.coalesce(F.array_contains("never", stop), F.lit(False))
+    ids = F.array_distinct(F.flatten(F.transform(F.filter("got", lambda g: g["rung"] == stop), lambda g: g["ids"])))
+    at = lambda names: F.element_at(F.array(*map(F.lit, names)), stop + 1)
+    hits = F.transform(ids, lambda i: F.struct(i.alias("id"), at([r[3] for r in rungs]).alias("tier"))).cast(HIT)
+    asked = F.transform(F.filter("got", lambda g: stop.isNull() | (g["rung"] <= stop)), lambda g: g["query"]).cast(QUERY)
+    return out.select(
+        "key",
+        F.when(unknown, UNKNOWN).when(stop.isNotNull(), at([r[2] for r in rungs])).otherwise(NO_SOURCE).alias("source"),
+        F.coalesce(asked, F.array().cast(QUERY)).alias("queries"),
+        F.when(stop.isNotNull() & ~unknown, hits).otherwise(F.array().cast(HIT)).alias("hits"),
+    )
 
 
 def candidates(mentions: DataFrame, answers: DataFrame, entities: DataFrame, guesses: DataFrame | None = None, config: Config = Config()) -> DataFrame:
@@ -90,7 +106,7 @@ def candidates(mentions: DataFrame, answers: DataFrame, entities: DataFrame, gue
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
-    m = mentions.select("mention_id", text("surface").alias("surface"), text("lemma").alias("lemma"), text("context").alias("context"))
+    m = mentions.repartition("mention_id").select("mention_id", text("surface").alias("surface"), text("lemma").alias("lemma"), text("context").alias("context"))
     m = m.withColumn("alts", forms.alternates(F.col("surface"), F.col("context")) if config.widen != "baseline" else none).drop("context")
     if guesses is not None and config.widen == "label-guess":
         m = m.join(guesses.select("mention_id", F.array(text("label_ru"), text("label_en")).alias("guessed")), "mention_id", "left").withColumn("guessed", F.coalesce("guessed", none))
@@ -99,7 +115,6 @@ def candidates(mentions: DataFrame, answers: DataFrame, entities: DataFrame, gue
     same = ["surface", "lemma", "alts", "guessed"]
     m = cut(m.withColumn("key", F.sha2(F.to_json(F.struct(*same)), 256)))
     state = m.groupBy("key").agg(*[F.first(c).alias(c) for c in same])
-    state = state.withColumns({"hits": F.array().cast(HIT), "queries": F.array().cast(QUERY), "source": F.lit(NO_SOURCE)})
     lemma, surface = F.col("lemma"), F.col("surface")
     kind = lambda q: F.when((q == lemma) & (lemma != ""), "lemma").otherwise("surface")
     shapes = _asked([lemma, surface], [F.lit("lemma"), kind(surface)]) if config.use_lemma else _asked([surface], [kind(surface)])
@@ -110,23 +125,14 @@ def candidates(mentions: DataFrame, answers: DataFrame, entities: DataFrame, gue
     rungs += [(_asked([page], [kind(page)]), PAGE, PAGE_SOURCE, "baseline")] if config.use_page else []
     rungs += [(listed("alts", "alt"), PREFIX, "alt", "alt")] if config.widen != "baseline" else []
     rungs += [(listed("guessed", "label_guess"), PREFIX, "label_guess", "label_guess")] if config.widen == "label-guess" else []
-    settled = []
-    for asked, mechanism, source, tier in rungs:
-        limit = 1 if mechanism == PAGE else config.search_limit
-        state = cut(_climbed(state, answers, asked, mechanism, F.lit(source), tier, limit))
-        done = (F.size("hits") > 0) | (F.col("source") == UNKNOWN)
-        settled.append(state.where(done))
-        state = state.where(~done)
-    every = state
-    for part in settled:
-        every = every.unionByName(part)
+    every = cut(_climbed(state, answers, [(*r, 1 if r[1] == PAGE else config.search_limit) for r in rungs]))
     every = every.select("key", "source", F.size("hits").alias("n_hits"), "queries", "hits")
     top = every.select("key", F.posexplode(F.slice("hits", 1, config.enrich_top)).alias("place", "hit")).select("key", "place", F.col("hit.id").alias("id"), F.col("hit.tier").alias("tier"))
     fields = ["qid", "label_ru", "label_en", "description", "aliases_ru", "aliases_en"]
     found = top.join(entities.select("id", *fields), "id").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", *fields, "tier"))).alias("candidates"))
     empty = F.array().cast(found.schema["candidates"].dataType)
     out = m.select("mention_id", "surface", "lemma", "key").join(every.drop("hits").join(found, "key", "left"), "key")
-    return out.withColumn("candidates", F.coalesce("candidates", empty)).drop("key")
+    return cut(out.withColumn("candidates", F.coalesce("candidates", empty)).drop("key"))  # callers read it several times
 
 
 def exact_matches(found: DataFrame, match_aliases: bool = True) -> DataFrame:
@@ -140,7 +146,7 @@ def exact_matches(found: DataFrame, match_aliases: bool = True) -> DataFrame:
     names = [named(0, F.array("label_ru"))] + ([named(1, F.col("aliases_ru")), named(2, F.col("aliases_en"))] if match_aliases else [])
     each = each.select("mention_id", "place", "qid", "lemma", "surface", F.posexplode(F.concat(*names)).alias("at", "n")).where("n.value <> ''")
     each = each.select("mention_id", "place", "qid", "at", "n.rank", "n.value", F.posexplode(F.array("lemma", "surface")).alias("order", "query")).where("query <> ''")
-    hit = each.where(norm(F.col("value")) == norm(F.col("query")))
+    hit = each.where(norm(F.col("value")).eqNullSafe(norm(F.col("query"))))  # neither is null; a test for it would fold all names once more
     best = hit.groupBy("mention_id", "place", "qid").agg(F.min(F.struct("rank", "at", "order", "value", "query")).alias("b"))
     kind = F.element_at(F.array(F.lit("label_ru"), F.lit("alias_ru"), F.lit("alias_en")), F.col("b.rank") + 1)
     return best.select("mention_id", "place", "qid", kind.alias("kind"), "b.value", "b.query")

@@ -105,7 +105,7 @@ def label_first_grounding(s, d):
     scope = (k % 3).cast("string")
     said = F.when(k % 4 == 2, F.get(ids, F.lit(0))).when(k % 4 == 3, "no candidate")
     term = norm(F.when(F.col("lemma") != "", F.col("lemma")).otherwise(F.col("surface")))
-    decisions = found.where(F.size(ids) > 0).where(k % 4 != 0).select(scope.alias("scope"), term.alias("term"), F.sort_array(ids).alias("ids"), F.lit(True).alias("answered"), said.alias("qid"))
+    decisions = found.where(F.size(ids) > 0).where(k % 4 != 0).select(scope.alias("scope"), F.coalesce(term, F.lit("")).alias("term"), F.sort_array(ids).alias("ids"), F.lit(True).alias("answered"), said.alias("qid"))
     return ladder.grounded(found, decisions, scope)
 
 

@@ -87,3 +87,14 @@ def test_plausibility(spark):
     rows = [("an ancient city", None, False), ("A comic about a river", None, True), ("ruler of Sumer", "place", True), ("ruler of Sumer", "person", False), (None, None, True), ("a car", None, True), ("Wikimedia disambiguation page of a city", None, True)]
     df = spark.createDataFrame([r[:2] for r in rows], "d string, t string")
     assert [r[0] for r in df.select(ladder.implausible(df["d"], df["t"])).collect()] == [r[2] for r in rows[:1]] + [True] + [r[2] for r in rows[2:]]
+
+
+def test_rungs_climb_by_one_join(spark, monkeypatch):
+    m = spark.createDataFrame([(1, "Ur", "", "Ur (Uri, Nippur)"), (2, "x", "y", "")], "mention_id int, surface string, lemma string, context string")
+    answers = spark.createDataFrame([(ladder.PREFIX, "Ur", []), (ladder.FULL_TEXT, "Ur", []), (ladder.PAGE, "Ur", []), (ladder.PREFIX, "Uri", ["Q1"]), (ladder.PREFIX, "Nippur", ["Q1", "Q2"]), (ladder.PREFIX, "x", ["Q1"])], "mechanism string, q string, hits array<string>")
+    ents = spark.createDataFrame([("Q1", "Q1", "l", None, None, [], None)], ENTITY)
+    cuts = []
+    monkeypatch.setattr(ladder, "cut", lambda df: cuts.append(df) or df)
+    out = {r["mention_id"]: (r["source"], r["n_hits"], [(q["q"], q["n_hits"]) for q in r["queries"]], [c["qid"] for c in r["candidates"]]) for r in ladder.candidates(m, answers, ents, config=ladder.Config(widen="alt-names")).collect()}
+    assert out == {1: ("alt", 2, [("Ur", 0), ("Ur", 0), ("Ur", 0), ("Uri", 1), ("Nippur", 2)], ["Q1"]), 2: ("unknown", 0, [("y", 0), ("x", 1)], [])}
+    assert len(cuts) == 3  # mentions, what they climbed, the result; each rung was written and dealt by itself
