@@ -104,6 +104,8 @@ def similarity(x: np.ndarray, xw: np.ndarray, y: np.ndarray, yw: np.ndarray) ->
     both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     if not len(both):
         return 0.0
+    if (xw == xw[0]).all() and (yw == yw[0]).all():
+        return len(both) / (len(x) + len(y) - len(both))  # of equal weights: the plain one
     a, b = xw / xw.sum(), yw / yw.sum()
     only_x, only_y = 1 - a[i].sum(), 1 - b[j].sum()
     a, b = a[i], b[j]
@@ -170,6 +172,37 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return kinds, np.bincount(inverse, weights=w, minlength=len(kinds))
 
 
+class Group:
+    """The packed sets of one place's texts with their elements numbered, so that one text meets many at a time."""
+
+    def __init__(self, packed: list[bytes]):
+        sets = [_unpack(x) for x in packed]
+        self.size = np.array([len(x) for x, _ in sets])
+        self.start = np.cumsum(self.size) - self.size
+        kinds, number = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)
+        self.number, self.weight = number.astype(np.int32), np.concatenate([w / w.sum() for _, w in sets])
+        self.flat = np.array([bool((w == w[0]).all()) for _, w in sets])
+        self.mark = np.zeros(len(kinds))
+
+    def bounds(self, i: int, others: list[int]) -> tuple[list[float], list[bool]]:
+        """Of each other text: its similarity to text i, True; or what that can't exceed, False, where weights differ."""
+        own = self.number[self.start[i] : self.start[i] + self.size[i]]
+        o = np.array(others)
+        at = np.concatenate([np.arange(self.start[j], self.start[j] + self.size[j]) for j in others])
+        cut = np.cumsum(self.size[o]) - self.size[o]
+        met, theirs = self.number[at], self.weight[at]
+        self.mark[own] = 1
+        hit = self.mark[met]
+        both, heard = np.add.reduceat(hit, cut), np.add.reduceat(hit * theirs, cut)
+        self.mark[own] = self.weight[self.start[i] : self.start[i] + self.size[i]]
+        said = np.add.reduceat(self.mark[met], cut)
+        self.mark[own] = 0
+        exact = self.flat[o] & self.flat[i]
+        # an element of both adds at most the lesser of its two shares
+        most = np.where(exact, both / (self.size[i] + self.size[o] - both), np.minimum(said, heard) + 1e-9)
+        return most.tolist(), exact.tolist()
+
+
 def _joined(threshold):
     """Rows by key: texts of a group with the class they are in. Edges (a, b) that join those that are similar, a tree a class."""
 
@@ -191,12 +224,17 @@ def _joined(threshold):
                 sets.clear()
             return sets[i] if i in sets else sets.setdefault(i, _unpack(rows[i][3]))
 
-        out = []
+        out, group = [], None
         for i in range(len(rows) - 1):
             share = (sig[i + 1 :] == sig[i]).mean(1)
-            for j in (np.flatnonzero(share >= ESTIMATE) + i + 1).tolist():
+            a = top(i)
+            near = [j for j in (np.flatnonzero(share >= ESTIMATE) + i + 1).tolist() if top(j) != a]
+            if not near:
+                continue
+            group = group or Group([r[3] for r in rows])
+            for j, most, exact in zip(near, *group.bounds(i, near)):
                 a, b = top(i), top(j)
-                if a != b and similarity(*unpacked(i), *unpacked(j)) >= threshold:
+                if a != b and most >= threshold and (exact or similarity(*unpacked(i), *unpacked(j)) >= threshold):
                     up[b] = a
                     out.append((rows[i][0], rows[j][0]))
         return out

@@ -57,3 +57,32 @@ def test_rows_repeated_under_a_doc_id(spark):
     assert got == [(0, a, "x", a), (1, a, "x", a), (5, b, "x", b), (7, "", "x", ""), (7, "", "x", ""), (7, "", "x", "")]
     classes = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["copy_of"] or 0) for r in neardup.classes(docs).collect())
     assert classes == [(0, 0, 0), (1, 1, 1), (5, 1, 1), (5, 5, 5), (6, 5, 5), (6, 5, 5), (7, 7, 7), (7, 7, 7), (7, 7, 7)]
+
+
+def test_one_text_meets_many_at_a_time():
+    rng = random.Random(3)
+    sets = []
+    for k in range(60):
+        h = np.array(sorted(rng.sample(range(40), rng.randint(1, 40))), "<u4")
+        w = np.array([1 if k % 2 else rng.randint(1, 5) for _ in h], "<u4")
+        sets.append(b"" + h.tobytes() if (w == 1).all() else b"w" + w.tobytes() + h.tobytes())
+    group = neardup.Group(sets)
+    for i in range(60):
+        others = [j for j in range(60) if j != i]
+        for j, most, exact in zip(others, *group.bounds(i, others)):
+            got = neardup.similarity(*neardup._unpack(sets[i]), *neardup._unpack(sets[j]))
+            assert most == got if exact else most >= got
+
+
+def test_many_texts_just_under_the_threshold_are_not_verified_one_by_one(monkeypatch):
+    base = np.arange(1000, dtype="<u4")
+    rows = []
+    for k in range(120):  # every two share 850 of 1,150 elements: 0.74
+        h = np.sort(np.concatenate([base[:850], np.arange(2000 + 150 * k, 2150 + 150 * k, dtype="<u4")]).astype("<u4"))
+        rows.append((k, k, np.zeros(neardup.REGISTERS, "<u4").tobytes(), h.tobytes()))
+    calls = []
+    monkeypatch.setattr(neardup, "similarity", lambda *x: calls.append(1) or 0.0)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 120), *(pa.array([r[k] for r in rows]) for k in range(4))], ["key", "lid", "root", "sig", "set"])
+    assert sum(b.num_rows for b in neardup._joined(0.8)(iter([batch]))) == 0 and not calls
