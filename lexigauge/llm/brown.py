@@ -1,11 +1,14 @@
 """Brown class-based bigram scores.
 
-Counting is exact and distributed. Words of at least UNIT_SHARE of all tokens are units of their own; all rarer ones
-share the unit of their ending, so every word has a unit and there are few units however large the corpus grows.
-Exchange clustering then moves units between classes: each round counts, over all unit bigrams, how often every unit
-meets every class on either side, and moves a part of the units to the classes that raise the likelihood of the class
-bigrams most. Units that move together don't see each other move, so a round counts only if the likelihood did rise;
-parts get smaller when a sweep over all of them brings nothing.
+Counting is exact and distributed. Words of at least UNIT_SHARE of all tokens are units of their own first, and all rarer
+ones start together by their ending. Exchange clustering moves these units between classes: each round counts, over all
+unit bigrams, how often every unit meets every class on either side, and moves a part of the units to the classes that
+raise the likelihood of the class bigrams most. Units that move together don't see each other move, so a round counts only
+if the likelihood did rise; parts get smaller when a sweep over all of them brings nothing.
+
+Then every rarer word is a unit of its own too, once words included (settle): they are dealt to blocks by hash, each block
+holds what its words meet, and in a round blocks send each other the classes of the words that meet and move their own by
+the same gain. An ending's class is left to words that training hasn't seen, where they come before another word.
 
 P(word | previous) = P(class | class of previous) * P(word | class). Emissions are discounted by DISCOUNT, and what
 that frees is the class's probability of an unknown word; transitions are smoothed by class frequencies. The model
@@ -16,13 +19,14 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from copy import copy
 from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, column, drop, keep, ship, slices, tidy
+from .common import SLICE_BYTES, array_slices, column, drop, hashes, keep, ship, slices, tidy, word_codes
 
 #: Shares of all tokens: at least so frequent words are units (at most 1 / UNIT_SHARE of them) and are scored from a
 #: broadcast table (at most 1 / CORE_SHARE words); rarer words are scored through a join with the counts.
@@ -32,6 +36,10 @@ CLASSES, ENDINGS = 64, 512
 PARTS, LEAST_GAIN = 8, 1e-4
 #: Unit bigrams up to which rounds count them on the driver (16 bytes each); more stay on the executors, one job a round.
 HELD = 6_000_000
+#: Tokens of rare words in a block of them, on average, and the turns in which a block's words move.
+BLOCK_TOKENS, STEPS = 500_000, 32
+#: In a context: a neighbour whose class isn't known yet.
+OPEN = 255
 DISCOUNT, SMOOTHING = 0.5, 5.0
 #: The end of a text as a token; no word holds a blank.
 END = b" "
@@ -58,7 +66,7 @@ def _count(batches):
 
 
 class Words:
-    """Core words with counts, and the unit of every word: 0 is the end, then frequent words, then endings."""
+    """Core words with counts, and the units clustered first: 0 is the end, then frequent words, then endings for all others."""
 
     def __init__(self, rows, total: int):
         rows = sorted(rows, key=lambda r: (-r[1], r[0]))
@@ -66,7 +74,7 @@ class Words:
         self.counts = np.array([n for _, n in rows], np.int64)
         frequent = [w.encode() for w, n in rows if n >= UNIT_SHARE * total and w.encode() != END]
         self.n_units = 1 + len(frequent) + ENDINGS
-        unit = {END: 0} | {w: 1 + i for i, w in enumerate(frequent)}
+        self.frequent = unit = {END: 0} | {w: 1 + i for i, w in enumerate(frequent)}
         self.first_ending = 1 + len(frequent)
         self.unit = np.array([unit.get(w.encode(), -1) for w, _ in rows], np.int64)
         for i, (w, _) in enumerate(rows):
@@ -81,6 +89,14 @@ class Words:
         units[rare] = [self.first_ending + ending(flat[i]) for i in rare]
         return core, units
 
+    def settled(self, cls: np.ndarray, classes: dict[str, int]) -> tuple[Words, np.ndarray]:
+        """These words with a unit for each core word, and the classes of units; classes: of the core words that aren't frequent."""
+        out = copy(self)
+        out.unit = np.array([0 if w == END else 1 + i for w, i in self.index.items()], np.int64)
+        out.first_ending = 1 + len(self.index)
+        own = [int(cls[self.frequent[w]]) if w in self.frequent else classes[w.decode()] for w in self.index]
+        return out, np.concatenate([[0], np.array(own, np.int64), cls[self.first_ending :]])
+
 
 def _bigrams(words):
     def run(batches):
@@ -206,57 +222,436 @@ def cluster(spark, bigrams: DataFrame, n_units: int):
     return cls, g, left.sum(1)
 
 
+def _stream(texts):
+    """All tokens of an Arrow string array: of each text how many, of each token its kind (the last is the end), the kinds but the end."""
+    import pyarrow as pa
+
+    owner, kind, _, kinds = word_codes(texts)
+    size = np.bincount(owner, minlength=len(texts)) + 1
+    flat = np.full(size.sum(), len(kinds))
+    flat[np.arange(len(owner)) + owner] = kind
+    return size, flat, kinds, kinds.cast(pa.binary()).to_pylist()
+
+
+def _ids(kinds, salt: int) -> np.ndarray:
+    """64-bit names of words; settle() sees to it that all differ."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return hashes(pc.binary_join_element_wise(f"{salt} ", kinds.cast(pa.string()), "") if salt else kinds)
+
+
+def _bytes(data: np.ndarray, sizes):
+    """A binary array of values of those many items each."""
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _values(binary, dtype) -> np.ndarray:
+    """All items of a binary array without nulls, in one."""
+    if not len(binary) or not binary.buffers()[2]:
+        return np.zeros(0, dtype)
+    edge = np.frombuffer(binary.buffers()[1], np.int32, len(binary) + 1, binary.offset * 4)
+    return np.frombuffer(binary.buffers()[2], np.uint8)[edge[0] : edge[-1]].view(dtype)
+
+
+def _joined(table, name: str, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
+
+
+DEALT = "block int, word binary, start binary, ctx_at binary, ctx binary, link_at binary, link_to binary, link_side binary"
+
+
+def _dealt(words, cls, blocks: int, salt: int):
+    """Of the rare words of each slice and block: names and first classes, frequent neighbours' sides and classes, rare neighbours."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        w, c = words.value, cls.value
+        for batch in batches:
+            texts = batch.column("text")
+            for a, b in array_slices(texts):
+                _, flat, kinds, names = _stream(texts.slice(a, b - a))
+                unit = np.fromiter(map(w.frequent.get, [*names, END], repeat(-1)), np.int64, len(names) + 1)
+                rare = np.flatnonzero((unit < 0) & (np.bincount(flat, minlength=len(unit)) > 0))  # kinds may hold an empty one that no token is of
+                if not len(rare):
+                    continue
+                h = _ids(kinds, salt)
+                order = rare[np.lexsort((h[rare], h[rare] % np.uint64(blocks)))]  # by block, then by name
+                block = (h[order] % np.uint64(blocks)).astype(np.int64)
+                edge = np.searchsorted(block, np.arange(blocks + 1))
+                start = c[[w.first_ending + ending(names[k]) for k in order]].astype(np.uint8)
+                spot = np.full(len(unit), -1)
+                spot[order] = np.arange(len(order)) - edge[block]
+                of = np.full(len(unit), -1)
+                of[order] = block
+                u, at, blk = unit[flat], spot[flat], of[flat]
+                here = np.flatnonzero(at >= 0)
+                me, other = np.concatenate([here, here]), np.concatenate([here + 1, here - 1])  # an end stands before a text and after it
+                side = np.repeat([0, 1], len(here))
+                known = u[other] >= 0
+
+                def dealt(wanted):
+                    i = np.flatnonzero(wanted)
+                    i = i[np.argsort(blk[me[i]], kind="stable")]
+                    return i, np.bincount(blk[me[i]], minlength=blocks)
+
+                i, many = dealt(known)
+                j, links = dealt(~known)
+                cols = [
+                    _bytes(h[order], np.diff(edge)), _bytes(start, np.diff(edge)),
+                    _bytes(at[me[i]].astype(np.int32), many), _bytes((side[i] * CLASSES + c[u[other[i]]]).astype(np.uint8), many),
+                    _bytes(at[me[j]].astype(np.int32), links), _bytes(h[flat[other[j]]], links), _bytes(side[j].astype(np.uint8), links),
+                ]
+                some = np.flatnonzero(np.diff(edge))
+                cols = [pa.array(np.arange(blocks), pa.int32()), *cols]
+                yield pa.RecordBatch.from_arrays([x.take(pa.array(some)) for x in cols], [x.split()[0] for x in DEALT.split(", ")])
+
+    return run
+
+
+BLOCK = "block int, word binary, start binary, key binary, n binary, in_at binary, in_side binary, in_n binary, in_from binary, out_at binary, out_to binary"
+
+
+def _merged(blocks: int):
+    """One row of a block. Links in come by (block, word there, word here, side); the sender's links out stand in the same order."""
+
+    def run(table):
+        import pyarrow as pa
+
+        word, at = np.unique(_joined(table, "word", np.uint64), return_inverse=True)
+        start = np.zeros(len(word), np.uint8)
+        start[at] = _joined(table, "start", np.uint8)
+        begin = np.cumsum([0, *(len(x) // 8 for x in table.column("word").to_pylist())])[:-1]
+        mine = lambda name: at[np.repeat(begin, [len(x) // 4 for x in table.column(name).to_pylist()]) + _joined(table, name, np.int32)]
+        key, n = np.unique(mine("ctx_at") * (2 * CLASSES) + _joined(table, "ctx", np.uint8), return_counts=True)
+        far, r = np.unique(_joined(table, "link_to", np.uint64), return_inverse=True)
+        home = (far % np.uint64(blocks)).astype(np.int64)
+        by_home = np.argsort(home, kind="stable")
+        rank = np.empty(len(far), np.int64)
+        rank[by_home] = np.arange(len(far))
+        link, link_n = np.unique((rank[r] * len(word) + mine("link_at")) * 2 + _joined(table, "link_side", np.uint8), return_counts=True)
+        side, here, there = link % 2, link // 2 % len(word), link // 2 // len(word)
+        there_home = home[by_home][there]
+        out = np.lexsort((1 - side, there, here, there_home))
+        cells = [word, start, key.astype(np.int64), n.astype(np.int32), here.astype(np.int32), side.astype(np.uint8), link_n.astype(np.int32), there_home.astype(np.int32), here[out].astype(np.int32), there_home[out].astype(np.int32)]
+        return pa.table([pa.array([table.column("block")[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in cells)], [x.split()[0] for x in BLOCK.split(", ")])
+
+    return run
+
+
+POST = "to int, sender int, classes binary"
+POSTED = [x.split()[0] for x in POST.split(", ")]
+
+
+def _post(table, cls: np.ndarray):
+    """What a block sends: to itself its words' classes, to each other block those of the words that meet words there."""
+    import pyarrow as pa
+
+    block, at, to = table.column("block")[0].as_py(), _joined(table, "out_at", np.int32), _joined(table, "out_to", np.int32)
+    where, many = np.unique(to, return_counts=True)
+    sizes = np.concatenate([[len(cls)], many])
+    return pa.table([pa.array(np.concatenate([[block], where]), pa.int32()), pa.array(np.concatenate([[-1], np.full(len(where), block)]), pa.int32()), _bytes(np.concatenate([cls, cls[at]]), sizes)], POSTED)
+
+
+def _first_post(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for i in range(len(batch)):
+            t = pa.Table.from_batches([batch.slice(i, 1)])
+            yield from _post(t, _joined(t, "start", np.uint8)).to_batches()
+
+
+def _received(table, post):
+    """A block's words' classes, those of the words of its links in, and the links' sizes, sides and places."""
+    got = dict(zip(post.column("sender").to_pylist(), post.column("classes").to_pylist()))
+    cls = np.frombuffer(got.pop(-1), np.uint8).astype(np.int64)
+    there = np.frombuffer(b"".join(got[k] for k in sorted(got)), np.uint8).astype(np.int64)
+    return cls, there, _joined(table, "in_at", np.int32), _joined(table, "in_side", np.uint8), _joined(table, "in_n", np.int32)
+
+
+def _counted(table, post):
+    """Class bigrams of a block: those that a word of it begins, and those of a frequent word and one of it."""
+    import pyarrow as pa
+
+    cls, there, at, side, n = _received(table, post)
+    key, many = _joined(table, "key", np.int64), _joined(table, "n", np.int32)
+    mine, code = cls[key // (2 * CLASSES)], key % (2 * CLASSES)
+    cell = np.where(code < CLASSES, mine * CLASSES + code, (code - CLASSES) * CLASSES + mine)
+    right = side == 0
+    g = np.bincount(cell, many, CLASSES**2) + np.bincount(cls[at[right]] * CLASSES + there[right], n[right], CLASSES**2)
+    some = np.flatnonzero(g)
+    return pa.table([pa.array(some), pa.array(g[some].astype(np.int64))], ["cell", "n"])
+
+
+def moved(cls, at, code, n, g, may, scale: float, steps: int = STEPS):
+    """New classes of words by their contexts: at (ascending) the word, code its neighbour's class, CLASSES more on the left.
+
+    Gains are those of exchange(). Words move in turns and see what the turns before did: scale times of it, for as many
+    blocks do alike and words are dealt by hash. may: which words may move.
+    """
+    cls, g, top = cls.copy(), g.copy(), 16
+    size = np.bincount(at, np.where(code < CLASSES, n, 0), len(cls))
+    size_left = np.bincount(at, np.where(code < CLASSES, 0, n), len(cls))
+    edge = np.searchsorted(at, np.arange(len(cls) + 1))
+    small = np.arange(top)[:, None, None]
+    for i, j in zip(*(lambda x: (x[:-1], x[1:]))(np.unique(np.linspace(0, len(cls), steps + 1).astype(np.int64)))):
+        row, col = g.sum(1), g.sum(0)
+        both = np.concatenate([g.T, g])  # of a code, the cell of each class
+        rise = _xlogx(both + small) - _xlogx(both)
+        for a in range(i, j, 1024):  # a thousand words at a time, for memory
+            b = min(a + 1024, j)
+            e = slice(edge[a], edge[b])
+            w, k, m = at[e], code[e], n[e]
+            per = rise[np.minimum(m, top - 1), k]
+            if len(many := np.flatnonzero(m >= top)):
+                per[many] = _xlogx(both[k[many]] + m[many, None]) - _xlogx(both[k[many]])
+            gain = np.add.reduceat(per, edge[a:b] - edge[a], axis=0)
+            s, t, own = size[a:b], size_left[a:b], cls[a:b].copy()
+            gain -= _xlogx(row + s[:, None]) - _xlogx(row) + _xlogx(col + t[:, None]) - _xlogx(col)
+            cell = both[k, own[w - a]]
+            stay = np.bincount(w - a, _xlogx(cell) - _xlogx(np.maximum(cell - m, 0)), b - a)
+            stay -= _xlogx(row[own]) - _xlogx(np.maximum(row[own] - s, 0)) + _xlogx(col[own]) - _xlogx(np.maximum(col[own] - t, 0))
+            gain[np.arange(b - a), own] = stay
+            gain[:, 0] = -np.inf
+            best = gain.argmax(1)
+            go = may[a:b] & (best != own) & (gain[np.arange(b - a), best] > stay + 1e-9)
+            cls[a:b][go] = best[go]
+            on = go[w - a]
+            k, m, by = k[on], m[on] * scale, w[on] - a
+            for x, sign in ((own[by], -1.0), (best[by], 1.0)):
+                cell = np.where(k < CLASSES, x * CLASSES + k, (k - CLASSES) * CLASSES + x)
+                g += np.bincount(cell, m * sign, CLASSES**2).reshape(CLASSES, CLASSES)
+        np.maximum(g, 0, out=g)
+    return cls
+
+
+def _move(g, blocks: int, parts: int, turn: int):
+    def run(table, post):
+        cls, there, at, side, n = _received(table, post)
+        key, many = _joined(table, "key", np.int64), _joined(table, "n", np.int32)
+        key = np.concatenate([key, at * (2 * CLASSES) + side.astype(np.int64) * CLASSES + there])
+        key, to = np.unique(key, return_inverse=True)
+        n = np.bincount(to, np.concatenate([many, n])).astype(np.int64)
+        may = (np.arange(len(cls)) + turn) % parts == 0
+        return _post(table, moved(cls, key // (2 * CLASSES), key % (2 * CLASSES), n, g.value, may, blocks).astype(np.uint8))
+
+    return run
+
+
+def _classes(table, post):
+    import pyarrow as pa
+
+    own = dict(zip(post.column("sender").to_pylist(), post.column("classes").to_pylist()))[-1]
+    return pa.table([pa.array(_joined(table, "word", np.int64)), pa.array(np.frombuffer(own, np.uint8).astype(np.int32))], ["h", "k"])
+
+
+def _cells(cls, n_units: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            key = b.column("key").to_numpy()
+            g = np.bincount(cls.value[key // n_units] * CLASSES + cls.value[key % n_units], b.column("n").to_numpy(), CLASSES**2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES**2)), pa.array(g.astype(np.int64))], ["cell", "n"])
+
+    return run
+
+
+def _named(salt: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            h = _ids(b.column("word"), salt).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(h)], ["word", "n", "h"])
+
+    return run
+
+
+def _square(df: DataFrame) -> np.ndarray:
+    got = df.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    g = np.zeros(CLASSES**2)
+    g[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return g.reshape(CLASSES, CLASSES)
+
+
+def settle(train: DataFrame, bigrams: DataFrame, rare: DataFrame, words, cls: np.ndarray):
+    """(word, n, k: class) of every rare word and the class bigrams, from the classes of frequent words and endings.
+
+    rare: all words with counts that aren't frequent. A round moves all words; one that lowers the likelihood is undone. When
+    a sweep gains less than LEAST_GAIN of the likelihood, this ends, or parts get smaller if a round lost more than that, for
+    words that meet moved together.
+    """
+    spark, w = train.sparkSession, words.value
+    n_words, n_tokens = rare.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sc, u = spark.sparkContext, F.floor(F.col("key") / w.n_units)
+    sent = sc.broadcast(cls)
+    plain = (u < w.first_ending) & (F.col("key") % w.n_units < w.first_ending)
+    rest = _square(bigrams.select("key", "n").where(plain).mapInArrow(_cells(sent, w.n_units), "cell long, n long"))
+    if not n_words:
+        return rare.select("word", "n", F.lit(0).alias("k")), rest
+    blocks, salt = -(-n_tokens // BLOCK_TOKENS), 0
+    while True:
+        dealt = train.mapInArrow(_dealt(words, sent, blocks, salt), DEALT)
+        home = keep(dealt.groupBy("block").applyInArrow(_merged(blocks), BLOCK))
+        del dealt
+        tidy(spark)
+        if home.agg(F.sum(F.length("word"))).first()[0] == 8 * n_words:
+            break
+        drop(home)  # two words share a name: all get others
+        salt += 1
+    held = home.select("block", "key", "n", "in_at", "in_side", "in_n").groupBy("block")
+    counted = lambda post: rest + _square(held.cogroup(post.groupBy("to")).applyInArrow(_counted, "cell long, n long"))
+    post = keep(home.select("block", "start", "out_at", "out_to").mapInArrow(_first_post, POST))
+    g = counted(post)
+    parts, best = 1, likelihood(g)
+    while parts <= PARTS:
+        before, fell = best, False
+        for turn in range(parts):
+            sent_g = sc.broadcast(g)
+            moving = home.drop("word", "start").groupBy("block").cogroup(post.groupBy("to"))
+            nxt = keep(moving.applyInArrow(_move(sent_g, blocks, parts, turn), POST))
+            g_next = counted(nxt)
+            sent_g.unpersist()
+            now = likelihood(g_next)
+            if now > best:
+                drop(post)
+                post, g, best = nxt, g_next, now
+            else:
+                drop(nxt)
+                fell = fell or best - now > LEAST_GAIN * abs(best)
+            tidy(spark)
+        if best - before <= LEAST_GAIN * abs(before):
+            if not fell:
+                break
+            parts *= 2
+    own = home.select("block", "word").groupBy("block").cogroup(post.where("sender = -1").groupBy("to")).applyInArrow(_classes, "h long, k int")
+    out = keep(rare.mapInArrow(_named(salt), "word string, n long, h long").join(own, "h").select("word", "n", "k"))
+    drop(home, post)
+    tidy(spark)
+    return out, g
+
+
+SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_core long, base double, score double, word string, tf long, before binary, after binary, at binary, ending int"
+
+
 def _scored(words, model):
+    """A row for each text and word of it that isn't core: its neighbours' classes, and its places where a neighbour isn't core either."""
+
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         w: Words = words.value
-        cls, step, unknown, emit, base_of = model.value
+        cls, step, _, emit, base_of = model.value
+        emit, base_of = (x if len(x) else np.zeros(1) for x in (emit, base_of))
         part, row = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            texts = column(batch, "text")
+            texts = batch.column("text")
             ids, held = batch.column("doc_id"), batch.column("held_out")
-            for a, b in slices(texts, SLICE_BYTES // 2):
-                split = [tokens(t) for t in texts[a:b]]
-                size = np.array([len(x) for x in split])
-                flat = [x for s in split for x in s]
-                core, unit = w.look(flat)
+            for a, b in array_slices(texts, SLICE_BYTES // 2):
+                size, flat, kinds, names = _stream(texts.slice(a, b - a))
+                core = np.fromiter(map(w.index.get, [*names, END], repeat(-1)), np.int64, len(names) + 1)
+                last = np.array([cls[w.first_ending + ending(x)] if core[i] < 0 else 0 for i, x in enumerate(names)] + [0], np.int64)
+                of = np.where(core < 0, OPEN, cls[w.unit[core]] if len(w.unit) else OPEN)
+                of[-1] = 0
+                core, c, owner = core[flat], of[flat], np.repeat(np.arange(b - a), size)
                 start = np.cumsum(size) - size
-                c = cls[unit]
                 before = np.concatenate([[0], c[:-1]])
                 before[start] = 0
-                known = core >= 0
-                owner = np.repeat(np.arange(b - a), size)
-                moved = step[before, c]
+                known, place = core >= 0, np.arange(len(flat)) - start[owner]
                 sums = lambda x: np.bincount(owner, weights=x, minlength=b - a)
                 at = np.maximum(core, 0)
-                score = sums(np.where(known, moved + emit[at], 0.0)) if len(emit) else np.zeros(b - a)
-                base = sums(np.where(known, base_of[at], 0.0)) if len(emit) else np.zeros(b - a)
-                n_core = sums(known).astype(np.int64)
-                # rare words, once per text: how often, and both sums their count will choose between
+                met = known & (before < OPEN)
+                score = sums(np.where(known, emit[at], 0.0)) + np.bincount(owner[met], step[before[met], c[met]], b - a)
+                base, n_core = sums(np.where(known, base_of[at], 0.0)), sums(known).astype(np.int64)
+                # the others, once per text, for the join that gives them count and class
                 r = np.flatnonzero(~known)
-                seen: dict = {}
-                key = np.fromiter((seen.setdefault((o, flat[i]), len(seen)) for o, i in zip(owner[r].tolist(), r.tolist())), np.int64, len(r))
-                many = len(seen)
-                r_owner = np.fromiter((o for o, _ in seen), np.int64, many)
-                tf = np.bincount(key, minlength=many)
-                s_known = np.bincount(key, weights=moved[r], minlength=many).astype(np.float64)
-                s_unknown = np.bincount(key, weights=unknown[before[r]], minlength=many).astype(np.float64)
+                pair, key = np.unique(owner[r] * len(of) + flat[r], return_inverse=True)
+                r, key = r[np.argsort(key, kind="stable")], np.sort(key)
+                after = c[np.minimum(r + 1, len(c) - 1)]
+                after[flat[r] == len(names)] = 0  # only without a model is the end not core; nothing is read after it
+                tf = np.bincount(key, minlength=len(pair))
+                two = (before[r] == OPEN) | (after == OPEN)
+                r_owner, r_kind = pair // len(of), pair % len(of)
                 none = np.setdiff1d(np.arange(b - a), r_owner)
-                own = np.concatenate([r_owner, none])
+                own, many = np.concatenate([r_owner, none]), len(none)
                 uid = part + row + own
-                blank = [b" %d" % u for u in uid[many:].tolist()]  # meets no word, and no other text
+                blank = [b"  %d" % x for x in uid[len(pair) :].tolist()]  # meets no word, and no other text
                 first = np.zeros(len(own), bool)
                 first[np.unique(own, return_index=True)[1]] = True
-                pad = lambda x: np.concatenate([x, np.zeros(len(none), x.dtype)])
+                pad = lambda x: np.concatenate([x, np.zeros(many, x.dtype)])
                 once = lambda x: np.where(first, x[own], 0)
                 row += b - a
-                take = pa.array(a + own)
+                take, ends = pa.array(a + own), [*names, END]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(uid), ids.take(take), held.take(take), *(pa.array(once(x)) for x in (size.astype(np.int64), n_core, base, score)),
-                     pa.array([x for _, x in seen] + blank, pa.binary()).cast(pa.string()), pa.array(pad(tf.astype(np.int64))), pa.array(pad(s_known)), pa.array(pad(s_unknown))],
-                    ["uid", "doc_id", "held_out", "n_tokens", "n_core", "base", "score", "word", "tf", "s_known", "s_unknown"])
+                     pa.array([ends[k] for k in r_kind.tolist()] + blank, pa.binary()).cast(pa.string()), pa.array(pad(tf.astype(np.int64))),
+                     _bytes(before[r].astype(np.uint8), pad(tf)), _bytes(after.astype(np.uint8), pad(tf)),
+                     _bytes(place[r][two].astype(np.int32), pad(np.bincount(key[two], minlength=len(pair)))), pa.array(pad(last[r_kind]).astype(np.int32))],
+                    [x.split()[0] for x in SCORED.split(", ")])
+
+    return run
+
+
+RESOLVED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, pairs binary"
+
+
+def _resolved(model, log_base: float):
+    """Adds what a word's own count and class decide; pairs: its places beside another such word, with its class (CLASSES more: known) in the low byte."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        _, step, unknown, _, _ = model.value
+        size = lambda x: pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = _values
+        for b in batches:
+            col = lambda x: b.column(x).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            tf, n = col("tf"), pc.fill_null(b.column("c"), 0).to_numpy(zero_copy_only=False)
+            known = n > 0
+            k = np.where(known, pc.fill_null(b.column("k"), 0).to_numpy(zero_copy_only=False), col("ending"))
+            owner = np.repeat(np.arange(len(b)), size(b.column("before")))
+            before, after = flat(b.column("before"), np.uint8), flat(b.column("after"), np.uint8)
+            mine = k[owner]
+            x = np.where(known[owner], step[np.minimum(before, CLASSES - 1), mine], unknown[np.minimum(before, CLASSES - 1)]) * (before < OPEN)
+            x += step[mine, np.minimum(after, CLASSES - 1)] * (after < OPEN)
+            score = col("score") + np.bincount(owner, x, len(b)) + np.where(known, tf * np.log10(np.maximum(n - DISCOUNT, DISCOUNT)), 0.0)
+            base = col("base") + tf * (np.log10(n + 0.5) - log_base)
+            many = size(b.column("at")) // 4
+            pairs = (flat(b.column("at"), np.int32).astype(np.int64) << 8) | np.repeat(k + CLASSES * known, many)
+            packed = pc.if_else(pa.array(many > 0), _bytes(pairs, many), pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(x) for x in ("uid", "doc_id", "held_out", "n_tokens")), pa.array(col("n_core") + np.where(known, tf, 0)), pa.array(base), pa.array(score), packed],
+                [x.split()[0] for x in RESOLVED.split(", ")])
+
+    return run
+
+
+def _paired(model):
+    """The score of words that follow each other and aren't core."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        _, step, unknown, _, _ = model.value
+        for b in batches:
+            score = b.column("score").to_numpy(zero_copy_only=False).copy()
+            lists = b.column("pairs").to_pylist()
+            owner = np.repeat(np.arange(len(b)), [sum(map(len, x)) // 8 for x in lists])
+            x = np.frombuffer(b"".join(y for z in lists for y in z), np.int64)
+            order = np.lexsort((x, owner))
+            owner, place, kind = owner[order], x[order] >> 8, x[order] & 255
+            next_to = np.flatnonzero((np.diff(owner) == 0) & (np.diff(place) == 1))
+            a, c = kind[next_to] % CLASSES, kind[next_to + 1]
+            score += np.bincount(owner[next_to], np.where(c >= CLASSES, step[a, c % CLASSES], unknown[a]), len(b))
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("doc_id", "held_out", "n_tokens", "n_known", "base")), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
     return run
 
@@ -266,7 +661,7 @@ def score(docs: DataFrame, folds: int = 5, test_fold: int = 1) -> DataFrame:
 
     Learns from the rows whose crc32(doc_id as text) mod folds isn't test_fold (a null doc_id learns). A null text is
     empty: one token, the end. With nothing to learn from, score is base_score. Broadcast: at most 1 / CORE_SHARE
-    words with counts, and classes of at most 1 / UNIT_SHARE + ENDINGS units.
+    words with counts and classes, and classes of ENDINGS endings; rarer words get both through a join.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -275,23 +670,22 @@ def score(docs: DataFrame, folds: int = 5, test_fold: int = 1) -> DataFrame:
     train = rows.where(~F.col("held_out")).select("text")
     counts = keep(train.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    core = counts.where(F.col("n") >= max(1.0, CORE_SHARE * total)).toArrow() if total else None
+    is_core = (F.col("n") >= max(1.0, CORE_SHARE * total)) | (F.col("word") == END.decode())
+    core = counts.where(is_core).toArrow() if total else None
     w = Words(list(zip(core.column("word").to_pylist(), core.column("n").to_pylist())) if core else [], total)
     words = spark.sparkContext.broadcast(w)
-    log_base = np.log10(total + 0.5 * (distinct + 1))
+    log_base = float(np.log10(total + 0.5 * (distinct + 1)))
     if total:
         bigrams = keep(train.mapInArrow(_bigrams(words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-        cls, g, of_unit = cluster(spark, bigrams, w.n_units)
+        cls, _, _ = cluster(spark, bigrams, w.n_units)
+        rare, g = settle(train, bigrams, counts.where((F.col("n") < UNIT_SHARE * total) & (F.col("word") != END.decode())), words, cls)
         drop(bigrams)
         tidy(spark)
-        # distinct words of each unit: one for the end and each frequent word, all the others by their ending
-        types = np.zeros(w.n_units)
-        types[: w.first_ending] = 1
-        tail = counts.where(F.col("n") < UNIT_SHARE * total).where(F.col("word") != END.decode()).mapInArrow(_endings, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).collect()
-        for r in tail:
-            types[w.first_ending + r["e"]] += r["n"]
-        n_class = np.bincount(cls, weights=of_unit, minlength=CLASSES)
-        freed = DISCOUNT * np.bincount(cls, weights=types, minlength=CLASSES)
+        # distinct words of each class
+        types = np.bincount(cls[: w.first_ending], minlength=CLASSES).astype(float)
+        for r in rare.groupBy("k").count().collect():
+            types[r["k"]] += r["count"]
+        n_class, freed = g.sum(0), DISCOUNT * types
         p = (n_class + 1) / (n_class.sum() + CLASSES)
         p /= p.sum()
         trans = (g + SMOOTHING * p) / (g.sum(1, keepdims=True) + SMOOTHING)
@@ -302,28 +696,16 @@ def score(docs: DataFrame, folds: int = 5, test_fold: int = 1) -> DataFrame:
             step = np.where(trans > 0, np.log10(np.maximum(trans, 1e-300)), -300.0) - np.log10(np.maximum(n_class, 1e-9))
             unknown = np.log10(trans @ np.where(live, freed / np.maximum(n_class, 1e-9), 0.0))
         emit, base_of = np.log10(w.counts - DISCOUNT), np.log10(w.counts + 0.5) - log_base
+        named = rare.where(is_core).select("word", "k").toArrow()
+        w, cls = w.settled(cls, dict(zip(named.column("word").to_pylist(), named.column("k").to_pylist())))
+        words = spark.sparkContext.broadcast(w)
+        rare = rare.where(~is_core).select("word", F.col("n").alias("c"), "k")
         model = (cls, np.where(live, step, -300.0), unknown, emit, base_of)
     else:
+        rare = counts.select("word", F.col("n").alias("c"), F.lit(0).alias("k"))
         model = (np.zeros(w.n_units, np.int64), np.zeros((CLASSES, CLASSES)), np.full(CLASSES, np.log10(0.5) - log_base), np.zeros(0), np.zeros(0))
     sent = spark.sparkContext.broadcast(model)
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_core long, base double, score double, word string, tf long, s_known double, s_unknown double"
-    parts = rows.mapInArrow(_scored(words, sent), schema)
-    rare = counts.where(F.col("n") < max(1.0, CORE_SHARE * total)).select("word", F.col("n").alias("c"))
-    c = F.col("c")
-    joined = parts.join(rare, "word", "left").select(
-        "uid", "doc_id", "held_out", "n_tokens",
-        (F.col("n_core") + F.when(c.isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"),
-        (F.col("base") + F.col("tf") * (F.log10(F.coalesce(c, F.lit(0)) + 0.5) - float(log_base))).alias("base"),
-        (F.col("score") + F.when(c.isNull(), F.col("s_unknown")).otherwise(F.col("s_known") + F.col("tf") * F.log10(c - DISCOUNT))).alias("score"),
-    )
-    sums = joined.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", (-F.col("score") / F.col("n_tokens") / float(np.log10(2))).alias("bits_per_token"))
-
-
-def _endings(batches):
-    import pyarrow as pa
-
-    for b in batches:
-        e = np.bincount([ending(x) for x in column(b, "word")], minlength=ENDINGS)
-        at = np.flatnonzero(e)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(e[at].astype(np.int64))], ["e", "n"])
+    joined = rows.mapInArrow(_scored(words, sent), SCORED).join(rare, "word", "left").mapInArrow(_resolved(sent, log_base), RESOLVED)
+    sums = joined.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")], F.collect_list("pairs").alias("pairs"))
+    scored = sums.mapInArrow(_paired(sent), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", (-F.col("score") / F.col("n_tokens") / float(np.log10(2))).alias("bits_per_token"))
