@@ -26,10 +26,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, array_slices, column, drop, hashes, keep, ship, slices, tidy, word_codes
+from .common import array_slices, drop, hashes, keep, mix, ship, tidy, word_codes
 
 #: Shares of all tokens: at least so frequent words are units (at most 1 / UNIT_SHARE of them) and are scored from a
-#: broadcast table (at most 1 / CORE_SHARE words); rarer words are scored through a join with the counts.
+#: broadcast table (at most 1 / CORE_SHARE words); for rarer ones slices of texts ask the blocks that hold counts and classes.
 UNIT_SHARE, CORE_SHARE = 5e-5, 2e-6
 CLASSES, ENDINGS = 64, 512
 #: Units move in halves, later in smaller parts, at last in as many parts as this; a round must gain this share.
@@ -38,6 +38,8 @@ PARTS, LEAST_GAIN = 8, 1e-4
 HELD = 6_000_000
 #: Tokens of rare words in a block of them, on average, and the turns in which a block's words move.
 BLOCK_TOKENS, STEPS = 500_000, 32
+#: Tokens of training, on average, whose words a block holds for the texts that ask for counts and classes.
+ASKED_TOKENS = 4_000_000
 #: In a context: a neighbour whose class isn't known yet.
 OPEN = 255
 DISCOUNT, SMOOTHING = 0.5, 5.0
@@ -55,14 +57,90 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
-def _count(batches):
+def endings(words) -> np.ndarray:
+    """ending() of every value of an Arrow string array."""
+    if not len(words) or not words.buffers()[2]:
+        return np.zeros(len(words), np.int64)
+    edge = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4)
+    raw, (begin, end) = np.frombuffer(words.buffers()[2], np.uint8), (edge[:-1], edge[1:])
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = (table >> np.uint32(1)) ^ (table & np.uint32(1)) * np.uint32(0xEDB88320)
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        some = end - begin >= back
+        x = crc[some]
+        crc[some] = table[(x ^ raw[end[some] - back]) & np.uint32(255)] ^ (x >> np.uint32(8))
+    return ((crc ^ np.uint32(0xFFFFFFFF)) % ENDINGS).astype(np.int64)
+
+
+def _summed(parts: list, name: str):
+    """One batch of all (name, n) pairs of some arrays, each value once."""
     import pyarrow as pa
 
-    for batch in batches:
-        seen: Counter = Counter()
-        for t in column(batch, "text"):
-            seen.update(tokens(t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+    t = pa.table([pa.chunked_array([k for k, _ in parts]), pa.chunked_array([n for _, n in parts])], [name, "n"])
+    t = t.group_by(name, use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+    return pa.RecordBatch.from_arrays([t.column(name).combine_chunks(), t.column("n_sum").combine_chunks()], [name, "n"])
+
+
+def _lined(lists):
+    """Of each list of words one binary value, a word a line."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.binary_join(lists, pa.scalar(b"\n", pa.binary()))
+
+
+def _words_of(lined: list[bytes]):
+    """The words of such values, in one."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.split_pattern(pa.array([b"\n".join(lined)], pa.binary()), b"\n").flatten() if lined else pa.array([], pa.binary())
+
+
+def _by_block(words, blocks: int):
+    """(blocks that words go to, how many each, the words' order by block, the words of each in one binary value)."""
+    import pyarrow as pa
+
+    words = words.cast(pa.binary())
+    block = (hashes(words) % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    home, many = np.unique(block, return_counts=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), words.take(pa.array(order)))
+    return home.astype(np.int32), many.astype(np.int32), order, _lined(lists)
+
+
+COUNTED = "block int, words binary, n binary"
+
+
+def _count(blocks: int):
+    """Words and their counts in each batch, a row for each block; _count_all() adds them up."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            texts, parts = batch.column("text"), [(pa.array([END], pa.binary()).cast(pa.string()), pa.array([len(batch)], pa.int64()))]
+            for a, b in array_slices(texts):
+                _, kind, _, kinds = word_codes(texts.slice(a, b - a))
+                n = np.bincount(kind, minlength=len(kinds))
+                some = pa.array(np.flatnonzero(n))
+                parts.append((kinds.take(some), pa.array(n[n > 0])))
+            got = _summed(parts, "word")
+            home, many, order, lined = _by_block(got.column("word"), blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(home), lined, _bytes(got.column("n").to_numpy()[order], many)], [x.split()[0] for x in COUNTED.split(", ")])
+
+    return run
+
+
+def _count_all(table):
+    import pyarrow as pa
+
+    words = _words_of(table.column("words").to_pylist()).cast(pa.string())
+    return pa.Table.from_batches([_summed([(words, pa.array(_joined(table, "n", np.int64)))], "word")])
 
 
 class Words:
@@ -70,6 +148,7 @@ class Words:
 
     def __init__(self, rows, total: int):
         rows = sorted(rows, key=lambda r: (-r[1], r[0]))
+        self.listed: dict = {}
         self.index = {w.encode(): i for i, (w, _) in enumerate(rows)}
         self.counts = np.array([n for _, n in rows], np.int64)
         frequent = [w.encode() for w, n in rows if n >= UNIT_SHARE * total and w.encode() != END]
@@ -81,6 +160,17 @@ class Words:
             if self.unit[i] < 0:
                 self.unit[i] = self.first_ending + ending(w.encode())
 
+    def place(self, kinds, name: str) -> np.ndarray:
+        """Of every value of an Arrow string array, and of the end after them, its number in index or frequent, or -1."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        index = getattr(self, name)
+        if name not in self.listed:
+            self.listed[name] = pa.array(sorted(index, key=index.get), pa.binary()).cast(pa.string())
+        at = pc.index_in(kinds.cast(pa.string()), value_set=self.listed[name]).fill_null(-1).to_numpy(zero_copy_only=False)
+        return np.append(at, index.get(END, -1)).astype(np.int64)
+
     def look(self, flat: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of each token the core index (-1: none) and the unit."""
         core = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
@@ -92,35 +182,48 @@ class Words:
     def settled(self, cls: np.ndarray, classes: dict[str, int]) -> tuple[Words, np.ndarray]:
         """These words with a unit for each core word, and the classes of units; classes: of the core words that aren't frequent."""
         out = copy(self)
+        out.listed = {}
         out.unit = np.array([0 if w == END else 1 + i for w, i in self.index.items()], np.int64)
         out.first_ending = 1 + len(self.index)
         own = [int(cls[self.frequent[w]]) if w in self.frequent else classes[w.decode()] for w in self.index]
         return out, np.concatenate([[0], np.array(own, np.int64), cls[self.first_ending :]])
 
 
-def _bigrams(words):
+PAIRED = "block int, key binary, n binary"
+
+
+def _bigrams(words, blocks: int):
+    """Unit bigrams and their counts in each batch, a row for each block; _pair_all() adds them up."""
+
     def run(batches):
         import pyarrow as pa
 
         w: Words = words.value
         for batch in batches:
-            texts = column(batch, "text")
-            keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for a, b in slices(texts, SLICE_BYTES // 2):
-                flat = [END]
-                for t in texts[a:b]:
-                    flat += tokens(t)
-                _, u = w.look(flat)
-                key, n = np.unique(u[:-1] * w.n_units + u[1:], return_counts=True)
-                keys.append(key)
-                counts.append(n)
-            key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+            texts, parts = batch.column("text"), [(pa.array([], pa.int64()), pa.array([], pa.int64()))]
+            for a, b in array_slices(texts):
+                _, flat, kinds = _stream(texts.slice(a, b - a))
+                unit = w.place(kinds, "frequent")
+                unit = np.where(unit < 0, w.first_ending + np.concatenate([endings(kinds), [0]]), unit)
+                u = np.concatenate([[0], unit[flat]])
+                got = pa.array(u[:-1] * w.n_units + u[1:]).value_counts()
+                parts.append((got.field("values"), got.field("counts")))
+            got = _summed(parts, "key")
+            key, n = got.column("key").to_numpy(), got.column("n").to_numpy()
+            block = (mix(key.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            home, many = np.unique(block, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), _bytes(key[order], many), _bytes(n[order], many)], [x.split()[0] for x in PAIRED.split(", ")])
 
     return run
 
 
+def _pair_all(table):
+    import pyarrow as pa
+
+    return pa.Table.from_batches([_summed([tuple(pa.array(_joined(table, x, np.int64)) for x in ("key", "n"))], "key")])
+
+
 def _add_contexts(total, cls, n_units, key, n):
     u, v = key // n_units, key % n_units
     for at in ((u * CLASSES + cls[v]) * 2, (v * CLASSES + cls[u]) * 2 + 1):
@@ -224,13 +327,11 @@ def cluster(spark, bigrams: DataFrame, n_units: int):
 
 def _stream(texts):
     """All tokens of an Arrow string array: of each text how many, of each token its kind (the last is the end), the kinds but the end."""
-    import pyarrow as pa
-
     owner, kind, _, kinds = word_codes(texts)
     size = np.bincount(owner, minlength=len(texts)) + 1
     flat = np.full(size.sum(), len(kinds))
     flat[np.arange(len(owner)) + owner] = kind
-    return size, flat, kinds, kinds.cast(pa.binary()).to_pylist()
+    return size, flat, kinds
 
 
 def _ids(kinds, salt: int) -> np.ndarray:
@@ -274,8 +375,8 @@ def _dealt(words, cls, blocks: int, salt: int):
         for batch in batches:
             texts = batch.column("text")
             for a, b in array_slices(texts):
-                _, flat, kinds, names = _stream(texts.slice(a, b - a))
-                unit = np.fromiter(map(w.frequent.get, [*names, END], repeat(-1)), np.int64, len(names) + 1)
+                _, flat, kinds = _stream(texts.slice(a, b - a))
+                unit = w.place(kinds, "frequent")
                 rare = np.flatnonzero((unit < 0) & (np.bincount(flat, minlength=len(unit)) > 0))  # kinds may hold an empty one that no token is of
                 if not len(rare):
                     continue
@@ -283,7 +384,7 @@ def _dealt(words, cls, blocks: int, salt: int):
                 order = rare[np.lexsort((h[rare], h[rare] % np.uint64(blocks)))]  # by block, then by name
                 block = (h[order] % np.uint64(blocks)).astype(np.int64)
                 edge = np.searchsorted(block, np.arange(blocks + 1))
-                start = c[[w.first_ending + ending(names[k]) for k in order]].astype(np.uint8)
+                start = c[w.first_ending + endings(kinds)[order]].astype(np.uint8)
                 spot = np.full(len(unit), -1)
                 spot[order] = np.arange(len(order)) - edge[block]
                 of = np.full(len(unit), -1)
@@ -313,7 +414,7 @@ def _dealt(words, cls, blocks: int, salt: int):
     return run
 
 
-BLOCK = "block int, word binary, start binary, key binary, n binary, in_at binary, in_side binary, in_n binary, in_from binary, out_at binary, out_to binary"
+BLOCK = "block int, word binary, start binary, key binary, n binary, in_at binary, in_side binary, in_n binary, out_at binary, out_to binary, out_many binary"
 
 
 def _merged(blocks: int):
@@ -337,7 +438,8 @@ def _merged(blocks: int):
         side, here, there = link % 2, link // 2 % len(word), link // 2 // len(word)
         there_home = home[by_home][there]
         out = np.lexsort((1 - side, there, here, there_home))
-        cells = [word, start, key.astype(np.int64), n.astype(np.int32), here.astype(np.int32), side.astype(np.uint8), link_n.astype(np.int32), there_home.astype(np.int32), here[out].astype(np.int32), there_home[out].astype(np.int32)]
+        to, many = np.unique(there_home, return_counts=True)  # links out stand by block
+        cells = [word, start, key.astype(np.int64), n.astype(np.int32), here.astype(np.int32), side.astype(np.uint8), link_n.astype(np.int32), here[out].astype(np.int32), to.astype(np.int32), many.astype(np.int64)]
         return pa.table([pa.array([table.column("block")[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in cells)], [x.split()[0] for x in BLOCK.split(", ")])
 
     return run
@@ -351,8 +453,8 @@ def _post(table, cls: np.ndarray):
     """What a block sends: to itself its words' classes, to each other block those of the words that meet words there."""
     import pyarrow as pa
 
-    block, at, to = table.column("block")[0].as_py(), _joined(table, "out_at", np.int32), _joined(table, "out_to", np.int32)
-    where, many = np.unique(to, return_counts=True)
+    block, at = table.column("block")[0].as_py(), _joined(table, "out_at", np.int32)
+    where, many = _joined(table, "out_to", np.int32), _joined(table, "out_many", np.int64)
     sizes = np.concatenate([[len(cls)], many])
     return pa.table([pa.array(np.concatenate([[block], where]), pa.int32()), pa.array(np.concatenate([[-1], np.full(len(where), block)]), pa.int32()), _bytes(np.concatenate([cls, cls[at]]), sizes)], POSTED)
 
@@ -394,35 +496,48 @@ def moved(cls, at, code, n, g, may, scale: float, steps: int = STEPS):
     Gains are those of exchange(). Words move in turns and see what the turns before did: scale times of it, for as many
     blocks do alike and words are dealt by hash. may: which words may move.
     """
-    cls, g, top = cls.copy(), g.copy(), 16
-    size = np.bincount(at, np.where(code < CLASSES, n, 0), len(cls))
-    size_left = np.bincount(at, np.where(code < CLASSES, 0, n), len(cls))
+    cls, g, top = cls.copy(), g.copy(), 8
+    size = np.bincount(at, np.where(code < CLASSES, n, 0), len(cls)).astype(np.int64)
+    size_left = np.bincount(at, np.where(code < CLASSES, 0, n), len(cls)).astype(np.int64)
     edge = np.searchsorted(at, np.arange(len(cls) + 1))
-    small = np.arange(top)[:, None, None]
+    small, sizes = np.arange(1, top)[:, None, None], np.arange(65)[:, None]
     for i, j in zip(*(lambda x: (x[:-1], x[1:]))(np.unique(np.linspace(0, len(cls), steps + 1).astype(np.int64)))):
         row, col = g.sum(1), g.sum(0)
         both = np.concatenate([g.T, g])  # of a code, the cell of each class
-        rise = _xlogx(both + small) - _xlogx(both)
+        had, had_row, had_col = _xlogx(both), _xlogx(row), _xlogx(col)
+        rise = _xlogx(both + small) - had  # by n, from 1
+        cost, cost_left = _xlogx(row + sizes) - had_row, _xlogx(col + sizes) - had_col
         for a in range(i, j, 1024):  # a thousand words at a time, for memory
             b = min(a + 1024, j)
             e = slice(edge[a], edge[b])
-            w, k, m = at[e], code[e], n[e]
-            per = rise[np.minimum(m, top - 1), k]
-            if len(many := np.flatnonzero(m >= top)):
-                per[many] = _xlogx(both[k[many]] + m[many, None]) - _xlogx(both[k[many]])
-            gain = np.add.reduceat(per, edge[a:b] - edge[a], axis=0)
+            w, k, m = at[e] - a, code[e], n[e]
+            # a word has each code once at most: those met once, most of all, are a table of zeros and ones
+            one = m == 1
+            met = np.zeros(((b - a), 2 * CLASSES))
+            met[w[one], k[one]] = 1
+            gain = met @ rise[0]
+            if len(more := np.flatnonzero(~one)):
+                per = rise[np.minimum(m[more], top - 1) - 1, k[more]]
+                if len(many := np.flatnonzero(m[more] >= top)):
+                    x = k[more[many]]
+                    per[many] = _xlogx(both[x] + m[more[many], None]) - had[x]
+                first = np.flatnonzero(np.diff(w[more], prepend=-1))
+                gain[w[more[first]]] += np.add.reduceat(per, first, axis=0)
             s, t, own = size[a:b], size_left[a:b], cls[a:b].copy()
-            gain -= _xlogx(row + s[:, None]) - _xlogx(row) + _xlogx(col + t[:, None]) - _xlogx(col)
-            cell = both[k, own[w - a]]
-            stay = np.bincount(w - a, _xlogx(cell) - _xlogx(np.maximum(cell - m, 0)), b - a)
-            stay -= _xlogx(row[own]) - _xlogx(np.maximum(row[own] - s, 0)) + _xlogx(col[own]) - _xlogx(np.maximum(col[own] - t, 0))
+            gain -= cost[np.minimum(s, 64)]
+            gain -= cost_left[np.minimum(t, 64)]
+            for x, table, base, had_base, size_of in ((np.flatnonzero(s > 64), cost, row, had_row, s), (np.flatnonzero(t > 64), cost_left, col, had_col, t)):
+                gain[x] += table[64] - (_xlogx(base + size_of[x, None]) - had_base)
+            cell = both[k, own[w]]
+            stay = np.bincount(w, had[k, own[w]] - _xlogx(np.maximum(cell - m, 0)), b - a)
+            stay -= had_row[own] - _xlogx(np.maximum(row[own] - s, 0)) + had_col[own] - _xlogx(np.maximum(col[own] - t, 0))
             gain[np.arange(b - a), own] = stay
             gain[:, 0] = -np.inf
             best = gain.argmax(1)
             go = may[a:b] & (best != own) & (gain[np.arange(b - a), best] > stay + 1e-9)
             cls[a:b][go] = best[go]
-            on = go[w - a]
-            k, m, by = k[on], m[on] * scale, w[on] - a
+            on = go[w]
+            k, m, by = k[on], m[on] * scale, w[on]
             for x, sign in ((own[by], -1.0), (best[by], 1.0)):
                 cell = np.where(k < CLASSES, x * CLASSES + k, (k - CLASSES) * CLASSES + x)
                 g += np.bincount(cell, m * sign, CLASSES**2).reshape(CLASSES, CLASSES)
@@ -507,7 +622,7 @@ def settle(train: DataFrame, bigrams: DataFrame, rare: DataFrame, words, cls: np
         salt += 1
     held = home.select("block", "key", "n", "in_at", "in_side", "in_n").groupBy("block")
     counted = lambda post: rest + _square(held.cogroup(post.groupBy("to")).applyInArrow(_counted, "cell long, n long"))
-    post = keep(home.select("block", "start", "out_at", "out_to").mapInArrow(_first_post, POST))
+    post = keep(home.select("block", "start", "out_at", "out_to", "out_many").mapInArrow(_first_post, POST))
     g = counted(post)
     parts, best = 1, likelihood(g)
     while parts <= PARTS:
@@ -537,11 +652,11 @@ def settle(train: DataFrame, bigrams: DataFrame, rare: DataFrame, words, cls: np
     return out, g
 
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_core long, base double, score double, word string, tf long, before binary, after binary, at binary, ending int"
+CODED = "slice long, doc_id binary, flag binary, n_tokens binary, n_core binary, base binary, score binary, kind binary, place binary, before binary, after binary, ending binary, asked array<struct<block:int,many:int,words:binary>>"
 
 
 def _scored(words, model):
-    """A row for each text and word of it that isn't core: its neighbours' classes, and its places where a neighbour isn't core either."""
+    """A row for each slice of texts: what core words decide, the places of all others, and those words once each, by block, as asked for."""
 
     def run(batches):
         import pyarrow as pa
@@ -550,108 +665,101 @@ def _scored(words, model):
         w: Words = words.value
         cls, step, _, emit, base_of = model.value
         emit, base_of = (x if len(x) else np.zeros(1) for x in (emit, base_of))
-        part, row = TaskContext.get().partitionId() << 40, 0
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = batch.column("text")
-            ids, held = batch.column("doc_id"), batch.column("held_out")
-            for a, b in array_slices(texts, SLICE_BYTES // 2):
-                size, flat, kinds, names = _stream(texts.slice(a, b - a))
-                core = np.fromiter(map(w.index.get, [*names, END], repeat(-1)), np.int64, len(names) + 1)
-                last = np.array([cls[w.first_ending + ending(x)] if core[i] < 0 else 0 for i, x in enumerate(names)] + [0], np.int64)
+            texts, ids, held = batch.column("text"), batch.column("doc_id"), batch.column("held_out")
+            for a, b in array_slices(texts):
+                size, flat, kinds = _stream(texts.slice(a, b - a))
+                core = w.place(kinds, "index")
                 of = np.where(core < 0, OPEN, cls[w.unit[core]] if len(w.unit) else OPEN)
                 of[-1] = 0
-                core, c, owner = core[flat], of[flat], np.repeat(np.arange(b - a), size)
-                start = np.cumsum(size) - size
-                before = np.concatenate([[0], c[:-1]])
-                before[start] = 0
-                known, place = core >= 0, np.arange(len(flat)) - start[owner]
-                sums = lambda x: np.bincount(owner, weights=x, minlength=b - a)
-                at = np.maximum(core, 0)
-                met = known & (before < OPEN)
-                score = sums(np.where(known, emit[at], 0.0)) + np.bincount(owner[met], step[before[met], c[met]], b - a)
-                base, n_core = sums(np.where(known, base_of[at], 0.0)), sums(known).astype(np.int64)
-                # the others, once per text, for the join that gives them count and class
+                owner, c = np.repeat(np.arange(b - a), size), of[flat]
+                before = np.concatenate([[0], c[:-1]])  # an end's class is 0
+                known = (core >= 0)[flat]
+                at = np.maximum(core, 0)[flat]
+                met = np.flatnonzero(known & (before < OPEN))
+                score = np.bincount(owner, np.where(known, emit[at], 0.0), b - a) + np.bincount(owner[met], step[before[met], c[met]], b - a)
+                base, n_core = np.bincount(owner, np.where(known, base_of[at], 0.0), b - a), np.bincount(owner, known, b - a)
+                # the others, once per slice, for the blocks that hold their counts and classes
                 r = np.flatnonzero(~known)
-                pair, key = np.unique(owner[r] * len(of) + flat[r], return_inverse=True)
-                r, key = r[np.argsort(key, kind="stable")], np.sort(key)
                 after = c[np.minimum(r + 1, len(c) - 1)]
-                after[flat[r] == len(names)] = 0  # only without a model is the end not core; nothing is read after it
-                tf = np.bincount(key, minlength=len(pair))
-                two = (before[r] == OPEN) | (after == OPEN)
-                r_owner, r_kind = pair // len(of), pair % len(of)
-                none = np.setdiff1d(np.arange(b - a), r_owner)
-                own, many = np.concatenate([r_owner, none]), len(none)
-                uid = part + row + own
-                blank = [b"  %d" % x for x in uid[len(pair) :].tolist()]  # meets no word, and no other text
-                first = np.zeros(len(own), bool)
-                first[np.unique(own, return_index=True)[1]] = True
-                pad = lambda x: np.concatenate([x, np.zeros(many, x.dtype)])
-                once = lambda x: np.where(first, x[own], 0)
-                row += b - a
-                take, ends = pa.array(a + own), [*names, END]
+                if core[-1] < 0:  # only without a model
+                    after[flat[r] == len(kinds)] = 0
+                rare = np.flatnonzero(np.bincount(flat[r], minlength=len(of)))
+                asked = pa.concat_arrays([kinds.cast(pa.binary()), pa.array([END], pa.binary())]).take(pa.array(rare))
+                home, many, order, lined = _by_block(asked, w.blocks)
+                spot = np.empty(len(of), np.int32)
+                spot[rare[order]] = np.arange(len(rare))
+                ends = np.concatenate([cls[w.first_ending + endings(kinds)], [0]])[rare[order]].astype(np.uint8)
+                asked = pa.StructArray.from_arrays([pa.array(home), pa.array(many), lined], ["block", "many", "words"])
+                some = ids.slice(a, b - a)
+                null, flag = some.is_null().to_numpy(zero_copy_only=False), held.slice(a, b - a).to_numpy(zero_copy_only=False)
+                cells = [
+                    some.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), (flag.astype(bool) + 2 * null).astype(np.uint8), size.astype(np.int64), n_core.astype(np.int64), base, score,
+                    spot[flat[r]], r.astype(np.int32), before[r].astype(np.uint8), after.astype(np.uint8), ends,
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid), ids.take(take), held.take(take), *(pa.array(once(x)) for x in (size.astype(np.int64), n_core, base, score)),
-                     pa.array([ends[k] for k in r_kind.tolist()] + blank, pa.binary()).cast(pa.string()), pa.array(pad(tf.astype(np.int64))),
-                     _bytes(before[r].astype(np.uint8), pad(tf)), _bytes(after.astype(np.uint8), pad(tf)),
-                     _bytes(place[r][two].astype(np.int32), pad(np.bincount(key[two], minlength=len(pair)))), pa.array(pad(last[r_kind]).astype(np.int32))],
-                    [x.split()[0] for x in SCORED.split(", ")])
+                    [pa.array([row], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in cells), pa.ListArray.from_arrays(pa.array([0, len(asked)], pa.int32()), asked)],
+                    [x.split()[0] for x in CODED.split(", ")])
+                row += 1
 
     return run
 
 
-RESOLVED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, pairs binary"
+KNOWN = "block int, words binary, n binary, k binary"
 
 
-def _resolved(model, log_base: float):
-    """Adds what a word's own count and class decide; pairs: its places beside another such word, with its class (CLASSES more: known) in the low byte."""
+def _packed(blocks: int):
+    """Words with counts and classes, a row for each block and batch."""
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        _, step, unknown, _, _ = model.value
-        size = lambda x: pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = _values
         for b in batches:
-            col = lambda x: b.column(x).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            tf, n = col("tf"), pc.fill_null(b.column("c"), 0).to_numpy(zero_copy_only=False)
-            known = n > 0
-            k = np.where(known, pc.fill_null(b.column("k"), 0).to_numpy(zero_copy_only=False), col("ending"))
-            owner = np.repeat(np.arange(len(b)), size(b.column("before")))
-            before, after = flat(b.column("before"), np.uint8), flat(b.column("after"), np.uint8)
-            mine = k[owner]
-            x = np.where(known[owner], step[np.minimum(before, CLASSES - 1), mine], unknown[np.minimum(before, CLASSES - 1)]) * (before < OPEN)
-            x += step[mine, np.minimum(after, CLASSES - 1)] * (after < OPEN)
-            score = col("score") + np.bincount(owner, x, len(b)) + np.where(known, tf * np.log10(np.maximum(n - DISCOUNT, DISCOUNT)), 0.0)
-            base = col("base") + tf * (np.log10(n + 0.5) - log_base)
-            many = size(b.column("at")) // 4
-            pairs = (flat(b.column("at"), np.int32).astype(np.int64) << 8) | np.repeat(k + CLASSES * known, many)
-            packed = pc.if_else(pa.array(many > 0), _bytes(pairs, many), pa.scalar(None, pa.binary()))
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(x) for x in ("uid", "doc_id", "held_out", "n_tokens")), pa.array(col("n_core") + np.where(known, tf, 0)), pa.array(base), pa.array(score), packed],
-                [x.split()[0] for x in RESOLVED.split(", ")])
+            home, many, order, lined = _by_block(b.column("word"), blocks)
+            n, k = (b.column(x).to_numpy(zero_copy_only=False)[order] for x in ("c", "k"))
+            yield pa.RecordBatch.from_arrays([pa.array(home), lined, _bytes(n.astype(np.int64), many), _bytes(k.astype(np.uint8), many)], [x.split()[0] for x in KNOWN.split(", ")])
 
     return run
 
 
-def _paired(model):
-    """The score of words that follow each other and aren't core."""
+ANSWER = "slice long, block int, n binary, k binary"
 
-    def run(batches):
+
+def _answers(asked, known):
+    """Counts (0: not seen in training) and classes of the words that slices ask a block for."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    asked = asked.combine_chunks()
+    at = pc.index_in(_words_of(asked.column("words").to_pylist()), value_set=_words_of(known.column("words").to_pylist())).fill_null(-1).to_numpy(zero_copy_only=False)
+    n, k = (np.concatenate([_joined(known, x, kind), np.zeros(1, kind)])[at] for x, kind in (("n", np.int64), ("k", np.uint8)))
+    many = asked.column("many").to_numpy()
+    return pa.table([asked.column("slice"), asked.column("block"), _bytes(n, many), _bytes(k, many)], [x.split()[0] for x in ANSWER.split(", ")])
+
+
+def _resolved(model, log_base: float):
+    """The texts of a slice, by what its core words decided and the counts and classes of all others."""
+
+    def run(coded, answers):
         import pyarrow as pa
 
         _, step, unknown, _, _ = model.value
-        for b in batches:
-            score = b.column("score").to_numpy(zero_copy_only=False).copy()
-            lists = b.column("pairs").to_pylist()
-            owner = np.repeat(np.arange(len(b)), [sum(map(len, x)) // 8 for x in lists])
-            x = np.frombuffer(b"".join(y for z in lists for y in z), np.int64)
-            order = np.lexsort((x, owner))
-            owner, place, kind = owner[order], x[order] >> 8, x[order] & 255
-            next_to = np.flatnonzero((np.diff(owner) == 0) & (np.diff(place) == 1))
-            a, c = kind[next_to] % CLASSES, kind[next_to + 1]
-            score += np.bincount(owner[next_to], np.where(c >= CLASSES, step[a, c % CLASSES], unknown[a]), len(b))
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("doc_id", "held_out", "n_tokens", "n_known", "base")), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+        col = lambda x, kind: _joined(coded, x, kind)
+        answers = answers.sort_by("block")
+        n, k = _joined(answers, "n", np.int64), _joined(answers, "k", np.uint8)
+        k = np.where(n > 0, k, col("ending", np.uint8)).astype(np.int64)
+        size, flag = col("n_tokens", np.int64), col("flag", np.uint8)
+        kind, place, before, after = col("kind", np.int32), col("place", np.int32), col("before", np.uint8).astype(np.int64), col("after", np.uint8)
+        owner = np.searchsorted(np.cumsum(size), place, side="right")
+        mine, n = k[kind], n[kind]
+        before[1:] = np.where(before[1:] == OPEN, mine[:-1], before[1:])  # only such a word of the same text stands open before one
+        x = np.where(n > 0, step[before, mine] + np.log10(np.maximum(n - DISCOUNT, DISCOUNT)), unknown[before])
+        x += np.where(after < OPEN, step[mine, np.minimum(after, CLASSES - 1)], 0.0)
+        more = lambda y: np.bincount(owner, y, len(size))
+        ids = pa.array(col("doc_id", np.int64), mask=(flag & 2) > 0)
+        cells = [ids, pa.array((flag & 1) > 0), pa.array(size), pa.array(col("n_core", np.int64) + more(n > 0).astype(np.int64)), pa.array(col("base", np.float64) + more(np.log10(n + 0.5) - log_base)), pa.array(col("score", np.float64) + more(x))]
+        return pa.table(cells, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
     return run
 
@@ -661,22 +769,25 @@ def score(docs: DataFrame, folds: int = 5, test_fold: int = 1) -> DataFrame:
 
     Learns from the rows whose crc32(doc_id as text) mod folds isn't test_fold (a null doc_id learns). A null text is
     empty: one token, the end. With nothing to learn from, score is base_score. Broadcast: at most 1 / CORE_SHARE
-    words with counts and classes, and classes of ENDINGS endings; rarer words get both through a join.
+    words with counts and classes, and classes of ENDINGS endings; slices of texts ask blocks of words for those of rarer ones, each word once.
     """
     spark = docs.sparkSession
     ship(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == test_fold, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", "text", held.alias("held_out"))
     train = rows.where(~F.col("held_out")).select("text")
-    counts = keep(train.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = 2 * parts
+    counts = keep(train.mapInArrow(_count(blocks), COUNTED).groupBy("block").applyInArrow(_count_all, "word string, n long"))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     is_core = (F.col("n") >= max(1.0, CORE_SHARE * total)) | (F.col("word") == END.decode())
     core = counts.where(is_core).toArrow() if total else None
     w = Words(list(zip(core.column("word").to_pylist(), core.column("n").to_pylist())) if core else [], total)
+    w.blocks = max(-(-total // ASKED_TOKENS), parts)
     words = spark.sparkContext.broadcast(w)
     log_base = float(np.log10(total + 0.5 * (distinct + 1)))
     if total:
-        bigrams = keep(train.mapInArrow(_bigrams(words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+        bigrams = keep(train.mapInArrow(_bigrams(words, blocks), PAIRED).groupBy("block").applyInArrow(_pair_all, "key long, n long"))
         cls, _, _ = cluster(spark, bigrams, w.n_units)
         rare, g = settle(train, bigrams, counts.where((F.col("n") < UNIT_SHARE * total) & (F.col("word") != END.decode())), words, cls)
         drop(bigrams)
@@ -705,7 +816,8 @@ def score(docs: DataFrame, folds: int = 5, test_fold: int = 1) -> DataFrame:
         rare = counts.select("word", F.col("n").alias("c"), F.lit(0).alias("k"))
         model = (np.zeros(w.n_units, np.int64), np.zeros((CLASSES, CLASSES)), np.full(CLASSES, np.log10(0.5) - log_base), np.zeros(0), np.zeros(0))
     sent = spark.sparkContext.broadcast(model)
-    joined = rows.mapInArrow(_scored(words, sent), SCORED).join(rare, "word", "left").mapInArrow(_resolved(sent, log_base), RESOLVED)
-    sums = joined.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")], F.collect_list("pairs").alias("pairs"))
-    scored = sums.mapInArrow(_paired(sent), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    coded = keep(rows.mapInArrow(_scored(words, sent), CODED))
+    asked = coded.select("slice", F.explode("asked").alias("a")).select("slice", "a.block", "a.many", "a.words").groupBy("block")
+    answers = asked.cogroup(rare.mapInArrow(_packed(w.blocks), KNOWN).groupBy("block")).applyInArrow(_answers, ANSWER)
+    scored = coded.drop("asked").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_resolved(sent, log_base), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", (-F.col("score") / F.col("n_tokens") / float(np.log10(2))).alias("bits_per_token"))
